@@ -74,7 +74,7 @@ def _pieces(path: str, capacity: int):
         from pyspark import TaskContext
 
         encoder, part, seen = WordEncoder.of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2_000_000):
             ids, ends = encoder.encode_column(batch.column(1))
             docs, pieces, starts, lengths, crcs = [], [], [], [], []
             for i, doc in enumerate(batch.column(0).to_pylist()):

@@ -91,7 +91,7 @@ def _write(path: str, dictionary: bytes):
             shard, before, index, bodies, held = shard + 1, before + n, [], [], 0
             return out
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2_000_000):
             ids, ends = encoder.encode_column(batch.column(1))
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 body = frames.frame(np.append(ids[ends[i] : ends[i + 1]], np.uint32(END_ID)))

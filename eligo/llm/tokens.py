@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 #: A worker remembers up to twice so many runs.
-MEMORY = 400_000
+MEMORY = 200_000
 _MARKS = ".,;:!?"
 
 
