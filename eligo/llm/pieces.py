@@ -111,20 +111,19 @@ class Pieces:
                 here = forward[i]
                 if atom[i] not in self.scores:
                     raw = atom[i].encode()
-                    hits = [(i + 1, (BYTE_SCORE * len(raw), tuple([self.bytes[b] for b in raw])))]
-                else:
-                    hits = []
+                    score, label = BYTE_SCORE * len(raw), tuple([self.bytes[b] for b in raw])
+                    edges.append((i, i + 1, score))
+                    if here + score > forward[i + 1]:
+                        forward[i + 1], last[i + 1] = here + score, (i, label)
                 for j in range(i + 1, n + 1):
                     if (hit := find(atom[i:j], 0)) == 0:  # no piece begins like this
                         break
                     if hit is not None:
-                        hits.append((j, hit))
-                for j, hit in hits:
-                    s = here + hit[0]
-                    edges.append((i, j, hit[0]))
-                    if s > forward[j]:
-                        forward[j] = s
-                        last[j] = i, hit[1]
+                        score = hit[0]
+                        edges.append((i, j, score))
+                        if here + score > forward[j]:
+                            forward[j] = here + score
+                            last[j] = i, hit[1]
             backward = [-np.inf] * n + [0.0]
             for i, j, s in reversed(edges):
                 if s + backward[j] > backward[i]:
