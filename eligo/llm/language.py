@@ -94,7 +94,7 @@ def _read(known: Likelihoods, is_html: bool):
             texts, declared = batch.column(3).to_pylist(), batch.column(2).to_pylist()
             hosts = [m[1] if (m := _HOST.match(a or "")) else (a or "") for a in batch.column(1).to_pylist()]
             if is_html:
-                declared = [m[1] if (m := _DECLARED.search((t or "")[:4096])) else None for t in texts]
+                declared = [m[1] if (m := _DECLARED.search(t or "")) else None for t in texts]
                 texts = [page_text(t) for t in texts]
             lists, codes, grams, starts, words = _words(pa.array(texts, pa.string()))
             word_logs = np.add.reduceat(known.logs[:, grams].astype(np.float64), starts, axis=1) if len(words) else np.zeros((len(known.langs), 0))
