@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.llm.common import ensure_checkpoint_dir, id_and_text, partitions, slices, table
+from eligo.llm.common import ensure_checkpoint_dir, id_and_text, partitions, slices, small_batches, table
 from eligo.llm.tokens import WordEncoder, vocabulary
 
 END_ID = 1
@@ -112,6 +112,7 @@ def write_token_files(docs: DataFrame, to: str, id_col: str = "doc_id", text_col
     Null texts are empty, repeated rows are documents of their own, and an empty table gives files without a shard.
     """
     path = path or vocabulary()
+    small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     dictionary = train_dictionary(rows, path)
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")

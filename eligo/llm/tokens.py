@@ -94,6 +94,26 @@ class WordEncoder:
             self.runs[" " + word] = got
         return got
 
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """Of distinct words. ASCII letters with marks after them are cut and lower-cased by Arrow; the rest go one by one."""
+        cores = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.and_(pc.utf8_is_alpha(cores), pc.string_is_ascii(words)).to_numpy(zero_copy_only=False)
+        runs = pc.ascii_lower(cores.filter(pa.array(plain))).dictionary_encode()
+        get = self.runs.get
+        found = [get(r) or self._run(r) for r in runs.dictionary.to_pylist()]
+        raws: list[bytes] = [b""] * len(words)
+        for i, c in zip(np.flatnonzero(plain).tolist(), runs.indices.to_pylist(), strict=True):
+            raws[i] = found[c]
+        tail = (pc.binary_length(words).to_numpy() - pc.binary_length(cores).to_numpy()) * plain
+        at = np.flatnonzero(tail)
+        for i, word, k in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), tail[at].tolist(), strict=True):
+            mark = word[-k:]
+            raws[i] += self.runs.get(mark) or self._run(mark)
+        at = np.flatnonzero(~plain)
+        for i, word in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True):
+            raws[i] = self._word(word)
+        return raws
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin, with the end last. Null is empty.
 
@@ -101,7 +121,7 @@ class WordEncoder:
         """
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         numbered = lists.flatten().dictionary_encode()
-        raws = [*map(self._word, numbered.dictionary.to_pylist())]
+        raws = self._words(numbered.dictionary)
         flat, size = np.frombuffer(b"".join(raws), "<u4"), np.fromiter(map(len, raws), np.int64, len(raws)) // 4
         codes = numbered.indices.to_numpy()
         start, n = (np.cumsum(size) - size)[codes], size[codes]
