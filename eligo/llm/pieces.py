@@ -33,14 +33,15 @@ def n_best(edges: list[list[tuple[int, float, object]]], n: int) -> list[tuple[f
     """The n best paths from node 0 to the last node. edges[j]: (from node i < j, score, label) of the edges into node j.
 
     Forward: the best score to reach each node. Backward: A* from the last node, whose priority (score of the suffix +
-    forward score of its first node) is exact, so paths complete in order. Ties go to the path found first.
+    forward score of its first node) is exact, so paths complete in order. Among equals the one nearest to the start goes
+    on first: texts of one repeated letter have very many equal paths, and only n of them are followed to the end.
     """
     forward = [0.0] + [-np.inf] * (len(edges) - 1)
     for j in range(1, len(edges)):
         forward[j] = max((forward[i] + s for i, s, _ in edges[j]), default=-np.inf)
-    queue, out, tie = [(-forward[-1], 0, len(edges) - 1, 0.0, None)], [], 0
+    queue, out, tie = [(round(-forward[-1], 6), len(edges) - 1, 0, 0.0, None)], [], 0
     while queue and len(out) < n:
-        _, _, j, suffix, path = heapq.heappop(queue)
+        _, j, _, suffix, path = heapq.heappop(queue)
         if j == 0:
             labels = []
             while path is not None:
@@ -50,7 +51,7 @@ def n_best(edges: list[list[tuple[int, float, object]]], n: int) -> list[tuple[f
             continue
         for i, s, label in edges[j]:
             tie += 1
-            heapq.heappush(queue, (-(suffix + s + forward[i]), tie, i, suffix + s, (label, path)))
+            heapq.heappush(queue, (round(-(suffix + s + forward[i]), 6), i, tie, suffix + s, (label, path)))
     return out
 
 
