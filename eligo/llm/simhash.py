@@ -180,21 +180,24 @@ def _packed(cuts: list[int]):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node with an edge, by contraction: nodes point to their
-    smallest neighbour, pointers are followed, edges within a tree vanish. All of it are joins and partial aggregates."""
+    smallest neighbour, pointers are followed to the root, edges within a tree vanish. All of it are joins and partial aggregates."""
     edges = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
     roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"))
-        for _ in range(3):
-            up = point.select(F.col("node").alias("to"), F.col("to").alias("top"))
-            point = point.join(up, "to").select("node", F.col("top").alias("to"))
-        point = cut(point)
+        up = lambda p: p.select(F.col("node").alias("to"), F.col("to").alias("top"))
+        while True:  # the way to a root halves each time, so long chains cost the logarithm of their length
+            for _ in range(3):
+                point = point.join(up(point), "to").select("node", F.col("top").alias("to"))
+            point = cut(point)
+            if point.join(up(point), "to").where("to <> top").isEmpty():
+                break
         if roots is None:
             roots = point.select("node", F.col("to").alias("component"))
         else:
-            up = point.select(F.col("node").alias("component"), F.col("to").alias("top"))
-            roots = roots.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+            above = point.select(F.col("node").alias("component"), F.col("to").alias("top"))
+            roots = roots.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         roots = cut(roots)
         a, b = point.select(F.col("node").alias("a"), F.col("to").alias("x")), point.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
