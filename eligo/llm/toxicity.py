@@ -188,13 +188,14 @@ def _score(field: Field, span_at: float):
             top = np.zeros(len(score))
             for i in np.flatnonzero((np.diff(ends) > 0) & ~np.isin(np.arange(len(score)), owner)):
                 top[i] = p[ends[i] : ends[i + 1]].max()
+            wordless = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(batch.column(1), ""))), 0).to_numpy(zero_copy_only=False)
             spans: list[list] = [[] for _ in range(len(score))]
             hits = np.flatnonzero(p >= span_at)
             for i in np.unique(np.searchsorted(ends, hits, "right") - 1).tolist():
                 own = p[ends[i] : ends[i + 1]] >= span_at
                 words = [m.span() for m in _WORD.finditer(batch.column(1)[i].as_py())]
                 spans[i] = [{"start": s, "end": t} for (s, t), o in zip(words, own, strict=False) if o]
-            yield table(RESULT, [batch.column(0), np.maximum(score, top), spans])
+            yield table(RESULT, [batch.column(0), np.where(wordless, 0.0, np.maximum(score, top)), spans])
 
     return run
 
