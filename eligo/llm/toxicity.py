@@ -98,26 +98,33 @@ def label_words(texts: list[list[str]], toxic: np.ndarray, least: int = 3, log_o
     return [np.array([memo.get(w, 0) if t else 0 for w in words], np.int8) for words, t in zip(texts, toxic, strict=True)]
 
 
+def windows(labels: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
+    """[start, end) of successive pieces that cover every word. None begins right after an offending word, as each piece is
+    learnt as if it came after a clean one."""
+    start = 0
+    while start < len(labels):
+        end = min(start + window, len(labels))
+        while end < len(labels) and labels[end - 1]:
+            end += 1
+        yield start, end
+        start = end
+
+
 def fit(texts: list[str], toxic: list[int], window: int = 120, rounds: int = 60, rate: float = 0.5, penalty: float = 1e-6) -> Field:
-    """Maximum likelihood by Adagrad over windows: around offending words, and the opening of clean documents."""
+    """Maximum likelihood by Adagrad over whole texts, cut into windows. Only toxic texts without a word that is labelled
+    offending teach nothing: which of their words offend is unknown."""
     words = [_WORD.findall(t or "") for t in texts]
     labels = label_words(words, np.array(toxic, bool))
-    seqs, ys = [], []
-    for w, y, t in zip(words, labels, toxic, strict=True):
-        if t and y.any():
-            at = int(np.flatnonzero(y)[0])
-            seqs.append(w[max(0, at - window // 2) : at + window // 2])
-            ys.append(y[max(0, at - window // 2) : at + window // 2])
-        elif not t and w:
-            seqs.append(w[:window])
-            ys.append(y[:window])
+    used = [(w, y) for w, y, t in zip(words, labels, toxic, strict=True) if y.any() or not t]
     field = Field(np.zeros(DIMENSIONS), -4.0, 1.0, 1.0, 1.0)
-    if not seqs:
+    lengths = np.array([b - a for _, y in used for a, b in windows(y, window)], np.int64)
+    if not len(lengths):
         return field
-    lengths = np.array([len(s) for s in seqs])
     starts = np.cumsum(lengths) - lengths
-    y = np.concatenate(ys).astype(float)
-    found = [features(w) for s in seqs for w in s]
+    y = np.concatenate([y for _, y in used]).astype(float)
+    numbers: dict[str, int] = {}
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for ws, _ in used for w in ws), np.int64, len(y))
+    found = [features(w) for w in numbers]
     size = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((f for fs in found for f in fs), np.int64, int(size.sum()))
     first, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
@@ -131,13 +138,13 @@ def fit(texts: list[str], toxic: list[int], window: int = 120, rounds: int = 60,
     scale = max(1.0, y.sum())
     for _ in range(rounds):
         field = Field(w, float(extra[0]), *map(float, np.exp(extra[1:])))
-        x = np.exp(np.clip(np.add.reduceat(w[flat], first) + field.bias, -30, 30))
+        x = np.exp(np.clip(np.add.reduceat(w[flat], first) + field.bias, -30, 30))[codes]
         f, b = odds(x, starts, lengths, field)
         p = f * b / (1 + f * b)
         q01, q10, q11 = field.t01 * x[at] * b[at], f[at - 1] * field.t10, f[at - 1] * field.t11 * x[at] * b[at]
         total = 1 + q01 + q10 + q11
         expected = [float((q01 / total).sum() + p[starts].sum()), float((q10 / total).sum()), float((q11 / total).sum())]
-        slope = np.bincount(flat, (y - p)[owner], DIMENSIONS) / scale - penalty * w
+        slope = np.bincount(flat, np.bincount(codes, y - p, len(size))[owner], DIMENSIONS) / scale - penalty * w
         slope_extra = np.array([(y - p).sum(), *(o - e for o, e in zip(pairs, expected, strict=True))]) / scale
         sum_w += slope**2
         sum_extra += slope_extra**2

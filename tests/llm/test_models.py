@@ -73,6 +73,20 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity(docs.limit(0), field).count() == 0
 
 
+def test_toxicity_is_fitted_on_whole_texts():
+    """Words far into a clean text are counter-evidence; later offending words of a toxic text are evidence."""
+    far = " ".join(["plain"] * 300)
+    field = toxicity.fit([f"vile {far} nasty {far} after", f"{far} late"] * 25, [1, 0] * 25)
+    weight = lambda w: field.weights[toxicity.features(w)[0]]
+    assert weight("vile") > 0 and weight("nasty") > 0 and weight("late") < 0
+
+
+def test_toxicity_windows():
+    labels = np.zeros(250, np.int8)
+    labels[118:123] = 1
+    assert [*toxicity.windows(labels, 120)] == [(0, 124), (124, 244), (244, 250)] and not [*toxicity.windows(labels[:0], 120)]
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", None, "", "\\t\\s</part>###", "a: b\n### user: c", "</tu</turn>rn>", "x" * 50_000, "\\c:"]
     rows = [(c, t, r, x) for c in (1, None) for t, (r, x) in enumerate(zip(["user", "user", "assistant", "assistant", "a: b", None, "assistant", "system"], texts, strict=True))]
