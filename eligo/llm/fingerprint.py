@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized, normalize
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,36 @@ def digest(canon: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(canon)
 
 
-def _digest_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("canon", pa.binary())])
-    for batch in slices(batches):
-        canons = [canonical(t) for t in batch.column(1).to_pylist()]
-        yield table(schema, [batch.column(0), [digest(c) for c in canons], canons])
+def second_digest(canon: bytes) -> bytes:
+    """By this one too a row finds its class, where different bytes share a fingerprint."""
+    return hashlib.sha256(canon).digest()
+
+
+def _digest_rows(bits: np.ndarray | None):
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("second", pa.binary()), ("canon", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            canons = [canonical(t) for t in batch.column(1).to_pylist()]
+            rows = [(i, d, second_digest(c), c) for i, d, c in zip(batch.column(0).to_pylist(), map(digest, canons), canons, strict=True) if bits is None or bits[(k := int(d[:6], 16)) >> 6] >> np.uint64(k & 63) & np.uint64(1)]
+            if rows:
+                yield table(schema, [*map(list, zip(*rows, strict=True))])
+
+    return run
+
+
+def _bits(fingerprints: DataFrame) -> np.ndarray:
+    """2^24 bits, those set that the first six digits of the fingerprints name."""
+    k = F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("long")
+    found = fingerprints.groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(conv(substring(fingerprint, 1, 6), 16, 10) AS int) & 63)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << 18, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
+    rows = id_and_text(docs, id_col, text_col).mapInArrow(_digest_rows(bits), "doc_id long, fingerprint string, second binary, canon binary")
+    return rows.groupBy("fingerprint", "second", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).drop("canon")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,8 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Grouping is on the digest and the canonical bytes, so bytes are compared within equal digests, and copies merge
     before the shuffle. Null texts are empty and one class; a class of null ids only has a null group_id.
     """
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(_digest_rows, "doc_id long, fingerprint string, canon binary")
-    return rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).drop("canon")
+    return _classes(docs, id_col, text_col).drop("second")
 
 
 def likeness(left: bytes, right: bytes) -> float:
@@ -50,16 +75,16 @@ def likeness(left: bytes, right: bytes) -> float:
     return float(digest(left) == digest(right) and left == right)
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, second binary"
 #: A row is a result, or the text that opens (kind 1) or ends (kind 2) a partition.
-ROWS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+ROWS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("second", pa.binary()), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
 
 
 def compare(doc: int | None, text: str, canon: bytes, after: str, after_canon: bytes) -> tuple:
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     edited_canon = canonical(edited)
-    return doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(canon), digest(edited_canon), likeness(canon, edited_canon), likeness(canon, after_canon)
+    return doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(canon), digest(edited_canon), likeness(canon, edited_canon), likeness(canon, after_canon), second_digest(canon)
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,28 +98,22 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             canon = canonical(text)
             if last is None:
-                out.append((doc, *[None] * 6, 1, part, text))
+                out.append((doc, *[None] * 7, 1, part, text))
             else:
                 out.append((*compare(*last, text, canon), 0, part, None))
             last = doc, text, canon
         yield table(ROWS, [*map(list, zip(*out, strict=True))])
     if last is not None:
-        yield table(ROWS, [[x] for x in (last[0], *[None] * 6, 2, part, last[1])])
+        yield table(ROWS, [[x] for x in (last[0], *[None] * 7, 2, part, last[1])])
 
 
 def _join_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield table(pa.schema([*ROWS][:7]), [[x] for x in compare(doc, text, canonical(text), after, canonical(after))])
-
+            yield table(pa.schema([*ROWS][:8]), [[x] for x in compare(doc, text, canonical(text), after, canonical(after))])
 
-def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness, for each row of docs.
 
-    The next document is the next row by id, then by text; null ids come first and null texts are empty. After the last
-    row comes the first, which for a single row is the row itself. Ranges of ids are walked one by one; only the texts
-    at the ends of the ranges, two for each range, meet in a join.
-    """
+def _against_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = ["doc_id", "text"]
     rows = id_and_text(docs, id_col, text_col).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions(*order)
     walked = cut(rows.mapInArrow(_walk, FIELDS + ", kind int, part int, text string"))
@@ -108,5 +127,28 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return walked.where("kind = 0").drop("kind", "part", "text").unionByName(joined)
 
 
+def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of each text and of its edited text, and their likeness, for each row of docs.
+
+    The next document is the next row by id, then by text; null ids come first and null texts are empty. After the last
+    row comes the first, which for a single row is the row itself. Ranges of ids are walked one by one; only the texts
+    at the ends of the ranges, two for each range, meet in a join.
+    """
+    return _against_next(docs, id_col, text_col).drop("second")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """against_next's columns, and the class of each row over the whole table: group_id and n_docs as in exact_groups.
+
+    A fingerprint that one row has is a class of its own. Only texts whose fingerprint may be repeated, by a bitmap of those
+    that are, go to the grouping, where their bytes are compared.
+    """
+    rows = _against_next(docs, id_col, text_col)
+    repeated = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    classes = _classes(docs, id_col, text_col, _bits(repeated)).where("n_docs > 1")
+    alone = F.col("n_docs").isNull()
+    return rows.join(classes, ["fingerprint", "second"], "left").select(*[f.split()[0] for f in FIELDS.split(", ")[:-1]], F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_docs", F.lit(1)).alias("n_docs"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return against_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -130,3 +130,24 @@ def test_fingerprints(spark):
 def test_exact_groups(spark):
     got = {r.group_id: r.n_docs for r in fingerprint.exact_groups(frame(spark, ["Straße  ONE", "STRASSE one ", "b", None, "", " "])).collect()}
     assert got == {0: 2, 2: 1, 3: 3}
+
+
+def test_fingerprints_name_the_class_of_every_row(spark):
+    """Copies far apart meet; repeated and null ids are rows of their own."""
+    texts = ["Straße  ONE", "b", None, "c", "STRASSE one ", "", "été", " ", "e\u0301te\u0301"]
+    rows = [*enumerate(texts), (3, "c"), (None, "b"), (None, "own"), (None, "null ids"), (None, "NULL ids")]
+    docs = frame(spark, texts, more=rows[len(texts) :])
+    held = {}
+    for i, t in rows:
+        held.setdefault(folded(t), []).append(i)
+    want = [(i, len(t or ""), min((x for x in held[folded(t)] if x is not None), default=None), len(held[folded(t)])) for i, t in rows]
+    assert plain(fingerprint.fingerprints(docs).select("doc_id", "n_chars", "group_id", "n_docs").collect()) == plain(want)
+    assert fingerprint.fingerprints(frame(spark, [])).count() == 0
+
+
+def test_op9_has_the_classes_of_the_whole_table(spark):
+    texts = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        texts.setdefault(folded(r.text), []).append(r.doc_id)
+    got = {r.doc_id: (r.group_id, r.n_docs) for r in queries.QUERIES["op9_document_fingerprints"](spark, SF).collect()}
+    assert got == {i: (min(ids), len(ids)) for ids in texts.values() for i in ids} and any(len(ids) > 1 for ids in texts.values())
