@@ -167,6 +167,14 @@ class Pieces:
         scores, changes = self.alternatives([(i, units[i]) for i in sorted(i for _, i in lossy)], sum(f[1] for f in found), n)
         return [x for f in found for x in f[0]], scores, changes
 
+    def changed(self, text: str | None, ids: list[int], changes: list[tuple[int, tuple[int, ...]]]) -> list[int]:
+        """Ids of a segmentation, from those of the best and the units that it changes."""
+        if not changes:
+            return ids
+        units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
+        instead = dict(changes)
+        return [x for i, u in enumerate(units) for x in (instead[i] if i in instead else self.unit(u)[0])]
+
     def encode_column(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list, list]:
         """encode for a column: ids one after another, where each text's begin, and scores and changes by text. Words are
         numbered by Arrow, so that Python sees each of them once; texts with runs of spaces or the mark go one by one."""
@@ -244,22 +252,33 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path or vocabulary()), "doc_id long, text string")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("n_best", pa.int64()), ("second_loss", pa.float64()), ("decoded_crc32", pa.int64())])
+BEST = pa.struct([("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("decoded_crc32", pa.int64())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("n_best", pa.int64()), ("second_loss", pa.float64()), ("decoded_crc32", pa.int64()), ("best", pa.list_(BEST))])
+DIGEST_SQL = "doc_id long, n_ids long, ids_crc32 long, best_score double, n_best long, second_loss double, decoded_crc32 long, best array<struct<n_ids:long,ids_crc32:long,score:double,decoded_crc32:long>>"
 
 
-def _digest(path: str):
+def _digest(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids, scores = part.column(1).to_pylist(), part.column(2).to_pylist()
-                yield table(DIGEST, [part.column(0), [len(x) for x in ids], [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids], [s[0] for s in scores], [len(s) for s in scores], [s[0] - s[1] if len(s) > 1 else None for s in scores], [zlib.crc32(pieces.decode(x).encode()) for x in ids]])
+        for batch in slices(batches):
+            texts = batch.column(1)
+            flat, ends, scores, changes = pieces.encode_column(texts, n)
+            best = []
+            for k, text in enumerate(texts.to_pylist()):
+                ids = flat[ends[k] : ends[k + 1]].tolist()
+                own = [pieces.changed(text, ids, c) for c in changes[k]]
+                best.append([{"n_ids": len(x), "ids_crc32": zlib.crc32(np.array(x, "<u4").tobytes()), "score": s, "decoded_crc32": zlib.crc32(pieces.decode(x).encode())} for x, s in zip(own, scores[k], strict=True)])
+            first = [b[0] for b in best]
+            yield table(DIGEST, [batch.column(0), [b["n_ids"] for b in first], [b["ids_crc32"] for b in first], [s[0] for s in scores], [len(s) for s in scores], [s[0] - s[1] if len(s) > 1 else None for s in scores], [b["decoded_crc32"] for b in first], best])
 
     return run
 
 
+def digests(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """For each row of docs, digests of the best segmentation, and in `best` of each of the n best, best first."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(_digest(path or vocabulary(), n), DIGEST_SQL)
+
+
 def op7_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the three best segmentations of every text, and of the text decoded from the best."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode(docs).select("doc_id", "ids", "scores").mapInArrow(_digest(vocabulary()), "doc_id long, n_ids long, ids_crc32 long, best_score double, n_best long, second_loss double, decoded_crc32 long")
+    """Digests of the three best segmentations of every text, and of the text decoded from each."""
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

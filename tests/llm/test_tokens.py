@@ -119,3 +119,17 @@ def test_pieces(spark):
         if t and len(t) < 60:  # against the lattice of the whole text at once
             whole = pieces.n_best(model.lattice("▁" + t.replace(" ", "▁")), 3)
             assert np.allclose(rows[i].scores, [s for s, _ in whole])
+
+
+def test_digests_of_every_segmentation(spark):
+    texts = ["", None, "Hi there", "two  spaces", "naive words", "a b", " lead"]
+    rows = {r.doc_id: r for r in pieces.digests(frame(spark, texts)).collect()}
+    model = pieces.Pieces.of(pieces.vocabulary())
+    for i, t in enumerate(texts):
+        assert len(rows[i].best) == rows[i].n_best and {b.decoded_crc32 for b in rows[i].best} == {zlib.crc32((t or "").encode())}
+        if t:
+            whole = pieces.n_best(model.lattice("▁" + t.replace(" ", "▁")), 3)
+            assert np.allclose([b.score for b in rows[i].best], [s for s, _ in whole])
+            for b in rows[i].best:
+                same = [zlib.crc32(np.array([x for label in p for x in label], "<u4").tobytes()) for s, p in pieces.n_best(model.lattice("▁" + t.replace(" ", "▁")), 12) if np.isclose(s, b.score)]
+                assert b.ids_crc32 in same
