@@ -1,22 +1,21 @@
 """SentencePiece encoding and decoding: N-best segmentations over the lattice of a model's pieces and their scores.
 
 Forward Viterbi scores are exact heuristics for a backward A* search, so complete paths leave the queue best first. A text
-is cut where no piece can reach across, each distinct segment is searched once by a worker, and the alternatives of the
-few segments that can matter for the N best of a whole text meet in the same search.
+is cut into atoms where no piece can reach across. A worker searches each distinct atom once; the n best of a whole text
+come from the same search over the alternatives of the few atoms that can matter for them.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import insort
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from eligo.llm.common import id_and_text, slices, table
 
@@ -24,24 +23,33 @@ SPACE = "▁"
 PIECE_MODEL = "piece_bpe_32k.model"
 #: A byte that no piece covers costs this much, below any path of pieces.
 BYTE_SCORE = -100_000.0
-MEMORY = 150_000
-RESULT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("alternatives", pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("ids", pa.list_(pa.int32()))]))))])
-RESULT_SQL = "doc_id long, ids array<int>, scores array<double>, alternatives array<array<struct<at:int,ids:array<int>>>>"
-
-
-def n_best(edges: list[list[tuple[int, float, object]]], n: int) -> list[tuple[float, list]]:
+#: Atoms that a worker remembers before the older half goes, and the longest that it remembers at all.
+MEMORY = 200_000
+CLOSE_MEMORY = 20_000
+LONGEST_REMEMBERED = 100
+#: Letters of an atom up to which all its edges are kept.
+LONGEST_KEPT = 2_000
+RESULT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("alternatives", pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))]))))])
+RESULT_SQL = "doc_id long, ids array<int>, scores array<double>, alternatives array<array<struct<at:int,n:int,ids:array<int>>>>"
+INF = float("inf")
+
+
+def n_best(edges: Sequence[list[tuple[int, float, object]]], n: int, forward: list[float] | None = None) -> list[tuple[float, list]]:
     """The n best paths from node 0 to the last node. edges[j]: (from node i < j, score, label) of the edges into node j.
 
     Forward: the best score to reach each node. Backward: A* from the last node, whose priority (score of the suffix +
-    forward score of its first node) is exact, so paths complete in order. Among equals the one nearest to the start goes
-    on first: texts of one repeated letter have very many equal paths, and only n of them are followed to the end.
+    forward score of its first node) is exact, so paths complete in order. Each open suffix ends in a path of exactly its
+    priority; so the queue keeps no more of them, best first, than there are paths to find. Among equals the one nearest
+    to the start goes on first.
     """
-    forward = [0.0] + [-np.inf] * (len(edges) - 1)
-    for j in range(1, len(edges)):
-        forward[j] = max((forward[i] + s for i, s, _ in edges[j]), default=-np.inf)
-    queue, out, tie = [(round(-forward[-1], 6), len(edges) - 1, 0, 0.0, None)], [], 0
+    last = len(edges) - 1
+    if forward is None:
+        forward = [0.0] + [-INF] * last
+        for j in range(1, last + 1):
+            forward[j] = max((forward[i] + s for i, s, _ in edges[j]), default=-INF)
+    queue, out, tie = [(-forward[last], last, 0, 0.0, None)], [], 0
     while queue and len(out) < n:
-        _, j, _, suffix, path = heapq.heappop(queue)
+        _, j, _, suffix, path = queue.pop(0)
         if j == 0:
             labels = []
             while path is not None:
@@ -49,12 +57,37 @@ def n_best(edges: list[list[tuple[int, float, object]]], n: int) -> list[tuple[f
                 path = path[1]
             out.append((suffix, labels))
             continue
+        room = n - len(out)
         for i, s, label in edges[j]:
             tie += 1
-            heapq.heappush(queue, (round(-(suffix + s + forward[i]), 6), i, tie, suffix + s, (label, path)))
+            s += suffix
+            key = -(s + forward[i])
+            if len(queue) >= room:
+                worst = queue[-1]
+                if key > worst[0] or (key == worst[0] and i >= worst[1]):
+                    continue
+                queue.pop()
+            insort(queue, (key, i, tie, s, (label, path)))
     return out
 
 
+class Lattice(Sequence):
+    """Edges into each node of a very long atom. They are looked up as the search asks for them, so that only its forward
+    scores and the nodes that were visited are held."""
+
+    def __init__(self, pieces: Pieces, text: str):
+        self.pieces, self.text, self.known = pieces, text, {0: []}
+
+    def __len__(self) -> int:
+        return len(self.text) + 1
+
+    def __getitem__(self, j: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        if j not in self.known:
+            first = max(0, j - self.pieces.longest)
+            self.known[j] = self.pieces.edges(self.text[first:j], first)[1][-1]
+        return self.known[j]
+
+
 class Pieces:
     _held: dict[str, Pieces] = {}
 
@@ -71,9 +104,9 @@ class Pieces:
         n = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.scores = {self.names[i]: (max(model.get_score(i), -1e6), i) for i in plain}
+        self.scores = {self.names[i]: (max(model.get_score(i), -1e6), (i,)) for i in plain}
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.bytes.items()}
+        of_byte = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.scores))
         inside = {(a, b) for p in self.scores for a, b in zip(p, p[1:], strict=False)}
         letter = {c for c in "".join(self.scores) if c.isalpha()}
@@ -82,136 +115,118 @@ class Pieces:
         # Atoms end where no piece reaches across; between letters and others too, where the vocabulary allows it.
         mixed = any((a in letter) != (b in letter) and a != SPACE for a, b in inside)
         self.atom = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+" if mixed else rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:(?![^\W\d_])[^{SPACE}])+|{SPACE}+")
-        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
-        self.prefixes: dict[str, tuple | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
-        self.memo: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-
-    def lattice(self, text: str) -> list[list[tuple[int, float, object]]]:
-        edges: list[list] = [[] for _ in range(len(text) + 1)]
-        scores = self.scores
-        for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + self.longest) + 1):
-                if (hit := scores.get(text[i:j])) is not None:
-                    edges[j].append((i, hit[0], (hit[1],)))
-            if text[i] not in scores:
-                raw = text[i].encode()
-                edges[i + 1].append((i, BYTE_SCORE * len(raw), tuple(self.bytes[b] for b in raw)))
-        return edges
-
-    def first(self, atom: str) -> tuple[tuple[int, ...], float, float]:
-        """Ids and score of an atom's best path, and how much the second best path loses (inf: there is none).
-
-        Forward and backward Viterbi: the second best is the best path over an edge that isn't on the best path."""
-        if (got := self.memo.get(atom)) is not None:
-            return got
-        if (got := self.older.get(atom)) is None:
-            n, find = len(atom), self.prefixes.get
-            forward, last, edges = [0.0] + [-np.inf] * n, [(0, ())] * (n + 1), []
-            for i in range(n):
-                here = forward[i]
-                if atom[i] not in self.scores:
-                    raw = atom[i].encode()
-                    score, label = BYTE_SCORE * len(raw), tuple([self.bytes[b] for b in raw])
-                    edges.append((i, i + 1, score))
-                    if here + score > forward[i + 1]:
-                        forward[i + 1], last[i + 1] = here + score, (i, label)
-                for j in range(i + 1, n + 1):
-                    if (hit := find(atom[i:j], 0)) == 0:  # no piece begins like this
-                        break
-                    if hit is not None:
-                        score = hit[0]
-                        edges.append((i, j, score))
-                        if here + score > forward[j]:
-                            forward[j] = here + score
-                            last[j] = i, hit[1]
-            backward = [-np.inf] * n + [0.0]
-            for i, j, s in reversed(edges):
-                if s + backward[j] > backward[i]:
-                    backward[i] = s + backward[j]
-            ids, on, at = [], set(), n
-            while at:
-                i, label = last[at]
-                ids.append(label)
-                on.add((i, at))
-                at = i
-            second = max([forward[i] + s + backward[j] for i, j, s in edges if (i, j) not in on], default=-np.inf)
-            got = (tuple([x for label in reversed(ids) for x in (label if type(label) is tuple else (label,))]), forward[n], forward[n] - second)
-        if len(atom) <= 100:
+        self.raw = [bytes([of_byte[i]]) if i in of_byte else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
+        #: Letters of the pieces as a tree: (next letters, what the piece that ends here adds).
+        self.tree: dict = {}
+        for piece, hit in self.scores.items():
+            children = self.tree
+            for c in piece[:-1]:
+                children = children.setdefault(c, ({}, None))[0]
+            children[piece[-1]] = (children[piece[-1]][0] if piece[-1] in children else {}, hit)
+        #: Atom: ids and score of its best path, and what the second loses (inf: there is none). Newer and older half.
+        self.memo: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        #: Atom and n: all of its n best, for those that some text's n best depend on.
+        self.close: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+
+    def as_bytes(self, char: str) -> tuple[float, tuple[int, ...]]:
+        raw = char.encode()
+        return BYTE_SCORE * len(raw), tuple([self.bytes[b] for b in raw])
+
+    def edges(self, text: str, first: int = 0, keep: bool = True) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
+        """Viterbi scores of a text's nodes and, to keep, the edges into each; nodes are numbered from `first` on. A start is
+        left as soon as no piece begins with its letters."""
+        n = len(text)
+        best, into, tree = [0.0] + [-INF] * n, [[] for _ in range(n + 1 if keep else 0)], self.tree
+        for i in range(n):
+            here, children = best[i], tree
+            for j in range(i + 1, n + 1):
+                node = children.get(text[j - 1])
+                if j == i + 1 and (node is None or node[1] is None):  # a letter that is no piece
+                    score, ids = self.as_bytes(text[i])
+                    if keep:
+                        into[j].append((i + first, score, ids))
+                    if here + score > best[j]:
+                        best[j] = here + score
+                if node is None:
+                    break
+                children, hit = node
+                if hit is not None:
+                    score = hit[0]
+                    if keep:
+                        into[j].append((i + first, score, hit[1]))
+                    if here + score > best[j]:
+                        best[j] = here + score
+        return best, into
+
+    def lattice(self, text: str) -> Sequence[list[tuple[int, float, tuple[int, ...]]]]:
+        return self.edges(text)[1]
+
+    def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """Scores and ids of the n best segmentations of a text that is one lattice."""
+        short = len(text) <= LONGEST_KEPT
+        forward, into = self.edges(text, keep=short)
+        return [(s, tuple(chain.from_iterable(labels))) for s, labels in n_best(into if short else Lattice(self, text), n, forward)]
+
+    def atom_of(self, name: str) -> tuple[tuple[int, ...], float, float]:
+        """Each distinct atom is searched once by a worker, as far as its memory goes."""
+        if (got := self.memo.get(name) or self.older.get(name)) is None:
+            paths = self.search(name, 2)
+            got = paths[0][1], paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else INF
+        if len(name) <= LONGEST_REMEMBERED:
             if len(self.memo) >= MEMORY:
                 self.older, self.memo = self.memo, {}
-            self.memo[atom] = got
+            self.memo[name] = got
         return got
 
-    def unit(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        """The same for a word with its mark, atom by atom."""
-        found = [self.first(a) for a in self.atom.findall(unit)]
-        if len(found) == 1:
-            return found[0]
-        return tuple([x for f in found for x in f[0]]), sum([f[1] for f in found]), min([f[2] for f in found], default=np.inf)
+    def paths_of(self, name: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        if (got := self.close.get((name, n))) is None:
+            got = self.search(name, n)
+            if len(name) <= LONGEST_REMEMBERED:
+                if len(self.close) >= CLOSE_MEMORY:
+                    self.close = {}
+                self.close[name, n] = got
+        return got
 
-    def alternatives(self, units: list[tuple[int, str]], best: float, n: int) -> tuple[list[float], list[list[tuple[int, tuple[int, ...]]]]]:
-        """Scores and changes of a text's n best segmentations, from the n - 1 units of the smallest losses, in order."""
+    def encode(self, text: str | None, n: int) -> tuple[list[int], list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """Ids of the best segmentation, scores of the n best, and for each of them what it changes: (place, ids of the best
+        that go there, ids that come) in order of places."""
+        if not text:
+            return [], [0.0], [[]]
+        names = self.atom.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.memo.get, names))
+        for k, atom in enumerate(found):
+            if atom is None:
+                found[k] = self.atom_of(names[k])
+        own, scores, losses = zip(*found, strict=True)
+        # An alternative of any other atom comes after n segmentations that each change one of these.
+        rest, near = list(losses), []
+        while len(near) < n - 1 and (low := min(rest)) < INF:
+            near.append(k := rest.index(low))
+            rest[k] = INF
         edges: list[list] = [[]]
-        for k, (at, unit) in enumerate(units):
-            paths = [(s, tuple([x for label in labels for x in label])) for s, labels in n_best(self.lattice(unit), n)]
-            edges.append([(k, s - paths[0][0], (at, ids) if r else None) for r, (s, ids) in enumerate(paths)])
-        paths = n_best(edges, n)
-        return [best + s for s, _ in paths], [[x for x in labels if x is not None] for _, labels in paths]
-
-    def encode(self, text: str | None, n: int) -> tuple[list[int], list[float], list[list[tuple[int, tuple[int, ...]]]]]:
-        """Ids of the best segmentation, scores of the n best, and what each changes: (unit, ids) where it isn't the best."""
-        units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
-        found = [self.unit(u) for u in units]
-        lossy = sorted((f[2], i) for i, f in enumerate(found) if f[2] < np.inf)[: n - 1]
-        scores, changes = self.alternatives([(i, units[i]) for i in sorted(i for _, i in lossy)], sum(f[1] for f in found), n)
-        return [x for f in found for x in f[0]], scores, changes
-
-    def changed(self, text: str | None, ids: list[int], changes: list[tuple[int, tuple[int, ...]]]) -> list[int]:
-        """Ids of a segmentation, from those of the best and the units that it changes."""
-        if not changes:
-            return ids
-        units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
-        instead = dict(changes)
-        return [x for i, u in enumerate(units) for x in (instead[i] if i in instead else self.unit(u)[0])]
-
-    def encode_column(self, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, list, list]:
-        """encode for a column: ids one after another, where each text's begin, and scores and changes by text. Words are
-        numbered by Arrow, so that Python sees each of them once; texts with runs of spaces or the mark go one by one."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", texts)
-        lists = pc.split_pattern(plain, " ")
-        numbered = lists.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        found = [self.unit(SPACE + w) for w in words]
-        flat, size = np.fromiter((x for f in found for x in f[0]), np.int32), np.fromiter((len(f[0]) for f in found), np.int64, len(found))
-        word_score, word_loss = np.array([f[1] for f in found]), np.array([f[2] for f in found])
-        codes, offsets = numbered.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        starts = np.cumsum(size) - size
-        ids, scores, changes = [], [], []
-        for t, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-            text = texts[t].as_py() if odd[t] or b - a == 1 else None
-            if text is not None:
-                own, s, c = self.encode(text, n)
-                ids.append(np.array(own, np.int32))
-            else:
-                own = codes[a:b]
-                m = size[own]
-                ends = np.cumsum(m)
-                ids.append(flat[np.repeat(starts[own] - ends + m, m) + np.arange(int(ends[-1]))])
-                loss = word_loss[own]
-                near = np.argpartition(loss, n - 1)[: n - 1] if len(loss) >= n else np.arange(len(loss))
-                near = sorted(i for i in near.tolist() if loss[i] < np.inf)
-                s, c = self.alternatives([(i, SPACE + words[own[i]]) for i in near], float(word_score[own].sum()), n)
-            scores.append(s)
-            changes.append(c)
-        return np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum([0, *map(len, ids)]), scores, changes
+        place = at = 0
+        for e, k in enumerate(sorted(near)):
+            place, at = place + sum(map(len, own[at:k])), k
+            paths = self.paths_of(names[k], n)
+            edges.append([(e, s - scores[k], (place, len(own[k]), p) if r else None) for r, (s, p) in enumerate(paths)])
+        paths, best = n_best(edges, n), sum(scores)
+        return list(chain.from_iterable(own)), [best + s for s, _ in paths], [[x for x in labels if x is not None] for _, labels in paths]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+def changed(ids: list[int], changes: Iterable[tuple[int, int, tuple[int, ...]]]) -> list[int]:
+    """Ids of a segmentation, from those of the best and what it changes."""
+    out, end = [], 0
+    for place, n, own in changes:
+        out += ids[end:place]
+        out += own
+        end = place + n
+    return out + ids[end:]
+
+
 def vocabulary(name: str = PIECE_MODEL) -> str:
     import public_tokenizers
 
@@ -221,18 +236,19 @@ def vocabulary(name: str = PIECE_MODEL) -> str:
 def _encode(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for batch in slices(batches):
-            ids, ends, scores, changes = pieces.encode_column(batch.column(1), n)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield table(RESULT, [batch.column(0), lists, scores, [[[{"at": i, "ids": [*own]} for i, own in p] for p in c] for c in changes]])
+        for batch in slices(batches, limit=2_000_000):
+            rows = [pieces.encode(t, n) for t in batch.column(1).to_pylist()]
+            others = [[[{"at": at, "n": size, "ids": list(own)} for at, size, own in c] for c in changes] for _, _, changes in rows]
+            yield table(RESULT, [batch.column(0), [r[0] for r in rows], [r[1] for r in rows], others])
 
     return run
 
 
 def encode(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids, scores, alternatives) for each row of docs: the best segmentation's ids, the scores of the n best, best
-    first, and what each changes. Null and empty texts have no ids and one score, 0. Spaces are the model's own mark, so
-    a text that holds the mark itself decodes to spaces; any other text decodes to itself."""
+    """(doc_id, ids, scores, alternatives) for each row of docs, null and repeated ids included: the best segmentation's ids,
+    the scores of the n best, best first, and for each of these its changes to the best one: from place `at` on, `n` ids go
+    and `ids` come. Equal scores: the order is the same in every run. Null and empty texts have no ids and one score, 0.
+    Spaces are the model's own mark, so a text that holds the mark itself decodes to spaces; any other text decodes to itself."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_encode(path or vocabulary(), n), RESULT_SQL)
 
 
@@ -260,16 +276,15 @@ DIGEST_SQL = "doc_id long, n_ids long, ids_crc32 long, best_score double, n_best
 def _digest(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for batch in slices(batches):
-            texts = batch.column(1)
-            flat, ends, scores, changes = pieces.encode_column(texts, n)
+        for batch in slices(batches, limit=2_000_000):
             best = []
-            for k, text in enumerate(texts.to_pylist()):
-                ids = flat[ends[k] : ends[k + 1]].tolist()
-                own = [pieces.changed(text, ids, c) for c in changes[k]]
-                best.append([{"n_ids": len(x), "ids_crc32": zlib.crc32(np.array(x, "<u4").tobytes()), "score": s, "decoded_crc32": zlib.crc32(pieces.decode(x).encode())} for x, s in zip(own, scores[k], strict=True)])
+            for text in batch.column(1).to_pylist():
+                ids, scores, changes = pieces.encode(text, n)
+                own = [changed(ids, c) for c in changes]
+                best.append([{"n_ids": len(x), "ids_crc32": zlib.crc32(np.array(x, "<u4")), "score": s, "decoded_crc32": zlib.crc32(pieces.decode(x).encode())} for x, s in zip(own, scores, strict=True)])
             first = [b[0] for b in best]
-            yield table(DIGEST, [batch.column(0), [b["n_ids"] for b in first], [b["ids_crc32"] for b in first], [s[0] for s in scores], [len(s) for s in scores], [s[0] - s[1] if len(s) > 1 else None for s in scores], [b["decoded_crc32"] for b in first], best])
+            losses = [b[0]["score"] - b[1]["score"] if len(b) > 1 else None for b in best]
+            yield table(DIGEST, [batch.column(0), *([b[name] for b in first] for name in ("n_ids", "ids_crc32", "score")), [len(b) for b in best], losses, [b["decoded_crc32"] for b in first], best])
 
     return run
 

@@ -109,7 +109,7 @@ def test_n_best_is_exact():
 
 
 def test_pieces(spark):
-    texts = [t for t in TEXTS if t is None or len(t) < 1000] + [" lead", "two  spaces", "tail ", "🙂 byte"]
+    texts = [*TEXTS, " lead", "two  spaces", "tail ", "🙂 byte", "ab" * 10_000]
     encoded = pieces.encode(frame(spark, texts))
     assert {r.doc_id: r.text for r in pieces.decode(encoded).collect()} == {i: t or "" for i, t in enumerate(texts)}
     model = pieces.Pieces.of(pieces.vocabulary())
@@ -119,6 +119,19 @@ def test_pieces(spark):
         if t and len(t) < 60:  # against the lattice of the whole text at once
             whole = pieces.n_best(model.lattice("▁" + t.replace(" ", "▁")), 3)
             assert np.allclose(rows[i].scores, [s for s, _ in whole])
+        score_of = {k: s for s, (k,) in model.scores.values()} | dict.fromkeys(model.bytes.values(), pieces.BYTE_SCORE)
+        own = [pieces.changed(rows[i].ids, [(c.at, c.n, c.ids) for c in a]) for a in rows[i].alternatives]
+        assert [sum(score_of[x] for x in ids) for ids in own] == rows[i].scores and len({*map(tuple, own)}) == len(own)
+        assert {model.decode(ids) for ids in own} == {t or ""}
+
+
+def test_edges_of_long_atoms_are_the_same():
+    model = pieces.Pieces.of(pieces.vocabulary())
+    for text in ("▁" + "aab" * 900, "▁🙂" * 3):
+        forward, into = model.edges(text)
+        late = pieces.Lattice(model, text)
+        assert [sorted(late[j]) for j in range(len(late))] == [sorted(x) for x in into]
+        assert pieces.n_best(into, 3, forward) == pieces.n_best(late, 3, forward)
 
 
 def test_digests_of_every_segmentation(spark):
