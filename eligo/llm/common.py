@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white space characters and the ASCII capitals.
@@ -18,11 +21,26 @@ SLICE_CHARS = 4_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named (tests) make an own one."""
+    """Use the cluster's shared folder; only a local master, where driver and executors are one, gets an own one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eligo-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="eligo-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,11 +53,23 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Whole texts come to Python in batches of `rows`, unless the session already has a smaller size: Spark's own size,
-    10,000 rows, holds tens of MB of text on both sides of the pipe at once. It stays set in the session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What is run within sends whole texts to Python in batches of `rows`, unless the session already has a smaller size:
+    Spark's own size, 10,000 rows, holds tens of MB of text on both sides of the pipe at once. The session's size comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) > rows or int(before) <= 0:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def row_key(columns: list[str]) -> Column:
+    """128 bits that tell rows apart by these columns."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *reversed(columns)).alias("b"))
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,6 +92,20 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start)
 
 
+def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; Python looks for cycles between them only, where work on one makes very many small objects and none."""
+    on = gc.isenabled()
+    try:
+        for batch in batches:
+            gc.disable()
+            yield batch
+            if on:
+                gc.enable()
+    finally:
+        if on:
+            gc.enable()
+
+
 def table(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

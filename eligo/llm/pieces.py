@@ -17,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from eligo.llm.common import id_and_text, slices, table
+from eligo.llm.common import collected, id_and_text, slices, table
 
 SPACE = "▁"
 PIECE_MODEL = "piece_bpe_32k.model"
 #: A byte that no piece covers costs this much, below any path of pieces.
 BYTE_SCORE = -100_000.0
 #: Atoms that a worker remembers before the older half goes, and the longest that it remembers at all.
-MEMORY = 200_000
+MEMORY = 500_000
 CLOSE_MEMORY = 20_000
 LONGEST_REMEMBERED = 100
 #: Letters of an atom up to which all its edges are kept.
@@ -138,25 +138,27 @@ class Pieces:
         left as soon as no piece begins with its letters."""
         n = len(text)
         best, into, tree = [0.0] + [-INF] * n, [[] for _ in range(n + 1 if keep else 0)], self.tree
-        for i in range(n):
-            here, children = best[i], tree
-            for j in range(i + 1, n + 1):
-                node = children.get(text[j - 1])
-                if j == i + 1 and (node is None or node[1] is None):  # a letter that is no piece
-                    score, ids = self.as_bytes(text[i])
-                    if keep:
-                        into[j].append((i + first, score, ids))
-                    if here + score > best[j]:
-                        best[j] = here + score
-                if node is None:
-                    break
+        for i, letter in enumerate(text):
+            here, node = best[i], tree.get(letter)
+            if node is None or node[1] is None:  # a letter that is no piece
+                score, ids = self.as_bytes(letter)
+                if keep:
+                    into[i + 1].append((i + first, score, ids))
+                if here + score > best[i + 1]:
+                    best[i + 1] = here + score
+            j = i + 1
+            while node is not None:
                 children, hit = node
                 if hit is not None:
-                    score = hit[0]
+                    score, ids = hit
                     if keep:
-                        into[j].append((i + first, score, hit[1]))
+                        into[j].append((i + first, score, ids))
                     if here + score > best[j]:
                         best[j] = here + score
+                if j == n:
+                    break
+                node = children.get(text[j])
+                j += 1
         return best, into
 
     def lattice(self, text: str) -> Sequence[list[tuple[int, float, tuple[int, ...]]]]:
@@ -195,8 +197,8 @@ class Pieces:
             return [], [0.0], [[]]
         names = self.atom.findall(SPACE + text.replace(" ", SPACE))
         found = list(map(self.memo.get, names))
-        for k, atom in enumerate(found):
-            if atom is None:
+        if None in found:
+            for k in [k for k, atom in enumerate(found) if atom is None]:
                 found[k] = self.atom_of(names[k])
         own, scores, losses = zip(*found, strict=True)
         # An alternative of any other atom comes after n segmentations that each change one of these.
@@ -236,7 +238,7 @@ def vocabulary(name: str = PIECE_MODEL) -> str:
 def _encode(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for batch in slices(batches, limit=2_000_000):
+        for batch in collected(slices(batches, limit=2_000_000)):
             rows = [pieces.encode(t, n) for t in batch.column(1).to_pylist()]
             others = [[[{"at": at, "n": size, "ids": list(own)} for at, size, own in c] for c in changes] for _, _, changes in rows]
             yield table(RESULT, [batch.column(0), [r[0] for r in rows], [r[1] for r in rows], others])
@@ -276,7 +278,7 @@ DIGEST_SQL = "doc_id long, n_ids long, ids_crc32 long, best_score double, n_best
 def _digest(path: str, n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
-        for batch in slices(batches, limit=2_000_000):
+        for batch in collected(slices(batches, limit=2_000_000)):
             best = []
             for text in batch.column(1).to_pylist():
                 ids, scores, changes = pieces.encode(text, n)
