@@ -13,7 +13,6 @@ document without decompressing its neighbours.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.llm.common import ensure_checkpoint_dir, id_and_text, partitions, slices, small_batches, table
+from eligo.llm.common import id_and_text, partitions, shared_folder, slices, small_batches, table
 from eligo.llm.tokens import WordEncoder, vocabulary
 
 END_ID = 1
@@ -62,8 +61,8 @@ class Frames:
 
 
 def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 2_000, sample_ids: int = 4_096, size: int = 65_536) -> bytes:
-    """From the documents with the smallest hashes of their ids, `sample_docs` at most, `sample_ids` ids of each. Empty
-    where there is too little to train on."""
+    """From the documents with the smallest hashes of their ids, `sample_docs` at most, the first `sample_ids` ids of each.
+    The sample only sets the dictionary; every text is written whole. Empty where there is too little to train on."""
     chosen = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
     encoder = WordEncoder.of(path)
     samples = [_pack_ids(encoder.encode(r.text)[:sample_ids]) for r in docs.where(F.col("doc_id").isin(chosen)).select(F.substring("text", 1, 8 * sample_ids).alias("text")).limit(2 * sample_docs).toLocalIterator()]
@@ -91,7 +90,7 @@ def _write(path: str, dictionary: bytes):
             shard, before, index, bodies, held = shard + 1, before + n, [], [], 0
             return out
 
-        for batch in slices(batches, limit=2_000_000):
+        for batch in slices(batches, limit=1_000_000):
             ids, ends = encoder.encode_column(batch.column(1))
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 body = frames.frame(np.append(ids[ends[i] : ends[i + 1]], np.uint32(END_ID)))
@@ -107,16 +106,18 @@ def _write(path: str, dictionary: bytes):
 
 
 def write_token_files(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> None:
-    """Write the ids of all texts, END_ID after each, in ascending order of ids (null ids first, equal ids by text).
+    """Write the ids of all texts, END_ID after each, in ascending order of ids (null ids first, equal ids by their texts'
+    hashes, so that rows of one id spread over parts).
 
     Null texts are empty, repeated rows are documents of their own, and an empty table gives files without a shard.
     """
     path = path or vocabulary()
-    small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     dictionary = train_dictionary(rows, path)
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write(path, dictionary), SHARDS_SQL).write.parquet(f"{to}/shards")
+    order = ["doc_id", "text_hash"]
+    ordered = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    with small_batches(docs.sparkSession):
+        ordered.select("doc_id", "text").mapInArrow(_write(path, dictionary), SHARDS_SQL).write.parquet(f"{to}/shards")
     docs.sparkSession.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{to}/meta")
 
 
@@ -160,11 +161,6 @@ def read_token_files(spark: SparkSession, at: str, doc_ids: list[int] | None = N
     return shards.select("part", "blob").mapInArrow(_read(dictionary, base, None if doc_ids is None else frozenset(doc_ids)), "doc_id long, start long, ids binary")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def _crcs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
