@@ -114,8 +114,9 @@ def _join_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _against_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    order = ["doc_id", "text"]
-    rows = id_and_text(docs, id_col, text_col).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions(*order)
+    order = ["doc_id", "text_hash"]
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("text_hash")
     walked = cut(rows.mapInArrow(_walk, FIELDS + ", kind int, part int, text string"))
     parts = sorted(r.part for r in walked.where("kind = 1").select("part").collect())  # one number for each range
     if not parts:
@@ -130,7 +131,7 @@ def _against_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness, for each row of docs.
 
-    The next document is the next row by id, then by text; null ids come first and null texts are empty. After the last
+    The next document is the next row by id, then by the text's hash; null ids come first and null texts are empty. After the last
     row comes the first, which for a single row is the row itself. Ranges of ids are walked one by one; only the texts
     at the ends of the ranges, two for each range, meet in a join.
     """
