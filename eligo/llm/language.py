@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eligo.llm.common import cut, slices, table
 
@@ -20,10 +21,13 @@ from eligo.llm.common import cut, slices, table
 BUCKETS = 1 << 14
 #: A text says no more than this many trigrams would: neighbours depend on each other.
 MOST_EVIDENCE = 60.0
-SALT = 16
+#: Rows of a hot key are dealt out over so many parts; a key is hot that has over one row in HOT.
+SALT, HOT = 16, 200
+#: Tables of priors and hints up to so many bytes are broadcast.
+BROADCAST_BYTES = 32_000_000
 COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
-READ_SQL = "id long, host string, site string, suffix string, declared string, n_letters long, text_logs array<double>, text_lang string"
-READ = pa.schema([("id", pa.int64()), ("host", pa.string()), ("site", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("n_letters", pa.int64()), ("text_logs", pa.list_(pa.float64())), ("text_lang", pa.string())])
+READ_SQL = "host string, site string, suffix string, declared string, n_letters long, text_logs array<double>, text_lang string"
+READ = pa.schema([("host", pa.string()), ("site", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("n_letters", pa.int64()), ("text_logs", pa.list_(pa.float64())), ("text_lang", pa.string())])
 _DROP = re.compile(r"(?is)<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(r"(?s)<[^>]*>")
 _DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
@@ -67,16 +71,22 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(COUNTS, [[lang] * len(at), at.astype(np.int32), n[at].astype(np.int64)])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 200) -> Likelihoods:
-    """Likelihoods from all texts with a language: counts by language and bucket. The `most` largest languages only, so
-    that what the driver gets has a bound."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 1_000) -> Likelihoods:
+    """Likelihoods from all texts with a language: counts by language and bucket.
+
+    A model of over `most` languages isn't built: it raises ValueError, as a column of that many values is no language and
+    none of them may be dropped unseen. Texts or languages that are null say nothing; an empty table knows no language.
+    """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect())
-    n = np.zeros((len(langs), BUCKETS))
-    for r in counts.where(F.col("lang").isin(langs)).collect():
-        n[langs.index(r.lang), r.bucket] = r.n
+    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"over {most} languages in {lang_col}")
+    place, n = {x: i for i, x in enumerate(langs)}, np.zeros((len(langs), BUCKETS))
+    for r in counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toLocalIterator():  # BUCKETS numbers at most
+        at = np.array(r.counts, np.int64)
+        n[place[r.lang], at[:, 0]] = at[:, 1]
     return Likelihoods(langs, np.log((n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32) if langs else n)
 
 
@@ -86,13 +96,18 @@ def _parts(host: str | None) -> tuple[str, str, str]:
     return host, ".".join(labels[-2:]), labels[-1] if len(labels) > 1 else ""
 
 
+def _primary(declared: str | None) -> str:
+    """The language of a tag: "de" of de-DE or de_AT."""
+    return re.split("[-_]", (declared or "").strip().lower())[0]
+
+
 def _read(known: Likelihoods, is_html: bool):
-    """id, address or host, declared, text or markup -> evidence."""
+    """Address or host, declared, text or markup, columns to keep -> evidence, and the columns that are kept."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=6_000_000):
-            texts, declared = batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            hosts = [m[1] if (m := _HOST.match(a or "")) else (a or "") for a in batch.column(1).to_pylist()]
+        for batch in slices(batches, "__text", limit=6_000_000):
+            texts, declared = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            hosts = [m[1] if (m := _HOST.match(a or "")) else (a or "") for a in batch.column(0).to_pylist()]
             if is_html:
                 declared = [m[1] if (m := _DECLARED.search(t or "")) else None for t in texts]
                 texts = [page_text(t) for t in texts]
@@ -108,60 +123,84 @@ def _read(known: Likelihoods, is_html: bool):
             n_letters = add(letters)
             best = [known.langs[i] if n else None for i, n in zip(logs.argmax(0).tolist(), n_letters.tolist(), strict=True)] if len(known.langs) else [None] * len(texts)
             parts = [_parts(h) for h in hosts]
-            yield table(READ, [batch.column(0), *map(list, zip(*parts, strict=True)), [(d or "").lower()[:3] for d in declared], n_letters, logs.T.tolist(), best])
+            found = table(READ, [*map(list, zip(*parts, strict=True)), [_primary(d) for d in declared], n_letters, logs.T.tolist(), best])
+            yield pa.RecordBatch.from_arrays([*found.columns, *batch.columns[3:]], names=[*READ.names, *batch.schema.names[3:]])
 
     return run
 
 
-def _shares(seen: DataFrame, key: str, langs: list[str]) -> DataFrame:
-    """Key and the counts of the texts' languages under it, as an array in the order of langs."""
-    return seen.where("text_lang is not null").groupBy(key).agg(*[F.count_if(F.col("text_lang") == x).cast("double").alias(f"n{i}") for i, x in enumerate(langs)]).select(
-        F.col(key).alias("k_" + key), F.array(*[F.col(f"n{i}") for i in range(len(langs))]).alias("n_" + key)
-    )
+def _votes(seen: DataFrame, key: list[str], langs: list[str]) -> DataFrame:
+    """Key, the counts of the texts' languages under it in the order of langs, and their sum `votes`. Counts come together by
+    key and language first, so that a hot key meets as one row for each language."""
+    n = seen.where("text_lang is not null").groupBy(*key, "text_lang").agg(F.count("*").cast("double").alias("n"))
+    held = n.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "n"))).alias("m"), F.sum("n").alias("votes"))
+    return held.select(*key, F.transform(F.array(*[F.lit(x) for x in langs]), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0.0))).alias("counts"), "votes")
 
 
 def _smooth(counts: Column, parent: Column, weight: float) -> Column:
+    """Shares of the counts, drawn towards the parent's by `weight` counts."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.zip_with(counts, parent, lambda n, p: (n + weight * p) / (total + weight)), parent)
-
-
-def identify(rows: DataFrame, known: Likelihoods, id_col: str, address_col: str, text_col: str, declared_col: str | None = None, host_weight: float = 20.0, least: float = 0.5) -> DataFrame:
-    """(id, lang, posterior, text_lang, declared, host, n_letters, kept) for each row.
-
-    With declared_col the text is plain, without it the text is HTML and declares its language itself. Host priors are
-    smoothed towards their site's, those towards all. Declarations and suffixes weigh as far as they have agreed with the
-    texts. A row without a letter, or whose best language stays below `least`, is rejected (kept false); lang is "und"
-    where nothing is known at all. Null texts, addresses and declarations are empty.
+    return F.zip_with(counts, parent, lambda n, p: (n + weight * p) / (total + weight))
+
+
+def _attach(rows: DataFrame, small: DataFrame, key: list[str], n_langs: int) -> DataFrame:
+    """Left join by key with a table of votes: broadcast where it is known to be small, else rows of hot keys are dealt out."""
+    small = cut(small)
+    if small.count() * (16 * n_langs + 200) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), key, "left")
+    votes = small.agg(F.sum("votes")).first()[0]
+    hot = small.where(F.col("votes") * HOT > votes).select(*key, F.lit(SALT).alias("parts"))  # at most HOT keys
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = small.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [*key, "salt"], "left").drop("salt")
+
+
+def identify(
+    rows: DataFrame, known: Likelihoods, id_col: str, address_col: str, text_col: str, declared_col: str | None = None, host_weight: float = 20.0, hint_weight: float = 20.0, least: float = 0.5, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, lang, posterior, text_lang, declared, host, n_letters, kept) for each row, and its columns `keep` as a struct `row`.
+
+    With declared_col the text is plain, without it the text is HTML and declares its language itself; of a tag like
+    de-DE the part before the first - or _ counts. Posterior: text likelihood x host prior x P(declared | language) x
+    P(suffix | language). A host's prior are its texts' languages, smoothed towards its site's by `host_weight` counts,
+    and those towards all texts'. A hint says share(language | hint) / share(language), where the first is smoothed
+    towards the second by `hint_weight` counts, so that a hint which was hardly seen says nothing. A row's own text is left
+    out of all three. A row without a letter, or whose best language stays below `least`, is rejected (kept false); lang is
+    "und" where nothing is known at all. Null texts, addresses and declarations are empty, null and repeated ids are rows
+    like any other, and of equal posteriors the first language in alphabetic order is taken.
     """
-    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(address_col).cast("string").alias("address"), (F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")).alias("declared"), F.col(text_col).cast("string").alias("text"))
-    seen = picked.mapInArrow(_read(known, declared_col is None), READ_SQL)
-    if not known.langs:
-        return seen.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), "text_lang", "declared", "host", "n_letters", F.lit(False).alias("kept"))
-    seen, n = cut(seen), len(known.langs)
-    overall = seen.where("text_lang is not null").agg(*[F.count_if(F.col("text_lang") == x).cast("double").alias(f"n{i}") for i, x in enumerate(known.langs)]).first()
-    everyone = F.array(*[F.lit((float(x) + 1.0) / (sum(overall) + n)) for x in overall])
-    site = _shares(seen, "site", known.langs).withColumn("p_site", _smooth(F.col("n_site"), everyone, host_weight))
-    hosts = _shares(seen.withColumn("host_key", F.concat_ws("\u0001", "site", "host")), "host_key", known.langs)
-    hosts = hosts.withColumn("k_site", F.substring_index("k_host_key", "\u0001", 1)).join(site.select("k_site", "p_site"), "k_site")
-    prior = hosts.select(F.substring_index("k_host_key", "\u0001", -1).alias("k_host"), _smooth(F.col("n_host_key"), F.col("p_site"), host_weight).alias("p_host"))
-    # P(declared | lang), up to a factor that is the same for all languages
-    says = lambda key: _shares(seen.withColumn("hint", F.col(key)), "hint", known.langs).select(F.col("k_hint").alias("k_" + key), F.zip_with("n_hint", everyone, lambda c, p: F.log((c + 1.0) / p)).alias("l_" + key))
-    spread = lambda table_: table_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows_ = seen.withColumn("salt", F.pmod(F.xxhash64("id", "host"), F.lit(SALT)).cast("int"))
-    joined = (
-        rows_.join(spread(prior.withColumnRenamed("k_host", "host")), ["host", "salt"], "left")
-        .join(spread(says("declared").withColumnRenamed("k_declared", "declared")), ["declared", "salt"], "left")
-        .join(spread(says("suffix").withColumnRenamed("k_suffix", "suffix")), ["suffix", "salt"], "left")
+    picked = rows.select(
+        F.col(address_col).cast("string").alias("__address"),
+        (F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")).alias("__declared"),
+        F.col(text_col).cast("string").alias("__text"),
+        F.col(id_col).cast("long").alias("id"),
+        *([F.struct(*keep).alias("row")] if keep else []),
     )
-    none = F.array(*[F.lit(0.0)] * n)
-    logs = F.zip_with("text_logs", F.transform(F.coalesce("p_host", everyone), lambda p: F.log(p)), lambda a, b: a + b)
+    carried = picked.select(*picked.columns[3:])
+    seen = picked.mapInArrow(_read(known, declared_col is None), StructType([*StructType.fromDDL(READ_SQL).fields, *carried.schema.fields]))
+    out = ["text_lang", "declared", "host", "n_letters", *carried.columns[1:]]
+    if not known.langs:
+        return seen.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), *out, F.lit(False).alias("kept"))
+    seen, langs = cut(seen), known.langs
+    votes = {r.text_lang: r.n for r in seen.groupBy("text_lang").agg(F.count("*").alias("n")).collect()}
+    counts = [float(votes.get(x, 0)) for x in langs]
+    everyone = F.array(*[F.lit((c + 1.0) / (sum(counts) + len(langs))) for c in counts])
+    own = F.transform(F.array(*[F.lit(x) for x in langs]), lambda x: F.when(x == F.col("text_lang"), 1.0).otherwise(0.0))
+    others = lambda name: F.zip_with(F.coalesce(name, F.array(*[F.lit(0.0)] * len(langs))), "own", lambda c, o: F.greatest(c - o, F.lit(0.0)))
+    joined = seen.withColumn("own", own)
+    for key in ("site", "host", "declared", "suffix"):
+        by = ["site", "host"] if key == "host" else [key]
+        joined = _attach(joined, _votes(seen, by, langs), by, len(langs)).withColumn("n_" + key, others("counts")).drop("counts", "votes")
+    prior = _smooth(F.col("n_host"), _smooth(F.col("n_site"), everyone, host_weight), host_weight)
+    logs = F.zip_with("text_logs", prior, lambda a, p: a + F.log(p))
     for key in ("declared", "suffix"):
-        logs = F.zip_with(logs, F.when(F.col(key) != "", F.coalesce("l_" + key, none)).otherwise(none), lambda a, b: a + b)
+        says = F.zip_with(_smooth(F.col("n_" + key), everyone, hint_weight), everyone, lambda p, q: F.log(p / q))
+        logs = F.when(F.col(key) != "", F.zip_with(logs, says, lambda a, b: a + b)).otherwise(logs)
     top = joined.withColumn("logs", logs).withColumn("best", F.array_max("logs"))
-    chance = 1.0 / F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)
-    lang = F.element_at(F.array(*[F.lit(x) for x in known.langs]), F.array_position("logs", F.col("best")).cast("int"))
-    found = top.select("id", lang.alias("lang"), chance.alias("posterior"), "text_lang", "declared", "host", "n_letters")
-    return found.withColumn("kept", (F.col("n_letters") > 0) & (F.col("posterior") >= least))
+    chance = 1.0 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
+    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("logs", F.col("best")).cast("int"))
+    kept = (F.col("n_letters") > 0) & (F.col("posterior") >= least)
+    return top.select("id", lang.alias("lang"), chance.alias("posterior"), *out).withColumn("kept", kept)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
