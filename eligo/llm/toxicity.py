@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eligo.llm.common import id_and_text, slices, table
 from eligo.llm.simhash import fingerprint
@@ -25,8 +26,8 @@ from eligo.llm.simhash import fingerprint
 DIMENSIONS = 1 << 17
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-RESULT_SQL = "doc_id long, score double, spans array<struct<start:int,end:int>>"
+RESULT = pa.schema([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+RESULT_SQL = "score double, spans array<struct<start:int,end:int>>"
 
 
 class Field(NamedTuple):
@@ -41,7 +42,7 @@ class Field(NamedTuple):
 
 def names(word: str) -> list[bytes]:
     core = (word.strip(_STRIP) or word).lower()
-    return [b"w " + core[:40].encode("utf-8", "replace"), *(b"p " + core[:k].encode("utf-8", "replace") for k in (4, 5, 6) if len(core) >= k)]
+    return [b"w " + core.encode("utf-8", "replace"), *(b"p " + core[:k].encode("utf-8", "replace") for k in (4, 5, 6) if len(core) >= k)]
 
 
 def features(word: str) -> list[int]:
@@ -164,53 +165,59 @@ def without_copies(rows: list, distance: int = 12) -> list:
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_000, clean_docs: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Fit on labelled documents whose crc32(id) mod 4 is not 2: those with the smallest hashes of their ids, `toxic_docs`
-    toxic and `clean_docs` clean ones at most. An id with several labels is toxic where one says so; null labels are none."""
+    toxic and `clean_docs` clean ones at most, each with its whole text. An id with several labels is toxic where one says
+    so; null labels are none; of several texts of an id the one of the smallest hash teaches."""
     held_in = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).where("toxic is not null")
     one = held_in.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = {}
     for toxic, most in ((1, toxic_docs), (0, clean_docs)):
         chosen |= {r.doc_id: toxic for r in one.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()}
-    rows = id_and_text(docs, id_col, text_col).where(F.col("doc_id").isin([*chosen])).dropDuplicates(["doc_id"]).collect()
+    own = id_and_text(docs, id_col, text_col).where(F.col("doc_id").isin([*chosen]))
+    rows = own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text")).collect()
     rows = without_copies(sorted(rows, key=lambda r: r.doc_id))
     return fit([r.text for r in rows], [chosen[r.doc_id] for r in rows])
 
 
-#: Words of a lower marginal don't add to a document's score, however many there are.
-FLOOR = 0.05
+def scores_of(p: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each text's largest marginal (0 without words); p holds the texts' marginals one after another, ends where they end."""
+    top, filled = np.zeros(len(ends) - 1), np.diff(ends) > 0
+    if filled.any():
+        top[filled] = np.maximum.reduceat(p, ends[:-1][filled])
+    return top
 
 
 def _score(field: Field, span_at: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=8_000_000):
-            lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(batch.column(1), "")).cast(pa.large_string()))
+        for batch in slices(batches, "__text", limit=8_000_000):
+            texts = batch.column(0)
+            lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")).cast(pa.large_string()))
             numbered = lists.flatten().dictionary_encode()
             e = emissions(numbered.dictionary.to_pylist(), field)
             x = np.exp(np.clip(e, -30, 30))[numbered.indices.to_numpy()]
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             f, b = odds(x, ends[:-1], np.diff(ends), field)
             p = f * b / (1 + f * b)
-            quiet = np.r_[0.0, np.cumsum(np.where(p >= FLOOR, np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0))]
-            score = -np.expm1(quiet[ends[1:]] - quiet[ends[:-1]])
-            owner = np.searchsorted(ends, np.flatnonzero(p >= FLOOR), "right") - 1
-            top = np.zeros(len(score))
-            for i in np.flatnonzero((np.diff(ends) > 0) & ~np.isin(np.arange(len(score)), owner)):
-                top[i] = p[ends[i] : ends[i + 1]].max()
-            wordless = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(batch.column(1), ""))), 0).to_numpy(zero_copy_only=False)
-            spans: list[list] = [[] for _ in range(len(score))]
-            hits = np.flatnonzero(p >= span_at)
-            for i in np.unique(np.searchsorted(ends, hits, "right") - 1).tolist():
+            wordless = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))), 0).to_numpy(zero_copy_only=False)
+            spans: list[list] = [[] for _ in range(len(texts))]
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(p >= span_at), "right") - 1).tolist():
                 own = p[ends[i] : ends[i + 1]] >= span_at
-                words = [m.span() for m in _WORD.finditer(batch.column(1)[i].as_py())]
+                words = [m.span() for m in _WORD.finditer(texts[i].as_py())]
                 spans[i] = [{"start": s, "end": t} for (s, t), o in zip(words, own, strict=False) if o]
-            yield table(RESULT, [batch.column(0), np.where(wordless, 0.0, np.maximum(score, top)), spans])
+            found = table(RESULT, [np.where(wordless, 0.0, scores_of(p, ends)), spans])
+            yield pa.RecordBatch.from_arrays([*found.columns, *batch.columns[1:]], names=[*RESULT.names, *batch.schema.names[1:]])
 
     return run
 
 
-def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", span_at: float = 0.5) -> DataFrame:
-    """(doc_id, score, spans) for each row of docs. The score is one minus the product of (1 - p) over words of marginals p
-    of FLOOR or more, else the largest p; 0 without words. Spans are code points [start, end) of words at `span_at`."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_score(field, span_at), RESULT_SQL)
+def toxicity(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", span_at: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, spans) for each row of docs, null and repeated ids included, and its columns `keep` as a struct `row`.
+
+    The score is the largest forward-backward marginal of the offending state over all words of the text, 0 without words.
+    Spans are code points [start, end) of the words with a marginal of `span_at` or more."""
+    picked = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*keep).alias("row")] if keep else []))
+    schema = StructType([*StructType.fromDDL(RESULT_SQL).fields, *picked.schema.fields[1:]])
+    found = picked.mapInArrow(_score(field, span_at), schema)
+    return found.select("doc_id", "score", "spans", *found.columns[3:])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
