@@ -2,8 +2,10 @@
 one segment differs by at most one bit. Variants of the segments with one bit masked are the keys of an equality match,
 and candidates are verified on all bits.
 
-Only distinct fingerprints are matched, so copies cost nothing. A bucket over BUCKET rows is dealt out again by pairs of
-salted blocks, so no task or group holds an unbounded bucket. Links leave a bucket as a spanning forest, not as all pairs.
+Only distinct fingerprints are matched, so copies cost nothing. A bucket over BUCKET rows goes on by the bits outside of its
+segment: cut into one block more than bits may differ, one of the blocks must be equal. So it is dealt out by its blocks'
+values, twice at most, and what is still over BUCKET then by pairs of salted blocks; no task holds an unbounded bucket.
+Links leave a bucket as a spanning forest, not as all pairs.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from eligo.llm.common import ASCII_LOWER, cut, id_and_text, partitions, slices, table
+from eligo.llm.common import ASCII_LOWER, cut, partitions, slices, table
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+#: A link (a, b), or a row of a bucket that is too large: its next key, and the bits in which its rows may still differ.
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("free", pa.int64())])
+LINKS_SQL = "a long, b long, key long, free long"
+#: Times that a large bucket is dealt out by the values of its blocks.
+LEVELS = 2
 #: Rows that a bucket compares at once.
 BUCKET = 256
 #: Bits of each byte value, lowest first.
@@ -44,15 +50,17 @@ def fingerprint(text: str | None, words_per_shingle: int, seed: int = 42) -> int
 def _prints(words_per_shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints = np.array([fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield table(PRINTS, [batch.column(0), prints.view(np.int64)])
+            prints = np.array([fingerprint(t, words_per_shingle) for t in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the unsigned fingerprint held in a signed long. Null and wordless texts get 0."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_prints(words_per_shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) for each row, and its columns `keep`; fp is the unsigned fingerprint held in a signed long. Null and
+    wordless texts get 0."""
+    picked = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    return picked.mapInArrow(_prints(words_per_shingle), StructType([StructField("fp", LongType()), *picked.schema.fields[1:]]))
 
 
 def forest(left: np.ndarray, right: np.ndarray) -> list[int]:
@@ -85,20 +93,46 @@ def near(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _links(distance: int):
-    def found(key, fp, rep):
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One key of several; where two get the same by chance, candidates come together in vain, as all bits are verified."""
+    out = np.zeros(len(parts[-1]), np.uint64)
+    for part in parts:
+        out = (out ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def blocks_of(free: int, n: int) -> list[int]:
+    """The bits of `free` in n masks of about equal size."""
+    bits = [1 << i for i in range(64) if free >> i & 1]
+    return [sum(bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
+def _deal(key: np.ndarray, fp: np.ndarray, free: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets under the value of each block of their free bits."""
+    fps = fp.view(np.uint64)
+    for mask in np.unique(free).tolist():
+        own = free == mask
+        for k, block in enumerate(blocks_of(mask & (1 << 64) - 1, distance + 1)):
+            value = fps[own] & np.uint64(block)
+            next_key = _mixed(key[own], np.full(len(value), k), value).view(np.int64)
+            yield table(LINKS, [fp[own], pa.nulls(len(value), pa.int64()), next_key, np.full(len(value), _signed(mask & (1 << 64) - 1 & ~block))])
+
+
+def _links(distance: int, deal: bool):
+    def found(key, fp):
         i, j = near(key, fp.view(np.uint64), distance)
-        keep = forest(rep[i], rep[j])
+        keep = forest(fp[i], fp[j])
         i, j = i[keep], j[keep]
-        return table(LINKS, [np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())])
+        return table(LINKS, [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key. Links of buckets of up to BUCKET rows; the rows of larger ones go on with their key."""
+        """Sorted by key. Links of buckets of up to BUCKET rows; the rows of larger ones go on."""
         held, large = None, None
         for batch in batches:
-            key, fp, rep = (batch.column(i).to_numpy() for i in range(3))
+            key, fp, free = (batch.column(i).to_numpy() for i in range(3))
             if held is not None:
-                key, fp, rep = (np.concatenate(x) for x in zip(held, (key, fp, rep), strict=True))
+                key, fp, free = (np.concatenate(x) for x in zip(held, (key, fp, free), strict=True))
             if not len(key):
                 continue
             size = np.diff(np.r_[starts := np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
@@ -106,14 +140,16 @@ def _links(distance: int):
             over[0] |= large is not None and key[0] == large
             large = key[-1] if over[-1] else None
             wide = np.repeat(over, size)
-            if wide.any():
-                yield table(LINKS, [rep[wide], pa.nulls(int(wide.sum()), pa.int64()), key[wide], fp[wide]])
+            if wide.any() and deal:
+                yield from _deal(key[wide], fp[wide], free[wide], distance)
+            elif wide.any():
+                yield table(LINKS, [fp[wide], pa.nulls(int(wide.sum()), pa.int64()), key[wide], free[wide]])
             tail = starts[-1] if not over[-1] else len(key)
             small = ~wide[:tail]
-            yield found(key[:tail][small], fp[:tail][small], rep[:tail][small])
-            held = (key[tail:], fp[tail:], rep[tail:])
+            yield found(key[:tail][small], fp[:tail][small])
+            held = (key[tail:], fp[tail:], free[tail:])
         if held is not None:
-            yield found(*held)
+            yield found(*held[:2])
 
     return run
 
@@ -125,15 +161,15 @@ def _block_links(distance: int):
         held: list[tuple] = []
 
         def flush():
-            fp = np.array([r[3] for r in held], np.int64).view(np.uint64)
-            rep = np.array([r[4] for r in held], np.int64)
+            own = np.array([r[3] for r in held], np.int64)
+            fp = own.view(np.uint64)
             i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance, 1))
-            keep = forest(rep[i], rep[j])
-            a, b = rep[i[keep]], rep[j[keep]]
+            keep = forest(own[i], own[j])
+            a, b = own[i[keep]], own[j[keep]]
             return table(LINKS, [np.minimum(a, b), np.maximum(a, b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held and held[-1][:3] != row[:3]:
                     yield flush()
                     held = []
@@ -144,26 +180,34 @@ def _block_links(distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a < b) between representatives: prints has one row (fp, rep) for each distinct fingerprint. Every pair within
-    the distance is connected by the links, each of which joins two fingerprints within the distance."""
+def links(prints: DataFrame, distance: int = 3, levels: int = LEVELS) -> DataFrame:
+    """Links (a < b) between fingerprints: prints has one row (fp) for each distinct one. Every pair within the distance is
+    connected by the links, each of which joins two fingerprints within the distance."""
     segments = distance // 2 + 1  # one of them then differs by at most one bit
     cuts = [64 * i // segments for i in range(segments + 1)]
-    variants = F.array(*[F.struct(F.lit(bit).alias("bit"), F.lit(_signed(((1 << (cuts[s + 1] - cuts[s])) - 1 << cuts[s]) & ~(1 << bit))).alias("mask")) for s in range(segments) for bit in range(cuts[s], cuts[s + 1])])
-    rows = prints.select("fp", "rep", F.explode(variants).alias("v"))
+    segment = [(1 << (cuts[s + 1] - cuts[s])) - 1 << cuts[s] for s in range(segments)]
+    variants = F.array(*[
+        F.struct(F.lit(bit).alias("bit"), F.lit(_signed(segment[s] & ~(1 << bit))).alias("mask"), F.lit(_signed(~segment[s] & (1 << 64) - 1)).alias("free"))
+        for s in range(segments) for bit in range(cuts[s], cuts[s + 1])
+    ])
+    rows = prints.select("fp", F.explode(variants).alias("v"))
     n = partitions(prints.sparkSession)
     # the masked segment leaves its other bits free: they take the number of the variant
-    keys = rows.select(F.xxhash64("v.bit", F.col("fp").bitwiseAND(F.col("v.mask"))).alias("key") if segments == 1 else _packed(cuts).alias("key"), "fp", "rep")
-    met = cut(keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(distance), "a long, b long, key long, fp long"))
-    small, wide = met.where("key is null").select("a", "b"), met.where("key is not null").select("key", "fp", F.col("a").alias("rep"))
-    if not wide.isEmpty():
-        sizes = wide.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("n"))
-        blocks = wide.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int"))
-        pairs = blocks.select("key", "fp", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        pairs = pairs.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "rep")
-        dealt = pairs.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-        small = small.unionByName(dealt.mapInArrow(_block_links(distance), "a long, b long, key long, fp long").select("a", "b"))
-    return small.distinct()
+    key = F.xxhash64("v.bit", F.col("fp").bitwiseAND(F.col("v.mask"))) if segments == 1 else _packed(cuts)
+    wide, small = rows.select(key.alias("key"), "fp", F.col("v.free").alias("free")), None
+    for level in range(levels + 1):
+        met = cut(wide.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(distance, level < levels), LINKS_SQL))
+        own = met.where("key is null").select("a", "b")
+        small = own if small is None else small.unionByName(own)
+        wide = met.where("key is not null").select("key", F.col("a").alias("fp"), "free")
+        if wide.isEmpty():
+            return small.distinct()
+    sizes = wide.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("n"))
+    blocks = wide.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int"))
+    pairs = blocks.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    pairs = pairs.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+    dealt = pairs.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return small.unionByName(dealt.mapInArrow(_block_links(distance), LINKS_SQL).select("a", "b")).distinct()
 
 
 def _signed(x: int) -> int:
@@ -204,17 +248,20 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs, null and repeated ids included.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root) for each row of docs, null and repeated ids included, and its columns `keep`.
 
-    component_id is the smallest id reachable over fingerprints that differ in `distance` bits or fewer. Empty and null
-    texts have fingerprint 0. A null id belongs to its fingerprint's group but is never the group's id.
+    component_id is the smallest id reachable over fingerprints that differ in `distance` bits or fewer, null where no row
+    of the group has one; root, one of the group's fingerprints, names the group always. Empty and null texts have
+    fingerprint 0. Rows of one id that differ in text go by their texts. An empty table gives no row.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, words_per_shingle))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    nodes = components(links(distinct.where("rep is not null"), distance))
-    named = distinct.join(nodes, distinct.rep == nodes.node, "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, prints.fp == named["__fp"], "left").drop("__fp")
+    prints = cut(fingerprints(docs, id_col, text_col, words_per_shingle, keep))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = components(links(distinct.select("fp"), distance))
+    rooted = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id", "root", *keep)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
