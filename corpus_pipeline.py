@@ -1,6 +1,8 @@
 """The corpus pipeline: language ID, toxicity, line dedup, SimHash near-dedup, packing.
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that go on; the last one gives their packed pieces.
+Each stage takes (spark, docs, sf_dir) and gives the documents that go on, with the columns they came with; the last one
+gives their packed pieces. A decision belongs to a row, not to its id: rows without an id, or of one id, are judged by
+their own texts. Of rows that are equal in every column near-dedup keeps one.
 """
 
 from __future__ import annotations
@@ -8,52 +10,62 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType, VariantType
 
 from eligo.llm import language, line_dedup, packing, simhash, toxicity
-from eligo.llm.token_files import shared_folder
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ids, with docs' columns."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+from eligo.llm.common import remove, row_key, shared_folder, slices
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language stays open, go. The declared language is a document's own, its
     source is its host."""
-    found = language.identify(docs, language.learn(docs), "doc_id", "source", "text", "lang")
-    return _only(docs, found.where("kept").select(F.col("id").alias("doc_id")))
+    found = language.identify(docs, language.learn(docs), "doc_id", "source", "text", "lang", keep=tuple(docs.columns))
+    return found.where("kept").select("row.*")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go."""
     field = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, toxicity.toxicity(docs, field).where("score < 0.3"))
+    return toxicity.toxicity(docs, field, keep=tuple(docs.columns)).where("score < 0.3").select("row.*")
 
 
-_TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+def _rewrite(names: list[str]):
+    text_at, bitmap_at, size_at = names.index("text"), len(names), names.index("n_chars") if "n_chars" in names else None
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns = batch.columns[:bitmap_at]
+            texts = []
+            for text, bitmap in zip(columns[text_at].to_pylist(), batch.column(bitmap_at).to_pylist(), strict=True):
+                texts.append(text if bitmap is None else "\n".join(line_dedup.kept_lines(text, bitmap)[0]))
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if size_at is not None:
+                columns[size_at] = pa.array([None if t is None else len(t) for t in texts], columns[size_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def _rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in line_dedup.slices(batches):
-        texts = []
-        for text, bitmap in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            texts.append(text if bitmap is None else "\n".join(line_dedup.kept_lines(text, bitmap)[0]))
-        yield line_dedup.table(_TEXTS, [batch.column(0), texts, batch.column(2), batch.column(3), [None if t is None else len(t) for t in texts]])
+    return run
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that a larger id repeats; every document stays."""
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    return line_dedup.with_bitmaps(docs).select(*columns, "keep_bitmap").mapInArrow(_rewrite, "doc_id long, text string, lang string, source string, n_chars long")
+    """Texts lose the lines that a larger id repeats, n_chars follows; every document stays."""
+    marked = line_dedup.with_bitmaps(docs, into="__keep")
+    return marked.mapInArrow(_rewrite(docs.columns), StructType(docs.schema.fields))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays."""
-    groups = simhash.near_groups(docs, words_per_shingle=3)
-    return _only(docs, groups.where("doc_id = component_id"))
+    """The smallest id of each group of near copies stays; of several such rows the one of the smallest hash, and of rows
+    that are equal in every column one. A group without an id keeps one row as well."""
+    hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    keyed = docs.withColumn("__key", row_key(hashed))
+    groups = simhash.near_groups(keyed, words_per_shingle=3, keep=("__key",))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    first = groups.groupBy("root").agg(F.min_by("__key", order).alias("k")).select(F.col("k.a").alias("__a"), F.col("k.b").alias("__b"))
+    names = ["__a", "__b"]
+    kept = docs.withColumns({"__a": row_key(hashed)["a"], "__b": row_key(hashed)["b"]}).join(first, names, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    return kept.withColumn("__nth", nth).where("__nth = 1").drop(*names, "__nth")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. What a stage wrote is removed once the next stage is written; the last output stays for the caller."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         at = shared_folder(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs

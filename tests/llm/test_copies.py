@@ -56,6 +56,25 @@ def test_line_dedup(spark):
     assert line_dedup.with_bitmaps(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_streams_a_hot_line_over_batches(spark):
+    """Batches of two rows: a hash goes on over many of them, and is decided as by all rows at once."""
+    rng = random.Random(8)
+    pool = [f"{LINE} number {i % 7}" for i in range(7)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    held = {}
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            held.setdefault(x.lower(), set()).add(i)
+    want = {i: [len(held[x.lower()]) < 3 or i == max(held[x.lower()]) for x in t.split("\n")] for i, t in enumerate(texts)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = line_dedup.with_bitmaps(frame(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.doc_id: [b == "1" for b in line_dedup.keep_bits(r.keep_bitmap, len(r.text.split("\n")))] for r in rows} == want
+
+
 def roots(fps, distance=3):
     """Smallest index reachable, by comparing all pairs."""
     fps, label = np.array(fps, np.uint64), np.arange(len(fps))
@@ -87,6 +106,14 @@ def test_simhash_groups(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
 
 
+def test_simhash_of_null_and_repeated_ids(spark):
+    """Rows go by their texts; a group in which no row has an id is a group none the less."""
+    docs = frame(spark, ["one two three four five", "other words that are quite far away"], more=[(0, "one two three four five"), (0, "other words that are quite far away"), (None, "one two three four five"), (None, "nobody named this one"), (None, "nobody named this one")])
+    rows = [(r.doc_id, r.component_id, r.root) for r in simhash.near_groups(docs, words_per_shingle=3).collect()]
+    assert len(rows) == 7 and len({r[2] for r in rows}) == 3
+    assert sorted((str(i), str(c)) for i, c, _ in rows) == sorted([("0", "0"), ("1", "0"), ("0", "0"), ("0", "0"), ("None", "0"), ("None", "None"), ("None", "None")])
+
+
 def test_simhash_links_of_large_buckets(spark):
     """Over BUCKET rows share a segment, chains run through them, and nothing is lost."""
     rng = random.Random(5)
@@ -97,10 +124,15 @@ def test_simhash_links_of_large_buckets(spark):
             fps.append(fps[-1] ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
     fps = [*dict.fromkeys(fps)]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([*zip(signed, range(len(fps)), strict=True)], "fp long, rep long"))
-    assert all(bin(fps[r.a] ^ fps[r.b]).count("1") <= 3 for r in edges.collect())
-    got = {r.node: r.component for r in simhash.components(edges).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == roots(fps)
+    place = {f: i for i, f in enumerate(signed)}
+    for levels in (0, 2):  # by pairs of blocks alone, and by the values of the other bits first
+        edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), levels=levels)
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in edges.collect())
+        got = {place[r.node]: r.component for r in simhash.components(edges).collect()}
+        same = {}
+        for i, root in enumerate(roots(fps)):
+            same.setdefault(root, set()).add(got.get(i, signed[i]))
+        assert all(len(x) == 1 for x in same.values()) and len({*map(min, same.values())}) == len(same)
 
 
 def test_components_of_a_long_chain(spark):
