@@ -1,55 +1,256 @@
 """Three-valued evaluation of conditions for any number of companies.
 
-Conditions repeat: only the distinct (key, value) pairs meet the companies, and announcements take the verdicts by an
-equality join on the pair. Unknown never passes, and only a known mismatch fails.
+Conditions repeat, so only the distinct ones meet the companies: each company gets one array with its verdict on each, and
+each announcement one short array with the numbers of its conditions. Where the two cross, a pair's counts are a sum over
+the short array, in the projection that grades it; no pair is shuffled. Unknown never passes, and only a known mismatch
+fails.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNATURE = ["key", "value_text", "value_num", "machine_readable"]
+from eligo.functions import regions, sectors
 
+#: Condition keys and how each compares. Any other key is never machine readable.
+EXPECTED_OP = {
+    "region": "in",
+    "industry": "in",
+    "targetSector": "in",
+    "targetOrg": "in",
+    "companyScale": "in",
+    "businessAgeMaxYears": "lte",
+    "businessAgeMinYears": "gte",
+    "revenueMaxKrw": "lte",
+    "revenueMinKrw": "gte",
+    "employeeMax": "lte",
+    "employeeMin": "gte",
+    "noTaxDelinquency": "eq",
+    "certRequired": "eq",
+    "patentRequired": "eq",
+    "creditScoreMin": "gte",
+    "creditScoreMax": "lte",
+    "hasExistingLoan": "eq",
+    "isCorporation": "eq",
+    "guaranteeInUse": "in",
+}
+#: Agencies that lend; another name is a regional foundation's.
+LOAN_AGENCIES = ("지역신용보증재단", "신용보증기금", "기술보증기금", "소상공인시장진흥공단", "중소벤처기업진흥공단", "은행", "그 밖")
+REGIONAL = "지역신용보증재단"
+CONDITION = ["key", "op", "values", "number", "flag", "machine_readable"]
+#: Distinct conditions up to which a company holds its verdicts in one array; beyond, conditions meet companies pair by pair.
+MOST_DISTINCT = 200_000
+#: Bytes of companies' verdicts in one broadcast; more companies are dealt out in blocks of that size.
+BROADCAST_BYTES = 64_000_000
+FIELD = 1 << 21
+
+
+def loan_agency(name: Column) -> Column:
+    return name.isin(*LOAN_AGENCIES)
+
+
+def prepared_conditions(conditions: DataFrame, districts=None) -> DataFrame:
+    """Conditions with what of their places doesn't depend on a company: `targets`."""
+    targets = F.transform("values", lambda v: F.struct(v.alias("text"), regions.district_of(v, districts).alias("district"), regions.provinces_in(v).alias("provinces")))
+    known = [F.lit(s) for s in sectors.SECTORS]
+    every = F.map_from_arrays(F.array(*known), F.array(*[F.array(*[F.lit(n) for n in sorted(sectors.neighbours(s))]) for s in sectors.SECTORS]))
+    near = F.array_distinct(F.flatten(F.transform("values", lambda v: F.coalesce(F.try_element_at(every, v), F.array().cast("array<string>")))))
+    place = F.when(F.col("key") == "region", targets)
+    return conditions.withColumns({"targets": place, "near": F.when(F.col("key") == "targetSector", near)})
+
+
+def prepared_companies(companies: DataFrame, now: Column, districts=None) -> DataFrame:
+    """Companies with what of them doesn't depend on a condition."""
+    return companies.withColumns({
+        "mine": regions.canonical_region(F.col("region")),
+        "provinces": regions.provinces_in(F.col("region")),
+        "words": regions.place_words(F.col("region")),
+        "trusted": regions.trusted_district(F.col("region"), F.col("district"), districts),
+        "own_district": regions.district_of(F.col("district"), districts)["name"],
+        "sectors": sectors.sectors_of_industry(F.col("industry")),
+        "org_names": sectors.org_types_of(F.col("org_types")),
+        "age": sectors.age_years(F.col("founded"), now),
+        "corporation": sectors.corporation_of(F.col("bizno"), F.col("is_corporation")),
+    })
 
-def verdict() -> Column:
-    """Of a condition joined to a company (columns of both)."""
-    test = (
-        F.when(F.col("key") == "region", F.col("sido") == F.col("value_text"))
-        .when(F.col("key") == "businessAgeMax", F.col("age_years") <= F.col("value_num"))
-        .when(F.col("key") == "revenueMax", F.col("revenue") <= F.col("value_num"))
-        .when(F.col("key") == "employeesMin", F.col("employees") >= F.col("value_num"))
-        .when(F.col("key") == "creditScoreMin", F.col("credit") >= F.col("value_num"))
-        .when(F.col("key") == "taxDelinquent", ~F.col("tax_delinquent"))
-    )
-    return F.when(~F.col("machine_readable") | test.isNull(), "unknown").when(test, "pass").otherwise("fail")
 
+def _region(c: Column) -> tuple[Column, Column]:
+    """Verdict, and whether a condition that stays unknown bars the company from a fit."""
+    region = F.col("region")
 
-def signed(conditions: DataFrame) -> DataFrame:
-    """Conditions with one column for their pair, never null."""
-    return conditions.withColumn("sig", F.concat_ws("\u0001", "key", F.coalesce("value_text", F.lit("")), F.coalesce(F.col("value_num").cast("string"), F.lit("")), F.col("machine_readable").cast("string")))
+    def told(t: Column) -> Column:
+        """What a target says: pass, other (a known mismatch), same (province, another district), unread or nothing."""
+        d = t["district"]
+        fits = F.array_contains("provinces", d["sido"]) | F.coalesce(F.array_contains("provinces", d["former"]), F.lit(False))
+        by_district = (
+            F.when(regions.names_district(F.col("words"), d["name"]) | F.coalesce(F.col("trusted") == d["name"], F.lit(False)), "pass")
+            .when(F.size("provinces") == 0, "unread")
+            .when(fits | F.coalesce(F.col("own_district") == d["name"], F.lit(False)), "same")
+            .otherwise("other")
+        )
+        named = (F.size(t["provinces"]) > 0) & F.col("mine").isNotNull()
+        plain = F.when(region.contains(t["text"]) | t["text"].contains(region), "pass").otherwise("nothing")
+        return F.when(d.isNotNull(), by_district).when(named, F.when(F.array_contains(t["provinces"], F.col("mine")), "pass").otherwise("other")).otherwise(plain)
+
+    says = F.transform(c["targets"], told)
+    has = lambda x: F.array_contains(says, x)
+    verdict = (
+        F.when(F.coalesce(region, F.lit("")) == "", "unknown")
+        .when(F.exists(c["values"], lambda v: v.contains(regions.NATIONWIDE)), "pass")
+        .when(regions.compact(region).startswith(regions.NATIONWIDE), "unknown")
+        .when(has("pass"), "pass")
+        .when(has("same") | has("unread"), "unknown")
+        .when(has("other"), "fail")
+        .otherwise("unknown")
+    )
+    foreign = lambda t: t["district"].isNotNull() & (t["district"]["name"] != F.col("trusted")) & ~regions.names_district(F.col("words"), t["district"]["name"])
+    bars = F.col("trusted").isNotNull() & (F.size(c["targets"]) > 0) & F.forall(c["targets"], foreign)
+    return verdict, F.coalesce(bars, F.lit(False))
 
 
-def verdicts(conditions: DataFrame, companies: DataFrame) -> DataFrame:
-    """(sig, key, company_id, verdict) for the distinct pairs of conditions and all companies."""
-    pairs = signed(conditions).select("sig", *SIGNATURE).distinct()
-    return pairs.crossJoin(companies).select("sig", "key", "company_id", verdict().alias("verdict"))
+def _guarantee(c: Column) -> Column:
+    """Records of loans: a struct of agency, name, sido and status (in-use, unknown or ended) each."""
+    uses = F.coalesce("loan_uses", F.array().cast("array<struct<agency:string,name:string,sido:string,status:string>>"))
+    kind = lambda w, u: F.when(loan_agency(w), u["agency"] == w).otherwise(u["agency"] == REGIONAL)
+    place = lambda u: F.coalesce(u["sido"], regions.foundation_province(u["name"]))
+    fits = lambda w, u: kind(w, u) & (loan_agency(w) | F.coalesce(place(u) == regions.foundation_province(w), F.lit(False)))
+    wanted = lambda u, test: F.exists(c["values"], lambda w: test(w, u))
+    elsewhere = F.exists(c["values"], lambda w: ~loan_agency(w)) & F.exists(uses, lambda u: (u["status"] == "in-use") & (u["agency"] == REGIONAL))
+    return (
+        F.when(F.exists(uses, lambda u: (u["status"] == "in-use") & wanted(u, fits)), "pass")
+        .when(~F.col("has_loan"), "fail")
+        .when(elsewhere | F.exists(uses, lambda u: (u["status"] == "unknown") & wanted(u, kind)), "unknown")
+        .when(F.coalesce("loan_uses_complete", F.lit(False)) & (F.size(uses) > 0), "fail")
+        .otherwise("unknown")
+    )
 
 
-def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame) -> DataFrame:
-    """(id, company_id, n_pass, n_fail, n_unknown, grade, score, fit) for each announcement and company.
+def check(c: Column) -> Column:
+    """(verdict, bars, weak) of a prepared condition `c` for the prepared company whose columns the row has.
 
-    No condition is uncertain and scores 40; any fail is impossible; all pass is possible. 50 + 15 a pass - 40 a fail.
+    bars: an unknown that rules out a fit. weak: a pass that can't make a fit alone.
     """
-    count = lambda v: F.count_if(F.col("verdict") == v)
-    checked = signed(conditions).select("id", "sig").join(verdicts(conditions, companies), "sig").groupBy("id", "company_id").agg(count("pass").alias("n_pass"), count("fail").alias("n_fail"), count("unknown").alias("n_unknown"))
-    bare = announcements.select("id").join(conditions.select("id").distinct(), "id", "left_anti").crossJoin(companies.select("company_id"))
-    zero = F.lit(0).cast("long")
-    every = announcements.select("id").join(checked, "id").unionByName(bare.select("id", "company_id", zero.alias("n_pass"), zero.alias("n_fail"), zero.alias("n_unknown")))
+    yes = lambda test: F.when(test.isNull(), "unknown").when(test, "pass").otherwise("fail")
+    n, values = c["number"], c["values"]
+    overlap = lambda names: F.arrays_overlap(names, values)
+    all_in = lambda known: (F.size(values) > 0) & F.forall(values, lambda v: v.isin(*known))
+    age = F.when(F.col("age") >= 0, F.col("age"))
+    region, bars = _region(c)
+    scale = F.coalesce("scale", F.lit(""))
+    tests = {
+        "region": region,
+        "industry": F.when(F.exists(values, lambda v: F.coalesce("industry", F.lit("")).contains(v) & (F.coalesce("industry", F.lit("")) != "")), "pass").otherwise("unknown"),
+        "targetSector": F.when(~all_in(sectors.SECTORS) | (F.size("sectors") == 0), "unknown").when(overlap(F.col("sectors")), "pass").when(F.arrays_overlap("sectors", c["near"]), "unknown").otherwise("fail"),
+        "targetOrg": F.when(~all_in(sectors.ORG_TYPES) | (F.size("org_names") == 0), "unknown").when(overlap(F.col("org_names")), "pass").otherwise("fail"),
+        "companyScale": F.when(scale == "", "unknown").when(F.exists(values, lambda v: scale.contains(v) | v.contains(scale)), "pass").otherwise("fail"),
+        "businessAgeMaxYears": yes(age <= n),
+        "businessAgeMinYears": yes(age >= n),
+        "revenueMaxKrw": yes(F.col("revenue") <= n),
+        "revenueMinKrw": yes(F.col("revenue") >= n),
+        "employeeMax": yes(F.col("employees") <= n),
+        "employeeMin": yes(F.col("employees") >= n),
+        "noTaxDelinquency": yes(~F.col("tax_delinquent")),
+        "certRequired": F.when(~F.col("has_cert"), "fail").otherwise("unknown"),
+        "patentRequired": F.when(~F.col("has_patent"), "fail").otherwise("unknown"),
+        "creditScoreMin": yes(F.col("credit") >= n),
+        "creditScoreMax": yes(F.col("credit") <= n),
+        "hasExistingLoan": yes(F.col("has_loan") == c["flag"]),
+        "isCorporation": yes(F.col("corporation") == c["flag"]),
+        "guaranteeInUse": _guarantee(c),
+    }
+    verdict = F.coalesce(*[F.when(c["key"] == key, test) for key, test in tests.items()], F.lit("unknown"))
+    verdict = F.when(open_to_machines(c), verdict).otherwise("unknown")
+    of_region = c["key"] == "region"
+    weak = c["key"].isin("isCorporation", "companyScale") | (of_region & regions.is_nationwide(values))
+    said = F.coalesce("region", F.lit(""))
+    judged = ~c["machine_readable"] | ((said != "") & ~regions.compact(said).startswith(regions.NATIONWIDE))
+    return F.struct(verdict.alias("verdict"), F.coalesce((verdict == "unknown") & of_region & fitting_op(c) & judged & bars, F.lit(False)).alias("bars"), F.coalesce((verdict == "pass") & weak, F.lit(False)).alias("weak"))
+
+
+def fitting_op(c: Column) -> Column:
+    return F.coalesce(*[F.when(c["key"] == k, c["op"] == op) for k, op in EXPECTED_OP.items()], F.lit(True))
+
+
+def open_to_machines(c: Column) -> Column:
+    """Only these conditions can have another verdict than unknown."""
+    return c["machine_readable"] & c["key"].isin(*EXPECTED_OP) & fitting_op(c)
+
+
+def checks(conditions: DataFrame, companies: DataFrame, now: Column, districts=None) -> DataFrame:
+    """(the distinct conditions' columns, company_id, verdict, bars, weak): each distinct condition for each company."""
+    rows = prepared_conditions(conditions.select(*CONDITION).distinct(), districts)
+    c = F.struct(*rows.columns)
+    own = prepared_companies(companies, now, districts)
+    return rows.select(c.alias("c")).crossJoin(own).select("company_id", "c", check(F.col("c")).alias("k")).select("company_id", *[F.col("c")[x].alias(x) for x in CONDITION], "k.*")
+
+
+def _numbered(conditions: DataFrame) -> DataFrame:
+    """One row with the array of the distinct conditions that a machine can read; a condition's number is its place."""
+    c = F.struct(*CONDITION)
+    return conditions.where(open_to_machines(c)).select(c.alias("c")).distinct().agg(F.sort_array(F.collect_list("c")).alias("all"))
+
+
+def _profiles(every: DataFrame, companies: DataFrame, now: Column, districts) -> DataFrame:
+    """(company_id, codes, bars, weak): a company's verdict on each numbered condition. A code counts one pass, fail or
+    unknown in its own field of a number."""
+    rows = prepared_conditions(every.select(F.explode("all").alias("c")).select("c.*"), districts)
+    ready = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("ready"))
+    own = prepared_companies(companies, now, districts).crossJoin(ready)
+    found = own.select("company_id", F.transform("ready", check).alias("k"))
+    code = lambda k: F.when(k["verdict"] == "pass", 1).when(k["verdict"] == "fail", FIELD).otherwise(FIELD * FIELD).cast("long")
+    return found.select("company_id", F.transform("k", code).alias("codes"), F.transform("k", lambda k: (k["verdict"] == "pass") & ~k["weak"]).alias("strong"))
+
+
+def _cross(rows: DataFrame, profiles: DataFrame, n_companies: int, row_bytes: int) -> DataFrame:
+    """Each row with each company: companies go to all tasks where they are few, else rows meet blocks of them."""
+    blocks = -(-n_companies * row_bytes // BROADCAST_BYTES)
+    if blocks <= 1:
+        return rows.crossJoin(F.broadcast(profiles))
+    salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = profiles.withColumn("__block", F.pmod(F.xxhash64("company_id"), F.lit(blocks)).cast("int")).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right.hint("shuffle_hash"), ["__block", "__salt"]).drop("__block", "__salt")
+
+
+def _graded(pairs: DataFrame, keep: list[str], p: Column, f: Column, u: Column, strong: Column) -> DataFrame:
+    """No condition is uncertain and scores 40; any fail is impossible; all pass is possible. 50 + 15 a pass - 40 a fail.
+    Fit: nothing fails or stays unknown, and a pass that isn't weak."""
+    counted = pairs.select(*keep, p.alias("n_pass"), f.alias("n_fail"), u.alias("n_unknown"), strong.alias("__strong"))
     n = F.col("n_pass") + F.col("n_fail") + F.col("n_unknown")
-    return every.select(
-        "*",
-        F.when(F.col("n_fail") > 0, "impossible").when((n > 0) & (F.col("n_unknown") == 0), "possible").otherwise("uncertain").alias("grade"),
-        F.when(n == 0, 40).otherwise(50 + 15 * F.col("n_pass") - 40 * F.col("n_fail")).cast("long").alias("score"),
-        F.when(F.col("n_fail") > 0, "excluded").when((F.col("n_unknown") == 0) & (F.col("n_pass") > 0), "fit").otherwise("unverified").alias("fit"),
-    )
+    grade = F.when(F.col("n_fail") > 0, "impossible").when((n > 0) & (F.col("n_unknown") == 0), "possible").otherwise("uncertain")
+    score = F.when(n == 0, 40).otherwise(50 + 15 * F.col("n_pass") - 40 * F.col("n_fail")).cast("long")
+    fit = F.when(F.col("n_fail") > 0, "excluded").when((F.col("n_unknown") == 0) & F.col("__strong"), "fit").otherwise("unverified")
+    return counted.select(*keep, "n_pass", "n_fail", "n_unknown", grade.alias("grade"), score.alias("score"), fit.alias("fit"))
+
+
+def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame, now: Column, districts=None, most_distinct: int = MOST_DISTINCT) -> DataFrame:
+    """(the announcements' columns, company_id, n_pass, n_fail, n_unknown, grade, score, fit) for each announcement (id) and
+    company. Conditions of an id that isn't announced count for nothing."""
+    spark: SparkSession = announcements.sparkSession
+    own = [*announcements.columns, "company_id"]
+    c = F.struct(*CONDITION)
+    n_distinct = conditions.where(open_to_machines(c)).select(*CONDITION).distinct().count()
+    if n_distinct > most_distinct:
+        k = checks(conditions, companies, now, districts)
+        same = F.lit(True)
+        for x in CONDITION:
+            same = same & conditions[x].eqNullSafe(k[x])
+        v = F.col("verdict")
+        counts = conditions.join(k, same).groupBy("id", "company_id").agg(F.count_if(v == "pass").alias("p"), F.count_if(v == "fail").alias("f"), F.count_if(v == "unknown").alias("u"), F.max((v == "pass") & ~F.col("weak")).alias("s"))
+        pairs = announcements.crossJoin(companies.select("company_id")).join(counts, ["id", "company_id"], "left")
+        zero = lambda x: F.coalesce(x, F.lit(0))
+        return _graded(pairs, own, zero("p"), zero("f"), zero("u"), F.coalesce("s", F.lit(False)))
+    every = _numbered(conditions)
+    place = every.select(F.posexplode("all").alias("n", "c"))
+    told = conditions.select("id", F.when(open_to_machines(c), c).alias("c"))
+    counted = told.join(F.broadcast(place), "c", "left").groupBy("id", "n").agg(F.count("*").alias("k"))
+    known = F.filter(F.collect_list(F.struct("n", "k")), lambda x: x["n"].isNotNull())
+    arrays = counted.groupBy("id").agg(known.alias("own"), F.sum(F.when(F.col("n").isNull(), F.col("k")).otherwise(0)).alias("fixed"), F.sum("k").alias("all"))
+    rows = announcements.join(arrays, "id", "left").withColumn("fixed", F.when(F.col("all") >= FIELD, F.raise_error(F.lit(f"an announcement has over {FIELD} conditions"))).otherwise(F.coalesce("fixed", F.lit(0))))
+    crossed = _cross(rows.drop("all"), _profiles(every, companies, now, districts), companies.count(), 10 * n_distinct + 100)
+    total = F.aggregate(F.coalesce("own", F.array().cast("array<struct<n:int,k:long>>")), F.lit(0).cast("long"), lambda a, x: a + x["k"] * F.get("codes", x["n"]))
+    summed = crossed.withColumn("t", total)
+    p, f, u = F.pmod("t", F.lit(FIELD)), F.pmod(F.shiftright("t", 21), F.lit(FIELD)), F.shiftright("t", 42) + F.col("fixed")
+    strong = F.when((F.col("t") > 0) & (F.col("t") < FIELD) & (F.col("fixed") == 0), F.exists("own", lambda x: F.get("strong", x["n"]))).otherwise(False)
+    return _graded(summed, own, p, f, u, strong)

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """A blank key groups nothing: such a row is its own group."""
-    return rows.withColumn("grp", F.coalesce(F.nullif(F.trim("dedup_key"), F.lit("")), F.concat(F.lit("id:"), F.col("id").cast("string"))))
+def keyed(rows: DataFrame, trim: bool = True) -> DataFrame:
+    """A blank key groups nothing: such a row is its own group. Without trim only an empty key is blank."""
+    key = F.trim("dedup_key") if trim else F.col("dedup_key")
+    return rows.withColumn("grp", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("id:"), F.col("id").cast("string"))))
 
 
-def representatives(graded: DataFrame) -> DataFrame:
-    """One row for each group: excluded copies first where there is one, else fit before unverified; then the most checks,
-    the earliest end (none last), the smallest id."""
+def representatives(graded: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row for each group, and each value of `by`: excluded copies first where there is one, else fit before unverified;
+    then the most checks, the earliest end (none last), the smallest id. A group counts its rows and its distinct sources."""
+    by = by or []
     rows = keyed(graded).withColumn("checks", F.col("n_pass") + F.col("n_fail") + F.col("n_unknown"))
     key = F.struct(
         F.when(F.col("fit") == "excluded", 0).when(F.col("fit") == "fit", 1).otherwise(2).alias("v"),
@@ -22,15 +24,24 @@ def representatives(graded: DataFrame) -> DataFrame:
         F.col("apply_end").alias("e"),
         F.col("id").alias("id"),
     )
-    return rows.groupBy("grp").agg(F.min_by(F.struct("id", "fit"), key).alias("r"), F.count("*").alias("group_count"), F.count_distinct("source").alias("n_sources")).select("grp", F.col("r.id").alias("rep_id"), F.col("r.fit").alias("fit"), "group_count", "n_sources")
+    picked = rows.groupBy(*by, "grp").agg(
+        F.min_by(F.struct("id", "fit"), key).alias("r"), F.count("*").alias("group_count"), F.size(F.collect_set("source")).cast("long").alias("n_sources")
+    )
+    return picked.select(*by, "grp", F.col("r.id").alias("rep_id"), F.col("r.fit").alias("fit"), "group_count", "n_sources")
 
 
 def browse(rows: DataFrame, status: str, top_ids: int = 50) -> DataFrame:
-    """Groups of one status: representative (open: earliest end first, none last; then newest start), count, first ids."""
-    own = keyed(rows.where(F.col("status") == status))
-    order = F.struct(F.col("apply_end").isNull().alias("n"), F.col("apply_end").alias("e"), (-F.unix_seconds(F.col("apply_start").cast("timestamp"))).alias("s"), F.col("id").alias("id"))
-    ids = F.transform(F.slice(F.sort_array(F.collect_list(order)), 1, top_ids), lambda x: x["id"].cast("string"))
-    return own.groupBy("grp").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.array_join(ids, ",").alias("ids")).select("grp", F.col("first.id").alias("rep_id"), F.col("first.e").alias("apply_end"), "n", "ids")
+    """Groups of one status: representative, count and first ids. Open ones by earliest end, none last, then newest start;
+    those of another status by newest start. A group's ids are ranked before they meet, so that no group is gathered whole."""
+    own = keyed(rows.where(F.col("status") == status), trim=False)
+    newest = [F.col("apply_start").desc(), F.col("id").asc()]
+    order = [F.col("apply_end").asc_nulls_last(), *newest] if status == "open" else newest
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(*order))
+    counts = own.groupBy("grp").agg(F.count("*").alias("n"))
+    first = own.select("grp", "id", "apply_end", place.alias("k")).where(F.col("k") <= top_ids)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda x: x["id"].cast("string"))
+    held = first.groupBy("grp").agg(F.min_by(F.struct("id", "apply_end"), "k").alias("r"), F.array_join(ids, ",").alias("ids"))
+    return held.join(counts, "grp").select("grp", F.col("r.id").alias("rep_id"), F.col("r.apply_end").alias("apply_end"), "n", "ids")
 
 
 def page(groups: DataFrame, number: int, size: int = 50) -> DataFrame:
@@ -38,9 +49,9 @@ def page(groups: DataFrame, number: int, size: int = 50) -> DataFrame:
     return groups.orderBy(F.col("apply_end").asc_nulls_last(), "rep_id").offset((number - 1) * size).limit(size)
 
 
-def top_per_verdict(rows: DataFrame, n: int = 80) -> DataFrame:
-    """The first n of each funding group and verdict by score, end and id."""
-    w = Window.partitionBy("funding_group", "fit").orderBy(F.desc("score"), F.col("apply_end").asc_nulls_last(), "id")
+def top_per_verdict(rows: DataFrame, n: int = 80, by: list[str] | None = None) -> DataFrame:
+    """The first n of each funding group and verdict, and each value of `by`, by score, end and id."""
+    w = Window.partitionBy(*(by or []), "funding_group", "fit").orderBy(F.desc("score"), F.col("apply_end").asc_nulls_last(), "id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 

@@ -9,7 +9,7 @@ from eligo.functions import korean
 from eligo.operators import evaluate, grouping, ledgers
 from eligo.plans import deadline
 from eligo.sources import bridge
-from eligo.sources.bridge import CONDITION_KEYS, FUNDING_GROUPS, NOW, SIDO
+from eligo.sources.bridge import FUNDING_GROUPS, NOW, SIDO
 
 _pick = lambda values, index: f"list_extract({list(values)!r}, CAST({index} AS INTEGER) + 1)"
 
@@ -21,35 +21,46 @@ ANN = f"""ann AS (
     CASE WHEN o_orderkey % 11 = 0 THEN 'id:' || o_orderkey ELSE o_custkey || '|' || strftime(o_orderdate, '%Y-%m') END AS grp,
     {_pick(FUNDING_GROUPS, "o_orderkey % 6")} AS funding_group, CAST(floor(o_totalprice / 10) AS BIGINT) * 10000 AS amount_won, o_custkey
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
+_case = lambda rows: " ".join(f"WHEN {k} THEN {v}" for k, v in rows.items())
+_kind = {k: i for i, k in enumerate(bridge.KINDS)}
 COND = f"""cond AS (
-  SELECT l_orderkey AS id, {_pick(CONDITION_KEYS, "l_linenumber % 7")} AS key, l_linenumber % 7 AS kind,
-    CASE WHEN l_linenumber % 7 = 1 THEN {_pick(SIDO, "l_suppkey % 17")} END AS value_text,
-    CASE l_linenumber % 7 WHEN 2 THEN CAST(floor(l_quantity) AS BIGINT) % 15 + 1 WHEN 3 THEN CAST(floor(l_quantity) AS BIGINT) * 200
-      WHEN 4 THEN CAST(floor(l_quantity) AS BIGINT) WHEN 5 THEN 300 + CAST(floor(l_quantity) AS BIGINT) * 10 END AS value_num,
-    l_returnflag <> 'N' AND l_linenumber % 7 <> 0 AS ok FROM lineitem)"""
+  SELECT id, v, kind, {_pick(bridge.KINDS, "kind")} AS key, ok, opfits, flag,
+    CASE kind {_case({_kind["businessAgeMaxYears"]: "q % 15 + 1", _kind["businessAgeMinYears"]: "q % 15", _kind["revenueMaxKrw"]: "q * 200", _kind["revenueMinKrw"]: "q * 100", _kind["employeeMax"]: "q * 2", _kind["employeeMin"]: "q", _kind["creditScoreMin"]: "300 + q * 10", _kind["creditScoreMax"]: "400 + q * 10"})} END AS num
+  FROM (SELECT l_orderkey AS id, l_suppkey AS v, (l_orderkey + 3 * l_linenumber) % 20 AS kind, CAST(floor(l_quantity) AS BIGINT) AS q, l_returnflag <> 'N' AND l_partkey % 13 <> 0 AS ok,
+    l_partkey % 13 <> 0 AS opfits, l_partkey % 2 = 0 AS flag FROM lineitem))"""
 COMPANY = f"""company AS (
-  SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 13 <> 0 THEN {_pick(SIDO, "s_nationkey % 17")} END AS sido,
-    CASE WHEN s_suppkey % 7 <> 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS revenue, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 120 END AS employees,
-    CASE WHEN s_suppkey % 3 <> 0 THEN 300 + s_suppkey * 7 % 700 END AS credit, CASE WHEN s_suppkey % 17 <> 0 THEN s_suppkey % 20 END AS age_years,
-    CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 4 = 0 END AS tax FROM supplier)"""
-CHECKED = """checked AS (
-  SELECT cond.id, company_id, key, CASE WHEN NOT ok OR t IS NULL THEN 'unknown' WHEN t THEN 'pass' ELSE 'fail' END AS verdict
-  FROM (SELECT cond.*, company_id, CASE kind WHEN 1 THEN sido = value_text WHEN 2 THEN age_years <= value_num WHEN 3 THEN revenue <= value_num
-      WHEN 4 THEN employees >= value_num WHEN 5 THEN credit >= value_num WHEN 6 THEN NOT tax END AS t FROM cond CROSS JOIN company) cond)"""
+  SELECT s_suppkey AS company_id, s_suppkey AS s, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS revenue, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 120 END AS employees,
+    CASE WHEN s_suppkey % 3 <> 0 THEN 300 + s_suppkey * 7 % 700 END AS credit,
+    CASE WHEN s_suppkey % 19 <> 0 AND s_suppkey % 17 <> 0 THEN (s_suppkey * 97 % 6000 + 0.125) / 365.25 END AS age,
+    CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 4 = 0 END AS tax, CASE WHEN s_suppkey % 4 <> 3 THEN s_suppkey % 4 <> 2 END AS loan,
+    CASE s_suppkey % 5 WHEN 1 THEN true WHEN 2 THEN false ELSE CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 3 = 1 END END AS corp FROM supplier)"""
+_told = lambda rows, fact: f"substr({_pick([v for _, v in rows], f'v % {len(rows)}')}, CAST({fact} AS INTEGER) + 1, 1)"
+_yes = lambda test: f"CASE WHEN ({test}) IS NULL THEN 'u' WHEN {test} THEN 'p' ELSE 'f' END"
+_loan = _told(bridge.LOAN_CASES, "s % 6")
+TOLD = {
+    "region": _told(bridge.REGION_CASES, "s % 10"), "industry": _told(bridge.INDUSTRY_CASES, "s // 2 % 5"), "targetSector": _told(bridge.SECTOR_CASES, "s // 2 % 5"), "targetOrg": _told(bridge.ORG_CASES, "s // 3 % 5"), "companyScale": _told(bridge.SCALE_CASES, "s % 4"),
+    "businessAgeMaxYears": _yes("age <= num"), "businessAgeMinYears": _yes("age >= num"), "revenueMaxKrw": _yes("revenue <= num"), "revenueMinKrw": _yes("revenue >= num"), "employeeMax": _yes("employees <= num"), "employeeMin": _yes("employees >= num"),
+    "noTaxDelinquency": _yes("NOT tax"), "certRequired": "CASE WHEN s % 3 = 2 THEN 'f' ELSE 'u' END", "patentRequired": "CASE WHEN s % 4 >= 2 THEN 'f' ELSE 'u' END", "creditScoreMin": _yes("credit >= num"), "creditScoreMax": _yes("credit <= num"),
+    "hasExistingLoan": _yes("loan = flag"), "isCorporation": _yes("corp = flag"), "guaranteeInUse": f"CASE WHEN {_loan} = 'p' THEN 'p' WHEN NOT loan THEN 'f' ELSE {_loan} END", "other": "'u'",
+}
+CHECKED = f"""checked AS (
+  SELECT id, company_id, key, CASE t WHEN 'p' THEN 'pass' WHEN 'f' THEN 'fail' ELSE 'unknown' END AS verdict,
+    t = 'p' AND NOT (key IN ('isCorporation', 'companyScale') OR (key = 'region' AND v % 10 IN (2, 9))) AS strong
+  FROM (SELECT *, CASE WHEN NOT ok THEN 'u' ELSE CASE kind {_case({_kind[k]: t for k, t in TOLD.items()})} END END AS t FROM cond CROSS JOIN company))"""
 GRADED = """counts AS (
-  SELECT ann.id, c.company_id, count(verdict) FILTER (verdict = 'pass') AS p, count(verdict) FILTER (verdict = 'fail') AS f, count(verdict) FILTER (verdict = 'unknown') AS u
+  SELECT ann.id, c.company_id, count(verdict) FILTER (verdict = 'pass') AS p, count(verdict) FILTER (verdict = 'fail') AS f, count(verdict) FILTER (verdict = 'unknown') AS u, coalesce(bool_or(strong), false) AS strong
   FROM ann CROSS JOIN company c LEFT JOIN checked k ON k.id = ann.id AND k.company_id = c.company_id GROUP BY 1, 2
 ), graded AS (
   SELECT *, CASE WHEN f > 0 THEN 'impossible' WHEN p + u > 0 AND u = 0 THEN 'possible' ELSE 'uncertain' END AS grade,
     CASE WHEN p + f + u = 0 THEN 40 ELSE 50 + 15 * p - 40 * f END AS score,
-    CASE WHEN f > 0 THEN 'excluded' WHEN u = 0 AND p > 0 THEN 'fit' ELSE 'unverified' END AS fit FROM counts)"""
+    CASE WHEN f > 0 THEN 'excluded' WHEN u = 0 AND strong THEN 'fit' ELSE 'unverified' END AS fit FROM counts)"""
 RUNS = """runs AS (
   SELECT event_id AS run_id, user_id AS source, ts AS run_at, event_type = 'error' AS failed, CAST(json_extract_string(props, '$.k') AS INTEGER) AS n_rows, event_type <> 'click' AS complete FROM events)"""
 LINES = f"""bucket AS (
   SELECT p_partkey AS bucket_id, {_pick(FUNDING_GROUPS, "p_partkey % 6")} AS category,
-    CASE WHEN p_partkey % 9 <> 0 THEN DATE '{NOW[:10]}' + CAST(p_partkey % 45 - 4 AS INTEGER) END AS apply_end_date FROM part WHERE p_partkey < 500
+    CASE WHEN p_partkey % 9 <> 0 THEN DATE '{NOW[:10]}' + CAST(p_partkey % 45 - 4 AS INTEGER) END AS apply_end_date FROM part
 ), match AS (
-  SELECT l_suppkey AS company_id, l_partkey % 500 AS bucket_id, CASE WHEN max(l_quantity) >= 25 THEN 'fit' ELSE 'unverified' END AS verdict FROM lineitem GROUP BY 1, 2
+  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, CASE WHEN max(l_quantity) >= 25 THEN 'fit' ELSE 'unverified' END AS verdict FROM lineitem GROUP BY 1, 2
 ), line AS (
   SELECT m.company_id, m.bucket_id, m.verdict, b.category, date_diff('day', DATE '{NOW[:10]}', apply_end_date) AS d_day
   FROM match m JOIN bucket b ON m.bucket_id = b.bucket_id JOIN supplier ON s_suppkey = m.company_id WHERE apply_end_date >= DATE '{NOW[:10]}')"""
@@ -68,16 +79,20 @@ def query(sql: str | None = None):
     return register
 
 
-def _graded(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.grades(bridge.announcements(spark, sf).select("id"), bridge.conditions(spark, sf), bridge.companies(spark, sf))
+def _graded(spark: SparkSession, sf: str, columns=("id",)) -> DataFrame:
+    return evaluate.grades(bridge.announcements(spark, sf).select(*columns), bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now())
 
 
 @query(f"WITH {COND}, {COMPANY}, {CHECKED} SELECT company_id, key, verdict, count(*) AS n FROM checked GROUP BY 1, 2, 3")
 def condition_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts by company and key. Conditions are counted by their pair before they meet the companies."""
-    rows = evaluate.signed(bridge.conditions(spark, sf))
-    n = rows.groupBy("sig").agg(F.count("*").alias("n"))
-    return evaluate.verdicts(bridge.conditions(spark, sf), bridge.companies(spark, sf)).join(n, "sig").groupBy("company_id", "key", "verdict").agg(F.sum("n").alias("n"))
+    """Verdicts by company and key. Conditions are counted before they meet the companies."""
+    rows, names = bridge.conditions(spark, sf), evaluate.CONDITION
+    n = rows.groupBy(*names).agg(F.count("*").alias("n"))
+    found = evaluate.checks(rows, bridge.companies(spark, sf), bridge.now())
+    same = F.lit(True)
+    for x in names:
+        same = same & n[x].eqNullSafe(found[x])
+    return found.join(n, same).groupBy("company_id", found["key"], "verdict").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED} SELECT company_id, grade, fit, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM graded GROUP BY 1, 2, 3")
@@ -85,45 +100,71 @@ def grade_and_score(spark: SparkSession, sf: str) -> DataFrame:
     return _graded(spark, sf).groupBy("company_id", "grade", "fit").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
-def _one_company(spark: SparkSession, sf: str, company: int = 1) -> DataFrame:
-    own = bridge.companies(spark, sf).where(F.col("company_id") == company)
-    rows = bridge.announcements(spark, sf)
-    return rows.join(evaluate.grades(rows.select("id"), bridge.conditions(spark, sf), own), "id")
+BARS = {"region": "CASE WHEN NOT opfits THEN false ELSE " + " OR ".join(f"(v % 10 = {v} AND s % 10 IN ({', '.join(map(str, places))}))" for v, places in {5: (0, 5, 6, 8), 6: (0, 5, 6), 7: (0, 5), 8: (0, 6, 8)}.items()) + " END"}
 
 
-ONE = f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED}, one AS (SELECT ann.*, p, f, u, score, fit FROM ann JOIN graded ON ann.id = graded.id WHERE company_id = 1)".replace("FROM supplier)", "FROM supplier WHERE s_suppkey = 1)")
+@query(f"""WITH {COND}, {COMPANY}, {CHECKED} SELECT c.company_id, count(*) AS n FROM (SELECT *, {BARS["region"]} AS barred FROM cond CROSS JOIN company WHERE kind = 0) c
+  WHERE barred AND (NOT ok OR {TOLD["region"]} = 'u') GROUP BY 1""")
+def barred_from_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Region conditions that stay open and name foreign districts only: they rule a fit out."""
+    rows = bridge.conditions(spark, sf).where("key = 'region'")
+    n = rows.groupBy(*evaluate.CONDITION).agg(F.count("*").alias("n"))
+    found = evaluate.checks(rows, bridge.companies(spark, sf), bridge.now()).where("bars")
+    same = F.lit(True)
+    for x in evaluate.CONDITION:
+        same = same & n[x].eqNullSafe(found[x])
+    return found.join(n, same).groupBy("company_id").agg(F.sum("n").alias("n"))
 
 
-@query(ONE + """ SELECT grp, id AS rep_id, fit, n AS group_count, (SELECT count(DISTINCT source) FROM one o WHERE o.grp = r.grp) AS n_sources FROM (
-  SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY CASE fit WHEN 'excluded' THEN 0 WHEN 'fit' THEN 1 ELSE 2 END, p + f + u DESC, apply_end NULLS LAST, id) AS k FROM one) r WHERE k = 1""")
+def _of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Each announcement for each company, with its grade."""
+    columns = ["id", "source", "dedup_key", "funding_group", "amount_won", "apply_start", "apply_end"]
+    return _graded(spark, sf, columns)
+
+
+ALL = f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED}, one AS (SELECT ann.*, company_id, p, f, u, score, fit FROM ann JOIN graded ON ann.id = graded.id)"
+
+
+@query(ALL + """, n_of AS (SELECT grp, count(DISTINCT source) AS n_sources FROM ann GROUP BY 1)
+  SELECT company_id, r.grp, id AS rep_id, fit, n AS group_count, n_sources FROM (
+  SELECT *, count(*) OVER (PARTITION BY company_id, grp) AS n, row_number() OVER (PARTITION BY company_id, grp ORDER BY CASE fit WHEN 'excluded' THEN 0 WHEN 'fit' THEN 1 ELSE 2 END, p + f + u DESC, apply_end NULLS LAST, id) AS k FROM one) r
+  JOIN n_of ON r.grp = n_of.grp WHERE k = 1""")
 def representative_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return grouping.representatives(_one_company(spark, sf))
+    return grouping.representatives(_of_all(spark, sf), ["company_id"])
 
 
-@query(ONE + """ SELECT id, funding_group, fit, score, k AS place FROM (
-  SELECT *, row_number() OVER (PARTITION BY funding_group, fit ORDER BY score DESC, apply_end NULLS LAST, id) AS k FROM one) WHERE k <= 80""")
+@query(ALL + """ SELECT company_id, id, funding_group, fit, score, k AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY company_id, funding_group, fit ORDER BY score DESC, apply_end NULLS LAST, id) AS k FROM one) WHERE k <= 80""")
 def top_n_per_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return grouping.top_per_verdict(_one_company(spark, sf)).select("id", "funding_group", "fit", "score", F.col("place").cast("long").alias("place"))
+    found = grouping.top_per_verdict(_of_all(spark, sf), by=["company_id"])
+    return found.select("company_id", "id", "funding_group", "fit", "score", F.col("place").cast("long").alias("place"))
 
 
-@query(ONE + f""" SELECT g.funding_group, count(id) FILTER (fit <> 'excluded') AS n_normal, count(id) FILTER (fit = 'excluded') AS n_excluded, count(id) FILTER (fit = 'fit') AS n_fit,
-  max(amount_won) FILTER (fit <> 'excluded') AS max_won FROM (SELECT unnest({list(FUNDING_GROUPS)!r}) AS funding_group) g LEFT JOIN one ON one.funding_group = g.funding_group GROUP BY 1""")
+@query(ALL + f""" SELECT g.company_id, g.funding_group, count(id) FILTER (fit <> 'excluded') AS n_normal, count(id) FILTER (fit = 'excluded') AS n_excluded, count(id) FILTER (fit = 'fit') AS n_fit,
+  max(amount_won) FILTER (fit <> 'excluded') AS max_won FROM (SELECT company_id, unnest({list(FUNDING_GROUPS)!r}) AS funding_group FROM company) g
+  LEFT JOIN one ON one.funding_group = g.funding_group AND one.company_id = g.company_id GROUP BY 1, 2""")
 def group_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of the six groups; an empty group stays, its amount null."""
-    groups = spark.createDataFrame([(g,) for g in FUNDING_GROUPS], "funding_group string")
-    normal = F.col("fit") != "excluded"
-    return groups.join(_one_company(spark, sf), "funding_group", "left").groupBy("funding_group").agg(F.count_if(normal).alias("n_normal"), F.count_if(~normal).alias("n_excluded"), F.count_if(F.col("fit") == "fit").alias("n_fit"), F.max(F.when(normal, F.col("amount_won"))).alias("max_won"))
+    """Counters of the six groups of each company; an empty group stays, its amount null."""
+    normal, fit = F.col("fit") != "excluded", F.col("fit") == "fit"
+    counts = _of_all(spark, sf).groupBy("company_id", "funding_group").agg(
+        F.count_if(normal).alias("n_normal"), F.count_if(~normal).alias("n_excluded"), F.count_if(fit).alias("n_fit"), F.max(F.when(normal, F.col("amount_won"))).alias("max_won")
+    )
+    groups = F.explode(F.array(*[F.lit(g) for g in FUNDING_GROUPS])).alias("funding_group")
+    every = bridge.companies(spark, sf).select("company_id", groups)
+    return every.join(counts, ["company_id", "funding_group"], "left").na.fill(0, ["n_normal", "n_excluded", "n_fit"])
 
 
-@query(ONE + f""" SELECT count(*) FILTER (is_open) AS n_open, count(*) FILTER (is_open AND d BETWEEN 0 AND 7) AS n_soon, count(*) FILTER (funding_group = 'grant') AS n_grant, max(amount_won) FILTER (funding_group = 'grant') AS max_grant FROM (
+@query(ALL + f""" SELECT company_id, count(*) FILTER (is_open) AS n_open, count(*) FILTER (is_open AND d BETWEEN 0 AND 7) AS n_soon, count(*) FILTER (funding_group = 'grant') AS n_grant, max(amount_won) FILTER (funding_group = 'grant') AS max_grant FROM (
   SELECT *, apply_start <= TIMESTAMP '{NOW}' AND (apply_end IS NULL OR apply_end >= TIMESTAMP '{NOW}') AS is_open,
-    date_diff('day', CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), CAST(apply_end + INTERVAL 9 HOUR AS DATE)) AS d FROM one WHERE fit <> 'excluded')""")
+    date_diff('day', CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), CAST(apply_end + INTERVAL 9 HOUR AS DATE)) AS d FROM one WHERE fit <> 'excluded') GROUP BY 1""")
 def glance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _one_company(spark, sf).where("fit <> 'excluded'")
+    """Four tiles of each company that has an announcement which isn't excluded."""
+    rows = _of_all(spark, sf).where("fit <> 'excluded'")
     at = bridge.now()
-    kind, days = korean.deadline_kind(F.col("apply_start"), F.col("apply_end"), at), korean.d_day(F.col("apply_end"), at)
-    is_open, grant = kind.isin("date", "always"), F.col("funding_group") == "grant"
-    return rows.agg(F.count_if(is_open).alias("n_open"), F.count_if(is_open & days.between(0, 7)).alias("n_soon"), F.count_if(grant).alias("n_grant"), F.max(F.when(grant, F.col("amount_won"))).alias("max_grant"))
+    begun, ended = F.col("apply_start") <= at, F.coalesce(F.col("apply_end") < at, F.lit(False))
+    is_open, days = begun & ~ended, korean.d_day(F.col("apply_end"), at)
+    grant = F.col("funding_group") == "grant"
+    return rows.groupBy("company_id").agg(F.count_if(is_open).alias("n_open"), F.count_if(is_open & days.between(0, 7)).alias("n_soon"), F.count_if(grant).alias("n_grant"), F.max(F.when(grant, F.col("amount_won"))).alias("max_grant"))
 
 
 BROWSE = """ SELECT grp, arg_min(id, k) AS rep_id, arg_min_null(apply_end, k) AS apply_end, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 50) AS ids FROM (

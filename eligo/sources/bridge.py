@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The provinces and the kinds of money, in their order.
-SIDO = ("서울", "부산", "대구", "인천", "광주", "대전", "울산", "세종", "경기", "강원", "충북", "충남", "전북", "전남", "경북", "경남", "제주")
+from eligo.functions.regions import PROVINCES
+from eligo.operators.evaluate import EXPECTED_OP
+
+SIDO = tuple(PROVINCES)
+#: The kinds of money, in their order.
 FUNDING_GROUPS = ("grant", "policy", "guarantee", "bank", "urgent", "invest")
 NOW = "1998-06-01 03:00:00"
 
@@ -46,34 +49,99 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Facts of companies and values of conditions, each with the verdicts (p, f, u) that they make, worked out by hand: a row
+#: for each value, a letter for each fact.
+PLACES = (("서울특별시 강남구", "강남구"), ("충북 청주시", None), ("강원영월군", None), ("전국", None), (None, None), ("경상북도 군위군", "군위군"), ("경기도 화성시", "화성시"), ("경기", None), ("경북", "구미시"), ("부산", "구미시"))
+REGION_CASES = (
+    (("서울특별시",), "pffuufffff"),
+    (("충청북도", "세종"), "fpfuufffff"),
+    (("전국",), "ppppuppppp"),
+    (("수도권",), "uuuuuuuuuu"),
+    (("대구경북",), "fffuupffpf"),
+    (("영월군",), "ffpuufffff"),
+    (("구미",), "fffuuuffpu"),
+    (("화성시", "구미시"), "fffuuupupu"),
+    (("군위군",), "fffuupffuf"),
+    (("경기도", "경북", "서울", "부산", "대구", "인천", "광주", "대전", "울산", "세종"), "pffuuppppp"),
+)
+INDUSTRIES = ("소프트웨어 개발업", "식품 제조업", None, "FITNESS 서비스업", "인쇄회로기판 제조업")
+INDUSTRY_CASES = ((("소프트웨어", "정보통신"), "puuuu"), (("제조",), "upuup"), (("농업",), "uuuuu"))
+SECTOR_CASES = ((("정보통신",), "pfuuu"), (("식품",), "fpuuf"), (("제약",), "uuuuu"), (("광고인쇄",), "ffuuf"))
+ORGS = (None, ("예비사회적기업 인증",), ("주식회사",), ("협동조합", "마을기업"), ())
+ORG_CASES = ((("사회적기업",), "upufu"), (("마을기업", "자활기업"), "ufupu"), (("대학",), "uuuuu"))
+SCALES = (None, "소상공인", "중소기업", "중견")
+SCALE_CASES = ((("소상공인",), "upff"), (("중소기업", "소상공인"), "uppf"), (("중견기업",), "uffp"))
+#: Records of loans (agency, name, status) and whether they are all; a company without any loan fails what doesn't pass.
+LOANS = (
+    ((), None),
+    ((("신용보증기금", "신보", "in-use"),), True),
+    ((("지역신용보증재단", "경기신용보증재단", "in-use"),), True),
+    ((("기술보증기금", "기보", "unknown"),), True),
+    ((("은행", "은행", "in-use"),), False),
+    ((("은행", "은행", "in-use"),), True),
+)
+LOAN_CASES = ((("신용보증기금",), "upffuf"), (("지역신용보증재단",), "ufpfuf"), (("서울신용보증재단",), "ufufuf"))
+BIZNOS = (None, "123-81-00001", "1234500002", "123-90-00003", "12-3")
+
+
+def _strings(values):
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _pick_any(columns, index):
+    return F.element_at(F.array(*columns), index.cast("int") + 1)
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     known = lambda m, v: F.when(k % m != 0, v)
+    use = lambda agency, name, status: F.struct(F.lit(agency).alias("agency"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("sido"), F.lit(status).alias("status"))
+    uses = "array<struct<agency:string,name:string,sido:string,status:string>>"
     return _read(spark, sf_dir, "supplier").select(
         k.alias("company_id"),
-        known(13, _pick(SIDO, F.col("s_nationkey") % 17)).alias("sido"),
+        _pick(tuple(p for p, _ in PLACES), k % 10).alias("region"),
+        _pick(tuple(d for _, d in PLACES), k % 10).alias("district"),
+        _pick(INDUSTRIES, F.floor(k / 2) % 5).alias("industry"),
+        _pick_any([F.lit(None).cast("array<string>") if o is None else _strings(o) for o in ORGS], F.floor(k / 3) % 5).alias("org_types"),
+        F.when(k % 19 == 0, F.to_date(F.lit("1999-01-01"))).when(k % 17 != 0, F.date_sub(F.to_date(now()), (k * 97 % 6000).cast("int"))).alias("founded"),
         known(7, F.floor(F.col("s_acctbal")).cast("long")).alias("revenue"),
         known(5, k % 120).alias("employees"),
-        known(3, 300 + k * 7 % 700).alias("credit"),
-        known(17, k % 20).alias("age_years"),
+        _pick(SCALES, k % 4).alias("scale"),
         known(11, k % 4 == 0).alias("tax_delinquent"),
+        known(3, k % 3 == 1).alias("has_cert"),
+        known(4, k % 4 == 1).alias("has_patent"),
+        known(3, 300 + k * 7 % 700).alias("credit"),
+        F.when(k % 4 != 3, k % 4 != 2).alias("has_loan"),
+        _pick_any([F.array(*[use(*r) for r in rows]).cast(uses) for rows, _ in LOANS], k % 6).alias("loan_uses"),
+        _pick_any([F.lit(all_).cast("boolean") for _, all_ in LOANS], k % 6).alias("loan_uses_complete"),
+        _pick(BIZNOS, k % 5).alias("bizno"),
+        known(3, k % 3 == 1).alias("is_corporation"),
     )
 
 
-#: Condition keys by line number; "other" is never machine readable.
-CONDITION_KEYS = ("other", "region", "businessAgeMax", "revenueMax", "employeesMin", "creditScoreMin", "taxDelinquent")
+#: Keys of the derived conditions, by their kind.
+KINDS = (*EXPECTED_OP, "other")
+VALUES = {"region": REGION_CASES, "industry": INDUSTRY_CASES, "targetSector": SECTOR_CASES, "targetOrg": ORG_CASES, "companyScale": SCALE_CASES, "guaranteeInUse": LOAN_CASES}
 
 
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each condition: key, and the value in the column of its kind."""
-    n, q = F.col("l_linenumber") % 7, F.floor(F.col("l_quantity")).cast("long")
+    """One row for each condition: key, op, and the value in the column of its kind. One in thirteen has an op that doesn't fit
+    its key."""
+    kind, q, v = (F.col("l_orderkey") + 3 * F.col("l_linenumber")) % 20, F.floor(F.col("l_quantity")).cast("long"), F.col("l_suppkey")
+    key = _pick(KINDS, kind)
+    own_op = _pick((*EXPECTED_OP.values(), "eq"), kind)
+    number = {"businessAgeMaxYears": q % 15 + 1, "businessAgeMinYears": q % 15, "revenueMaxKrw": q * 200, "revenueMinKrw": q * 100, "employeeMax": q * 2, "employeeMin": q, "creditScoreMin": 300 + q * 10, "creditScoreMax": 400 + q * 10}
+    flag = {"noTaxDelinquency": F.lit(True), "certRequired": F.lit(True), "patentRequired": F.lit(True), "hasExistingLoan": F.col("l_partkey") % 2 == 0, "isCorporation": F.col("l_partkey") % 2 == 0}
+    case = lambda rows: F.coalesce(*[F.when(key == k, value) for k, value in rows.items()])
     return _read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.col("l_linenumber").alias("ord"),
-        _pick(CONDITION_KEYS, n).alias("key"),
-        F.when(n == 1, _pick(SIDO, F.col("l_suppkey") % 17)).alias("value_text"),
-        F.when(n == 2, q % 15 + 1).when(n == 3, q * 200).when(n == 4, q).when(n == 5, 300 + q * 10).alias("value_num"),
-        ((F.col("l_returnflag") != "N") & (n != 0)).alias("machine_readable"),
+        key.alias("key"),
+        F.when(F.col("l_partkey") % 13 != 0, own_op).when(own_op == "eq", "in").otherwise("eq").alias("op"),
+        case({k: _pick_any([_strings(x) for x, _ in rows], v % len(rows)) for k, rows in VALUES.items()}).alias("values"),
+        case(number).cast("double").alias("number"),
+        case(flag).alias("flag"),
+        ((F.col("l_returnflag") != "N") & (kind != 19)).alias("machine_readable"),
     )
 
 
@@ -89,16 +157,16 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company x bucket judgements: buckets are parts' suppliers' lines, one row for each pair."""
+    """Company x bucket judgements: every part is a bucket, one row for each pair of a supplier and a part with a line."""
     lines = _read(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_suppkey").alias("company_id"), (F.col("l_partkey") % 500).alias("bucket_id")).agg(
+    return lines.groupBy(F.col("l_suppkey").alias("company_id"), F.col("l_partkey").alias("bucket_id")).agg(
         F.when(F.max("l_quantity") >= 25, "fit").otherwise("unverified").alias("verdict"), (F.count("*") % 3).cast("int").alias("n_to_check")
     )
 
 
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return _read(spark, sf_dir, "part").where(k < 500).select(
+    return _read(spark, sf_dir, "part").select(
         k.alias("bucket_id"),
         _pick(FUNDING_GROUPS, k % 6).alias("category"),
         F.when(k % 9 != 0, F.date_add(F.to_date(now()), (k % 45).cast("int") - 4)).alias("apply_end_date"),
