@@ -75,38 +75,33 @@ def prepared_companies(companies: DataFrame, now: Column, districts=None) -> Dat
     })
 
 
-def _region(c: Column) -> tuple[Column, Column]:
-    """Verdict, and whether a condition that stays unknown bars the company from a fit."""
-    region = F.col("region")
-
-    def told(t: Column) -> Column:
-        """What a target says: pass, other (a known mismatch), same (province, another district), unread or nothing."""
-        d = t["district"]
-        fits = F.array_contains("provinces", d["sido"]) | F.coalesce(F.array_contains("provinces", d["former"]), F.lit(False))
-        by_district = (
-            F.when(regions.names_district(F.col("words"), d["name"]) | F.coalesce(F.col("trusted") == d["name"], F.lit(False)), "pass")
-            .when(F.size("provinces") == 0, "unread")
-            .when(fits | F.coalesce(F.col("own_district") == d["name"], F.lit(False)), "same")
-            .otherwise("other")
-        )
-        named = (F.size(t["provinces"]) > 0) & F.col("mine").isNotNull()
-        plain = F.when(region.contains(t["text"]) | t["text"].contains(region), "pass").otherwise("nothing")
-        return F.when(d.isNotNull(), by_district).when(named, F.when(F.array_contains(t["provinces"], F.col("mine")), "pass").otherwise("other")).otherwise(plain)
-
-    says = F.transform(c["targets"], told)
-    has = lambda x: F.array_contains(says, x)
-    verdict = (
-        F.when(F.coalesce(region, F.lit("")) == "", "unknown")
-        .when(F.exists(c["values"], lambda v: v.contains(regions.NATIONWIDE)), "pass")
-        .when(regions.compact(region).startswith(regions.NATIONWIDE), "unknown")
+def _told(t: Column) -> Column:
+    """What a target of a region condition says: pass, other (a known mismatch), same (province, another district), unread or
+    nothing."""
+    d, region = t["district"], F.col("region")
+    fits = F.array_contains("provinces", d["sido"]) | F.coalesce(F.array_contains("provinces", d["former"]), F.lit(False))
+    by_district = (
+        F.when(regions.names_district(F.col("words"), d["name"]) | F.coalesce(F.col("trusted") == d["name"], F.lit(False)), "pass")
+        .when(F.size("provinces") == 0, "unread")
+        .when(fits | F.coalesce(F.col("own_district") == d["name"], F.lit(False)), "same")
+        .otherwise("other")
+    )
+    named = (F.size(t["provinces"]) > 0) & F.col("mine").isNotNull()
+    plain = F.when(region.contains(t["text"]) | t["text"].contains(region), "pass").otherwise("nothing")
+    return F.when(d.isNotNull(), by_district).when(named, F.when(F.array_contains(t["provinces"], F.col("mine")), "pass").otherwise("other")).otherwise(plain)
+
+
+def _region(values: Column) -> Column:
+    has = lambda x: F.array_contains("says", x)
+    return (
+        F.when(F.coalesce("region", F.lit("")) == "", "unknown")
+        .when(F.exists(values, lambda v: v.contains(regions.NATIONWIDE)), "pass")
+        .when(regions.compact(F.col("region")).startswith(regions.NATIONWIDE), "unknown")
         .when(has("pass"), "pass")
         .when(has("same") | has("unread"), "unknown")
         .when(has("other"), "fail")
         .otherwise("unknown")
     )
-    foreign = lambda t: t["district"].isNotNull() & (t["district"]["name"] != F.col("trusted")) & ~regions.names_district(F.col("words"), t["district"]["name"])
-    bars = F.col("trusted").isNotNull() & (F.size(c["targets"]) > 0) & F.forall(c["targets"], foreign)
-    return verdict, F.coalesce(bars, F.lit(False))
 
 
 def _guarantee(c: Column) -> Column:
@@ -126,21 +121,15 @@ def _guarantee(c: Column) -> Column:
     )
 
 
-def check(c: Column) -> Column:
-    """(verdict, bars, weak) of a prepared condition `c` for the prepared company whose columns the row has.
-
-    bars: an unknown that rules out a fit. weak: a pass that can't make a fit alone.
-    """
+def _verdict(c: Column) -> Column:
     yes = lambda test: F.when(test.isNull(), "unknown").when(test, "pass").otherwise("fail")
     n, values = c["number"], c["values"]
     overlap = lambda names: F.arrays_overlap(names, values)
     all_in = lambda known: (F.size(values) > 0) & F.forall(values, lambda v: v.isin(*known))
-    age = F.when(F.col("age") >= 0, F.col("age"))
-    region, bars = _region(c)
-    scale = F.coalesce("scale", F.lit(""))
+    age, industry, scale = F.when(F.col("age") >= 0, F.col("age")), F.coalesce("industry", F.lit("")), F.coalesce("scale", F.lit(""))
     tests = {
-        "region": region,
-        "industry": F.when(F.exists(values, lambda v: F.coalesce("industry", F.lit("")).contains(v) & (F.coalesce("industry", F.lit("")) != "")), "pass").otherwise("unknown"),
+        "region": _region(values),
+        "industry": F.when((industry != "") & F.exists(values, industry.contains), "pass").otherwise("unknown"),
         "targetSector": F.when(~all_in(sectors.SECTORS) | (F.size("sectors") == 0), "unknown").when(overlap(F.col("sectors")), "pass").when(F.arrays_overlap("sectors", c["near"]), "unknown").otherwise("fail"),
         "targetOrg": F.when(~all_in(sectors.ORG_TYPES) | (F.size("org_names") == 0), "unknown").when(overlap(F.col("org_names")), "pass").otherwise("fail"),
         "companyScale": F.when(scale == "", "unknown").when(F.exists(values, lambda v: scale.contains(v) | v.contains(scale)), "pass").otherwise("fail"),
@@ -159,13 +148,22 @@ def check(c: Column) -> Column:
         "isCorporation": yes(F.col("corporation") == c["flag"]),
         "guaranteeInUse": _guarantee(c),
     }
-    verdict = F.coalesce(*[F.when(c["key"] == key, test) for key, test in tests.items()], F.lit("unknown"))
-    verdict = F.when(open_to_machines(c), verdict).otherwise("unknown")
+    found = F.coalesce(*[F.when(c["key"] == key, test) for key, test in tests.items()], F.lit("unknown"))
+    return F.when(open_to_machines(c), found).otherwise("unknown")
+
+
+def checked(pairs: DataFrame) -> DataFrame:
+    """pairs: a prepared condition `c` and a prepared company's columns. Adds the verdict; bars, an unknown that rules out a fit
+    (all its places are known districts other than the company's); and weak, a pass that can't make a fit alone."""
+    c, region = F.col("c"), F.coalesce("region", F.lit(""))
     of_region = c["key"] == "region"
-    weak = c["key"].isin("isCorporation", "companyScale") | (of_region & regions.is_nationwide(values))
-    said = F.coalesce("region", F.lit(""))
-    judged = ~c["machine_readable"] | ((said != "") & ~regions.compact(said).startswith(regions.NATIONWIDE))
-    return F.struct(verdict.alias("verdict"), F.coalesce((verdict == "unknown") & of_region & fitting_op(c) & judged & bars, F.lit(False)).alias("bars"), F.coalesce((verdict == "pass") & weak, F.lit(False)).alias("weak"))
+    judged = ~c["machine_readable"] | ((region != "") & ~regions.compact(region).startswith(regions.NATIONWIDE))
+    foreign = lambda t: t["district"].isNotNull() & (t["district"]["name"] != F.col("trusted")) & ~regions.names_district(F.col("words"), t["district"]["name"])
+    bars = F.when(of_region & fitting_op(c) & judged & (F.col("verdict") == "unknown") & F.col("trusted").isNotNull() & (F.size(c["targets"]) > 0), F.forall(c["targets"], foreign))
+    weak = (F.col("verdict") == "pass") & (c["key"].isin("isCorporation", "companyScale") | (of_region & regions.is_nationwide(c["values"])))
+    said = pairs.withColumn("says", F.when(of_region & open_to_machines(c), F.transform(c["targets"], _told)))
+    found = said.withColumn("verdict", _verdict(c))
+    return found.withColumns({"bars": F.coalesce(bars, F.lit(False)), "weak": F.coalesce(weak, F.lit(False))})
 
 
 def fitting_op(c: Column) -> Column:
@@ -178,11 +176,10 @@ def open_to_machines(c: Column) -> Column:
 
 
 def checks(conditions: DataFrame, companies: DataFrame, now: Column, districts=None) -> DataFrame:
-    """(the distinct conditions' columns, company_id, verdict, bars, weak): each distinct condition for each company."""
+    """(company_id, the distinct conditions' columns, verdict, bars, weak): each distinct condition for each company."""
     rows = prepared_conditions(conditions.select(*CONDITION).distinct(), districts)
-    c = F.struct(*rows.columns)
-    own = prepared_companies(companies, now, districts)
-    return rows.select(c.alias("c")).crossJoin(own).select("company_id", "c", check(F.col("c")).alias("k")).select("company_id", *[F.col("c")[x].alias(x) for x in CONDITION], "k.*")
+    pairs = rows.select(F.struct(*rows.columns).alias("c")).crossJoin(prepared_companies(companies, now, districts))
+    return checked(pairs).select("company_id", *[F.col("c")[x].alias(x) for x in CONDITION], "verdict", "bars", "weak")
 
 
 def _numbered(conditions: DataFrame) -> DataFrame:
@@ -191,15 +188,16 @@ def _numbered(conditions: DataFrame) -> DataFrame:
     return conditions.where(open_to_machines(c)).select(c.alias("c")).distinct().agg(F.sort_array(F.collect_list("c")).alias("all"))
 
 
-def _profiles(every: DataFrame, companies: DataFrame, now: Column, districts) -> DataFrame:
-    """(company_id, codes, bars, weak): a company's verdict on each numbered condition. A code counts one pass, fail or
-    unknown in its own field of a number."""
-    rows = prepared_conditions(every.select(F.explode("all").alias("c")).select("c.*"), districts)
-    ready = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("ready"))
-    own = prepared_companies(companies, now, districts).crossJoin(ready)
-    found = own.select("company_id", F.transform("ready", check).alias("k"))
-    code = lambda k: F.when(k["verdict"] == "pass", 1).when(k["verdict"] == "fail", FIELD).otherwise(FIELD * FIELD).cast("long")
-    return found.select("company_id", F.transform("k", code).alias("codes"), F.transform("k", lambda k: (k["verdict"] == "pass") & ~k["weak"]).alias("strong"))
+def _profiles(place: DataFrame, companies: DataFrame, now: Column, districts) -> DataFrame:
+    """(company_id, codes, strong): a company's verdict on each numbered condition. A code counts one pass, fail or unknown in
+    its own field of a number."""
+    rows = prepared_conditions(place.select("n", "c.*"), districts)
+    pairs = rows.select("n", F.struct(*[x for x in rows.columns if x != "n"]).alias("c")).crossJoin(prepared_companies(companies, now, districts))
+    v = F.col("verdict")
+    code = F.when(v == "pass", 1).when(v == "fail", FIELD).otherwise(FIELD * FIELD).cast("long")
+    found = checked(pairs).select("company_id", "n", code.alias("code"), ((v == "pass") & ~F.col("weak")).alias("strong"))
+    held = found.groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct("n", "code", "strong"))).alias("k"))
+    return companies.select("company_id").join(held, "company_id", "left").select("company_id", F.col("k.code").alias("codes"), F.col("k.strong").alias("strong"))
 
 
 def _cross(rows: DataFrame, profiles: DataFrame, n_companies: int, row_bytes: int) -> DataFrame:
@@ -248,7 +246,7 @@ def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame
     known = F.filter(F.collect_list(F.struct("n", "k")), lambda x: x["n"].isNotNull())
     arrays = counted.groupBy("id").agg(known.alias("own"), F.sum(F.when(F.col("n").isNull(), F.col("k")).otherwise(0)).alias("fixed"), F.sum("k").alias("all"))
     rows = announcements.join(arrays, "id", "left").withColumn("fixed", F.when(F.col("all") >= FIELD, F.raise_error(F.lit(f"an announcement has over {FIELD} conditions"))).otherwise(F.coalesce("fixed", F.lit(0))))
-    crossed = _cross(rows.drop("all"), _profiles(every, companies, now, districts), companies.count(), 10 * n_distinct + 100)
+    crossed = _cross(rows.drop("all"), _profiles(place, companies, now, districts), companies.count(), 10 * n_distinct + 100)
     total = F.aggregate(F.coalesce("own", F.array().cast("array<struct<n:int,k:long>>")), F.lit(0).cast("long"), lambda a, x: a + x["k"] * F.get("codes", x["n"]))
     summed = crossed.withColumn("t", total)
     p, f, u = F.pmod("t", F.lit(FIELD)), F.pmod(F.shiftright("t", 21), F.lit(FIELD)), F.shiftright("t", 42) + F.col("fixed")

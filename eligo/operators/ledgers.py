@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words of a table's head.
+HEADER_WORDS = ("공지", "공지사항", "목록", "검색", "제목", "번호", "더보기", "전체", "리스트")
+
+
 def by_source():
     return Window.partitionBy("source").orderBy("run_at", "run_id")
 
 
-
 def failure_streaks(runs: DataFrame) -> DataFrame:
     """Each run with the failures in a row up to it: a success resets."""
     streak = runs.withColumn("successes", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(by_source().rowsBetween(Window.unboundedPreceding, 0)))
@@ -41,19 +44,33 @@ def first_writers(runs: DataFrame) -> DataFrame:
 
 
 def stop_pages(pages: DataFrame, empty_streak: int = 2) -> DataFrame:
-    """pages (source, page, key): the pages a scan keeps, up to the first run of `empty_streak` pages without a new key."""
-    first_seen = F.min("page").over(Window.partitionBy("source", "key"))
-    new = pages.withColumn("is_new", (first_seen == F.col("page")).cast("int")).groupBy("source", "page").agg(F.sum("is_new").alias("n_new"))
+    """pages (source, page, key): the pages a scan keeps, up to the first run of `empty_streak` pages without a new key. A key
+    counts once, on the first page that has it."""
+    first = pages.groupBy("source", "key").agg(F.min("page").alias("page"))
+    n_first = first.groupBy("source", "page").agg(F.count("*").alias("n_new"))
+    new = pages.select("source", "page").distinct().join(n_first, ["source", "page"], "left").na.fill(0, ["n_new"])
     w = Window.partitionBy("source").orderBy("page")
     empties = F.sum(F.when(F.col("n_new") == 0, 1).otherwise(0)).over(w.rowsBetween(1 - empty_streak, 0))
     stop = F.min(F.when(F.col("empties") == empty_streak, F.col("page"))).over(Window.partitionBy("source"))
-    return new.withColumn("empties", empties).withColumn("stop", stop).groupBy("source").agg(F.max(F.when(F.col("stop").isNull() | (F.col("page") <= F.col("stop")), F.col("page"))).alias("last_page"), F.max(F.col("stop").isNotNull()).alias("stopped"), F.sum(F.when(F.col("stop").isNull() | (F.col("page") <= F.col("stop")), F.col("n_new"))).alias("n_keys"))
+    kept = F.col("stop").isNull() | (F.col("page") <= F.col("stop"))
+    held = new.withColumn("empties", empties).withColumn("stop", stop).groupBy("source")
+    return held.agg(
+        F.max(F.when(kept, F.col("page"))).alias("last_page"),
+        F.max(F.col("stop").isNotNull()).alias("stopped"),
+        F.sum(F.when(kept, F.col("n_new"))).alias("n_keys"),
+    )
 
 
 def row_gate(rows: DataFrame, previous: DataFrame, least: int = 0) -> DataFrame:
-    """rows (source, title, url, dated): the first rule that a source's rows fail, or ok. previous (source, prev_count)."""
+    """rows (source, title, url, dated): the first rule that a source's rows fail, or ok. previous (source, prev_count). A
+    table's header words are no titles."""
+    title = F.trim("title")
     facts = rows.groupBy("source").agg(
-        F.count("*").alias("n"), F.count_if(F.length(F.trim("title")) >= 4).alias("titled"), F.count_if(F.col("url").rlike("^https?://.+")).alias("linked"), F.count_distinct(F.nullif(F.trim("url"), F.lit(""))).alias("urls"), F.count_if("dated").alias("dated")
+        F.count("*").alias("n"),
+        F.count_if((F.length(title) >= 4) & ~title.isin(*HEADER_WORDS)).alias("titled"),
+        F.count_if(F.col("url").rlike("^https?://.+")).alias("linked"),
+        F.count_distinct(F.nullif(F.trim("url"), F.lit(""))).alias("urls"),
+        F.count_if("dated").alias("dated"),
     )
     return facts.join(previous, "source", "left").select(
         "source",

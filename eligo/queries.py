@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eligo import cases
 from eligo.functions import korean
 from eligo.operators import evaluate, grouping, ledgers
 from eligo.plans import deadline
@@ -65,8 +66,8 @@ LINES = f"""bucket AS (
   SELECT m.company_id, m.bucket_id, m.verdict, b.category, date_diff('day', DATE '{NOW[:10]}', apply_end_date) AS d_day
   FROM match m JOIN bucket b ON m.bucket_id = b.bucket_id JOIN supplier ON s_suppkey = m.company_id WHERE apply_end_date >= DATE '{NOW[:10]}')"""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(cases.QUERIES)
+SQL: dict[str, str] = dict(cases.SQL)
 
 
 def query(sql: str | None = None):
@@ -187,12 +188,14 @@ def browse_total(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count_distinct("grp").alias("total"))
 
 
-@query(f"""WITH {ANN} SELECT id, kind, CASE kind WHEN 'date' THEN d WHEN 'always' THEN 90000 WHEN 'upcoming' THEN 89999 ELSE 99999 END AS dead_rank FROM (
-  SELECT id, CASE WHEN apply_start > TIMESTAMP '{NOW}' THEN 'upcoming' WHEN apply_end IS NULL THEN 'always' WHEN apply_end < TIMESTAMP '{NOW}' THEN 'closed' ELSE 'date' END AS kind,
-    date_diff('day', CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), CAST(apply_end + INTERVAL 9 HOUR AS DATE)) AS d FROM ann)""")
+@query(f"""WITH {ANN}, d AS (SELECT id, CASE WHEN apply_start > TIMESTAMP '{NOW}' THEN 'upcoming' WHEN apply_end IS NOT NULL THEN 'date' ELSE {_pick(("unknown", "budget", "always", "text", "always"), "id // 7 % 5")} END AS kind,
+    date_diff('day', CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), CAST(apply_end + INTERVAL 9 HOUR AS DATE)) AS d FROM ann)
+  SELECT id, kind, CAST(CASE WHEN kind = 'upcoming' AND d IS NULL THEN 89999 WHEN kind IN ('upcoming', 'date') THEN CASE WHEN d < 0 THEN 99999 ELSE d END
+    WHEN kind = 'always' THEN 90000 WHEN kind = 'budget' THEN 90001 WHEN kind = 'text' THEN 90002 ELSE 90003 END AS BIGINT) AS dead_rank FROM d""")
 def deadline_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    kind = korean.deadline_kind(F.col("apply_start"), F.col("apply_end"), bridge.now())
-    return bridge.announcements(spark, sf).select("id", kind.alias("kind"), korean.dead_rank(kind, korean.d_day(F.col("apply_end"), bridge.now())).cast("long").alias("dead_rank"))
+    d = korean.announcement_deadline(F.col("apply_start"), F.col("apply_end"), F.col("deadline_text"), bridge.now())
+    rows = bridge.announcements(spark, sf).select("id", d.alias("d"))
+    return rows.select("id", F.col("d.kind").alias("kind"), korean.dead_rank(F.col("d")).cast("long").alias("dead_rank"))
 
 
 @query("SELECT o_orderkey AS id, o_orderdate - INTERVAL 9 HOUR AS period_start, o_orderdate + to_days(CAST(o_orderkey % 60 AS INTEGER)) + INTERVAL '14:59:59' AS period_end FROM orders")
@@ -207,11 +210,15 @@ def amounts_from_text(spark: SparkSession, sf: str) -> DataFrame:
     return bridge.announcements(spark, sf).select("id", korean.won_of(F.col("amount_text")).alias("won"))
 
 
-@query(f"""WITH {ANN} SELECT id, CASE WHEN amount_won <= 0 THEN '—' WHEN amount_won >= 100000000 THEN (amount_won // 100000000) || '억' ||
-  CASE WHEN amount_won % 100000000 // 10000 > 0 THEN ' ' || regexp_replace(CAST(amount_won % 100000000 // 10000 AS VARCHAR), '^(\\d)(\\d{{3}})$', '\\1,\\2') || '만원' ELSE '원' END
-  ELSE regexp_replace(CAST(amount_won // 10000 AS VARCHAR), '^(\\d)(\\d{{3}})$', '\\1,\\2') || '만원' END AS words FROM ann""")
+_thousands = lambda x: f"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '^(\\d+)(\\d{{3}})(\\d{{3}})$', '\\1,\\2,\\3'), '^(\\d+)(\\d{{3}})$', '\\1,\\2')"
+
+
+@query(f"""WITH {ANN}, a AS (SELECT id, amount_won // 7 AS won FROM ann) SELECT id, CASE WHEN won <= 0 THEN '—' WHEN won >= 100000000 THEN {_thousands("won // 100000000")} || '억' ||
+  CASE WHEN won % 100000000 // 10000 > 0 THEN ' ' || {_thousands("won % 100000000 // 10000")} || '만원' ELSE '원' END
+  WHEN won >= 10000 THEN {_thousands("(won + 5000) // 10000")} || '만원' ELSE {_thousands("won")} || '원' END AS words FROM a""")
 def amount_words(spark: SparkSession, sf: str) -> DataFrame:
-    return bridge.announcements(spark, sf).select("id", korean.format_won(F.col("amount_won")).alias("words"))
+    """Of amounts that are no multiples of 10,000."""
+    return bridge.announcements(spark, sf).select("id", korean.format_won(F.floor(F.col("amount_won") / 7)).alias("words"))
 
 
 @query(f"""WITH {ANN} SELECT id, sido || CASE WHEN id % 2 = 0 THEN '정책자금융자' ELSE 'growth지원사업' END || (id % 97) || '호|agency' || (o_custkey % 29) AS dedup_key FROM ann""")
@@ -273,7 +280,7 @@ def first_writers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT l_suppkey AS source, l_orderkey % 40 + 1 AS page, l_partkey % 120 AS key FROM lineitem),
-n AS (SELECT source, page, count(*) FILTER (first = page) AS n_new FROM (SELECT *, min(page) OVER (PARTITION BY source, key) AS first FROM p) GROUP BY 1, 2),
+n AS (SELECT source, page, count(DISTINCT key) FILTER (first = page) AS n_new FROM (SELECT *, min(page) OVER (PARTITION BY source, key) AS first FROM p) GROUP BY 1, 2),
 e AS (SELECT *, sum(CASE WHEN n_new = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS k FROM n),
 s AS (SELECT *, min(page) FILTER (k = 2) OVER (PARTITION BY source) AS stop FROM e)
 SELECT source, max(page) AS last_page, bool_or(stop IS NOT NULL) AS stopped, CAST(sum(n_new) AS BIGINT) AS n_keys FROM s WHERE stop IS NULL OR page <= stop GROUP BY 1""")
@@ -282,16 +289,16 @@ def page_stops(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.stop_pages(rows)
 
 
-@query("""WITH r AS (SELECT o_custkey AS source, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 5 = 0 THEN '' ELSE 'title ' || o_orderkey END AS title,
+@query("""WITH r AS (SELECT o_custkey AS source, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 5 = 0 THEN '' WHEN o_orderkey % 2 = 0 AND o_custkey % 11 = 0 THEN '공지사항' ELSE 'title ' || o_orderkey END AS title,
   CASE WHEN o_custkey % 7 = 0 THEN 'javascript:' || o_orderkey ELSE 'https://x/' || (o_orderkey % (1 + o_custkey % 9)) END AS url, o_orderkey % (2 + o_custkey % 6) = 0 AS dated FROM orders),
-f AS (SELECT source, count(*) AS n, count(*) FILTER (length(trim(title)) >= 4) AS t, count(*) FILTER (url LIKE 'http%') AS l, count(DISTINCT url) AS u, count(*) FILTER (dated) AS d FROM r GROUP BY 1)
+f AS (SELECT source, count(*) AS n, count(*) FILTER (length(trim(title)) >= 4 AND title <> '공지사항') AS t, count(*) FILTER (url LIKE 'http%') AS l, count(DISTINCT url) AS u, count(*) FILTER (dated) AS d FROM r GROUP BY 1)
 SELECT source, n, CASE WHEN n < 3 THEN 'few' WHEN source % 40 >= 10 AND 2 * n < source % 40 THEN 'drop' WHEN 10 * t < 6 * n THEN 'titles' WHEN 10 * l < 6 * n THEN 'links' WHEN 2 * u < n THEN 'urls' WHEN 10 * d < 3 * n THEN 'dates' ELSE 'ok' END AS reason FROM f""")
 def row_validation_gate(spark: SparkSession, sf: str) -> DataFrame:
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     rows = orders.select(
         c.alias("source"),
-        F.when((k % 3 == 0) & (c % 5 == 0), "").otherwise(F.concat(F.lit("title "), k.cast("string"))).alias("title"),
+        F.when((k % 3 == 0) & (c % 5 == 0), "").when((k % 2 == 0) & (c % 11 == 0), "공지사항").otherwise(F.concat(F.lit("title "), k.cast("string"))).alias("title"),
         F.when(c % 7 == 0, F.concat(F.lit("javascript:"), k.cast("string"))).otherwise(F.concat(F.lit("https://x/"), (k % (1 + c % 9)).cast("string"))).alias("url"),
         (k % (2 + c % 6) == 0).alias("dated"),
     )

@@ -40,6 +40,7 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("apply_start"),
         F.when(k % 7 != 0, F.col("o_orderdate") + F.make_dt_interval((k % 60).cast("int"), F.lit(14), F.lit(59), F.lit(59))).alias("apply_end"),
         F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit(" ~ "), F.date_format(F.date_add(F.to_date("o_orderdate"), (k % 60).cast("int")), "yyyy-MM-dd")).alias("period_text"),
+        F.when(k % 7 == 0, _pick(("", "예산 소진 시까지", "상시 모집", "추후 공지", "연중"), F.floor(k / 7) % 5)).otherwise("기간 내").alias("deadline_text"),
         F.when(k % 11 == 0, "").otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit("|"), F.date_format("o_orderdate", "yyyy-MM"))).alias("dedup_key"),
         _pick(FUNDING_GROUPS, k % 6).alias("funding_group"),
         (man * 10_000).alias("amount_won"),

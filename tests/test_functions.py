@@ -37,13 +37,45 @@ def test_dedup_key_ignores_marks(spark):
     assert one(spark, korean.dedup_key_of(F.col("a"), F.col("b")), a="(Seoul) 자금·융자 – 1", b="A. B") == "seoul자금융자1|ab"
 
 
+CONDITION = "id long, key string, op string, values array<string>, number double, flag boolean, machine_readable boolean"
+COMPANY = "company_id long, region string, district string, industry string, org_types array<string>, founded date, revenue long, employees long, scale string, tax_delinquent boolean, has_cert boolean, has_patent boolean, credit long, has_loan boolean, loan_uses array<struct<agency:string,name:string,sido:string,status:string>>, loan_uses_complete boolean, bizno string, is_corporation boolean"
+NOW = "2024-06-01"
+
+
+def graded(spark, conditions, companies, **kw):
+    conds = spark.createDataFrame(conditions, CONDITION)
+    firms = spark.createDataFrame(companies, COMPANY)
+    anns = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
+    return {(r.id, r.company_id): (r.grade, r.score, r.fit) for r in evaluate.grades(anns, conds, firms, F.lit(NOW).cast("timestamp_ntz"), **kw).collect()}
+
+
 def test_unknown_never_passes(spark):
-    conds = spark.createDataFrame([(1, "region", "서울", None, True), (2, "region", "서울", None, False), (3, "revenueMax", None, 5, True)], "id long, key string, value_text string, value_num long, machine_readable boolean")
-    firms = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "부산", 5, 1, 1, 1, True)], "company_id long, sido string, revenue long, employees long, credit long, age_years long, tax_delinquent boolean")
-    anns = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
-    got = {(r.id, r.company_id): (r.grade, r.score, r.fit) for r in evaluate.grades(anns, conds, firms).collect()}
-    assert got[1, 1] == ("uncertain", 50, "unverified") and got[1, 2] == ("impossible", 10, "excluded")
-    assert got[2, 2] == ("uncertain", 50, "unverified") and got[3, 2] == ("possible", 65, "fit") and got[4, 1] == ("uncertain", 40, "unverified")
+    nothing = (1, *[None] * 17)
+    busan = (2, "부산", None, None, None, None, 5, *[None] * 11)
+    conds = [
+        (1, "region", "in", ["서울"], None, None, True),
+        (2, "region", "in", ["서울"], None, None, False),
+        (3, "revenueMaxKrw", "lte", None, 5.0, None, True),
+        (4, "revenueMaxKrw", "gte", None, 5.0, None, True),
+        (5, "region", "in", ["전국"], None, None, True),
+        (6, "other", "eq", None, None, None, True),
+        (9, "region", "in", ["서울"], None, None, True),
+        *[(3, "revenueMaxKrw", "lte", None, 5.0, None, True)] * 2,
+    ]
+    for kw in ({}, {"most_distinct": 0}):  # by arrays of verdicts, and pair by pair
+        got = graded(spark, conds, [nothing, busan], **kw)
+        assert len(got) == 14
+        assert got[1, 1] == ("uncertain", 50, "unverified") and got[1, 2] == ("impossible", 10, "excluded")
+        assert got[2, 2] == ("uncertain", 50, "unverified") and got[3, 2] == ("possible", 95, "fit") and got[4, 2] == ("uncertain", 50, "unverified")
+        assert got[5, 2] == ("possible", 65, "unverified") and got[6, 2] == ("uncertain", 50, "unverified") and got[7, 1] == ("uncertain", 40, "unverified")
+
+
+def test_companies_in_blocks(spark, monkeypatch):
+    firms = [(i, "부산" if i % 2 else "서울", *[None] * 16) for i in range(40)]
+    conds = [(i, "region", "in", ["서울"], None, None, True) for i in range(1, 5)]
+    want = graded(spark, conds, firms)
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 1_000)
+    assert graded(spark, conds, firms) == want and len(want) == 280
 
 
 def test_blank_key_is_its_own_group(spark):
@@ -52,9 +84,9 @@ def test_blank_key_is_its_own_group(spark):
 
 
 def test_pages_stop_at_streak(spark):
-    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("a", 4, 2), ("b", 1, 1)], "source string, page int, key int")
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("a", 4, 2), ("b", 1, 1), ("c", 1, 1), ("c", 1, 1), ("c", 2, 2)], "source string, page int, key int")
     got = {r.source: (r.last_page, r.stopped, r.n_keys) for r in ledgers.stop_pages(rows).collect()}
-    assert got == {"a": (3, True, 1), "b": (1, False, 1)}
+    assert got == {"a": (3, True, 1), "b": (1, False, 1), "c": (2, False, 2)}
 
 
 def test_stream_equals_batch(spark, tmp_path):
