@@ -65,3 +65,26 @@ def fold_twins(announcements: DataFrame, products: DataFrame) -> DataFrame:
 def unfolded_products(announcements: DataFrame, products: DataFrame) -> DataFrame:
     folded = fold_twins(announcements, products).select(F.col("related_product_id").alias("product_id"))
     return products.join(folded, "product_id", "left_anti")
+
+
+def escaped(text: str) -> str:
+    """A text for LIKE, its own wildcards taken as letters."""
+    for mark in ("\\", "%", "_"):
+        text = text.replace(mark, "\\" + mark)
+    return text
+
+
+def browse_rows(rows: DataFrame, status: str | None = None, category: str | None = None, region: str | None = None, text: str | None = None, fields: tuple[str, ...] = ("title", "agency", "summary", "target_text")) -> DataFrame:
+    """Rows of a status, whose category and region hold these texts, and one of whose fields holds the search in any case. All of it
+    are predicates that reach the scan or the join below."""
+    if status is not None:
+        rows = rows.where(F.col("status") == status)
+    for name, value in (("category", category), ("sido", region)):
+        if value:
+            rows = rows.where(F.col(name).like(f"%{escaped(value)}%"))
+    if text:
+        found = F.lit(False)
+        for name in fields:
+            found = found | F.col(name).ilike(f"%{escaped(text)}%")
+        rows = rows.where(found)
+    return rows

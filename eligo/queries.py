@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo import cases
 from eligo.functions import korean
 from eligo.operators import evaluate, grouping, ledgers
 from eligo.plans import deadline
@@ -66,8 +65,8 @@ LINES = f"""bucket AS (
   SELECT m.company_id, m.bucket_id, m.verdict, b.category, date_diff('day', DATE '{NOW[:10]}', apply_end_date) AS d_day
   FROM match m JOIN bucket b ON m.bucket_id = b.bucket_id JOIN supplier ON s_suppkey = m.company_id WHERE apply_end_date >= DATE '{NOW[:10]}')"""
 
-QUERIES: dict = dict(cases.QUERIES)
-SQL: dict[str, str] = dict(cases.SQL)
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):

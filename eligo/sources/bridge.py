@@ -158,13 +158,34 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company x bucket judgements: every part is a bucket, one row for each pair of a supplier and a part with a line."""
+    """Company x bucket judgements: every part is a bucket, one row for each pair of a supplier and a part with a line. What is
+    left to check: nothing, the generic advice alone, or a check of its own and the advice."""
     lines = _read(spark, sf_dir, "lineitem")
+    n = F.count("*") % 3
     return lines.groupBy(F.col("l_suppkey").alias("company_id"), F.col("l_partkey").alias("bucket_id")).agg(
-        F.when(F.max("l_quantity") >= 25, "fit").otherwise("unverified").alias("verdict"), (F.count("*") % 3).cast("int").alias("n_to_check")
+        F.when(F.max("l_quantity") >= 25, "fit").otherwise("unverified").alias("verdict"),
+        n.cast("int").alias("n_to_check"),
+        F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.lit(GENERIC[0]))).otherwise(F.array(F.lit("업종 확인"), F.lit(GENERIC[0]))).alias("to_check"),
     )
 
 
+#: Advice that stands under every judgement.
+GENERIC = ("원문 확인",)
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of work on a bucket for a company, several for a pair at times."""
+    lines = _read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return lines.select(F.col("l_suppkey").alias("company_id"), F.col("l_partkey").alias("bucket_id"), F.col("l_orderkey").alias("track_id"), F.col("l_shipdate").alias("created_at"))
+
+
+def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, and the consultants who may read a company: one of all companies of a nation, and one of every third."""
+    k = F.col("s_suppkey")
+    readers = F.array_compact(F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.when(k % 3 == 0, "third")))
+    return _read(spark, sf_dir, "supplier").select(k.alias("company_id"), F.concat(F.lit("Firm "), (k * 7 % 50).cast("string")).alias("company_name"), readers.alias("readers"))
+
+
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return _read(spark, sf_dir, "part").select(

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from eligo.queries import QUERIES, SQL
+from eligo.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
