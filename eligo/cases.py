@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.functions import classify, korean, regions, sectors
-from eligo.operators import extract
+from eligo.functions import classify, korean, notices, regions, sectors
+from eligo.operators import extract, stored
 from eligo.sources.bridge import now
 
 QUERIES: dict = {}
@@ -240,3 +240,84 @@ cases(
         (("업력 7년 초과 기업은 제외하고 7년 이내",), ("businessAgeMaxYears=7?",)),
     ],
 )
+
+# Notices
+one("no_programmes", "string", notices.no_programme, [("2024년 선정결과 공고", "지원사업 공고가 아닌 글"), ("신규 채용 인건비 지원", None), ("정규직 채용 공고", "지원사업 공고가 아닌 글"), ("심사위원 모집", "지원사업 공고가 아닌 글"), ("수행기관 모집", "운영기관·위원·강사 모집 글"), ("창업기업 지원사업 모집", None), ("접수 종료 안내(1차)", "지원사업 공고가 아닌 글"), ("모집 및 종료 안내", None), (None, None)])
+cases(
+    "loan_programmes",
+    {"title": "string", "agency": "string"},
+    {"kind": ("string", lambda: notices.loan_programme(c("title"), c("agency"))["kind"]), "guarantor": ("string", lambda: notices.loan_programme(c("title"), c("agency"))["guarantor"])},
+    [
+        (("전환보증 안내", "경기신용보증재단"), ("conversion", "경기신용보증재단")),
+        (("업종전환보증", "신용보증기금"), (None, None)),
+        (("보증 전환", "신보"), ("conversion", "신용보증기금")),
+        (("보증 통합", "기술보증기금"), ("conversion", "기술보증기금")),
+        (("전환 보증", ""), ("conversion", "지역신용보증재단")),
+        (("저금리 대환대출", "은행"), ("refinance", None)),
+        (("대환영 박람회", ""), (None, None)),
+        (("안전망 전환대출", ""), ("refinance", None)),
+    ],
+)
+one("guarantors", "string", lambda x: joined(notices.guarantors_in(x)), [("경기신용보증재단, 서울신보", "경기신용보증재단,서울신용보증재단"), ("재단 또는 신용보증기금", "지역신용보증재단,신용보증기금"), ("기보 이용", "기술보증기금"), ("기술혁신보증", ""), ("", "")])
+cases(
+    "copays",
+    {"texts": "array<string>"},
+    {"copay": ("boolean", lambda: notices.copay_of(c("texts"))["copay"]), "label": ("string", lambda: notices.copay_of(c("texts"))["label"])},
+    [
+        ((["자부담 30%", None],), (True, "자부담 30%")),
+        ((["자부담금: 20% , 부가세 별도"],), (True, "자부담 20% · 부가세 고객 부담")),
+        ((["총사업비의 70% 이내 지원"],), (True, "총사업비 70% 지원(자부담 30%)")),
+        ((["매칭 자금 필요"],), (True, "자부담 있음(비율 원문 확인)")),
+        ((["자부담 없음"],), (False, "자부담 없음")),
+        ((["", None],), (False, "자부담 원문에 없음")),
+        ((["무료 안내"],), (False, "자부담 원문에 없음")),
+    ],
+)
+cases(
+    "deadline_word_texts",
+    {"start": "timestamp_ntz", "end": "timestamp_ntz", "text": "string"},
+    {k: ("string", lambda k=k: notices.deadline_words(c("d"), c("end"), c("text"), now())[k]) for k in ("chip", "long", "tone")},
+    [
+        ((None, "1998-06-01 14:59:59", ""), ("오늘 마감", "오늘 마감", "red")),
+        ((None, "1998-06-02 14:59:59", ""), ("내일(6월 2일) 마감", "내일(6월 2일) 마감", "red")),
+        ((None, "1998-06-08 14:59:59", ""), ("7일 남음", "7일 남음 (6월 8일 마감)", "red")),
+        ((None, "1998-06-09 14:59:59", ""), ("6월 9일 마감", "6월 9일 마감", "plain")),
+        ((None, "1998-05-09 14:59:59", ""), ("마감됨", "마감됨", "plain")),
+        (("1998-06-03 03:00:00", "1998-06-20 14:59:59", ""), ("접수 예정 · 마감 D-19", "2일 뒤 접수 시작 · 마감 D-19", "plain")),
+        (("1998-06-03 03:00:00", None, ""), ("2일 뒤 접수 시작", "2일 뒤 접수 시작", "plain")),
+        ((None, None, "상시"), ("상시 접수", "상시 접수", "green")),
+        ((None, None, "예산 소진 시"), ("예산 소진 시 마감", "예산 소진 시 마감", "plain")),
+        ((None, None, "추후 별도로 공지할 예정입니다"), ("추후 별도로 공지할 예정입…", "추후 별도로 공지할 예정입니다", "plain")),
+        ((None, None, ""), ("기간 미기재", "기간 미기재", "plain")),
+    ],
+    before=lambda df: df.withColumn("d", korean.announcement_deadline(c("start"), c("end"), c("text"), now())),
+)
+one("percent_supports", "string", notices.percent_support, [("비용의 70% 이내 지원", "70% 이내 지원"), ("자부담 30% 지원", ""), ("금리 3.5% 이내", ""), ("80%  보조", "80% 보조"), ("없음", "")])
+one("region_fields", "string", lambda x: joined(notices.region_from_field(x)), [("서울, 경기", "서울,경기"), ("전국", None), ("전국(서울 제외)", None), ("", None), ("수도권", None), (None, None)])
+one("body_digests", "string", notices.body_digest, [("", "0:"), ("  ", "0:"), (None, "0:"), (" abc ", "3:ba7816bf8f01cfea")])
+one("prompt_sizes", "boolean", lambda x: notices.fits_prompt(F.repeat(x, F.lit(51_968))), [("가", True), ("가a", False), ("a", True), (None, True)])
+
+# Stored structures and profiles
+_stored = '{"conditions": [%s], "humanCheck": ["직접 확인", " "]}'
+cases(
+    "stored_conditions",
+    {"x": "string"},
+    {
+        "value": ("string", lambda: F.array_join(F.transform(c("s")["conditions"], lambda k: F.concat(k["key"], F.lit("="), F.coalesce(F.array_join(k["values"], "+"), k["number"].cast("long").cast("string"), k["flag"].cast("string"), F.lit("-")), F.when(k["machine_readable"], "").otherwise("?"))), " ")),
+        "human": ("string", lambda: joined(c("s")["human"])),
+    },
+    [
+        ((_stored % '{"key": "region", "op": "in", "value": ["서울", "경기"], "rawText": "수도권", "machineReadable": true}',), ("region=서울+경기", "직접 확인")),
+        ((_stored % '{"key": "businessAgeMaxYears", "op": "gte", "value": 7, "rawText": "업력 7년", "machineReadable": true}',), ("businessAgeMaxYears=7?", "직접 확인,업력 7년")),
+        ((_stored % '{"key": "businessAgeMaxYears", "op": "lte", "value": "7", "rawText": "업력", "machineReadable": true}',), ("", "직접 확인,업력")),
+        ((_stored % '{"key": "isCorporation", "op": "eq", "value": true, "rawText": "법인", "machineReadable": true}, {"key": "other", "op": "eq", "value": true, "rawText": "기타", "machineReadable": true}',), ("isCorporation=true other=true?", "직접 확인")),
+        ((_stored % '{"key": "region", "op": "in", "value": 3, "rawText": "x", "machineReadable": true}',), ("region=3?", "직접 확인")),
+        ((_stored % '{"op": "in", "value": [], "rawText": ""}',), ("", "직접 확인,저장된 조건을 읽지 못함")),
+        (("not json",), ("", "저장된 조건을 읽지 못함")),
+        (('{"conditions": 3}',), ("", "저장된 조건을 읽지 못함")),
+    ],
+    before=lambda df: df.withColumn("s", stored.conditions_of(c("x"))),
+)
+cases("credit_scores", {"nice": "int", "kcb": "int"}, {"value": ("int", lambda: stored.credit_of(c("nice"), c("kcb")))}, [((800, 750), (750,)), ((299, 750), (750,)), ((None, 1001), (None,)), ((300, None), (300,))])
+cases("certificates", {"kinds": "array<string>", "before": "boolean", "n": "int"}, {"certified": ("boolean", lambda: stored.has_certificate(c("kinds"), c("before"))), "some": ("boolean", lambda: stored.at_least_one(c("n"), c("before")))}, [((["없음"], True, 0), (False, False)), (([" ", "벤처"], None, 2), (True, True)), (([], True, -1), (True, True)), ((None, None, None), (None, None))])
+cases("structure_choices", {"status": "string"}, {"value": ("string", lambda: stored.structure_choice(c("status"), F.lit("model"), F.lit("rules")))}, [(("done",), ("model",)), (("needs_review",), ("model",)), (("failed",), ("rules",)), ((None,), ("rules",))])
