@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligo.operators import collect
+from eligo.streaming import failures
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -180,3 +184,33 @@ def structure_progress(spark: SparkSession, sf: str) -> DataFrame:
 def html_entities(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     return _orders(spark, sf).select(k.alias("id"), collect.entities(F.concat(F.lit("a &lt; b &amp; &quot;c&quot;&#39;"), k.cast("string"))).alias("text"))
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that driver and executors share; only a local master gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="eligo-stream-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH runs AS (SELECT event_id AS run_id, user_id AS source, ts AS run_at, event_type = 'error' AS failed FROM events), s AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY run_at, run_id) AS g FROM runs),
+c AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY source, g ORDER BY run_at, run_id) AS k FROM s) SELECT source, run_id, 3 AS in_a_row FROM c WHERE failed AND k % 3 = 0""")
+def failure_alert_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The alerts as a stream over the run table's file, to its end; the sink is read back."""
+    at = _shared(spark, "alerts")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    raw = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
+    runs = raw.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("source"), F.col("ts").alias("run_at"), (F.col("event_type") == "error").alias("failed"))
+    sink = failures.stream_alerts(runs).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(failures.OUTPUT).parquet(f"{at}/out")
+
+
+@query("SELECT user_id AS source, date_trunc('day', ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY 1, 2")
+def run_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs by day and source."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return failures.run_rates(events.select(F.col("user_id").alias("source"), F.col("ts").alias("run_at"), (F.col("event_type") == "error").alias("failed"))).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -1,11 +1,13 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eligo.functions import korean
 from eligo.operators import evaluate, grouping, ledgers
-from eligo.streaming.failures import stream_alerts
+from eligo.plans import deadline, funding
+from eligo.streaming.failures import in_a_row, stream_alerts
 
 
 def one(spark, column, **values):
@@ -98,3 +100,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.source, r.run_id) for r in spark.table("alerts").collect())
     assert got == sorted((r.source, r.run_id) for r in ledgers.alerts(df).collect()) and got
+
+
+def test_failures_in_a_row_go_on_from_the_state():
+    for failed, before in (([1, 1, 0, 1], 2), ([0, 0], 5), ([1], 0), ([1, 1, 1], 0)):
+        n, want = before, []
+        for f in failed:
+            n = n + 1 if f else 0
+            want.append(n)
+        assert in_a_row(np.array(failed, bool), before).tolist() == want
+
+
+def test_hot_browse_group_keeps_its_first_ids(spark):
+    rows = spark.createDataFrame([(i, "k", "open", dt.datetime(2024, 1, 1), None if i % 2 else dt.datetime(2024, 2, 1)) for i in range(200)], "id long, dedup_key string, status string, apply_start timestamp, apply_end timestamp")
+    r = grouping.browse(rows, "open").first()
+    assert (r.n, r.rep_id) == (200, 0) and r.ids == ",".join(str(i) for i in range(0, 100, 2))
+    assert grouping.browse(rows.limit(0), "open").count() == 0
+
+
+def test_search_terms_and_wildcards(spark):
+    assert funding.search("A  b　C") == ["a", "b", "c"]
+    for bad in ("x" * 101, "a\x07"):
+        with pytest.raises(ValueError):
+            funding.search(bad)
+    rows = spark.createDataFrame([(1, "50% off_now"), (2, "500 off now")], "id long, title string")
+    found = grouping.browse_rows(rows, text="50% OFF_", fields=("title",)).collect()
+    assert [r.id for r in found] == [1]
+
+
+def test_scope_of_no_keys_is_empty(spark):
+    firms = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "company_id long, readers array<string>")
+    assert deadline.in_scope(firms, keys=[]).count() == 0 and deadline.in_scope(firms).count() == 2
+    assert [r.company_id for r in deadline.in_scope(firms, reader="b").collect()] == [2]
