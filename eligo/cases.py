@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.functions import classify, korean, notices, regions, sectors
+from eligo.functions import amounts, classify, korean, notices, regions, sectors
 from eligo.operators import extract, stored
 from eligo.sources.bridge import now
 
@@ -72,7 +72,7 @@ one("regions_of_orgs", "string", lambda x: joined(classify.regions_of_orgs(x)),
 cases(
     "raw_prefilter",
     {"region": "string", "title": "string", "end": "timestamp_ntz", "mine": "string"},
-    {"value": ("string", lambda: classify.prefilter(c("region"), c("title"), c("end"), c("mine"), now()))},
+    {"value": ("string", lambda: classify.prefilter(classify.bound_regions(c("region"), c("title")), c("end"), classify.own_region(c("mine")), now()))},
     [
         (("서울", "공고", None, "경기도"), ("drop-region",)),
         (("서울", "[경기] 공고", None, "경기도"), ("keep",)),
@@ -321,3 +321,35 @@ cases(
 cases("credit_scores", {"nice": "int", "kcb": "int"}, {"value": ("int", lambda: stored.credit_of(c("nice"), c("kcb")))}, [((800, 750), (750,)), ((299, 750), (750,)), ((None, 1001), (None,)), ((300, None), (300,))])
 cases("certificates", {"kinds": "array<string>", "before": "boolean", "n": "int"}, {"certified": ("boolean", lambda: stored.has_certificate(c("kinds"), c("before"))), "some": ("boolean", lambda: stored.at_least_one(c("n"), c("before")))}, [((["없음"], True, 0), (False, False)), (([" ", "벤처"], None, 2), (True, True)), (([], True, -1), (True, True)), ((None, None, None), (None, None))])
 cases("structure_choices", {"status": "string"}, {"value": ("string", lambda: stored.structure_choice(c("status"), F.lit("model"), F.lit("rules")))}, [(("done",), ("model",)), (("needs_review",), ("model",)), (("failed",), ("rules",)), ((None,), ("rules",))])
+
+# Amounts of one company
+one("largest_amounts", "long", amounts.largest_amount, [
+    ("기업당 최대 5억원 지원", 500_000_000),
+    ("최대 3천만원, 한도 1억 5천만원", 150_000_000),
+    ("총 500억원 규모, 업체당 2억원", 200_000_000),
+    ("도내 연매출 3억원 이하 소상공인", None),
+    ("매출액 10억원 이상 기업, 한도 1억원", 100_000_000),
+    ("최대 300억원", None),
+    ("사업자당 지원한도: 300억원", 30_000_000_000),
+    ("사업자당 한도 5억: 한도 300억원", 500_000_000),
+    ("사업자당 5억; 전체 한도 300억원", 500_000_000),
+    ("예산 최대 5억원", None),
+    ("5천만원", 50_000_000),
+    ("70% 지원 (5천만원)", None),
+    ("대출한도 1억원 이하", 100_000_000),
+    ("최대 5억원까지 지원", 500_000_000),
+    ("안내", None),
+    (None, None),
+])
+one("title_region_conditions", "string", lambda x: F.array_join(F.transform(extract.title_regions(x, F.lit("경상북도")), lambda k: F.concat(F.array_join(k["values"], "+"), F.when(k["machine_readable"], "").otherwise("?"))), " "), [
+    ("[경북] 영천시 소상공인 지원", "경북 영천시?"),
+    ("[서울] 강남구 지원", "강남구?"),
+    ("[경북] 지원사업", ""),
+    ("[공고] 구미시 기업 지원", "구미시"),
+    ("구미시 기업 지원", "구미시"),
+    ("청주시 기업 지원", ""),
+    ("전국 구미시 박람회", ""),
+    ("구미시·영월군 공동", ""),
+    ("구미시장 표창", ""),
+    (None, ""),
+])

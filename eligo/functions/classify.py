@@ -144,12 +144,22 @@ def regions_of_field(text: Column) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def prefilter(region: Column, title: Column, end: Column, mine: Column, now: Column) -> Column:
-    """drop-closed past the end; drop-region where field and title tag name one to three provinces, none of them mine; keep."""
+def bound_regions(region: Column, title: Column) -> Column:
+    """Provinces that an announcement is bound to by its field and its title's tag; empty where it is for all, or names too many to
+    tell."""
     tag = F.nullif(F.regexp_extract(F.ltrim(F.coalesce(title, F.lit(""))), r"^\[([^\]]+)\]", 1), F.lit(""))
-    theirs, own = F.array_union(regions_of_field(region), regions_of_field(tag)), canonical_region(mine)
-    anywhere = compact(region).rlike("전국|무관") | compact(mine).startswith("전국")
-    other = own.isNotNull() & ~anywhere & F.size(theirs).between(1, MOST_EXCLUSIVE) & ~F.array_contains(theirs, own)
+    theirs = F.array_union(regions_of_field(region), regions_of_field(tag))
+    return F.when(~compact(region).rlike("전국|무관") & F.size(theirs).between(1, MOST_EXCLUSIVE), theirs).otherwise(F.array().cast("array<string>"))
+
+
+def own_region(region: Column) -> Column:
+    """A company's province; null where it isn't known or is nationwide."""
+    return F.when(~compact(region).startswith("전국"), canonical_region(region))
+
+
+def prefilter(bound: Column, end: Column, mine: Column, now: Column) -> Column:
+    """drop-closed past the end; drop-region where the bound regions (bound_regions) leave out mine (own_region); else keep."""
+    other = mine.isNotNull() & (F.size(bound) > 0) & ~F.array_contains(bound, mine)
     return F.when(end < now, "drop-closed").when(F.coalesce(other, F.lit(False)), "drop-region").otherwise("keep")
 
 

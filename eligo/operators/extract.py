@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eligo.functions.regions import provinces_in
+from eligo.functions.regions import DISTRICTS, canonical_region, district_of, provinces_in
 from eligo.operators.evaluate import EXPECTED_OP
 
 #: Letters between a word and its number, units of won, words of sizes and of negation.
@@ -97,3 +97,31 @@ def extract_conditions(text: Column) -> Column:
         _places(own),
     )
     return F.array_compact(found)
+
+
+def districts_in(text: Column, districts=None) -> Column:
+    """Known districts that a title names with a boundary on either side, in the order of the text."""
+    known = DISTRICTS if districts is None else districts
+    names = "|".join(sorted(known, key=lambda n: (-len(n), n)))
+    edge = "가-힣0-9A-Za-z"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![{edge}])({names})(?![{edge}])"), 1))
+
+
+def title_regions(title: Column, agency: Column, districts=None) -> Column:
+    """Region conditions of a title. "[province] district, ...": the province, unless the agency is of another one, and the
+    districts for humans; nothing where what follows the tag isn't districts alone. Else the districts that it names, where they are
+    of one province and the agency is of that one."""
+    own = F.coalesce(title, F.lit(""))
+    tag = r"^\s*\[([^\]]{1,12})\]\s*(\S+)"
+    tagged, of_agency = provinces_in(F.regexp_extract(own, tag, 1)), provinces_in(agency)
+    heads = F.filter(F.split(F.regexp_extract(own, tag, 2), "[ㆍ·,/]"), lambda x: x != "")
+    places = F.filter(heads, lambda x: x.rlike("^.{1,5}[시군구]$") & canonical_region(x).isNull())
+    no_clash = (F.size(of_agency) == 0) | F.arrays_overlap(tagged, of_agency)
+    by_tag = F.array_compact(F.array(F.when(no_clash, _condition("region", F.lit(True), values=tagged)), _condition("region", F.lit(False), values=places)))
+    none = F.array().cast(f"array<{CONDITION_TYPE}>")
+    found = districts_in(own, districts)
+    sidos = F.array_distinct(F.transform(found, lambda d: district_of(d, districts)["sido"]))
+    named = (F.size(found) > 0) & ~own.contains("전국") & (F.size(sidos) == 1) & F.array_contains(of_agency, F.get(sidos, F.lit(0)))
+    by_name = F.when(named, F.array(_condition("region", F.lit(True), values=found))).otherwise(none)
+    with_tag = F.when((F.size(places) > 0) & (F.size(places) == F.size(heads)), by_tag).otherwise(none)
+    return F.when(F.size(tagged) > 0, with_tag).otherwise(by_name)

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.functions import korean
+from eligo.functions import classify, korean
 from eligo.operators import evaluate, grouping, ledgers
 from eligo.plans import deadline
 from eligo.sources import bridge
 from eligo.sources.bridge import FUNDING_GROUPS, NOW, SIDO
 
-_pick = lambda values, index: f"list_extract({list(values)!r}, CAST({index} AS INTEGER) + 1)"
+#: The provinces of the bridge's places, None where a place has none.
+_OF_PLACE = {"서울특별시 강남구": "서울", "충북 청주시": "충북", "강원영월군": "강원", "경상북도 군위군": "경북", "경기도 화성시": "경기", "경기": "경기", "경북": "경북", "부산": "부산"}
+regions_of = _OF_PLACE.get
+
+
+def _literal(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else repr(v) for v in values) + "]"
+
+
+_pick = lambda values, index: f"list_extract({_literal(values)}, CAST({index} AS INTEGER) + 1)"
 
 ANN = f"""ann AS (
   SELECT o_orderkey AS id, o_orderpriority AS source, {_pick(SIDO, "c_nationkey % 17")} AS sido,
@@ -167,6 +176,23 @@ def glance(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("company_id").agg(F.count_if(is_open).alias("n_open"), F.count_if(is_open & days.between(0, 7)).alias("n_soon"), F.count_if(grant).alias("n_grant"), F.max(F.when(grant, F.col("amount_won"))).alias("max_grant"))
 
 
+_MINE = _pick(tuple(regions_of(p) for p, _ in bridge.PLACES), "company_id % 10")
+
+
+@query(ALL + f""", d AS (SELECT one.*, CASE WHEN apply_end < TIMESTAMP '{NOW}' THEN 'drop-closed' WHEN sido <> {_MINE} THEN 'drop-region' ELSE 'keep' END AS decision, CASE WHEN f > 0 THEN 'impossible' WHEN p + u > 0 AND u = 0 THEN 'possible' ELSE 'uncertain' END AS g FROM one)
+SELECT company_id, count(*) FILTER (decision = 'drop-region') AS dropped_by_region, count(*) FILTER (decision = 'keep') AS candidates, count(*) FILTER (decision = 'keep' AND g = 'possible') AS possible,
+  count(*) FILTER (decision = 'keep' AND g = 'uncertain') AS uncertain, count(*) FILTER (decision = 'keep' AND g = 'impossible') AS impossible FROM d GROUP BY 1""")
+def diagnose_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the announcements that a company's prefilter leaves, how many it can have; and how many its region took away."""
+    rows = bridge.announcements(spark, sf).select("id", "apply_end", classify.bound_regions(F.col("sido"), F.col("title")).alias("bound"))
+    mine = bridge.companies(spark, sf).select("company_id", classify.own_region(F.col("region")).alias("mine"))
+    graded = evaluate.grades(rows, bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now()).join(mine, "company_id")
+    decided = graded.withColumn("decision", classify.prefilter(F.col("bound"), F.col("apply_end"), F.col("mine"), bridge.now()))
+    kept = F.col("decision") == "keep"
+    by_grade = [F.count_if(kept & (F.col("grade") == g)).alias(g) for g in ("possible", "uncertain", "impossible")]
+    return decided.groupBy("company_id").agg(F.count_if(F.col("decision") == "drop-region").alias("dropped_by_region"), F.count_if(kept).alias("candidates"), *by_grade)
+
+
 BROWSE = """ SELECT grp, arg_min(id, k) AS rep_id, arg_min_null(apply_end, k) AS apply_end, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 50) AS ids FROM (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY apply_end NULLS LAST, apply_start DESC, id) AS k FROM ann WHERE status = 'open') GROUP BY grp"""
 
