@@ -200,6 +200,13 @@ def _profiles(place: DataFrame, companies: DataFrame, now: Column, districts) ->
     return companies.select("company_id").join(held, "company_id", "left").select("company_id", F.col("k.code").alias("codes"), F.col("k.strong").alias("strong"))
 
 
+def _is_hot(rows: DataFrame, column: str) -> bool:
+    """Whether one value has over twice the rows of an even task."""
+    n = rows.groupBy(column).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bool(n.most) and n.most * tasks > 2 * n["all"]
+
+
 def _cross(rows: DataFrame, profiles: DataFrame, n_companies: int, row_bytes: int) -> DataFrame:
     """Each row with each company: companies go to all tasks where they are few, else rows meet blocks of them."""
     blocks = -(-n_companies * row_bytes // BROADCAST_BYTES)
@@ -222,9 +229,10 @@ def _graded(pairs: DataFrame, keep: list[str], p: Column, f: Column, u: Column,
     return counted.select(*keep, "n_pass", "n_fail", "n_unknown", grade.alias("grade"), score.alias("score"), fit.alias("fit"))
 
 
-def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame, now: Column, districts=None, most_distinct: int = MOST_DISTINCT) -> DataFrame:
+def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame, now: Column, districts=None, most_distinct: int = MOST_DISTINCT, cluster: str | None = None) -> DataFrame:
     """(the announcements' columns, company_id, n_pass, n_fail, n_unknown, grade, score, fit) for each announcement (id) and
-    company. Conditions of an id that isn't announced count for nothing."""
+    company. Conditions of an id that isn't announced count for nothing. cluster: announcements come together by this column
+    before they meet the companies, so that pairs that are grouped by it need no shuffle; only where no value of it is hot."""
     spark: SparkSession = announcements.sparkSession
     own = [*announcements.columns, "company_id"]
     c = F.struct(*CONDITION)
@@ -246,6 +254,8 @@ def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame
     known = F.filter(F.collect_list(F.struct("n", "k")), lambda x: x["n"].isNotNull())
     arrays = counted.groupBy("id").agg(known.alias("own"), F.sum(F.when(F.col("n").isNull(), F.col("k")).otherwise(0)).alias("fixed"), F.sum("k").alias("all"))
     rows = announcements.join(arrays, "id", "left").withColumn("fixed", F.when(F.col("all") >= FIELD, F.raise_error(F.lit(f"an announcement has over {FIELD} conditions"))).otherwise(F.coalesce("fixed", F.lit(0))))
+    if cluster and not _is_hot(announcements, cluster):
+        rows = rows.repartition(cluster)
     crossed = _cross(rows.drop("all"), _profiles(place, companies, now, districts), companies.count(), 10 * n_distinct + 100)
     total = F.aggregate(F.coalesce("own", F.array().cast("array<struct<n:int,k:long>>")), F.lit(0).cast("long"), lambda a, x: a + x["k"] * F.get("codes", x["n"]))
     summed = crossed.withColumn("t", total)

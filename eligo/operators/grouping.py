@@ -12,22 +12,30 @@ def keyed(rows: DataFrame, trim: bool = True) -> DataFrame:
     return rows.withColumn("grp", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("id:"), F.col("id").cast("string"))))
 
 
-def representatives(graded: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row for each group, and each value of `by`: excluded copies first where there is one, else fit before unverified;
-    then the most checks, the earliest end (none last), the smallest id. A group counts its rows and its distinct sources."""
+#: Verdicts in the order in which a group's representative is taken: an excluded copy excludes the group.
+PICKED = {"excluded": 0, "fit": 1, "unverified": 2}
+PLACES = 1 << 40
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows (with their number of checks) and their place in their group, as far as no company changes it: the most checks, the
+    earliest end (none last), the smallest id."""
+    order = [F.col("checks").desc(), F.col("apply_end").asc_nulls_last(), F.col("id").asc()]
+    return keyed(rows).withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*order)).cast("long"))
+
+
+def representatives(graded: DataFrame, places: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row for each group, and each value of `by`: excluded copies first where there is one, else fit before unverified; then
+    by place. Verdict and place make one number, so that pairs meet as numbers only; the row's id comes from `places`. A group
+    counts its rows and its distinct sources."""
     by = by or []
-    rows = keyed(graded).withColumn("checks", F.col("n_pass") + F.col("n_fail") + F.col("n_unknown"))
-    key = F.struct(
-        F.when(F.col("fit") == "excluded", 0).when(F.col("fit") == "fit", 1).otherwise(2).alias("v"),
-        (-F.col("checks")).alias("c"),
-        F.col("apply_end").isNull().alias("n"),
-        F.col("apply_end").alias("e"),
-        F.col("id").alias("id"),
-    )
-    picked = rows.groupBy(*by, "grp").agg(
-        F.min_by(F.struct("id", "fit"), key).alias("r"), F.count("*").alias("group_count"), F.size(F.collect_set("source")).cast("long").alias("n_sources")
-    )
-    return picked.select(*by, "grp", F.col("r.id").alias("rep_id"), F.col("r.fit").alias("fit"), "group_count", "n_sources")
+    rank = F.coalesce(*[F.when(F.col("fit") == v, F.lit(i)) for v, i in PICKED.items()]).cast("long")
+    picked = graded.groupBy("grp", *by).agg(F.min(rank * PLACES + F.col("place")).alias("k"), F.count("*").alias("group_count"))
+    fit = F.coalesce(*[F.when(F.floor(F.col("k") / PLACES) == i, F.lit(v)) for v, i in PICKED.items()])
+    named = picked.select("grp", *by, fit.alias("fit"), (F.col("k") % PLACES).alias("place"), "group_count")
+    sources = places.groupBy("grp").agg(F.count_distinct("source").alias("n_sources"))
+    ids = places.select("grp", "place", F.col("id").alias("rep_id")).join(sources, "grp")
+    return named.join(ids, ["grp", "place"]).select(*by, "grp", "rep_id", "fit", "group_count", "n_sources")
 
 
 def browse(rows: DataFrame, status: str, top_ids: int = 50) -> DataFrame:

@@ -139,7 +139,11 @@ ALL = f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED}, one AS (SELECT ann.*
   SELECT *, count(*) OVER (PARTITION BY company_id, grp) AS n, row_number() OVER (PARTITION BY company_id, grp ORDER BY CASE fit WHEN 'excluded' THEN 0 WHEN 'fit' THEN 1 ELSE 2 END, p + f + u DESC, apply_end NULLS LAST, id) AS k FROM one) r
   JOIN n_of ON r.grp = n_of.grp WHERE k = 1""")
 def representative_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return grouping.representatives(_of_all(spark, sf), ["company_id"])
+    n = bridge.conditions(spark, sf).groupBy("id").agg(F.count("*").alias("checks"))
+    rows = bridge.announcements(spark, sf).select("id", "source", "dedup_key", "apply_end").join(n, "id", "left").na.fill(0, ["checks"])
+    places = grouping.placed(rows)
+    graded = evaluate.grades(places.select("id", "grp", "place"), bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now(), cluster="grp")
+    return grouping.representatives(graded, places, ["company_id"])
 
 
 @query(ALL + """ SELECT company_id, id, funding_group, fit, score, k AS place FROM (
