@@ -353,3 +353,34 @@ one("title_region_conditions", "string", lambda x: F.array_join(F.transform(extr
     ("구미시장 표창", ""),
     (None, ""),
 ])
+
+# Conditions of a whole notice
+_told = lambda array: F.array_join(F.transform(array, lambda k: F.concat(k["key"], F.lit("="), F.coalesce(F.array_join(k["values"], "+"), k["number"].cast("long").cast("string"), k["flag"].cast("string")), F.when(k["machine_readable"], "").otherwise("?"))), " ")
+cases(
+    "rule_structures",
+    {"target": "string", "title": "string", "agency": "string"},
+    {"value": ("string", lambda: _told(extract.rule_conditions(c("target"), F.lit(""), c("title"), c("agency"))))},
+    [
+        (("업력 7년 이내", "[경북] 지원사업", "경상북도"), ("businessAgeMaxYears=7",)),
+        (("서울 소재 기업", "구미시 기업 지원", "경상북도"), ("region=서울",)),
+        (("누구나", "구미시 기업 지원", "경상북도"), ("region=구미시",)),
+        (("", "[경북] 구미시 로봇기업 모집", "경상북도"), ("region=경북 region=구미시? targetSector=기계금속",)),
+        ((None, "", ""), ("",)),
+    ],
+)
+cases(
+    "augmented_conditions",
+    {"target": "string", "title": "string", "agency": "string", "region": "string"},
+    {"value": ("string", lambda: _told(extract.augmented(extract.extract_conditions(c("target")), c("title"), c("agency"), c("region"), True)))},
+    [
+        (("업력 3년 이내", "바이오기업 모집", "", "서울, 경기"), ("businessAgeMaxYears=3 region=서울+경기 targetSector=제약바이오",)),
+        (("서울 소재 기업", "구미시 지원", "경상북도", "부산"), ("region=서울",)),
+        (("", "구미시 지원", "경상북도", "부산"), ("region=구미시",)),
+        (("", "전환보증 안내", "경기신용보증재단", "전국"), ("guaranteeInUse=경기신용보증재단",)),
+        (("", "대환대출", "", ""), ("hasExistingLoan=true",)),
+        (("부산 소재 아닌 기업", "지원", "", "서울"), ("region=부산?",)),
+    ],
+)
+one("attachment_formats", "string", lambda x: notices.format_of(F.unhex(x)), [("255044462D312E37", "pdf"), ("D0CF11E0A1B11AE1", "hwp"), ("504B030414", "zip"), ("89504E470D0A1A0A00", "image"), ("524946460000000057454250", "image"), ("52494646000000004156", None), ("3C21444F43545950452068746D6C3E", "html"), ("20203C68746D6C3E", "html"), ("3C3F786D6C3F3E3C48574D4C3E", None), ("3C48575050", None), ("3C4857504D4C3E", "hml"), ("", None), (None, None)])
+cases("same_documents", {"name": "string"}, {"key": ("string", lambda: notices.same_document(c("name"))["key"]), "rank": ("int", lambda: notices.same_document(c("name"))["rank"])}, [(("공고문.hwp",), ("공고문", 1)), (("공고문 .PDF",), ("공고문", 2)), (("A  B.hwpx",), ("a b", 0)), (("a.zip",), (None, None)), ((".hwp",), (None, None)), (("이름",), (None, None)), ((None,), (None, None))])
+cases("schedule_percents", {"start": "timestamp_ntz", "end": "timestamp_ntz"}, {"value": ("int", lambda: notices.schedule_percent(c("start"), c("end"), now()))}, [(("1998-05-22 15:00:00", "1998-06-10 14:59:59"), (50,)), (("1998-05-31 15:00:00", "1998-06-01 14:59:59"), (100,)), (("1998-06-04 15:00:00", "1998-06-10 14:59:59"), (0,)), (("1998-01-01 15:00:00", "1998-02-01 14:59:59"), (100,)), ((None, "1998-02-01 14:59:59"), (None,)), (("1998-03-01 15:00:00", "1998-02-01 14:59:59"), (None,))])

@@ -143,3 +143,33 @@ def fits_prompt(text: Column, most: int = 160_000, overhead: int = 4_096) -> Col
     return F.octet_length(F.coalesce(text, F.lit(""))) + overhead <= most
 
 
+
+
+#: Kinds of a same document in the order in which one is taken.
+SAME_DOCUMENT = ("hwpx", "hwp", "pdf", "odt", "hml", "docx", "doc")
+#: First bytes of formats, in hexadecimal.
+FORMATS = {"pdf": ("25504446",), "hwp": ("D0CF11E0A1B11AE1",), "zip": ("504B0304",), "image": ("FFD8FF", "89504E470D0A1A0A", "474946383761", "474946383961", "49492A00", "4D4D002A")}
+
+
+def format_of(body: Column) -> Column:
+    """pdf, hwp, zip, image, hml or html by the first bytes of a body; null for others."""
+    head = F.hex(F.substring(body, 1, 16))
+    text = F.ltrim(F.regexp_replace(F.try_validate_utf8(F.substring(body, 1, 1024)), "^\ufeff", ""))
+    marked = F.coalesce(*[F.when(head.startswith(sig), F.lit(kind)) for kind, sigs in FORMATS.items() for sig in sigs])
+    webp = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
+    return F.coalesce(marked, F.when(webp, "image"), F.when(text.startswith("<") & text.rlike("(?i)<HWPML[\\s>]"), "hml"), F.when(text.rlike("(?is)^<(?:!doctype html|html[\\s>])"), "html"))
+
+
+def same_document(name: Column) -> Column:
+    """(key, rank) of a file's name: names that differ in their format only are one document, of which the first format is taken."""
+    own = F.trim(F.coalesce(name, F.lit("")))
+    kind, stem = F.lower(F.regexp_extract(own, r"\.([^.]*)$", 1)), squeezed(F.lower(F.regexp_replace(own, r"\.[^.]*$", "")))
+    rank = F.coalesce(*[F.when(kind == k, F.lit(i)) for i, k in enumerate(SAME_DOCUMENT)])
+    return F.when(rank.isNotNull() & (stem != ""), F.struct(stem.alias("key"), rank.alias("rank")))
+
+
+def schedule_percent(start: Column, end: Column, now: Column) -> Column:
+    """How much of an application period is over, in Korean days; 100 for a single day, null where an end is missing or before the
+    start."""
+    total, passed = F.datediff(kst_date(end), kst_date(start)), F.datediff(kst_date(now), kst_date(start))
+    return F.when(total == 0, 100).when(total > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.floor(passed / total * 100 + 0.5).cast("int"))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eligo.functions.regions import DISTRICTS, canonical_region, district_of, provinces_in
+from eligo.functions.notices import loan_programme, region_from_field
+from eligo.functions.sectors import sectors_in_title
 from eligo.operators.evaluate import EXPECTED_OP
 
 #: Letters between a word and its number, units of won, words of sizes and of negation.
@@ -125,3 +127,51 @@ def title_regions(title: Column, agency: Column, districts=None) -> Column:
     by_name = F.when(named, F.array(_condition("region", F.lit(True), values=found))).otherwise(none)
     with_tag = F.when((F.size(places) > 0) & (F.size(places) == F.size(heads)), by_tag).otherwise(none)
     return F.when(F.size(tagged) > 0, with_tag).otherwise(by_name)
+
+
+def _has(conditions: Column, key: str) -> Column:
+    return F.exists(conditions, lambda c: c["key"] == key)
+
+
+def _added(conditions: Column, more: Column) -> Column:
+    """Conditions and those that aren't null of an array."""
+    return F.concat(conditions, F.array_compact(more))
+
+
+def loan_conditions(title: Column, agency: Column, conditions: Column) -> Column:
+    """What a programme's name asks for, unless its key is there: a guarantee in use at the guarantor, or a loan to refinance."""
+    p = loan_programme(title, agency)
+    converts = F.when((p["kind"] == "conversion") & ~_has(conditions, "guaranteeInUse"), _condition("guaranteeInUse", F.lit(True), values=F.array(p["guarantor"])))
+    refinances = F.when((p["kind"] == "refinance") & ~_has(conditions, "hasExistingLoan"), _condition("hasExistingLoan", F.lit(True), flag=F.lit(True)))
+    return F.array(converts, refinances)
+
+
+def _sector(title: Column) -> Column:
+    found = sectors_in_title(title)
+    return F.when(F.size(found) > 0, _condition("targetSector", F.lit(True), values=found))
+
+
+def rule_conditions(target: Column, summary: Column, title: Column, agency: Column, districts=None) -> Column:
+    """Conditions of a notice that no model has read: of its body and title, its title's places (those for machines only where the
+    body has none) and its title's sectors. Fields are joined by newlines, so that no rule reaches across."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    body = extract_conditions(F.concat_ws("\n", some(target), some(summary), some(title)))
+    placed = F.exists(body, lambda c: (c["key"] == "region") & c["machine_readable"])
+    of_title = F.filter(title_regions(title, agency, districts), lambda c: ~(placed & c["machine_readable"]))
+    return _added(F.concat(body, of_title), F.array(_sector(title)))
+
+
+def augmented(conditions: Column, title: Column, agency: Column, region: Column, from_field: bool = False, districts=None) -> Column:
+    """Conditions with what title and fields add. Places of the title for machines where no readable place is there (districts not
+    beside a nationwide one); else, if wanted and no region is there at all, those of the region field. Then a sector of the title
+    and a loan programme, each unless its key is there."""
+    machine = F.filter(conditions, lambda c: (c["key"] == "region") & c["machine_readable"])
+    readable = F.exists(machine, lambda c: F.exists(c["values"], lambda v: (F.size(provinces_in(v)) > 0) | district_of(v, districts).isNotNull()))
+    nationwide = F.exists(machine, lambda c: F.exists(c["values"], lambda v: v.contains("전국")))
+    of_title = F.filter(title_regions(title, agency, districts), lambda c: c["machine_readable"] & ~(nationwide & F.forall(c["values"], lambda v: district_of(v, districts).isNotNull())))
+    field = region_from_field(F.trim(region))
+    of_field = F.array_compact(F.array(F.when(F.lit(from_field) & ~_has(conditions, "region") & field.isNotNull(), _condition("region", F.lit(True), values=field))))
+    none = F.array().cast(f"array<{CONDITION_TYPE}>")
+    places = F.when(readable, none).when(F.size(of_title) > 0, of_title).otherwise(of_field)
+    sector = F.array(F.when(~_has(conditions, "targetSector"), _sector(title)))
+    return _added(_added(F.concat(conditions, places), sector), loan_conditions(title, agency, conditions))

@@ -135,3 +135,45 @@ def product_conditions(rules: DataFrame) -> DataFrame:
         one("other", "lte", c("owner_age").isNotNull(), number=c("owner_age"), machine=False),
     ))
     return rules.select("product_id", F.posexplode(found).alias("ord", "c")).select("product_id", "ord", "c.*")
+
+
+#: Labels of facts that a company hasn't told, in their order, and the conditions that ask for them.
+GAPS = {
+    "credit": ("신용점수", ("creditScoreMin", "creditScoreMax")),
+    "has_loan": ("기존 대출 유무", ("hasExistingLoan",)),
+    "region": ("소재지", ("region",)),
+    "industry": ("업종", ("industry", "targetSector")),
+    "founded": ("설립일", ("businessAgeMaxYears", "businessAgeMinYears")),
+    "revenue": ("연매출", ("revenueMaxKrw", "revenueMinKrw")),
+    "employees": ("직원 수", ("employeeMax", "employeeMin")),
+    "scale": ("기업 규모", ("companyScale",)),
+    "tax_delinquent": ("체납 여부", ("noTaxDelinquency",)),
+    "has_cert": ("인증 보유", ("certRequired",)),
+    "has_patent": ("특허 보유", ("patentRequired",)),
+    "bizno": ("사업자번호", ("isCorporation",)),
+}
+
+
+def profile_gaps(companies: DataFrame) -> DataFrame:
+    """(company_id, gaps): labels of what a company hasn't told, in their order."""
+    blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
+    return companies.select("company_id", F.array_compact(F.array(*[F.when(blank(name), F.lit(label)) for name, (label, _) in GAPS.items()])).alias("gaps"))
+
+
+def visible_gaps(companies: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The gaps that some condition for machines asks for."""
+    label = F.coalesce(*[F.when(F.col("key").isin(*keys), F.lit(label)) for label, keys in GAPS.values()])
+    asked = conditions.where("machine_readable").select(label.alias("label")).where("label IS NOT NULL").agg(F.collect_set("label").alias("asked"))
+    return profile_gaps(companies).crossJoin(asked).select("company_id", F.array_intersect("gaps", "asked").alias("gaps"))
+
+
+def page_of(items: DataFrame, number: int, size: int = 10, order: list[Column] | None = None) -> DataFrame:
+    """A page of sorted items; a number outside of the pages is moved to the nearest one."""
+    last = max(1, -(-items.count() // size))
+    own = min(max(1, number), last)
+    return items.orderBy(*(order or order_of("rec"))).offset((own - 1) * size).limit(size)
+
+
+def open_announcements(rows: DataFrame, now: Column) -> DataFrame:
+    """Open ones that haven't ended; the filter reaches the scan."""
+    return rows.where((F.col("status") == "open") & (F.col("apply_end").isNull() | (F.col("apply_end") > now)))

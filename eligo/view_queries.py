@@ -335,3 +335,23 @@ def progress_step_ids(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("step "), (F.col("l_partkey") % 3).cast("string")).alias("label"), F.when(n % 2 == 0, "given").otherwise("").alias("id"),
     )
     return documents.step_ids(steps)
+
+
+_GAP_SQL = {"credit": "s % 3 = 0", "has_loan": "s % 4 = 3", "region": "s % 10 = 4", "industry": "s // 2 % 5 = 2", "founded": "s % 19 <> 0 AND s % 17 = 0", "revenue": "s % 7 = 0", "employees": "s % 5 = 0", "scale": "s % 4 = 0", "tax_delinquent": "s % 11 = 0", "has_cert": "s % 3 = 0", "has_patent": "s % 4 = 0", "bizno": "s % 5 IN (0)"}
+
+
+@query("WITH c AS (SELECT s_suppkey AS s FROM supplier) SELECT s AS company_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_GAP_SQL[k]} THEN '{label}' END" for k, (label, _) in funding.GAPS.items()) + "], lambda x: x IS NOT NULL), ',') AS gaps FROM c")
+def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """What each company hasn't told, as far as a condition asks for it."""
+    return funding.visible_gaps(bridge.companies(spark, sf), bridge.conditions(spark, sf)).select("company_id", F.array_join("gaps", ",").alias("gaps"))
+
+
+@query(f"WITH {ANN}, {ITEM} SELECT funding_group, id FROM ranked ORDER BY {_SORTS['rec']} LIMIT 10 OFFSET 20")
+def one_list_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The third page of the recommended order."""
+    return funding.page_of(_items(spark, sf), 3).select("funding_group", "id")
+
+
+@query(f"WITH {ANN} SELECT id FROM ann WHERE status = 'open' AND (apply_end IS NULL OR apply_end > TIMESTAMP '{NOW}')")
+def open_announcements(spark: SparkSession, sf: str) -> DataFrame:
+    return funding.open_announcements(bridge.announcements(spark, sf), bridge.now()).select("id")
