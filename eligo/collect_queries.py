@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligo.operators import collect
+from eligo.operators import collect, html_rows
 from eligo.streaming import failures
 
 QUERIES: dict = {}
@@ -214,3 +214,10 @@ def run_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Runs by day and source."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     return failures.run_rates(events.select(F.col("user_id").alias("source"), F.col("ts").alias("run_at"), (F.col("event_type") == "error").alias("failed"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS u, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages)
+SELECT page_id, title, url FROM (SELECT page_id, unnest(t) AS title, unnest(u) AS url FROM r WHERE len(u) >= 3) WHERE length(title) >= 4""")
+def html_list_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the list that each page has."""
+    return html_rows.list_rows(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "title", "url")

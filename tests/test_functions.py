@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eligo.functions import korean
 from eligo.operators import evaluate, grouping, ledgers
+from eligo.operators.html_rows import rows_of
 from eligo.plans import deadline, funding
 from eligo.streaming.failures import in_a_row, stream_alerts
 
@@ -132,3 +133,11 @@ def test_scope_of_no_keys_is_empty(spark):
     firms = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "company_id long, readers array<string>")
     assert deadline.in_scope(firms, keys=[]).count() == 0 and deadline.in_scope(firms).count() == 2
     assert [r.company_id for r in deadline.in_scope(firms, reader="b").collect()] == [2]
+
+
+def test_html_list_rows():
+    page = "<table><tr><th>번호</th></tr>" + "".join(f"<tr><td>{i}<td><a href='/v?id={i}'>공고 {i}호 &amp; 안내</a><td>2026.8.{i}</tr>" for i in range(1, 5)) + "</table>"
+    menu = "<ul>" + "".join(f"<li><a href='/m{i}'>메뉴 항목 {i}</a></li>" for i in range(9)) + "</ul>"
+    assert rows_of(menu + page) == [(f"공고 {i}호 & 안내", f"/v?id={i}", f"2026.8.{i}") for i in range(1, 5)]
+    assert [r[1] for r in rows_of(menu)] == [f"/m{i}" for i in range(9)]
+    assert rows_of(None) == [] and rows_of("<ul><li><a href='x'>하나뿐</a></ul>") == [] and rows_of("<li><a href=1>a</a>" * 5) == []
