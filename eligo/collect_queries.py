@@ -70,14 +70,17 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).select(F.col("o_custkey").alias("source"), (k % 6 + 1).alias("page"), (k % 90).alias("key"))
 
 
-@query(f"WITH h AS (SELECT source, page, sha256(string_agg(CAST(key AS VARCHAR), chr(10) ORDER BY CAST(key AS VARCHAR))) AS digest FROM (SELECT DISTINCT * FROM {PAGES}) GROUP BY 1, 2) SELECT source, page, digest, coalesce(lag(digest) OVER (PARTITION BY source ORDER BY page) = digest, false) AS repeats FROM h")
+@query(f"""WITH h AS (SELECT source, page, sha256(string_agg(CAST(key AS VARCHAR), chr(10) ORDER BY CAST(key AS VARCHAR))) AS digest FROM (SELECT DISTINCT * FROM
+  {PAGES}) GROUP BY 1, 2) SELECT source, page, digest, coalesce(lag(digest) OVER (PARTITION BY source ORDER BY page) = digest, false) AS repeats FROM
+  h""")
 def page_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return collect.page_repeats(_pages(spark, sf))
 
 
 @query(f"""WITH p AS (SELECT source, page, list(key ORDER BY key) AS ids FROM {PAGES} GROUP BY 1, 2), t AS (SELECT *, CASE WHEN source % 4 = 0 AND page > 1 THEN 7 ELSE 3 END AS total, 2 AS size FROM p),
 i AS (SELECT source, count(*) AS n, count(DISTINCT id) AS n_ids FROM (SELECT source, unnest(ids) AS id FROM t) GROUP BY 1),
-f AS (SELECT source, min(total) AS low, max(total) AS high, max(page) AS last, count(*) AS n_pages, count(*) FILTER (len(ids) <> size AND page * size <= total) AS short FROM t GROUP BY 1)
+f AS (SELECT source, min(total) AS low, max(total) AS high, max(page) AS last, count(*) AS n_pages, count(*) FILTER (len(ids) <> size AND page * size
+  <= total) AS short FROM t GROUP BY 1)
 SELECT f.source, n_ids, CASE WHEN low <> high THEN 'total' WHEN n_pages <> last THEN 'pages' WHEN short > 0 THEN 'short' WHEN n <> n_ids THEN 'twice' WHEN n < high THEN 'missing' ELSE 'whole' END AS state FROM f JOIN i USING (source)""")
 def complete_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the pages of a source make a whole read, and what is wrong first."""
@@ -86,7 +89,8 @@ def complete_reads(spark: SparkSession, sf: str) -> DataFrame:
     return collect.complete_pages(told)
 
 
-@query("WITH k AS (SELECT o_orderkey * 2 AS n FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT greatest(600, max(n) + 200) AS e FROM k) SELECT n, 'SI' || printf('%08d', n) AS id FROM (SELECT unnest(range(1, e + 1)) AS n FROM e UNION SELECT n FROM k)")
+@query("""WITH k AS (SELECT o_orderkey * 2 AS n FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT greatest(600, max(n) + 200) AS e FROM k) SELECT n, 'SI' ||
+  printf('%08d', n) AS id FROM (SELECT unnest(range(1, e + 1)) AS n FROM e UNION SELECT n FROM k)""")
 def sweep_plan(spark: SparkSession, sf: str) -> DataFrame:
     known = _orders(spark, sf).where("o_orderkey % 3 = 0").select(F.format_string("SI%08d", F.col("o_orderkey") * 2).alias("id"))
     return collect.planned_ids(known, spark)
@@ -100,7 +104,9 @@ def sweep_restored(spark: SparkSession, sf: str) -> DataFrame:
     return collect.restored(known, known.where(k % 2 == 0).withColumn("parsed", k % 5 > 0))
 
 
-@query("SELECT CASE WHEN 2 * count(*) FILTER (o_orderkey % 4 = 0) > count(*) THEN 'network' WHEN 2 * count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 7 = 0) >= count(*) FILTER (o_orderkey % 3 = 0) THEN 'known' WHEN 10 * count(*) FILTER (o_orderkey % 7 > 0) < count(*) THEN 'few' ELSE 'good' END AS verdict, count(*) AS n FROM orders")
+@query("""SELECT CASE WHEN 2 * count(*) FILTER (o_orderkey % 4 = 0) > count(*) THEN 'network' WHEN 2 * count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 7 =
+  0) >= count(*) FILTER (o_orderkey % 3 = 0) THEN 'known' WHEN 10 * count(*) FILTER (o_orderkey % 7 > 0) < count(*) THEN 'few' ELSE 'good' END AS
+  verdict, count(*) AS n FROM orders""")
 def sweep_verdict(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("id")
     ids = _orders(spark, sf).select(F.col("o_orderkey").alias("id"))
@@ -146,8 +152,10 @@ def detail_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT c_custkey AS source, CASE c_custkey % 4 WHEN 0 THEN 'waiting' WHEN 1 THEN 'candidate' WHEN 2 THEN 'blocked' ELSE 'excluded' END AS listed, c_custkey % 3 > 0 AS connected, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 2 END AS saved, c_custkey % 7 = 0 AS error,
-  CASE WHEN c_custkey % 6 > 0 THEN c_custkey % 2 = 1 END AS hit, CASE WHEN c_custkey % 8 > 0 THEN c_custkey % 100 END AS cap_at, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 9 > 0 THEN 50 END AS ran_at FROM customer)
-SELECT source, CASE WHEN NOT connected THEN listed WHEN listed IN ('blocked', 'excluded') AND coalesce(saved, 0) <= 0 THEN listed WHEN c.error AND saved IS NOT NULL AND coalesce(saved, 0) = 0 THEN 'error' ELSE 'connected' END AS status,
+  CASE WHEN c_custkey % 6 > 0 THEN c_custkey % 2 = 1 END AS hit, CASE WHEN c_custkey % 8 > 0 THEN c_custkey % 100 END AS cap_at, CASE WHEN c_custkey % 5
+    > 0 AND c_custkey % 9 > 0 THEN 50 END AS ran_at FROM customer)
+SELECT source, CASE WHEN NOT connected THEN listed WHEN listed IN ('blocked', 'excluded') AND coalesce(saved, 0) <= 0 THEN listed WHEN c.error AND
+  saved IS NOT NULL AND coalesce(saved, 0) = 0 THEN 'error' ELSE 'connected' END AS status,
   CASE WHEN NOT coalesce(hit, false) THEN false WHEN ran_at IS NULL THEN true WHEN cap_at IS NULL THEN NULL ELSE cap_at >= ran_at END AS hit_cap FROM s c""")
 def directory_status(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -158,7 +166,8 @@ def directory_status(spark: SparkSession, sf: str) -> DataFrame:
     return collect.directory_status(listed, sources.where(k % 3 > 0), caps, runs)
 
 
-@query("WITH a AS (SELECT o_custkey AS source, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY 1) SELECT source, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS n FROM a FULL JOIN b USING (source)")
+@query("""WITH a AS (SELECT o_custkey AS source, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY
+  1) SELECT source, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS n FROM a FULL JOIN b USING (source)""")
 def merged_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Saved announcements and products by source."""
     ours = _orders(spark, sf).groupBy(F.col("o_custkey").alias("source")).agg(F.count("*").alias("n"))
@@ -166,13 +175,15 @@ def merged_counts(spark: SparkSession, sf: str) -> DataFrame:
     return collect.merged_counts(ours, products)
 
 
-@query("SELECT l_orderkey AS run_id, CASE WHEN count(*) = count(*) FILTER (l_linenumber % 3 = 1) THEN 'all-failed' WHEN count(*) FILTER (l_linenumber % 3 = 1) > 0 THEN 'partial' ELSE 'ok' END AS outcome FROM lineitem GROUP BY 1")
+@query("""SELECT l_orderkey AS run_id, CASE WHEN count(*) = count(*) FILTER (l_linenumber % 3 = 1) THEN 'all-failed' WHEN count(*) FILTER (l_linenumber % 3 = 1)
+  > 0 THEN 'partial' ELSE 'ok' END AS outcome FROM lineitem GROUP BY 1""")
 def fetch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return collect.outcome(spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") % 3 == 1).alias("failed")))
 
 
 @query("""WITH r AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'failed' ELSE 'pending' END AS s, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS v FROM orders)
-SELECT count(*) AS total, count(*) FILTER (s = 'done' AND v >= 4) AS done, count(*) FILTER (s = 'needs_review' AND v >= 4) AS needs_review, count(*) FILTER (s = 'failed') AS failed,
+SELECT count(*) AS total, count(*) FILTER (s = 'done' AND v >= 4) AS done, count(*) FILTER (s = 'needs_review' AND v >= 4) AS needs_review, count(*)
+  FILTER (s = 'failed') AS failed,
   count(*) - count(*) FILTER (s = 'done' AND v >= 4) - count(*) FILTER (s = 'needs_review' AND v >= 4) - count(*) FILTER (s = 'failed') AS pending FROM r""")
 def structure_progress(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")

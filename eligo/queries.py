@@ -35,10 +35,12 @@ _kind = {k: i for i, k in enumerate(bridge.KINDS)}
 COND = f"""cond AS (
   SELECT id, v, kind, {_pick(bridge.KINDS, "kind")} AS key, ok, opfits, flag,
     CASE kind {_case({_kind["businessAgeMaxYears"]: "q % 15 + 1", _kind["businessAgeMinYears"]: "q % 15", _kind["revenueMaxKrw"]: "q * 200", _kind["revenueMinKrw"]: "q * 100", _kind["employeeMax"]: "q * 2", _kind["employeeMin"]: "q", _kind["creditScoreMin"]: "300 + q * 10", _kind["creditScoreMax"]: "400 + q * 10"})} END AS num
-  FROM (SELECT l_orderkey AS id, l_suppkey AS v, (l_orderkey + 3 * l_linenumber) % 20 AS kind, CAST(floor(l_quantity) AS BIGINT) AS q, l_returnflag <> 'N' AND l_partkey % 13 <> 0 AS ok,
+  FROM (SELECT l_orderkey AS id, l_suppkey AS v, (l_orderkey + 3 * l_linenumber) % 20 AS kind, CAST(floor(l_quantity) AS BIGINT) AS q, l_returnflag <>
+    'N' AND l_partkey % 13 <> 0 AS ok,
     l_partkey % 13 <> 0 AS opfits, l_partkey % 2 = 0 AS flag FROM lineitem))"""
 COMPANY = f"""company AS (
-  SELECT s_suppkey AS company_id, s_suppkey AS s, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS revenue, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 120 END AS employees,
+  SELECT s_suppkey AS company_id, s_suppkey AS s, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(floor(s_acctbal) AS BIGINT) END AS revenue, CASE WHEN s_suppkey
+    % 5 <> 0 THEN s_suppkey % 120 END AS employees,
     CASE WHEN s_suppkey % 3 <> 0 THEN 300 + s_suppkey * 7 % 700 END AS credit,
     CASE WHEN s_suppkey % 19 <> 0 AND s_suppkey % 17 <> 0 THEN (s_suppkey * 97 % 6000 + 0.125) / 365.25 END AS age,
     CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 4 = 0 END AS tax, CASE WHEN s_suppkey % 4 <> 3 THEN s_suppkey % 4 <> 2 END AS loan,
@@ -57,7 +59,8 @@ CHECKED = f"""checked AS (
     t = 'p' AND NOT (key IN ('isCorporation', 'companyScale') OR (key = 'region' AND v % 10 IN (2, 9))) AS strong
   FROM (SELECT *, CASE WHEN NOT ok THEN 'u' ELSE CASE kind {_case({_kind[k]: t for k, t in TOLD.items()})} END END AS t FROM cond CROSS JOIN company))"""
 GRADED = """counts AS (
-  SELECT ann.id, c.company_id, count(verdict) FILTER (verdict = 'pass') AS p, count(verdict) FILTER (verdict = 'fail') AS f, count(verdict) FILTER (verdict = 'unknown') AS u, coalesce(bool_or(strong), false) AS strong
+  SELECT ann.id, c.company_id, count(verdict) FILTER (verdict = 'pass') AS p, count(verdict) FILTER (verdict = 'fail') AS f, count(verdict) FILTER
+    (verdict = 'unknown') AS u, coalesce(bool_or(strong), false) AS strong
   FROM ann CROSS JOIN company c LEFT JOIN checked k ON k.id = ann.id AND k.company_id = c.company_id GROUP BY 1, 2
 ), graded AS (
   SELECT *, CASE WHEN f > 0 THEN 'impossible' WHEN p + u > 0 AND u = 0 THEN 'possible' ELSE 'uncertain' END AS grade,
@@ -69,7 +72,8 @@ LINES = f"""bucket AS (
   SELECT p_partkey AS bucket_id, {_pick(FUNDING_GROUPS, "p_partkey % 6")} AS category,
     CASE WHEN p_partkey % 9 <> 0 THEN DATE '{NOW[:10]}' + CAST(p_partkey % 45 - 4 AS INTEGER) END AS apply_end_date FROM part
 ), match AS (
-  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, CASE WHEN max(l_quantity) >= 25 THEN 'fit' ELSE 'unverified' END AS verdict FROM lineitem GROUP BY 1, 2
+  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, CASE WHEN max(l_quantity) >= 25 THEN 'fit' ELSE 'unverified' END AS verdict FROM lineitem
+    GROUP BY 1, 2
 ), line AS (
   SELECT m.company_id, m.bucket_id, m.verdict, b.category, date_diff('day', DATE '{NOW[:10]}', apply_end_date) AS d_day
   FROM match m JOIN bucket b ON m.bucket_id = b.bucket_id JOIN supplier ON s_suppkey = m.company_id WHERE apply_end_date >= DATE '{NOW[:10]}')"""
@@ -104,7 +108,8 @@ def condition_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(n, same).groupBy("company_id", found["key"], "verdict").agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED} SELECT company_id, grade, fit, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM graded GROUP BY 1, 2, 3")
+@query(f"""WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED} SELECT company_id, grade, fit, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM graded GROUP
+  BY 1, 2, 3""")
 def grade_and_score(spark: SparkSession, sf: str) -> DataFrame:
     return _graded(spark, sf).groupBy("company_id", "grade", "fit").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
@@ -136,7 +141,8 @@ ALL = f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED}, one AS (SELECT ann.*
 
 @query(ALL + """, n_of AS (SELECT grp, count(DISTINCT source) AS n_sources FROM ann GROUP BY 1)
   SELECT company_id, r.grp, id AS rep_id, fit, n AS group_count, n_sources FROM (
-  SELECT *, count(*) OVER (PARTITION BY company_id, grp) AS n, row_number() OVER (PARTITION BY company_id, grp ORDER BY CASE fit WHEN 'excluded' THEN 0 WHEN 'fit' THEN 1 ELSE 2 END, p + f + u DESC, apply_end NULLS LAST, id) AS k FROM one) r
+  SELECT *, count(*) OVER (PARTITION BY company_id, grp) AS n, row_number() OVER (PARTITION BY company_id, grp ORDER BY CASE fit WHEN 'excluded' THEN 0
+    WHEN 'fit' THEN 1 ELSE 2 END, p + f + u DESC, apply_end NULLS LAST, id) AS k FROM one) r
   JOIN n_of ON r.grp = n_of.grp WHERE k = 1""")
 def representative_pick(spark: SparkSession, sf: str) -> DataFrame:
     n = bridge.conditions(spark, sf).groupBy("id").agg(F.count("*").alias("checks"))
@@ -184,7 +190,8 @@ _MINE = _pick(tuple(regions_of(p) for p, _ in bridge.PLACES), "company_id % 10")
 
 
 @query(ALL + f""", d AS (SELECT one.*, CASE WHEN apply_end < TIMESTAMP '{NOW}' THEN 'drop-closed' WHEN sido <> {_MINE} THEN 'drop-region' ELSE 'keep' END AS decision, CASE WHEN f > 0 THEN 'impossible' WHEN p + u > 0 AND u = 0 THEN 'possible' ELSE 'uncertain' END AS g FROM one)
-SELECT company_id, count(*) FILTER (decision = 'drop-region') AS dropped_by_region, count(*) FILTER (decision = 'keep') AS candidates, count(*) FILTER (decision = 'keep' AND g = 'possible') AS possible,
+SELECT company_id, count(*) FILTER (decision = 'drop-region') AS dropped_by_region, count(*) FILTER (decision = 'keep') AS candidates, count(*) FILTER
+  (decision = 'keep' AND g = 'possible') AS possible,
   count(*) FILTER (decision = 'keep' AND g = 'uncertain') AS uncertain, count(*) FILTER (decision = 'keep' AND g = 'impossible') AS impossible FROM d GROUP BY 1""")
 def diagnose_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Of the announcements that a company's prefilter leaves, how many it can have; and how many its region took away."""
@@ -227,7 +234,8 @@ def deadline_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.col("d.kind").alias("kind"), korean.dead_rank(F.col("d")).cast("long").alias("dead_rank"))
 
 
-@query("SELECT o_orderkey AS id, o_orderdate - INTERVAL 9 HOUR AS period_start, o_orderdate + to_days(CAST(o_orderkey % 60 AS INTEGER)) + INTERVAL '14:59:59' AS period_end FROM orders")
+@query("""SELECT o_orderkey AS id, o_orderdate - INTERVAL 9 HOUR AS period_start, o_orderdate + to_days(CAST(o_orderkey % 60 AS INTEGER)) + INTERVAL '14:59:59'
+  AS period_end FROM orders""")
 def apply_periods(spark: SparkSession, sf: str) -> DataFrame:
     start, end = korean.period_bounds(F.col("period_text"))
     return bridge.announcements(spark, sf).select("id", start.alias("period_start"), end.alias("period_end"))
@@ -298,18 +306,21 @@ def sudden_drops(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.sudden_drops(bridge.runs(spark, sf))
 
 
-@query(f"WITH {RUNS} SELECT source, run_id, n_rows, failed FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run_at DESC, run_id DESC) AS k FROM runs) WHERE k = 1")
+@query(f"""WITH {RUNS} SELECT source, run_id, n_rows, failed FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run_at DESC, run_id DESC) AS k FROM
+  runs) WHERE k = 1""")
 def latest_run(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.latest(bridge.runs(spark, sf))
 
 
-@query(f"WITH {RUNS} SELECT source, day, run_id FROM (SELECT *, CAST(run_at AS DATE) AS day, row_number() OVER (PARTITION BY source, CAST(run_at AS DATE) ORDER BY run_at, run_id) AS k FROM runs) WHERE k = 1")
+@query(f"""WITH {RUNS} SELECT source, day, run_id FROM (SELECT *, CAST(run_at AS DATE) AS day, row_number() OVER (PARTITION BY source, CAST(run_at AS DATE) ORDER
+  BY run_at, run_id) AS k FROM runs) WHERE k = 1""")
 def first_writers(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.first_writers(bridge.runs(spark, sf))
 
 
 @query(f"""WITH p AS (SELECT l_suppkey AS source, l_orderkey % 40 + 1 AS page, l_partkey % 120 AS key FROM lineitem),
-n AS (SELECT source, page, count(DISTINCT key) FILTER (first = page) AS n_new FROM (SELECT *, min(page) OVER (PARTITION BY source, key) AS first FROM p) GROUP BY 1, 2),
+n AS (SELECT source, page, count(DISTINCT key) FILTER (first = page) AS n_new FROM (SELECT *, min(page) OVER (PARTITION BY source, key) AS first FROM
+  p) GROUP BY 1, 2),
 e AS (SELECT *, sum(CASE WHEN n_new = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS k FROM n),
 s AS (SELECT *, min(page) FILTER (k = 2) OVER (PARTITION BY source) AS stop FROM e)
 SELECT source, max(page) AS last_page, bool_or(stop IS NOT NULL) AS stopped, CAST(sum(n_new) AS BIGINT) AS n_keys FROM s WHERE stop IS NULL OR page <= stop GROUP BY 1""")
@@ -319,8 +330,10 @@ def page_stops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_custkey AS source, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 5 = 0 THEN '' WHEN o_orderkey % 2 = 0 AND o_custkey % 11 = 0 THEN '공지사항' ELSE 'title ' || o_orderkey END AS title,
-  CASE WHEN o_custkey % 7 = 0 THEN 'javascript:' || o_orderkey ELSE 'https://x/' || (o_orderkey % (1 + o_custkey % 9)) END AS url, o_orderkey % (2 + o_custkey % 6) = 0 AS dated FROM orders),
-f AS (SELECT source, count(*) AS n, count(*) FILTER (length(trim(title)) >= 4 AND title <> '공지사항') AS t, count(*) FILTER (url LIKE 'http%') AS l, count(DISTINCT url) AS u, count(*) FILTER (dated) AS d FROM r GROUP BY 1)
+  CASE WHEN o_custkey % 7 = 0 THEN 'javascript:' || o_orderkey ELSE 'https://x/' || (o_orderkey % (1 + o_custkey % 9)) END AS url, o_orderkey % (2 +
+    o_custkey % 6) = 0 AS dated FROM orders),
+f AS (SELECT source, count(*) AS n, count(*) FILTER (length(trim(title)) >= 4 AND title <> '공지사항') AS t, count(*) FILTER (url LIKE 'http%') AS l,
+  count(DISTINCT url) AS u, count(*) FILTER (dated) AS d FROM r GROUP BY 1)
 SELECT source, n, CASE WHEN n < 3 THEN 'few' WHEN source % 40 >= 10 AND 2 * n < source % 40 THEN 'drop' WHEN 10 * t < 6 * n THEN 'titles' WHEN 10 * l < 6 * n THEN 'links' WHEN 2 * u < n THEN 'urls' WHEN 10 * d < 3 * n THEN 'dates' ELSE 'ok' END AS reason FROM f""")
 def row_validation_gate(spark: SparkSession, sf: str) -> DataFrame:
     c, k = F.col("o_custkey"), F.col("o_orderkey")

@@ -30,9 +30,11 @@ DAY = f"DATE '{NOW[:10]}'"
 FULL = f"""{LINES.split("), match AS")[0]}), firm AS (
   SELECT s_suppkey AS company_id, 'Firm ' || (s_suppkey * 7 % 50) AS company_name, s_nationkey AS nation FROM supplier
 ), match AS (
-  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, CASE WHEN max(l_quantity) >= 25 THEN 'fit' ELSE 'unverified' END AS verdict, count(*) % 3 AS c FROM lineitem GROUP BY 1, 2
+  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, CASE WHEN max(l_quantity) >= 25 THEN 'fit' ELSE 'unverified' END AS verdict, count(*) % 3 AS c
+    FROM lineitem GROUP BY 1, 2
 ), start AS (
-  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, min(struct_pack(a := l_shipdate, t := l_orderkey)).t AS track_id FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2
+  SELECT l_suppkey AS company_id, l_partkey AS bucket_id, min(struct_pack(a := l_shipdate, t := l_orderkey)).t AS track_id FROM lineitem WHERE
+    l_linenumber = 1 GROUP BY 1, 2
 ), line AS (
   SELECT m.*, b.category, b.apply_end_date, date_diff('day', {DAY}, apply_end_date) AS d_day, company_name, nation, s.track_id IS NOT NULL AS begun
   FROM match m JOIN bucket b USING (bucket_id) JOIN firm USING (company_id) LEFT JOIN start s USING (company_id, bucket_id))"""
@@ -53,7 +55,8 @@ def deadline_bucket_companies(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).where("d_day >= 0 OR d_day IS NULL").select("bucket_id", "company_id", "company_name", "verdict", "begun")
 
 
-@query(f"WITH {FULL} SELECT company_id, bucket_id, d_day, row_number() OVER (PARTITION BY company_id ORDER BY apply_end_date, bucket_id) AS place FROM line WHERE d_day BETWEEN 0 AND 30")
+@query(f"""WITH {FULL} SELECT company_id, bucket_id, d_day, row_number() OVER (PARTITION BY company_id ORDER BY apply_end_date, bucket_id) AS place FROM line
+  WHERE d_day BETWEEN 0 AND 30""")
 def deadline_company(spark: SparkSession, sf: str) -> DataFrame:
     """Each company's dated buckets of the next 30 days, in order."""
     rows = _lines(spark, sf).where(deadline.in_days(F.col("d_day"), 30))
@@ -61,31 +64,39 @@ def deadline_company(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("company_id", "bucket_id", F.col("d_day").cast("long").alias("d_day"), place.cast("long").alias("place"))
 
 
-@query(f"WITH {FULL}, k AS (SELECT company_id, company_name, category, count(*) AS n, min(d_day) AS nearest, count(*) FILTER (begun) AS b FROM line WHERE {KEPT} GROUP BY 1, 2, 3) SELECT company_id, company_name, CAST(min(nearest) AS BIGINT) AS nearest, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(b) AS BIGINT) AS n_begun, string_agg(category || ':' || n || ':' || nearest, ',' ORDER BY category) AS kinds FROM k GROUP BY 1, 2")
+@query(f"""WITH {FULL}, k AS (SELECT company_id, company_name, category, count(*) AS n, min(d_day) AS nearest, count(*) FILTER (begun) AS b FROM line WHERE
+  {KEPT} GROUP BY 1, 2, 3) SELECT company_id, company_name, CAST(min(nearest) AS BIGINT) AS nearest, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(b) AS
+  BIGINT) AS n_begun, string_agg(category || ':' || n || ':' || nearest, ',' ORDER BY category) AS kinds FROM k GROUP BY 1, 2""")
 def deadline_contact_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Companies to call within 14 days, without empty judgements and those that have begun."""
     found = deadline.contact_rows(deadline.contact_lines(_lines(spark, sf), bridge.GENERIC))
     return found.withColumn("nearest", F.col("nearest").cast("long"))
 
 
-@query(f"WITH {FULL}, r AS (SELECT company_id, CASE category WHEN 'policy' THEN 'p' WHEN 'grant' THEN 'g' ELSE 'o' END AS k FROM line WHERE {KEPT}) SELECT count(DISTINCT company_id) FILTER (k = 'p') AS policy_fund, count(DISTINCT company_id) FILTER (k = 'g') AS free_grant, count(DISTINCT company_id) FILTER (k = 'o') AS other FROM r")
+@query(f"""WITH {FULL}, r AS (SELECT company_id, CASE category WHEN 'policy' THEN 'p' WHEN 'grant' THEN 'g' ELSE 'o' END AS k FROM line WHERE {KEPT}) SELECT
+  count(DISTINCT company_id) FILTER (k = 'p') AS policy_fund, count(DISTINCT company_id) FILTER (k = 'g') AS free_grant, count(DISTINCT company_id)
+  FILTER (k = 'o') AS other FROM r""")
 def deadline_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
     named = F.when(F.col("category") == "policy", deadline.KINDS_FIRST[0]).when(F.col("category") == "grant", deadline.KINDS_FIRST[1]).otherwise(F.col("category"))
     return deadline.kind_counts(deadline.contact_lines(_lines(spark, sf), bridge.GENERIC).withColumn("category", named))
 
 
-@query(f"WITH {FULL} SELECT bucket_id, row_number() OVER (ORDER BY apply_end_date NULLS LAST, bucket_id) AS place FROM bucket WHERE apply_end_date IS NULL OR date_diff('day', {DAY}, apply_end_date) BETWEEN 0 AND 14")
+@query(f"""WITH {FULL} SELECT bucket_id, row_number() OVER (ORDER BY apply_end_date NULLS LAST, bucket_id) AS place FROM bucket WHERE apply_end_date IS NULL OR
+  date_diff('day', {DAY}, apply_end_date) BETWEEN 0 AND 14""")
 def deadline_list_order(spark: SparkSession, sf: str) -> DataFrame:
     return deadline.in_order(bridge.buckets(spark, sf), _today(), 14).select("bucket_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {FULL} SELECT bucket_id, company_id, verdict, row_number() OVER (ORDER BY apply_end_date NULLS LAST, bucket_id, verdict, company_name, company_id) AS place FROM line WHERE d_day BETWEEN 0 AND 14 OR apply_end_date IS NULL QUALIFY place <= 50000")
+@query(f"""WITH {FULL} SELECT bucket_id, company_id, verdict, row_number() OVER (ORDER BY apply_end_date NULLS LAST, bucket_id, verdict, company_name,
+  company_id) AS place FROM line WHERE d_day BETWEEN 0 AND 14 OR apply_end_date IS NULL QUALIFY place <= 50000""")
 def deadline_export(spark: SparkSession, sf: str) -> DataFrame:
     """The spreadsheet's rows, 50,000 at most as the feature has it."""
     return deadline.export(_lines(spark, sf), 14).select("bucket_id", "company_id", "verdict", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {FULL} SELECT 'n3' AS reader, count(*) AS n, count(DISTINCT company_id) AS n_companies FROM line WHERE nation = 3 UNION ALL SELECT 'third', count(*), count(DISTINCT company_id) FROM line WHERE company_id % 3 = 0 UNION ALL SELECT 'keys', count(*), count(DISTINCT company_id) FROM line WHERE company_id IN (1, 2) UNION ALL SELECT 'none', 0, 0")
+@query(f"""WITH {FULL} SELECT 'n3' AS reader, count(*) AS n, count(DISTINCT company_id) AS n_companies FROM line WHERE nation = 3 UNION ALL SELECT 'third',
+  count(*), count(DISTINCT company_id) FROM line WHERE company_id % 3 = 0 UNION ALL SELECT 'keys', count(*), count(DISTINCT company_id) FROM line
+  WHERE company_id IN (1, 2) UNION ALL SELECT 'none', 0, 0""")
 def deadline_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """What each of four scopes sees; an empty list of keys sees nothing."""
     every = bridge.company_names(spark, sf)
@@ -114,7 +125,8 @@ ITEM = f"""item AS (SELECT id, funding_group, CASE id % 3 WHEN 0 THEN 'fit' WHEN
   CASE WHEN id % 8 > 0 THEN id % 40 * 0.25 END AS rate_min, CASE WHEN id % 9 > 0 THEN amount_won END AS amount_won,
   CASE WHEN apply_start > TIMESTAMP '{NOW}' THEN 'upcoming' WHEN apply_end IS NOT NULL THEN 'date' ELSE {_pick(("unknown", "budget", "always", "text", "always"), "id // 7 % 5")} END AS kind,
   date_diff('day', CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), CAST(apply_end + INTERVAL 9 HOUR AS DATE)) AS d FROM ann),
-ranked AS (SELECT *, CASE WHEN kind = 'upcoming' AND d IS NULL THEN 89999 WHEN kind IN ('upcoming', 'date') THEN CASE WHEN d < 0 THEN 99999 ELSE d END WHEN kind = 'always' THEN 90000 WHEN kind = 'budget' THEN 90001 WHEN kind = 'text' THEN 90002 ELSE 90003 END AS dead,
+ranked AS (SELECT *, CASE WHEN kind = 'upcoming' AND d IS NULL THEN 89999 WHEN kind IN ('upcoming', 'date') THEN CASE WHEN d < 0 THEN 99999 ELSE d END
+  WHEN kind = 'always' THEN 90000 WHEN kind = 'budget' THEN 90001 WHEN kind = 'text' THEN 90002 ELSE 90003 END AS dead,
   CASE WHEN coalesce(kind IN ('upcoming', 'date') AND d = 0, false) THEN 1 ELSE 0 END AS due, CASE fit WHEN 'fit' THEN 0 WHEN 'unverified' THEN 1 ELSE 2 END AS v FROM item)"""
 _SORTS = {"rec": "v, due, coalesce(step, CASE WHEN fit = 'fit' THEN 3 ELSE 5 END), weight, dead, score DESC, id", "dead": "dead, id", "rate": "rate_min NULLS LAST, id", "amt": "coalesce(amount_won, -1) DESC, id"}
 
@@ -174,7 +186,8 @@ TWIN = f"""product AS (SELECT p_partkey AS ord, (p_partkey % 1500 + 1) || '|' ||
 last AS (SELECT grp, max(struct_pack(o := ord, v := verdict, p := place_only)) AS t FROM product GROUP BY 1)"""
 
 
-@query(f"WITH {ANN}, {TWIN} SELECT id, CASE WHEN id % 3 = 0 AND coalesce(t.v <> 'fit' AND NOT (t.v = 'excluded' AND t.p), false) THEN 'unverified' ELSE CASE id % 3 WHEN 0 THEN 'fit' WHEN 1 THEN 'unverified' ELSE 'excluded' END END AS fit FROM ann LEFT JOIN last USING (grp)")
+@query(f"""WITH {ANN}, {TWIN} SELECT id, CASE WHEN id % 3 = 0 AND coalesce(t.v <> 'fit' AND NOT (t.v = 'excluded' AND t.p), false) THEN 'unverified' ELSE CASE id
+  % 3 WHEN 0 THEN 'fit' WHEN 1 THEN 'unverified' ELSE 'excluded' END END AS fit FROM ann LEFT JOIN last USING (grp)""")
 def twin_downgrade(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("id")
     items = grouping.keyed(bridge.announcements(spark, sf)).select("id", "grp", F.when(k % 3 == 0, "fit").when(k % 3 == 1, "unverified").otherwise("excluded").alias("fit"))
@@ -182,7 +195,8 @@ def twin_downgrade(spark: SparkSession, sf: str) -> DataFrame:
     return funding.twin_downgrade(items, products).select("id", "fit")
 
 
-@query("SELECT p_partkey AS product_id, 'stored' AS origin FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, 'manual' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 0")
+@query("""SELECT p_partkey AS product_id, 'stored' AS origin FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, 'manual' FROM part WHERE p_partkey %
+  5 = 0 AND p_partkey % 2 = 0""")
 def manual_products(spark: SparkSession, sf: str) -> DataFrame:
     """Manual products that aren't among the stored ones."""
     every = bridge.products(spark, sf).select("product_id")
@@ -198,8 +212,11 @@ def group_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {ANN}, r AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'fit' ELSE 'unverified' END AS fit, row_number() OVER (PARTITION BY grp ORDER BY id) = 1 AS rep, id % 4 = 1 AS own FROM ann),
-m AS (SELECT grp, string_agg('check ' || id % 2, ',' ORDER BY f) AS more FROM (SELECT grp, id % 2 AS id, min(id) AS f FROM r WHERE NOT rep AND own GROUP BY 1, 2) GROUP BY 1)
-SELECT grp, id, CASE WHEN fit = 'fit' AND more IS NOT NULL THEN 'unverified' ELSE fit END AS fit, CASE WHEN fit = 'fit' AND more IS NOT NULL THEN CASE WHEN own AND more <> 'check ' || id % 2 THEN 'check ' || id % 2 || ',원문 확인,' || more WHEN own THEN 'check ' || id % 2 || ',원문 확인' ELSE '원문 확인,' || more END
+m AS (SELECT grp, string_agg('check ' || id % 2, ',' ORDER BY f) AS more FROM (SELECT grp, id % 2 AS id, min(id) AS f FROM r WHERE NOT rep AND own
+  GROUP BY 1, 2) GROUP BY 1)
+SELECT grp, id, CASE WHEN fit = 'fit' AND more IS NOT NULL THEN 'unverified' ELSE fit END AS fit, CASE WHEN fit = 'fit' AND more IS NOT NULL THEN CASE
+  WHEN own AND more <> 'check ' || id % 2 THEN 'check ' || id % 2 || ',원문 확인,' || more WHEN own THEN 'check ' || id % 2 || ',원문 확인' ELSE '원문 확인,' ||
+  more END
   ELSE CASE WHEN own THEN 'check ' || id % 2 || ',원문 확인' ELSE '원문 확인' END END AS checks FROM r LEFT JOIN m USING (grp) WHERE rep""")
 def sibling_downgrade(spark: SparkSession, sf: str) -> DataFrame:
     """Representatives that are fit take the checks of their groups' other rows."""
@@ -212,9 +229,13 @@ def sibling_downgrade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT p_partkey AS id, p_size AS s FROM part), c AS (
-  SELECT id, 0 AS o, 'region' AS key, '서울+경기' AS v FROM r WHERE id % 2 = 0 UNION ALL SELECT id, 1, 'industry', '제조' FROM r WHERE id % 3 = 0 UNION ALL SELECT id, 2, 'companyScale', '소상공인' FROM r WHERE id % 5 = 0
-  UNION ALL SELECT id, 3, 'businessAgeMinYears', CAST(s AS VARCHAR) FROM r WHERE id % 7 = 0 UNION ALL SELECT id, 4, 'businessAgeMaxYears', CAST(s AS VARCHAR) FROM r WHERE id % 7 = 1 UNION ALL SELECT id, 5, 'creditScoreMin', CAST(600 + s AS VARCHAR) FROM r WHERE id % 4 = 1
-  UNION ALL SELECT id, 7, 'revenueMaxKrw', CAST(s * 1000000 AS VARCHAR) FROM r WHERE id % 6 = 0 UNION ALL SELECT id, 8, 'employeeMax', CAST(s AS VARCHAR) FROM r WHERE id % 8 = 0 UNION ALL SELECT id, 9, 'isCorporation', CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END FROM r WHERE id % 9 = 0
+  SELECT id, 0 AS o, 'region' AS key, '서울+경기' AS v FROM r WHERE id % 2 = 0 UNION ALL SELECT id, 1, 'industry', '제조' FROM r WHERE id % 3 = 0 UNION ALL
+    SELECT id, 2, 'companyScale', '소상공인' FROM r WHERE id % 5 = 0
+  UNION ALL SELECT id, 3, 'businessAgeMinYears', CAST(s AS VARCHAR) FROM r WHERE id % 7 = 0 UNION ALL SELECT id, 4, 'businessAgeMaxYears', CAST(s AS
+    VARCHAR) FROM r WHERE id % 7 = 1 UNION ALL SELECT id, 5, 'creditScoreMin', CAST(600 + s AS VARCHAR) FROM r WHERE id % 4 = 1
+  UNION ALL SELECT id, 7, 'revenueMaxKrw', CAST(s * 1000000 AS VARCHAR) FROM r WHERE id % 6 = 0 UNION ALL SELECT id, 8, 'employeeMax', CAST(s AS
+    VARCHAR) FROM r WHERE id % 8 = 0 UNION ALL SELECT id, 9, 'isCorporation', CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END FROM r WHERE id % 9 =
+    0
   UNION ALL SELECT id, 10, 'hasExistingLoan', 'false' FROM r WHERE id % 10 = 3 UNION ALL SELECT id, 11, 'other', '39' FROM r WHERE id % 11 = 0)
 SELECT id AS product_id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS ord, key, v AS value, key <> 'other' AS machine_readable FROM c""")
 def product_conditions(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +275,8 @@ def browse_wildcards(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.browse_rows(bridge.announcements(spark, sf), text="50%", fields=("title", "agency")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query(f"WITH {ANN} SELECT grp, id AS rep_id, n FROM (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY apply_start DESC, id) AS k, count(*) OVER (PARTITION BY grp) AS n FROM ann WHERE status = 'closed') WHERE k = 1")
+@query(f"""WITH {ANN} SELECT grp, id AS rep_id, n FROM (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY apply_start DESC, id) AS k, count(*) OVER
+  (PARTITION BY grp) AS n FROM ann WHERE status = 'closed') WHERE k = 1""")
 def browse_closed(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of the closed ones, newest first within a group."""
     return grouping.browse(bridge.announcements(spark, sf), "closed").select("grp", "rep_id", "n")
@@ -305,7 +327,8 @@ def profile_changes(spark: SparkSession, sf: str) -> DataFrame:
     return documents.profile_changes(_facts(spark, sf), profile, ("industry", "address"))
 
 
-@query("SELECT o_orderkey AS id, '담당 ○○○, ○○○ 및 홍길' || CASE WHEN o_orderkey % 2 = 0 THEN '순' ELSE '' END AS text FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, '담당 ○○○, ○○○ 및 홍길' FROM orders WHERE o_orderkey % 2 = 1")
+@query("""SELECT o_orderkey AS id, '담당 ○○○, ○○○ 및 홍길' || CASE WHEN o_orderkey % 2 = 0 THEN '순' ELSE '' END AS text FROM orders WHERE o_orderkey % 2 = 0 UNION
+  ALL SELECT o_orderkey, '담당 ○○○, ○○○ 및 홍길' FROM orders WHERE o_orderkey % 2 = 1""")
 def redacted_names(spark: SparkSession, sf: str) -> DataFrame:
     """Known names go from a text; a longer name goes before one that it holds."""
     text = F.concat(F.lit("담당 김철수, 홍길동 및 홍길"), F.when(F.col("o_orderkey") % 2 == 0, "순").otherwise(""))
@@ -314,7 +337,8 @@ def redacted_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, '[' || l_linenumber || ']' AS marker, repeat('x', CAST(max(l_quantity) AS INTEGER)) AS body FROM lineitem GROUP BY 1, 2),
-w AS (SELECT *, 60 - sum(length(marker)) OVER (PARTITION BY doc_id) - coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b)
+w AS (SELECT *, 60 - sum(length(marker)) OVER (PARTITION BY doc_id) - coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN
+  UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b)
 SELECT doc_id, ord, marker || left(body, CAST(greatest(room, 0) AS INTEGER)) AS text FROM w""")
 def text_budget(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("l_linenumber")
@@ -340,7 +364,11 @@ def progress_step_ids(spark: SparkSession, sf: str) -> DataFrame:
 _GAP_SQL = {"credit": "s % 3 = 0", "has_loan": "s % 4 = 3", "region": "s % 10 = 4", "industry": "s // 2 % 5 = 2", "founded": "s % 19 <> 0 AND s % 17 = 0", "revenue": "s % 7 = 0", "employees": "s % 5 = 0", "scale": "s % 4 = 0", "tax_delinquent": "s % 11 = 0", "has_cert": "s % 3 = 0", "has_patent": "s % 4 = 0", "bizno": "s % 5 IN (0)"}
 
 
-@query("WITH c AS (SELECT s_suppkey AS s FROM supplier) SELECT s AS company_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_GAP_SQL[k]} THEN '{label}' END" for k, (label, _) in funding.GAPS.items()) + "], lambda x: x IS NOT NULL), ',') AS gaps FROM c")
+_GAP_LIST = ", ".join(f"CASE WHEN {_GAP_SQL[k]} THEN '{label}' END" for k, (label, _) in funding.GAPS.items())
+
+
+@query(f"""WITH c AS (SELECT s_suppkey AS s FROM supplier)
+  SELECT s AS company_id, array_to_string(list_filter([{_GAP_LIST}], lambda x: x IS NOT NULL), ',') AS gaps FROM c""")
 def profile_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """What each company hasn't told, as far as a condition asks for it."""
     return funding.visible_gaps(bridge.companies(spark, sf), bridge.conditions(spark, sf)).select("company_id", F.array_join("gaps", ",").alias("gaps"))
