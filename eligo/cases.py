@@ -384,3 +384,26 @@ cases(
 one("attachment_formats", "string", lambda x: notices.format_of(F.unhex(x)), [("255044462D312E37", "pdf"), ("D0CF11E0A1B11AE1", "hwp"), ("504B030414", "zip"), ("89504E470D0A1A0A00", "image"), ("524946460000000057454250", "image"), ("52494646000000004156", None), ("3C21444F43545950452068746D6C3E", "html"), ("20203C68746D6C3E", "html"), ("3C3F786D6C3F3E3C48574D4C3E", None), ("3C48575050", None), ("3C4857504D4C3E", "hml"), ("", None), (None, None)])
 cases("same_documents", {"name": "string"}, {"key": ("string", lambda: notices.same_document(c("name"))["key"]), "rank": ("int", lambda: notices.same_document(c("name"))["rank"])}, [(("공고문.hwp",), ("공고문", 1)), (("공고문 .PDF",), ("공고문", 2)), (("A  B.hwpx",), ("a b", 0)), (("a.zip",), (None, None)), ((".hwp",), (None, None)), (("이름",), (None, None)), ((None,), (None, None))])
 cases("schedule_percents", {"start": "timestamp_ntz", "end": "timestamp_ntz"}, {"value": ("int", lambda: notices.schedule_percent(c("start"), c("end"), now()))}, [(("1998-05-22 15:00:00", "1998-06-10 14:59:59"), (50,)), (("1998-05-31 15:00:00", "1998-06-01 14:59:59"), (100,)), (("1998-06-04 15:00:00", "1998-06-10 14:59:59"), (0,)), (("1998-01-01 15:00:00", "1998-02-01 14:59:59"), (100,)), ((None, "1998-02-01 14:59:59"), (None,)), (("1998-03-01 15:00:00", "1998-02-01 14:59:59"), (None,))])
+
+# Rows, titles and cells
+cases("title_deadlines", {"title": "string", "registered": "string"}, {"value": ("string", lambda: notices.title_deadline(c("title"), c("registered")))}, [(("모집(~26.9.30)", "2026-08-01"), ("2026-09-30",)), (("모집(~9.30)", "2026-08-01"), ("2026-09-30",)), (("모집(~1.15)", "2026-11-01"), ("2027-01-15",)), (("9월 30일(수)까지 접수", "2026-08-01"), ("2026-09-30",)), (("매출 ~10.5억", "2026-08-01"), ("",)), (("모집(~8.1)", "2026-08-02"), ("",)), (("모집(~9.30)", ""), ("",)), (("모집", "2026-08-01"), ("",))])
+cases("row_periods", {"x": "string"}, {"period_start": ("timestamp_ntz", lambda: korean.row_period(c("x"))["start"]), "period_end": ("timestamp_ntz", lambda: korean.row_period(c("x"))["end"])}, [(("2026.8.1 ~ 2026.9.30",), ("2026-07-31 15:00:00", "2026-09-30 14:59:59")), (("2026.9.30",), (None, "2026-09-30 14:59:59")), (("2026.8.1 ~",), ("2026-07-31 15:00:00", None)), (("2026.8.1, 2026.9.1",), (None, None)), (("상시",), (None, None)), ((None,), (None, None))])
+cases("same_conditions", {"a": "string", "b": "string"}, {"value": ("boolean", lambda: notices.same_condition(c("a"), c("b")))}, [(("업력 7년 이내", "업력7년이내."), (True,)), (("업력 7년 이내", "(대상) 업력 7년 이내 기업"), (True,)), (("서울", "서울 소재"), (False,)), (("", ""), (False,)), (("매출 10억", "업력 7년"), (False,))])
+cases(
+    "merged_condition_rows",
+    {"x": "string"},
+    {"value": ("string", lambda: F.array_join(F.transform(notices.merged_rows(c("checks"), c("told")), lambda r: F.concat_ws(":", r["text"], r["verdict"])), ","))},
+    [
+        (("업력7년이내:pass",), ("업력 7년 이내:pass,서울 소재:unknown",)),
+        (("서울소재:fail",), ("업력 7년 이내:unknown,서울 소재:fail",)),
+        (("매출 10억 이하:pass",), ("업력 7년 이내:unknown,서울 소재:unknown,매출 10억 이하:pass",)),
+        (("서울소재:unknown",), ("업력 7년 이내:unknown,서울 소재:unknown",)),
+    ],
+    before=lambda df: df.select(
+        "id",
+        F.array(*[F.struct(F.lit(t).alias("text"), F.lit("unknown").alias("verdict")) for t in ("업력 7년 이내", "서울 소재")]).alias("checks"),
+        F.array(F.struct(F.substring_index("x", ":", 1).alias("text"), F.substring_index("x", ":", -1).alias("verdict"))).alias("told"),
+    ),
+)
+one("table_rows", "string", lambda x: F.array_join(notices.table_cells(x), "/"), [("a\tb,c", "a/b,c"), ("| a | b |", " a / b "), ('1,"2,3",4', "1/2,3/4"), ('"a ""b""",', 'a "b"/'), ("x", "x"), ("", ""), ("a,,b", "a//b")])
+one("ordered_label_lists", "string", lambda x: joined(notices.ordered_labels(x)), [([" b ", "a", "b", ""], "b,a"), ([], ""), (["a"], "a")], "array<string>")

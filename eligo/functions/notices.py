@@ -173,3 +173,78 @@ def schedule_percent(start: Column, end: Column, now: Column) -> Column:
     start."""
     total, passed = F.datediff(kst_date(end), kst_date(start)), F.datediff(kst_date(now), kst_date(start))
     return F.when(total == 0, 100).when(total > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.floor(passed / total * 100 + 0.5).cast("int"))))
+
+
+#: Months, days, and what after a number makes it no day.
+_MONTH, _DAY = "(1[0-2]|0?[1-9])", "(3[01]|[12][0-9]|0?[1-9])"
+_NO_DAY = r"(?!\s*(?:억|천만|백만|만|원|%|퍼센트|배|명|개|건|년|주|시간|kg|㎡))"
+TITLE_YEAR = rf"~\s*([0-9]{{2}})\s*\.\s*{_MONTH}\s*\.\s*{_DAY}(?![0-9]){_NO_DAY}"
+TITLE_DAY = rf"~\s*{_MONTH}\s*[./월]\s*{_DAY}(?![0-9]){_NO_DAY}"
+TITLE_UNTIL = rf"{_MONTH}\s*[./월]\s*{_DAY}\s*일?{_NO_DAY}[^~]{{0,12}}까지"
+
+
+def title_deadline(title: Column, registered: Column) -> Column:
+    """The end that a title names, as year-month-day: "~yy.m.d", "~m.d" or "m월 d일까지", a year that isn't there being that of the
+    registration, or the next for an earlier month; empty without one, or where it lies before the registration."""
+    part = lambda p, i: F.regexp_extract(title, p, i)
+    two = lambda x: F.lpad(x, 2, "0")
+    known = registered.rlike("^[0-9]{4}-[0-9]{2}")
+    year, month = F.left(registered, F.lit(4)).cast("int"), F.substring(registered, 6, 2).cast("int")
+
+    def dated(p: str) -> Column:
+        own = F.when(part(p, 1).cast("int") < month, year + 1).otherwise(year)
+        return F.when(known, F.concat_ws("-", own.cast("string"), two(part(p, 1)), two(part(p, 2)))).otherwise("")
+
+    with_year = F.concat(F.lit("20"), part(TITLE_YEAR, 1), F.lit("-"), two(part(TITLE_YEAR, 2)), F.lit("-"), two(part(TITLE_YEAR, 3)))
+    found = F.when(title.rlike(TITLE_YEAR), with_year).when(title.rlike(TITLE_DAY), dated(TITLE_DAY)).when(title.rlike(TITLE_UNTIL), dated(TITLE_UNTIL)).otherwise("")
+    past = registered.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (found < registered)
+    return F.when((found != "") & ~F.coalesce(past, F.lit(False)), found).otherwise("")
+
+
+#: Fixed value: marks that two conditions' texts may differ in.
+CONDITION_MARKS = r"(?U)[\s.,:;·()（）「」\"'-]"
+LEAST_PART = 6
+
+
+def same_condition(a: Column, b: Column, least: int = LEAST_PART) -> Column:
+    """Two texts of one condition: equal without marks, or the shorter one within the longer, with `least` letters at least."""
+    x, y = F.regexp_replace(a, CONDITION_MARKS, ""), F.regexp_replace(b, CONDITION_MARKS, "")
+    inside = F.when(F.length(x) <= F.length(y), (F.length(x) >= least) & y.contains(x)).otherwise((F.length(y) >= least) & x.contains(y))
+    return (x != "") & (y != "") & ((x == y) | inside)
+
+
+def merged_rows(checks: Column, told: Column) -> Column:
+    """checks and told: arrays of (text, verdict). Each told one goes to the first check of the same condition, and decides it where
+    it is unknown; the others are appended in order."""
+    of = lambda t: F.get(F.filter(F.transform(checks, lambda c, i: F.when(same_condition(c["text"], t["text"]), i)), lambda i: i.isNotNull()), F.lit(0))
+    placed = F.transform(told, lambda t: F.struct(of(t).alias("at"), t["text"].alias("text"), t["verdict"].alias("verdict")))
+
+    def decided(c: Column, i: Column) -> Column:
+        says = F.get(F.filter(placed, lambda p: (p["at"] == i) & (p["verdict"] != "unknown")), F.lit(0))
+        return F.struct(c["text"].alias("text"), F.when(c["verdict"] == "unknown", F.coalesce(says["verdict"], c["verdict"])).otherwise(c["verdict"]).alias("verdict"))
+
+    more = F.transform(F.filter(placed, lambda p: p["at"].isNull()), lambda p: F.struct(p["text"].alias("text"), p["verdict"].alias("verdict")))
+    return F.concat(F.transform(checks, decided), more)
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of a line of comma-separated values; quoted cells may hold commas and doubled quotes."""
+    cell = r'(?:^|,)((?:"(?:[^"]|"")*"|[^,"])*)'
+    bare = lambda x: F.replace(F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.regexp_extract_all(line, F.lit(cell), 1), lambda x: bare(x))
+
+
+def table_cells(line: Column) -> Column:
+    """Cells of a table's row: by tabs where it has one, else by bars, else by commas."""
+    by_bars = F.split(F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"\|$", ""), r"\|")
+    return F.when(line.contains("\t"), F.split(line, "\t")).when(line.contains("|"), by_bars).otherwise(csv_cells(line))
+
+
+def storable(text: Column) -> Column:
+    """Without the characters that no store takes."""
+    return F.replace(text, F.lit("\u0000"), F.lit(""))
+
+
+def ordered_labels(labels: Column) -> Column:
+    """Distinct labels in their order, trimmed, without blank ones."""
+    return F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x != ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +117,60 @@ def export(lines: DataFrame, days: int | None = None, most: int = EXPORT_ROWS) -
     order = [F.col("apply_end_date").asc_nulls_last(), F.col("bucket_id").asc(), F.when(F.col("verdict") == "fit", 0).otherwise(1).asc(), F.col("company_name").asc(), F.col("company_id").asc()]
     out = lines.where(in_days(F.col("d_day"), days) | F.col("apply_end_date").isNull()).orderBy(*order).limit(most)
     return out.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+#: Views, their day filters (None: all) and defaults, and a company's key.
+VIEWS = ("list", "bucket", "contacts", "company", "summary", "export")
+DAYS = {"7": 7, "14": 14, "30": 30, "all": None}
+LIST_DAYS, CONTACT_DAYS = 30, 14
+CUSTOMER_KEY = r"[bp]:[0-9]{1,64}"
+
+
+def parse_query(q: dict[str, str]) -> dict:
+    """A view's parameters, checked; ValueError names the one that is wrong."""
+
+    def one_of(name: str, known: dict, default):
+        raw = q.get(name) or ""
+        if raw and raw not in known:
+            raise ValueError(name)
+        return known[raw] if raw else default
+
+    flags, contacts = {"0": False, "1": True}, ("contacts", "company")
+    view = one_of("view", {v: v for v in VIEWS}, "list")
+    found = {"view": view}
+    if view != "company":
+        found["scope"] = one_of("scope", {"mine": "mine", "all": "all"}, None)
+    if view in ("list", "export", *contacts):
+        found["days"] = one_of("days", DAYS, CONTACT_DAYS if view in contacts else LIST_DAYS)
+    for name, default, views in (("hideEmpty", True, ("list",)), ("fitOnly", False, ("export",)), ("includeUnstructured", False, contacts), ("includeProgress", False, contacts)):
+        if view in views:
+            found[name] = one_of(name, flags, default)
+    if view == "bucket":
+        key = (q.get("bucket") or "").strip()
+        if not key or len(key) > 300:
+            raise ValueError("bucket")
+        found["bucket"] = key
+    if view == "company":
+        if not re.fullmatch(CUSTOMER_KEY, q.get("customerKey") or ""):
+            raise ValueError("customerKey")
+        found["customerKey"] = q["customerKey"]
+    if view == "export" and "category" in q:
+        if len(q["category"]) > 100:
+            raise ValueError("category")
+        found["category"] = q["category"]
+    return found
+
+
+def shown(buckets: DataFrame, category: str | None = None, fit_only: bool = False, hide_empty: bool = True) -> DataFrame:
+    """Buckets of the list with counts that its filters leave."""
+    rows = buckets if not category else buckets.where(F.col("category") == category)
+    if fit_only:
+        rows = rows.where("fit > 0")
+    return rows.where("fit + unverified > 0") if hide_empty else rows
+
+
+def kind_shown(category: Column, kind: str) -> Column:
+    """A contact's line of a kind: all ("") , one of the first two, or the others ("__other")."""
+    if kind == "":
+        return F.lit(True)
+    return ~category.isin(*KINDS_FIRST) if kind == "__other" else category == kind

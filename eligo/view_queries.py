@@ -383,3 +383,20 @@ def one_list_page(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {ANN} SELECT id FROM ann WHERE status = 'open' AND (apply_end IS NULL OR apply_end > TIMESTAMP '{NOW}')")
 def open_announcements(spark: SparkSession, sf: str) -> DataFrame:
     return funding.open_announcements(bridge.announcements(spark, sf), bridge.now()).select("id")
+
+
+@query(f"""WITH {ANN}, {ITEM} SELECT tab, count(*) FILTER (fit = 'fit') AS fit, count(*) FILTER (fit = 'unverified') AS unverified, count(*) FILTER (fit = 'excluded') AS excluded
+  FROM (SELECT 'all' AS tab, fit FROM ranked UNION ALL SELECT funding_group, fit FROM ranked) GROUP BY 1""")
+def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of all items and of each group, in one pass."""
+    count = lambda v: F.count_if(F.col("fit") == v).alias(v)
+    found = _items(spark, sf).rollup("funding_group").agg(count("fit"), count("unverified"), count("excluded"), F.grouping("funding_group").alias("g"))
+    return found.select(F.when(F.col("g") == 1, "all").otherwise(F.col("funding_group")).alias("tab"), "fit", "unverified", "excluded")
+
+
+@query(f"""WITH {FULL}, n AS (SELECT bucket_id, count(*) FILTER (verdict = 'fit') AS fit, count(*) FILTER (verdict = 'unverified') AS unverified FROM match GROUP BY 1)
+  SELECT b.bucket_id, b.category, coalesce(fit, 0) AS fit, coalesce(unverified, 0) AS unverified FROM bucket b JOIN n USING (bucket_id) WHERE category = 'grant' AND fit > 0""")
+def deadline_list_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Grants with a company that fits."""
+    found = deadline.bucket_list(bridge.buckets(spark, sf), bridge.matches(spark, sf), _today())
+    return deadline.shown(found, "grant", fit_only=True).select("bucket_id", "category", "fit", "unverified")

@@ -141,3 +141,11 @@ def test_html_list_rows():
     assert rows_of(menu + page) == [(f"공고 {i}호 & 안내", f"/v?id={i}", f"2026.8.{i}") for i in range(1, 5)]
     assert [r[1] for r in rows_of(menu)] == [f"/m{i}" for i in range(9)]
     assert rows_of(None) == [] and rows_of("<ul><li><a href='x'>하나뿐</a></ul>") == [] and rows_of("<li><a href=1>a</a>" * 5) == []
+
+
+def test_deadline_query_is_checked():
+    assert deadline.parse_query({}) == {"view": "list", "scope": None, "days": 30, "hideEmpty": True}
+    assert deadline.parse_query({"view": "company", "customerKey": "b:12", "days": "7", "includeProgress": "1"}) == {"view": "company", "days": 7, "includeUnstructured": False, "includeProgress": True, "customerKey": "b:12"}
+    for bad in ({"view": "x"}, {"days": "8"}, {"hideEmpty": "yes"}, {"view": "company", "customerKey": "c:1"}, {"view": "bucket"}, {"view": "export", "category": "x" * 101}, {"scope": "none"}):
+        with pytest.raises(ValueError):
+            deadline.parse_query(bad)
