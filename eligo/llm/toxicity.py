@@ -86,10 +86,16 @@ def label_words(texts: list[list[str]], toxic: np.ndarray, least: int = 3, log_o
     """1 for the offending words of toxic documents, by document frequencies of features."""
     bad, good = Counter(), Counter()
     for words, t in zip(texts, toxic, strict=True):
-        (bad if t else good).update({n for w in set(words) for n in names(w)})
+        if t:
+            bad.update({n for w in set(words) for n in names(w)})
+    often = {n: c for n, c in bad.items() if c >= least}
+    del bad
+    for words, t in zip(texts, toxic, strict=True):  # of clean texts only what may tell is counted
+        if not t:
+            good.update({n for w in set(words) for n in names(w) if n in often})
     n_bad, n_good = int(toxic.sum()), int(len(toxic) - toxic.sum())
     gap = np.log(n_good + 1) - np.log(n_bad + 1)
-    telling = {n for n, c in bad.items() if c >= least and np.log((c + 0.5) / (good[n] + 0.5)) + gap >= log_odds}
+    telling = {n for n, c in often.items() if np.log((c + 0.5) / (good[n] + 0.5)) + gap >= log_odds}
     memo: dict[str, int] = {}
     for words, t in zip(texts, toxic, strict=True):
         if t:
@@ -114,7 +120,8 @@ def windows(labels: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
 def fit(texts: list[str], toxic: list[int], window: int = 120, rounds: int = 60, rate: float = 0.5, penalty: float = 1e-6) -> Field:
     """Maximum likelihood by Adagrad over whole texts, cut into windows. Only toxic texts without a word that is labelled
     offending teach nothing: which of their words offend is unknown."""
-    words = [_WORD.findall(t or "") for t in texts]
+    pool: dict[str, str] = {}  # one string for each distinct word
+    words = [[pool.setdefault(w, w) for w in _WORD.findall(t or "")] for t in texts]
     labels = label_words(words, np.array(toxic, bool))
     used = [(w, y) for w, y, t in zip(words, labels, toxic, strict=True) if y.any() or not t]
     field = Field(np.zeros(DIMENSIONS), -4.0, 1.0, 1.0, 1.0)
