@@ -326,7 +326,7 @@ cases("structure_choices", {"status": "string"}, {"value": ("string", lambda: st
 one("largest_amounts", "long", amounts.largest_amount, [
     ("기업당 최대 5억원 지원", 500_000_000),
     ("최대 3천만원, 한도 1억 5천만원", 150_000_000),
-    ("총 500억원 규모, 업체당 2억원", 200_000_000),
+    ("총 500억원 규모, 업체당 2억원", None),
     ("도내 연매출 3억원 이하 소상공인", None),
     ("매출액 10억원 이상 기업, 한도 1억원", 100_000_000),
     ("최대 300억원", None),
