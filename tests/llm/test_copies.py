@@ -31,7 +31,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.SQL[name])
     columns = sorted(got.columns)
