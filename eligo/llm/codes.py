@@ -17,13 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligo.llm.centroids import finite, scaled
-from eligo.llm.common import cut, table
+from eligo.llm.common import attach, cut, table
 
 #: Half the distance between 1 and the next float32: the relative error of one rounding.
 UNIT = 2.0**-24
 SUMS = pa.schema([("part", pa.int32()), ("entry", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
-#: A table of label sums up to so many rows is broadcast; a label with over one row in HOT is dealt out over SALT parts beyond.
-BROADCAST_ROWS, HOT, SALT = 200_000, 200, 64
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,22 +83,6 @@ def _encode(books: np.ndarray, factor: int):
     return run
 
 
-def _with_label_error(rows: DataFrame) -> DataFrame:
-    """label_error: the error summed over rows of equal labels, null labels together. Few labels are broadcast; of many,
-    the rows of hot ones are dealt out, and met by as many copies of the label's sum."""
-    sums = cut(rows.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")))
-    if sums.count() <= BROADCAST_ROWS:
-        by = F.broadcast(sums.drop("n").withColumnRenamed("label", "by"))
-        return rows.join(by, F.col("label").eqNullSafe(F.col("by")), "left").drop("by")
-    most = rows.count() / HOT
-    salts = F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
-    hot = F.broadcast(sums.where(F.col("n") > most).select(F.col("label").alias("hot_label"), F.lit(True).alias("hot")))  # HOT rows at most
-    dealt = rows.join(hot, F.col("label").eqNullSafe(F.col("hot_label")), "left").drop("hot_label")
-    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("vec_id", "code"), F.lit(SALT)).cast("int")).otherwise(0))
-    by = sums.select(F.col("label").alias("by"), "label_error", F.explode(salts).alias("by_salt"))
-    return dealt.join(by, F.col("label").eqNullSafe(F.col("by")) & (F.col("salt") == F.col("by_salt")), "left").drop("by", "by_salt", "salt", "hot")
-
-
 def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6, factor: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, code, error, label_error, codebooks_sha256) for each row whose vector is neither null nor holds a null or
     non-finite component; components become floor(factor * x).
@@ -129,7 +111,8 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     label = kept.schema["label"].dataType.simpleString()
     coded = cut(kept.mapInArrow(_encode(books, factor), f"vec_id long, label {label}, code string, error long"))
-    return _with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+    sums = cut(coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")))
+    return attach(coded, sums, ["label"], "n").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A Python task turns to its next slice once it holds so much text.
 SLICE_CHARS = 4_000_000
+#: A table that rows are looked up in is broadcast up to so many rows; beyond, a key with over one row in HOT is dealt out
+#: over SALT parts.
+LOOKUP_ROWS, HOT, SALT = 200_000, 200, 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -67,6 +70,26 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def attach(rows: DataFrame, by: DataFrame, on: list[str], n_rows: str) -> DataFrame:
+    """rows with the columns of `by`, nulls where it has no such key; null keys are equal. by has one row for each key, and in
+    its column `n_rows`, which doesn't come along, how many of rows have that key.
+
+    A small table is broadcast. Of a large one the hot keys' rows are met by copies, so that no task gets all rows of a key.
+    """
+    other = [F.col(c).alias(f"__by_{c}") for c in on]
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in on]
+    values = [c for c in by.columns if c not in (*on, n_rows)]
+    if by.count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(by.select(*other, *values)), same(), "left").select(*rows.columns, *values)
+    most = rows.count() / HOT
+    hot = by.where(F.col(n_rows) > most)  # HOT keys at most
+    dealt = rows.join(F.broadcast(hot.select(*other, F.lit(True).alias("__hot"))), same(), "left").select(*rows.columns, "__hot")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int")).otherwise(0))
+    salts = F.when(F.col(n_rows) > most, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    met = by.select(*other, *values, F.explode(salts).alias("__by_salt"))
+    return dealt.join(met, [*same(), F.col("__salt") == F.col("__by_salt")], "left").select(*rows.columns, *values)
+
+
 def row_key(columns: list[str]) -> Column:
     """128 bits that tell rows apart by these columns."""
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7), *reversed(columns)).alias("b"))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from eligo.llm import centroids, codes
+from eligo.llm import centroids, codes, common
 
 SCHEMA = "cluster string, vec_id long, embedding array<double>, label string, code int, error string"
 
@@ -98,8 +98,8 @@ def test_codes(spark, entries, monkeypatch):
     want = [(i, code, error, sum(e or 0 for _, other, _, e in coded if other == label), sha) for i, label, code, error in coded]
     run = lambda: codes.compress(frame(spark, rows), parts=3, entries=entries, rounds=2).collect()
     assert plain(run()) == plain(want)
-    for name, value in (("BROADCAST_ROWS", 0), ("HOT", 4)):  # labels met by a join, hot ones dealt out
-        monkeypatch.setattr(codes, name, value)
+    for name, value in (("LOOKUP_ROWS", 0), ("HOT", 4)):  # labels met by a join, hot ones dealt out
+        monkeypatch.setattr(common, name, value)
     assert plain(run()) == plain(want)
 
 
