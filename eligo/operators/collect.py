@@ -37,15 +37,20 @@ def complete_pages(pages: DataFrame) -> DataFrame:
 
 
 def xml_rows(body: Column, tag: str = "item") -> Column:
-    """The items of an XML body as maps: tags to texts, or <col name="..."> to texts. CDATA is taken as it is."""
-    items = F.regexp_extract_all(body, F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), 1)
+    """The items of an XML body as maps: tags to texts, or <col name="..."> to texts. CDATA is taken as it is. Of a tag that an item
+    has twice the first text counts. An item ends at the next </item>; what is after the last one is no item."""
+    pieces = F.split(body, f"</{tag}\\s*>")
+    opened = f"(?s)<{tag}(?:\\s[^>]*)?>(.*)$"
+    items = F.transform(F.filter(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: x.rlike(opened)), lambda x: F.regexp_extract(x, opened, 1))
     plain = lambda x: entities(F.regexp_replace(F.trim(x), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
 
     def fields(x: Column) -> Column:
         pattern = r'(?s)<(?:col\s+name="([^"]+)"|([A-Za-z][\w:.-]*))[^>]*>(.*?)</(?:col|\2)>'
         part = lambda i: F.regexp_extract_all(x, F.lit(pattern), i)
         names = F.zip_with(part(1), part(2), lambda a, b: F.when(a != "", a).otherwise(b))
-        return F.map_from_entries(F.array_distinct(F.zip_with(names, F.transform(part(3), lambda t: plain(t)), lambda k, v: F.struct(k, v))))
+        texts = part(3)
+        entries = F.transform(F.array_distinct(names), lambda k: F.struct(k, plain(F.get(texts, (F.array_position(names, k) - 1).cast("int")))))
+        return F.map_from_entries(entries)
 
     return F.transform(items, lambda x: fields(x))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Links that make a list, the share of dated rows that is preferred, letters of a title, elements looked at.
-LEAST_LINKS, DATED, LEAST_TITLE, MOST_NODES = 3, 0.5, 4, 50_000
+#: Links that make a list, the share of dated rows that is preferred, letters of a title.
+LEAST_LINKS, DATED, LEAST_TITLE = 3, 0.5, 4
 _DAY = re.compile(r"20[0-9]{2}[.\-/](?:1[0-2]|0?[1-9])[.\-/](?:3[01]|[12][0-9]|0?[1-9])(?![0-9])")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIPPED = frozenset(("script", "style", "template"))
@@ -21,67 +22,102 @@ SCHEMA_SQL = "page_id long, ord int, title string, url string, day string"
 
 
 class _Page(HTMLParser):
-    """Elements with a link, by their place: (parent's place, tag)."""
+    """Elements with a link, by their place: (parent's number, tag). Text and links are held once for the whole page; an
+    element knows where its own begin and end, so that depth costs nothing."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # tag, number, links, text
-        self.groups: dict[tuple[int, str], list[tuple[list[tuple[str, str]], str]]] = defaultdict(list)
-        self.n = 0
+        self.open: list[tuple[str, int, int, int]] = []  # tag, number, first link, first letter
+        self.depth: dict[str, int] = defaultdict(int)
+        self.skipped = 0
+        self.groups: dict[tuple[int, str], list[tuple[int, int, int, int]]] = defaultdict(list)  # links from, to; letters from, to
+        self.links: list[list] = []  # address, letters from, to
+        self.parts: list[str] = []
+        self.n = self.at = 0
+
+    def _text(self, part: str) -> None:
+        self.parts.append(part)
+        self.at += len(part)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _VOID or self.n >= MOST_NODES:
+        if tag in _VOID:
             return
+        self._text(" ")
         self.n += 1
-        href = dict(attrs).get("href") if tag == "a" else None
-        self.open.append([tag, self.n, [] if href is None else [[href, ""]], []])
+        self.depth[tag] += 1
+        self.skipped += tag in _SKIPPED
+        self.open.append((tag, self.n, len(self.links), self.at))
+        if tag == "a" and (href := dict(attrs).get("href")) is not None:
+            self.links.append([href, self.at, self.at])
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
-        while at is not None and len(self.open) > at:
-            self._close()
+        if self.depth[tag]:
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] not in _SKIPPED:
-            self.open[-1][3].append(data)
+        if self.open and not self.skipped:
+            self._text(data)
 
     def close(self) -> None:
         super().close()
         while self.open:
             self._close()
 
-    def _close(self) -> None:
-        tag, _, links, parts = self.open.pop()
-        text = " ".join("".join(parts).split())
-        if tag == "a" and links:
-            links[0][1] = text
-        parent = self.open[-1] if self.open else None
-        if links and tag != "a":
-            self.groups[(parent[1] if parent else 0), tag].append((links, text))
-        if parent is not None:
-            parent[2] += links
-            parent[3] += [" ", *parts, " "]
+    def _close(self) -> str:
+        tag, _, first, start = self.open.pop()
+        self.depth[tag] -= 1
+        self.skipped -= tag in _SKIPPED
+        if first < len(self.links):
+            if tag == "a":
+                self.links[first][2] = self.at
+            else:
+                self.groups[(self.open[-1][1] if self.open else 0), tag].append((first, len(self.links), start, self.at))
+        self._text(" ")
+        return tag
+
+
+def _closed(html: str) -> str:
+    """Markup without comments, up to its last ">": an opened comment or tag that never ends holds no element, and the parser
+    would look for its end again and again."""
+    kept, at = [], 0
+    while (start := html.find("<!--", at)) >= 0:
+        kept.append(html[at:start])
+        at = html.find("-->", start)
+        if at < 0:
+            html, at = "", 0
+            break
+        at += 3
+    rest = "".join(kept) + html[at:]
+    return rest[: rest.rfind(">") + 1].replace("<![", "<!")
 
 
 def rows_of(html: str | None) -> list[tuple[str, str, str]]:
     """(title, url, day) of a page's list rows. A row's title is the longest of its links' texts, with LEAST_TITLE letters at least;
-    lists with days in half of the rows go before others, then the longest, then the first."""
+    lists with days in half of the rows go before others, then the longest, then the first. A null or empty page has none."""
     page = _Page()
-    page.feed(html or "")
+    page.feed(_closed(html or ""))
     page.close()
+    text = "".join(page.parts)
+    days = [(m.start(), m[0]) for m in _DAY.finditer(text)]  # none goes over the space that is where an element ends
+    starts = [d[0] for d in days]
+
+    def day(start: int, end: int) -> str:
+        k = bisect_left(starts, start)
+        return days[k][1] if k < len(days) and starts[k] < end else ""
+
     best: tuple | None = None
     for (parent, _), members in page.groups.items():
         if len(members) >= LEAST_LINKS:
-            dated = sum(bool(_DAY.search(text)) for _, text in members) >= DATED * len(members)
+            dated = sum(bool(day(*m[2:])) for m in members) >= DATED * len(members)
             key = (dated, len(members), -parent)
             if best is None or key > best[0]:
                 best = key, members
     found = []
-    for links, text in best[1] if best else ():
-        url, title = max(links, key=lambda x: len(x[1]))
+    for first, last, start, end in best[1] if best else ():
+        url, title = max(((href, " ".join(text[a:b].split())) for href, a, b in page.links[first:last]), key=lambda x: len(x[1]))
         if len(title) >= LEAST_TITLE:
-            day = _DAY.search(text)
-            found.append((title, url, day[0] if day else ""))
+            found.append((title, url, day(start, end)))
     return found
 
 
