@@ -28,9 +28,10 @@ BROADCAST_BYTES = 32_000_000
 COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 READ_SQL = "host string, site string, suffix string, declared string, n_letters long, text_logs array<double>, text_lang string"
 READ = pa.schema([("host", pa.string()), ("site", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("n_letters", pa.int64()), ("text_logs", pa.list_(pa.float64())), ("text_lang", pa.string())])
-_DROP = re.compile(r"(?is)<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->")
+_DROPPED = re.compile(r"(?i)<(?:(script|style|nav|template)\b|!--)")
+_ENDS = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "nav", "template")} | {"": re.compile("-->")}
 _TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_HTML, _LANG = re.compile(r"(?i)<html\b"), re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -40,7 +41,33 @@ class Likelihoods(NamedTuple):
 
 
 def page_text(html: str | None) -> str:
-    return unescape(_TAG.sub(" ", _DROP.sub(" ", html or "")))
+    """What stands outside tags, closed comments and closed scripts, styles, menus and templates. Each kind of end is looked for
+    in vain once at most, so that broken markup takes no longer than its length."""
+    html, kept, at, endless = html or "", [], 0, set()
+    start = _DROPPED.search(html)
+    while start:
+        kind = (start[1] or "").lower()
+        end = None if kind in endless else _ENDS[kind].search(html, start.end())
+        if end:
+            kept += [html[at : start.start()], " "]
+            at = end.end()
+        else:
+            endless.add(kind)
+        start = _DROPPED.search(html, max(at, start.end()))
+    rest = "".join(kept) + html[at:]
+    closed = rest.rfind(">") + 1
+    return unescape(_TAG.sub(" ", rest[:closed]) + rest[closed:])
+
+
+def declared_language(html: str | None) -> str | None:
+    """The primary language of the first <html lang=...>."""
+    html, at = html or "", 0
+    while start := _HTML.search(html, at):
+        at = html.find(">", start.end())
+        at = len(html) if at < 0 else at
+        if found := _LANG.search(html, start.end(), at):
+            return found[1]
+    return None
 
 
 def _words(texts: pa.Array):
@@ -109,7 +136,7 @@ def _read(known: Likelihoods, is_html: bool):
             texts, declared = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             hosts = [m[1] if (m := _HOST.match(a or "")) else (a or "") for a in batch.column(0).to_pylist()]
             if is_html:
-                declared = [m[1] if (m := _DECLARED.search(t or "")) else None for t in texts]
+                declared = [declared_language(t) for t in texts]
                 texts = [page_text(t) for t in texts]
             lists, codes, grams, starts, words = _words(pa.array(texts, pa.string()))
             word_logs = np.add.reduceat(known.logs[:, grams].astype(np.float64), starts, axis=1) if len(words) else np.zeros((len(known.langs), 0))
