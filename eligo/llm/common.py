@@ -52,6 +52,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """write(df) puts df into the shared folder and reads it back, for rounds of joins: a checkpoint keeps what the optimizer has
+    inferred of its rows, which doubles from round to round until planning takes minutes; a table's reader starts anew.
+    Tables are removed at the end, but for the one that was written last."""
+    held: list[str] = []
+
+    def write(df: DataFrame) -> DataFrame:
+        at = shared_folder(spark, "table")
+        df.write.parquet(at)
+        held.append(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    try:
+        yield write
+    finally:
+        for at in held[:-1]:
+            remove(spark, at)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from eligo.llm.common import ASCII_LOWER, cut, partitions, slices, table
+from eligo.llm.common import ASCII_LOWER, attach, cut, partitions, slices, table, written_tables
 
 #: A link (a, b), or a row of a bucket that is too large: its next key, and the bits in which its rows may still differ.
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("free", pa.int64())])
@@ -225,27 +225,28 @@ def _packed(cuts: list[int]):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node with an edge, by contraction: nodes point to their
     smallest neighbour, pointers are followed to the root, edges within a tree vanish. All of it are joins and partial aggregates."""
-    edges = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
-    roots = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"))
-        up = lambda p: p.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        while True:  # the way to a root halves each time, so long chains cost the logarithm of their length
-            for _ in range(3):
-                point = point.join(up(point), "to").select("node", F.col("top").alias("to"))
-            point = cut(point)
-            if point.join(up(point), "to").where("to <> top").isEmpty():
-                break
-        if roots is None:
-            roots = point.select("node", F.col("to").alias("component"))
-        else:
-            above = point.select(F.col("node").alias("component"), F.col("to").alias("top"))
-            roots = roots.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        roots = cut(roots)
-        a, b = point.select(F.col("node").alias("a"), F.col("to").alias("x")), point.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    with written_tables(edges.sparkSession) as write:
+        edges = write(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"))
+        roots = None
+        while not edges.isEmpty():
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            point = write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"))
+            up = lambda p: p.select(F.col("node").alias("to"), F.col("to").alias("top"))
+            while True:  # the way to a root halves each time, so long chains cost the logarithm of their length
+                for _ in range(3):
+                    point = point.join(up(point), "to").select("node", F.col("top").alias("to"))
+                point = write(point)
+                if point.join(up(point), "to").where("to <> top").isEmpty():
+                    break
+            a, b = point.select(F.col("node").alias("a"), F.col("to").alias("x")), point.select(F.col("node").alias("b"), F.col("to").alias("y"))
+            edges = write(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            if roots is None:
+                roots = point.select("node", F.col("to").alias("component"))
+            else:
+                above = point.select(F.col("node").alias("component"), F.col("to").alias("top"))
+                roots = roots.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+            roots = write(roots)
+        return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -256,12 +257,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprint 0. Rows of one id that differ in text go by their texts. An empty table gives no row.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words_per_shingle, keep))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     nodes = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id", "root", *keep)
+    named = cut(rooted.join(smallest, "root").select("fp", "component_id", "root", "n"))
+    return attach(prints, named, ["fp"], "n").select("doc_id", "fp", "component_id", "root", *keep)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
