@@ -65,7 +65,11 @@ def canonical_region(text: Column) -> Column:
 
 def provinces_in(text: Column) -> Column:
     """All provinces named anywhere in the text, in the order of PROVINCES."""
-    own = compact(text)
+    return provinces_of_compact(compact(text))
+
+
+def provinces_of_compact(own: Column) -> Column:
+    """provinces_in of a text without white space."""
     return F.array_compact(F.array(*[F.when(any_of(own, names), F.lit(sido)) for sido, names in PROVINCES.items()]))
 
 

@@ -1,11 +1,12 @@
-"""Conditions read from an announcement's text by rules, as an array of (key, op, values, number, flag, machine_readable)."""
+"""Conditions read from an announcement's text by rules, as an array of (key, op, values, number, flag, raw_text,
+machine_readable). Each rule reads the text once; what it found carries its surroundings, so that no place is counted twice."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eligo.functions.regions import DISTRICTS, canonical_region, district_of, provinces_in
+from eligo.functions.regions import DISTRICTS, PROVINCES, canonical_region, compact, district_of, provinces_in, provinces_of_compact
 from eligo.functions.notices import loan_programme, region_from_field
 from eligo.functions.sectors import sectors_in_title
 from eligo.operators.evaluate import EXPECTED_OP
@@ -28,77 +29,116 @@ INDUSTRY_WORDS = (
     "소프트웨어", "게임", "디자인", "인쇄", "화학", "금속", "전자부품", "의료기기", "패션", "가구",
 )
 WINDOW = 30
-CONDITION_TYPE = "struct<key:string,op:string,values:array<string>,number:double,flag:boolean,machine_readable:boolean>"
+#: What stands before the text that a rule has read, and the letters kept before and after it.
+RULE_PREFIX, BEFORE, AFTER, TITLE_LETTERS = "[자동 인식]", 15, 25, 40
+#: Fixed value: letters from a word of location within which a province counts.
+REGION_NEAR = 25
+CONDITION_TYPE = "struct<key:string,op:string,values:array<string>,number:double,flag:boolean,raw_text:string,machine_readable:boolean>"
 
 
-def _condition(key: str, machine_readable: Column, values=None, number=None, flag=None) -> Column:
+def _let(value: Column, body) -> Column:
+    """body(value), where the value is worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _condition(key: str, machine_readable: Column, raw: Column, values=None, number=None, flag=None) -> Column:
     none = F.lit(None)
     return F.struct(
         F.lit(key).alias("key"), F.lit(EXPECTED_OP[key]).alias("op"), (values if values is not None else none).cast("array<string>").alias("values"),
-        (number if number is not None else none).cast("double").alias("number"), (flag if flag is not None else none).cast("boolean").alias("flag"), machine_readable.alias("machine_readable"),
+        (number if number is not None else none).cast("double").alias("number"), (flag if flag is not None else none).cast("boolean").alias("flag"), raw.alias("raw_text"), machine_readable.alias("machine_readable"),
     )
 
 
-def _denied(text: Column, at: Column, length) -> Column:
-    """Whether a word of negation stands within WINDOW letters of a place (1-based, 0: nowhere)."""
-    start = F.greatest(at - WINDOW, F.lit(1))
-    return F.substring(text, start, at + length + WINDOW - start).rlike(NEGATION)
+def _part(text: Column, at: Column, before: int, after) -> Column:
+    """Letters from `before` ahead of a place (1-based) to `after` behind it."""
+    start = F.greatest(at - before, F.lit(1))
+    return F.substring(text, start, at + after - start)
+
+
+def _raw(part: Column) -> Column:
+    return F.concat(F.lit(RULE_PREFIX + " "), F.regexp_replace(part, r"(?U)^\s+|\s+$", ""))
+
+
+def _found(text: Column, at: Column, length, condition) -> Column:
+    """condition(denied, raw text) of what stands at a place (1-based): whether a word of negation is near, and the part kept."""
+    return condition(_part(text, at, WINDOW, length + WINDOW).rlike(NEGATION), _raw(_part(text, at, BEFORE, length + AFTER)))
 
 
 def _numbered(text: Column, key: str, pattern: str, below: bool, unit: bool = False) -> Column:
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    found = F.regexp_substr(text, F.lit(pattern))
-    n = F.replace(part(1), F.lit(","), F.lit("")).cast("double")
-    if unit:
-        n = n * F.coalesce(*[F.when(part(2) == u, F.lit(w)) for u, w in WON_UNITS.items()], F.lit(1))
-    if below:
-        n = F.when(part(3 if unit else 2) == "미만", F.greatest(n - 1, F.lit(0.0))).otherwise(n)
-    return F.when(found.isNotNull(), _condition(key, ~_denied(text, F.instr(text, found), F.length(found)), number=n))
+    def read(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, pattern, i)
+        n = F.replace(part(1), F.lit(","), F.lit("")).cast("double")
+        if unit:
+            n = n * F.coalesce(*[F.when(part(2) == u, F.lit(w)) for u, w in WON_UNITS.items()], F.lit(1))
+        if below:
+            n = F.when(part(3 if unit else 2) == "미만", F.greatest(n - 1, F.lit(0.0))).otherwise(n)
+        told = lambda at: _found(text, at, F.length(found), lambda denied, raw: _condition(key, ~denied, raw, number=n))
+        return F.when(found.isNotNull(), _let(F.instr(text, found), told))
+
+    return _let(F.regexp_substr(text, F.lit(pattern)), read)
+
 
+def _named(text: Column, key: str, words: tuple[str, ...], never=None) -> Column:
+    """The words that the text holds; not for machines where any of them is denied at its first place, or where never(words)."""
+    lengths = F.create_map(*[x for w in words for x in (F.lit(w), F.lit(len(w)))])
 
-def _named(text: Column, key: str, words: tuple[str, ...], never: Column | None = None) -> Column:
-    """The words that the text holds; not for machines where any of them is denied at its first place."""
-    found = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
-    denied = F.exists(found, lambda w: _denied(text, F.position(w, text), F.length(w)))
-    fine = ~denied if never is None else ~denied & ~never
-    return F.when(F.size(found) > 0, _condition(key, fine, values=found))
+    def read(found: Column) -> Column:
+        denied = F.exists(found, lambda w: _let(F.instr(text, w), lambda at: _part(text, at, WINDOW, F.try_element_at(lengths, w) + WINDOW).rlike(NEGATION)))
+        fine = ~denied if never is None else ~denied & ~never(found)
+        first = F.get(found, F.lit(0))
+        raw = _let(F.instr(text, first), lambda at: _raw(_part(text, at, BEFORE, F.length(first) + AFTER)))
+        return F.when(F.size(found) > 0, _condition(key, fine, raw, values=found))
+
+    return _let(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)), read)
 
 
 def _places(text: Column) -> Column:
-    """Provinces within 25 letters of a word of location, denied by what stands round the first such word that has one."""
-    marks = F.regexp_extract_all(text, F.lit(f"(?s)(?:{REGION_WORDS})"), 0)
-    count = F.size(marks)
-    # the text is cut at each word of location: the piece before it and the piece after it are its surroundings
-    pieces = F.split(text, f"(?:{REGION_WORDS})")
-    starts = F.transform(pieces, lambda _p, i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(marks, 1, F.least(i, count)), F.lit(0), lambda a, x: a + F.length(x)))
-    at = F.transform(marks, lambda m, i: F.struct((F.get(starts, i) + F.length(F.get(pieces, i)) + 1).alias("at"), F.length(m).alias("n")))
-    near = lambda x: F.substring(text, F.greatest(x["at"] - 25, F.lit(1)), x["at"] + x["n"] + 25 - F.greatest(x["at"] - 25, F.lit(1)))
-    rows = F.filter(F.transform(at, lambda x: F.struct(x["at"].alias("at"), provinces_in(near(x)).alias("p"))), lambda r: F.size(r["p"]) > 0)
-    first = F.get(rows, F.lit(0))
-    return F.when(F.size(rows) > 0, _condition("region", ~_denied(text, first["at"], 4), values=F.array_distinct(F.flatten(F.transform(rows, lambda r: r["p"])))))
+    """Provinces within REGION_NEAR letters of a word of location, denied by what stands round the first such word that has one.
+
+    Each word of location comes with the WINDOW letters before it and those after it: lookarounds leave them to its neighbours."""
+    ahead, behind = WINDOW, WINDOW + 4
+    around = rf"(?s)(?=({REGION_WORDS})(.{{0,{behind}}}))(?<=(\A.{{0,{ahead - 1}}}|.{{{ahead}}}))"
+    part = lambda i: F.regexp_extract_all(text, F.lit(around), i)
+    rest = F.zip_with(part(1), part(2), lambda w, r: F.struct(w.alias("w"), r.alias("r")))
+    marks = F.zip_with(part(3), rest, lambda b, x: F.struct(b.alias("b"), x["w"].alias("w"), x["r"].alias("r")))
+    near = lambda m: F.concat(F.right(m["b"], F.lit(REGION_NEAR)), m["w"], F.left(m["r"], F.lit(REGION_NEAR)))
+    any_place = r"(?U)" + "|".join(r"\s*".join(n) for n in dict.fromkeys(n for names in PROVINCES.values() for n in (names[0], *names)))
+
+    def read(rows: Column) -> Column:
+        first = F.get(rows, F.lit(0))["m"]
+        after = F.concat(first["w"], first["r"])
+        denied = F.concat(first["b"], F.left(after, F.lit(4 + WINDOW))).rlike(NEGATION)
+        raw = _raw(F.concat(F.right(first["b"], F.lit(BEFORE)), F.left(after, F.lit(4 + AFTER))))
+        return F.when(F.size(rows) > 0, _condition("region", ~denied, raw, values=F.array_distinct(F.flatten(F.transform(rows, lambda r: r["p"])))))
+
+    named = F.filter(F.transform(marks, lambda m: F.struct(m.alias("m"), near(m).alias("near"))), lambda x: x["near"].rlike(any_place))
+    told = F.transform(named, lambda x: F.struct(x["m"].alias("m"), _let(compact(x["near"]), provinces_of_compact).alias("p")))
+    return _let(F.filter(told, lambda r: F.size(r["p"]) > 0), read)
 
 
 def extract_conditions(text: Column) -> Column:
     """Numbers of age, workers and revenue, taxes, sizes, lines of business and places, in this order; an empty array where the
-    text says nothing. "미만" is one less. What a negation stands beside, and a call for founders-to-be alone, is not for machines."""
-    own = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t ]+", " ")
+    text says nothing. "미만" is one less. What a negation stands beside, and a call for founders-to-be alone, is not for machines.
+    raw_text is the part of the text that a condition was read from."""
     units = f"({'|'.join(WON_UNITS)})?"
-    founders = own.contains("예비창업자")
-    for w in SIZES[:-1]:
-        founders = founders & ~own.contains(w)
-    found = F.array(
-        _numbered(own, "businessAgeMaxYears", rf"{AGE}{NEAR}{NUMBER}\s*년\s*(이내|미만|이하)", True),
-        _numbered(own, "businessAgeMinYears", rf"{AGE}{NEAR}{NUMBER}\s*년\s*이상", False),
-        _numbered(own, "employeeMin", rf"{WORKERS}{NEAR}{NUMBER}\s*[인명]\s*이상", False),
-        _numbered(own, "employeeMax", rf"{WORKERS}{NEAR}{NUMBER}\s*[인명]\s*(이하|미만)", True),
-        _numbered(own, "revenueMaxKrw", rf"{REVENUE}{NEAR}{NUMBER}\s*{units}\s*원\s*(이하|미만)", True, True),
-        _numbered(own, "revenueMinKrw", rf"{REVENUE}{NEAR}{NUMBER}\s*{units}\s*원\s*이상", False, True),
-        F.when(own.contains("체납"), _condition("noTaxDelinquency", F.lit(True), flag=F.lit(True))),
-        _named(own, "companyScale", SIZES, founders),
-        _named(own, "industry", INDUSTRY_WORDS),
-        _places(own),
-    )
-    return F.array_compact(found)
+    founders = lambda found: (F.size(found) == 1) & F.array_contains(found, SIZES[-1])
+
+    def read(own: Column) -> Column:
+        tax = _let(F.instr(own, F.lit("체납")), lambda at: F.when(at > 0, _condition("noTaxDelinquency", F.lit(True), _raw(_part(own, at, BEFORE, 2 + AFTER)), flag=F.lit(True))))
+        return F.array_compact(F.array(
+            _numbered(own, "businessAgeMaxYears", rf"{AGE}{NEAR}{NUMBER}\s*년\s*(이내|미만|이하)", True),
+            _numbered(own, "businessAgeMinYears", rf"{AGE}{NEAR}{NUMBER}\s*년\s*이상", False),
+            _numbered(own, "employeeMin", rf"{WORKERS}{NEAR}{NUMBER}\s*[인명]\s*이상", False),
+            _numbered(own, "employeeMax", rf"{WORKERS}{NEAR}{NUMBER}\s*[인명]\s*(이하|미만)", True),
+            _numbered(own, "revenueMaxKrw", rf"{REVENUE}{NEAR}{NUMBER}\s*{units}\s*원\s*(이하|미만)", True, True),
+            _numbered(own, "revenueMinKrw", rf"{REVENUE}{NEAR}{NUMBER}\s*{units}\s*원\s*이상", False, True),
+            tax,
+            _named(own, "companyScale", SIZES, founders),
+            _named(own, "industry", INDUSTRY_WORDS),
+            _places(own),
+        ))
+
+    return _let(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\u00a0]+", " "), read)
 
 
 def districts_in(text: Column, districts=None) -> Column:
@@ -114,21 +154,26 @@ def title_regions(title: Column, agency: Column, districts=None) -> Column:
     districts for humans; nothing where what follows the tag isn't districts alone. Else the districts that it names, where they are
     of one province and the agency is of that one."""
     own = F.coalesce(title, F.lit(""))
-    tag = r"^\s*\[([^\]]{1,12})\]\s*(\S+)"
+    tag = r"^\s*\[([^\]]{1,12})\]\s*(\S+)"  # fixed value
     tagged, of_agency = provinces_in(F.regexp_extract(own, tag, 1)), provinces_in(agency)
     heads = F.filter(F.split(F.regexp_extract(own, tag, 2), "[ㆍ·,/]"), lambda x: x != "")
     places = F.filter(heads, lambda x: x.rlike("^.{1,5}[시군구]$") & canonical_region(x).isNull())
     no_clash = (F.size(of_agency) == 0) | F.arrays_overlap(tagged, of_agency)
-    by_tag = F.array_compact(F.array(F.when(no_clash, _condition("region", F.lit(True), values=tagged)), _condition("region", F.lit(False), values=places)))
+    raw = _of_title(own)
+    by_tag = F.array_compact(F.array(F.when(no_clash, _condition("region", F.lit(True), raw, values=tagged)), _condition("region", F.lit(False), raw, values=places)))
     none = F.array().cast(f"array<{CONDITION_TYPE}>")
     found = districts_in(own, districts)
     sidos = F.array_distinct(F.transform(found, lambda d: district_of(d, districts)["sido"]))
     named = (F.size(found) > 0) & ~own.contains("전국") & (F.size(sidos) == 1) & F.array_contains(of_agency, F.get(sidos, F.lit(0)))
-    by_name = F.when(named, F.array(_condition("region", F.lit(True), values=found))).otherwise(none)
+    by_name = F.when(named, F.array(_condition("region", F.lit(True), raw, values=found))).otherwise(none)
     with_tag = F.when((F.size(places) > 0) & (F.size(places) == F.size(heads)), by_tag).otherwise(none)
     return F.when(F.size(tagged) > 0, with_tag).otherwise(by_name)
 
 
+def _of_title(title: Column) -> Column:
+    return F.concat(F.lit(RULE_PREFIX + " "), F.left(title, F.lit(TITLE_LETTERS)))
+
+
 def _has(conditions: Column, key: str) -> Column:
     return F.exists(conditions, lambda c: c["key"] == key)
 
@@ -141,14 +186,14 @@ def _added(conditions: Column, more: Column) -> Column:
 def loan_conditions(title: Column, agency: Column, conditions: Column) -> Column:
     """What a programme's name asks for, unless its key is there: a guarantee in use at the guarantor, or a loan to refinance."""
     p = loan_programme(title, agency)
-    converts = F.when((p["kind"] == "conversion") & ~_has(conditions, "guaranteeInUse"), _condition("guaranteeInUse", F.lit(True), values=F.array(p["guarantor"])))
-    refinances = F.when((p["kind"] == "refinance") & ~_has(conditions, "hasExistingLoan"), _condition("hasExistingLoan", F.lit(True), flag=F.lit(True)))
+    converts = F.when((p["kind"] == "conversion") & ~_has(conditions, "guaranteeInUse"), _condition("guaranteeInUse", F.lit(True), F.concat(p["guarantor"], F.lit(" 보증 이용 중(전환보증)")), values=F.array(p["guarantor"])))
+    refinances = F.when((p["kind"] == "refinance") & ~_has(conditions, "hasExistingLoan"), _condition("hasExistingLoan", F.lit(True), F.lit("기존 대출 이용 중(대환)"), flag=F.lit(True)))
     return F.array(converts, refinances)
 
 
 def _sector(title: Column) -> Column:
     found = sectors_in_title(title)
-    return F.when(F.size(found) > 0, _condition("targetSector", F.lit(True), values=found))
+    return F.when(F.size(found) > 0, _condition("targetSector", F.lit(True), _of_title(F.coalesce(title, F.lit(""))), values=found))
 
 
 def rule_conditions(target: Column, summary: Column, title: Column, agency: Column, districts=None) -> Column:
@@ -170,7 +215,7 @@ def augmented(conditions: Column, title: Column, agency: Column, region: Column,
     nationwide = F.exists(machine, lambda c: F.exists(c["values"], lambda v: v.contains("전국")))
     of_title = F.filter(title_regions(title, agency, districts), lambda c: c["machine_readable"] & ~(nationwide & F.forall(c["values"], lambda v: district_of(v, districts).isNotNull())))
     field = region_from_field(F.trim(region))
-    of_field = F.array_compact(F.array(F.when(F.lit(from_field) & ~_has(conditions, "region") & field.isNotNull(), _condition("region", F.lit(True), values=field))))
+    of_field = F.array_compact(F.array(F.when(F.lit(from_field) & ~_has(conditions, "region") & field.isNotNull(), _condition("region", F.lit(True), F.concat(F.lit("[공고 지역 칸] "), F.trim(region)), values=field))))
     none = F.array().cast(f"array<{CONDITION_TYPE}>")
     places = F.when(readable, none).when(F.size(of_title) > 0, of_title).otherwise(of_field)
     sector = F.array(F.when(~_has(conditions, "targetSector"), _sector(title)))
