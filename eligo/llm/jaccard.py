@@ -1,10 +1,12 @@
 """N-gram Jaccard join: distinct sets of word shingles link when their intersection is large enough for their union.
 
-1. Every text becomes a sorted array of 64-bit shingle hashes and a hashed bitmap. Equal sets are one set from here on.
+1. Every text becomes a sorted array of 64-bit shingle hashes and a hashed bitmap. Equal sets are one set from here on. Arrays
+   aren't stored: they are made again from the texts where they are needed, which moves and writes less.
 2. Shingles are ordered by how often they occur (counted over the whole table in a bounded number of hashed counters), then by
    hash. Two sets that link share one of their first n - ceil(0.85 n) + 1 shingles in that order: those are the keys of tiles.
 3. Within a tile rows stand by size, and a row meets those that are large enough for it; what two bitmaps have apart bounds
-   the overlap from above. Pairs that pass connect candidates, by as few links as connect them.
+   the overlap from above. Pairs that pass connect candidates: of a small tile each pair goes on, once for the many tiles that it
+   shares; large tiles are walked, and leave as few links as connect them.
 4. Connected candidates come together once more, with their arrays. Each pair within the size band whose bitmaps allow it is
    intersected exactly. Links are counted for each set and leave as a spanning forest.
 
@@ -30,13 +32,19 @@ BITS, COUNTERS, SLICES, WORDS = 1 << 10, 1 << 18, 64, 1 << 20
 HOT_ROWS, HOT_MEAN, SALT = 1_000_000, 8, 64
 #: A block of a tile: rows that meet by their bitmaps, shingles that meet as arrays.
 BLOCK_ROWS, BLOCK_SHINGLES = 16_384, 350_000
-#: Tiles of up to so many rows are compared together, all at once.
-SMALL = 24
+#: Tiles of up to so many sets go on as pairs; others, of up to so many rows, are compared all at once.
+PAIRS, SMALL = 8, 24
 #: Tables of sets up to so many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
-SETS_SQL = "row long, doc_id long, n int, a long, b long, bits binary, shingles binary"
-SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("bits", pa.binary()), ("shingles", pa.binary())])
+#: A row is a set, or a slice of a task's counters.
+SETS_SQL = "row long, doc_id long, n int, a long, b long, text_hash long, bits binary, slice int, counts binary"
+SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+ARRAYS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shingles", pa.binary())])
+KEYS_SQL = "key long, salt int, n int, a long"
 KEYS = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("a", pa.int64())])
+#: A pair (a, b) of a small tile, or a row a of a large one, under its key.
+MET_SQL = "key long, a long, b long"
+MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 LINKS_SQL = "a long, b long, links long"
 _PARTIAL = np.uint64(0x9E3779B97F4A7C15)
@@ -74,34 +82,55 @@ def bitmap(sets: np.ndarray) -> bytes:
     return np.packbits(marks).tobytes()
 
 
+class _Made:
+    """Sets of texts within a task; a digest that it has seen is named again, but not shown again."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.known, self.seen = size, _Words(), set()
+
+    def of(self, text: str | None) -> tuple[np.ndarray, int, int, bool]:
+        if len(self.known) > WORDS:
+            self.known.clear()
+        if len(self.seen) > WORDS:
+            self.seen.clear()
+        own = shingles(text, self.size, self.known)
+        digest = xxhash.xxh3_128_digest(own.tobytes())
+        new = digest not in self.seen
+        self.seen.add(digest)
+        return own, *np.frombuffer(digest, np.int64).tolist(), new
+
+
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, known, seen = TaskContext.get().partitionId() << 33, _Words(), set()
+        row, made, total, shift = TaskContext.get().partitionId() << 33, _Made(size), np.zeros(COUNTERS, np.int64), np.uint64(64 - COUNTERS.bit_length() + 1)
         for batch in slices(batches):
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, size, known)
-                digest = xxhash.xxh3_128_digest(raw := s.tobytes())
-                a, b = np.frombuffer(digest, np.int64).tolist()
-                out.append((row, doc, len(s), a, b, None if digest in seen else bitmap(s), None if digest in seen else raw))
-                seen.add(digest)
+            out, fresh = [], []
+            for doc, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, a, b, new = made.of(text)
+                out.append((row, doc, len(own), a, b, text_hash, bitmap(own) if new else None, None, None))
                 row += 1
+                if new:
+                    fresh.append(own >> shift)
+            if fresh:
+                total += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=COUNTERS)
             yield table(SETS, [*map(list, zip(*out, strict=True))])
-            if len(known) > WORDS:
-                known.clear()
-            if len(seen) > WORDS:
-                seen.clear()
+        if total.any():
+            yield table(SETS, [*(pa.nulls(SLICES, f.type) for f in [*SETS][:7]), [*range(SLICES)], [x.tobytes() for x in np.split(total, SLICES)]])
 
     return run
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        total += np.bincount(_flat(batch.column(0))[0] >> np.uint64(64 - COUNTERS.bit_length() + 1), minlength=COUNTERS)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([s.tobytes() for s in np.split(total, SLICES)])], names=["slice", "counts"])
+def _arrays(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _Made(size)
+        for batch in slices(batches):
+            out = [(a, b, own.tobytes()) for own, a, b, new in map(made.of, batch.column(1).to_pylist()) if new]
+            if out:
+                yield table(ARRAYS, [*map(list, zip(*out, strict=True))])
+
+    return run
 
 
 def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,60 +148,92 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
-    schema = "slice int, counts binary"
-    parts = sets.select("shingles").mapInArrow(_counted, schema).repartition(SLICES, "slice").mapInArrow(_added, schema)
+    parts = sets.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_added, "slice int, counts binary")
     out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
     for r in parts.collect():  # COUNTERS numbers
         out[r.slice] = np.frombuffer(r.counts, np.int64)
     return out.ravel()
 
 
-def _keys(counts: np.ndarray, percent: int):
+def _keys(size: int, counts: np.ndarray, percent: int):
     """The first n - ceil(percent n / 100) + 1 shingles of each set, rare ones first."""
     order = np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
     hot = counts > max(HOT_ROWS, HOT_MEAN * counts.mean())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - COUNTERS.bit_length() + 1)
-        for batch in batches:
-            flat, at = _flat(batch.column(0))
-            names = batch.column(1).to_numpy()
-            taken, sizes = [], []
-            for i, (lo, hi) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
-                own = flat[lo:hi]
-                p = hi - lo + 1 - -(-percent * (hi - lo) // 100) if hi > lo else 0
-                taken.append(own[np.argsort(order[own >> shift], kind="stable")[:p]])  # hashes ascend already
-                sizes.append(p)
-            key = np.concatenate(taken) if taken else np.zeros(0, np.uint64)
-            a = np.repeat(names, sizes)
+        shift, made = np.uint64(64 - COUNTERS.bit_length() + 1), _Made(size)
+        for batch in slices(batches):
+            taken, sizes, names = [np.zeros(0, np.uint64)], [], []
+            for own, a, _, new in map(made.of, batch.column(1).to_pylist()):
+                if new and (n := len(own)):
+                    p = n + 1 - -(-percent * n // 100)
+                    taken.append(own[np.argsort(order[own >> shift], kind="stable")[:p]])  # hashes ascend already
+                    sizes.append((n, p))
+                    names.append(a)
+            key = np.concatenate(taken)
+            n, p = np.array(sizes, np.int64).reshape(-1, 2).T
+            a = np.repeat(np.array(names, np.int64), p)
             salt = np.where(hot[key >> shift], 1 + (a.view(np.uint64) % np.uint64(SALT)).astype(np.int32), 0).astype(np.int32)
-            yield table(KEYS, [key.view(np.int64), salt, np.repeat(np.diff(at).astype(np.int32), sizes), a])
+            yield table(KEYS, [key.view(np.int64), salt, np.repeat(n, p).astype(np.int32), a])
 
     return run
 
 
-def _met(percent: int):
+def _neighbours(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Rows sorted by (key, salt, n, a): those that have a neighbour of another set within the size band. Rows of a salted
     key stay all, as their neighbours may be elsewhere."""
+    held = None
+    for batch in batches:
+        now = [batch.column(i).to_numpy() for i in range(4)]
+        key, salt, n, a = now if held is None else [np.r_[x, y] for x, y in zip(held[0], now, strict=True)]
+        if not len(key):
+            continue
+        new = np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1])]
+        passed = held is not None and held[1]  # the held row has met its neighbour before
+        key, salt, n, a = key[new], salt[new], n[new], a[new]
+        near = (key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+        keep = np.r_[False, near] | np.r_[near, False] | (salt > 0)
+        keep[0] |= passed
+        held = ([x[-1:] for x in (key, salt, n, a)], bool(keep[-1]))
+        keep[-1] = False
+        yield key[keep], salt[keep], n[keep].astype(np.int64), a[keep]
+    if held is not None and held[1]:
+        key, salt, n, a = held[0]
+        yield key, salt, n.astype(np.int64), a
+
+
+def _met(percent: int):
+    """Pairs of keys that PAIRS sets have at most, rows of others. No more than PAIRS rows of a key are held."""
+
+    def pairs(key: np.ndarray, n: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, PAIRS):
+            i = np.flatnonzero((key[:-step] == key[step:]) & (100 * n[:-step] >= percent * n[step:])) if len(key) > step else np.zeros(0, np.int64)
+            left.append(np.minimum(a[i], a[i + step]))
+            right.append(np.maximum(a[i], a[i + step]))
+        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        return table(MET, [pa.nulls(len(both), pa.int64()), both[:, 0], both[:, 1]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(4)]
-            key, salt, n, a = now if held is None else [np.r_[x, y] for x, y in zip(held[0], now, strict=True)]
+        held, large = None, None
+        for rows in _neighbours(batches, percent):
+            key, salt, n, a = rows if held is None else [np.r_[x, y] for x, y in zip(held, rows, strict=True)]
+            held = None
             if not len(key):
                 continue
-            new = np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1])]
-            passed = held is not None and held[1]  # the held row has met its neighbour before
-            key, salt, n, a = key[new], salt[new], n[new], a[new]
-            near = (key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-            keep = np.r_[False, near] | np.r_[near, False] | (salt > 0)
-            keep[0] |= passed
-            held = ([x[-1:] for x in (key, salt, n, a)], bool(keep[-1]))
-            keep[-1] = False
-            yield table(KEYS, [key[keep], salt[keep], n[keep], a[keep]])
-        if held is not None and held[1]:
-            yield table(KEYS, held[0])
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[starts, len(key)])
+            wide = (size > PAIRS) | (salt[starts] > 0)
+            wide[0] |= key[0] == large
+            large = key[-1] if wide[-1] else None
+            if large is None:
+                held = [x[starts[-1] :] for x in (key, salt, n, a)]
+            over, last = np.repeat(wide, size), len(key) if large is not None else starts[-1]
+            yield table(MET, [key[over], a[over], pa.nulls(int(over.sum()), pa.int64())])
+            small = ~over[:last]
+            yield pairs(key[:last][small], n[:last][small], a[:last][small])
+        if held is not None:
+            yield pairs(held[0], held[2], held[3])
 
     return run
 
@@ -199,7 +260,7 @@ def _blocks(rows: DataFrame, by: str, weight: Column, most: int, percent: int) -
 
 
 def _grouped(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
-    return rows.select(by, "i", "j", "side", "n", *names).repartition(partitions(rows.sparkSession), by, "i", "j").sortWithinPartitions(by, "i", "j", "side", "n")
+    return rows.select(by, "i", "j", "side", "n", *names).repartition(partitions(rows.sparkSession), by, "i", "j").sortWithinPartitions(by, "i", "j", "side", "n", "node")
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -227,6 +288,14 @@ def _starts(group: pa.Table) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in x])]), group.num_rows]
 
 
+def _once(group: pa.Table) -> pa.Table:
+    """Without a set that several tasks have made: it stands beside itself."""
+    node, side = group.column("node").to_numpy(), group.column("side").to_numpy()
+    new = np.r_[True, (node[1:] != node[:-1]) | (side[1:] != side[:-1])]
+    new[_starts(group)[:-1]] = True
+    return group if new.all() else group.filter(pa.array(new)).combine_chunks()
+
+
 def allowed(n: np.ndarray, bits: np.ndarray, i, j, percent: int) -> np.ndarray:
     """Whether the sizes and bitmaps of rows i and j leave room for a link: each bit that only one has is a shingle, at
     least, that the other lacks."""
@@ -269,6 +338,20 @@ def _connect(n: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[in
             todo = np.delete(todo, hit)
 
 
+def _checked_pairs(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)]).astype(np.int64)
+                bits = np.frombuffer(b"".join([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()]), np.uint64).reshape(len(n), -1)
+                i = np.arange(batch.num_rows)
+                fine = pa.array(allowed(n, bits, i, i + len(i), percent))
+                kept = [batch.column(x).filter(fine) for x in (0, 1)]
+                yield table(LINKS, [*kept, pa.nulls(len(kept[0]), pa.int64())])
+
+    return run
+
+
 def _candidates(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -310,7 +393,7 @@ def intersections(own: np.ndarray, flat: np.ndarray, at: np.ndarray, rows: np.nd
 
 def _exact(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in map(_once, _groups(batches)):
             at, node, n = _starts(group), group.column("node").to_numpy(), group.column("n").to_numpy().astype(np.int64)
             side, copies = group.column("side").to_numpy(), group.column("copies").to_numpy()
             flat, where = _flat(group.column("shingles"))
@@ -335,10 +418,6 @@ def _exact(percent: int):
     return run
 
 
-def _near(rows: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs, null and repeated ids included.
 
@@ -349,27 +428,33 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no row. Counting links of a group takes time with the square of its number of different sets.
     """
     spark = docs.sparkSession
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     folder = shared_folder(spark, "sets")
-    id_and_text(docs, id_col, text_col).mapInArrow(_sets(size), SETS_SQL).write.parquet(folder)
+    texts.mapInArrow(_sets(size), SETS_SQL).write.parquet(folder)
     sets = spark.read.schema(SETS_SQL).parquet(folder)
-    whole = sets.where("shingles is not null and n > 0")
-    named = cut(sets.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("bits", "row").alias("bits")))
-    keys = whole.select("shingles", "a").mapInArrow(_keys(_frequencies(whole), percent), "key long, salt int, n int, a long")
-    met = keys.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "n", "a").mapInArrow(_met(percent), "key long, salt int, n int, a long")
-    met = cut(met.select("key", "a"))
-    tiles = met.join(named.select("a", "node", "n", "bits"), "a").drop("a")
-    linked = _grouped(_blocks(tiles, "key", F.lit(1), BLOCK_ROWS, percent), "key", ["node", "bits"]).mapInArrow(_candidates(percent), LINKS_SQL)
-    groups = cut(components(linked.select("a", "b").distinct()))
-    rows = groups.join(named.select("node", "n", "copies"), "node")
-    rows = _near(whole.select(F.col("row").alias("node"), "shingles"), cut(rows), "node")
-    found = cut(_grouped(_blocks(rows, "component", F.col("n"), BLOCK_SHINGLES, percent), "component", ["node", "copies", "shingles"]).mapInArrow(_exact(percent), LINKS_SQL))
+    rows = sets.where("slice is null")
+    first = lambda c: F.min_by(c, "row").alias(c)
+    named = cut(rows.where("n > 0").groupBy("a", "b").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), first("text_hash"), first("bits")))
+    keys = texts.mapInArrow(_keys(size, _frequencies(sets), percent), KEYS_SQL)
+    met = cut(keys.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "n", "a").mapInArrow(_met(percent), MET_SQL))
+    side = lambda x: named.select(F.col("a").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    pairs = met.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    near = pairs.select("a_node", "b_node", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_checked_pairs(percent), LINKS_SQL)
+    tiles = met.where("b is null").select("key", "a").join(named.select("a", "node", "n", "bits"), "a").drop("a")
+    walked = _grouped(_blocks(tiles, "key", F.lit(1), BLOCK_ROWS, percent), "key", ["node", "bits"]).mapInArrow(_candidates(percent), LINKS_SQL)
+    groups = components(near.unionByName(walked).select("a", "b").distinct())
+    small = cut(groups.join(named.drop("bits", "first"), "node"))
+    hint = F.broadcast if small.count() <= BROADCAST_ROWS else lambda x: x
+    wanted = texts.join(hint(small.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text")
+    rows_of = wanted.mapInArrow(_arrays(size), "a long, b long, shingles binary").join(hint(small.drop("text_hash")), ["a", "b"])
+    found = cut(_grouped(_blocks(rows_of, "component", F.col("n"), BLOCK_SHINGLES, percent), "component", ["node", "copies", "shingles"]).mapInArrow(_exact(percent), LINKS_SQL))
     counts = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("links is null").select("a", "b"))
-    rooted = cut(named.drop("bits").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).join(counts, "node", "left"))
+    rooted = cut(named.drop("bits", "text_hash").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).join(counts, "node", "left"))
     smallest = rooted.where("component is not null").groupBy("root").agg(F.min("first").alias("least"))
     result = rooted.join(smallest, "root", "left").select("a", "b", F.coalesce("least", "first").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies", F.col("component").isNotNull().alias("joined"))
     result = result.where("joined or copies > 1").drop("joined")
-    own = attach(sets.select("doc_id", "n", "a", "b"), result, ["a", "b"], "copies")
+    own = attach(rows.select("doc_id", "n", "a", "b"), result, ["a", "b"], "copies")
     alone = F.col("n_links").isNull()
     return own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

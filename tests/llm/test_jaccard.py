@@ -81,7 +81,7 @@ def rows_of():
 def test_join(spark, small, monkeypatch):
     """small: every tile is cut into blocks, large ones are walked link by link, every table is joined by a shuffle."""
     if small:
-        for name, value in (("BLOCK_ROWS", 3), ("BLOCK_SHINGLES", 200), ("SMALL", 1), ("BROADCAST_ROWS", 0), ("HOT_ROWS", 0), ("HOT_MEAN", 0)):
+        for name, value in (("BLOCK_ROWS", 3), ("BLOCK_SHINGLES", 200), ("SMALL", 1), ("PAIRS", 2), ("BROADCAST_ROWS", 0), ("HOT_ROWS", 0), ("HOT_MEAN", 0)):
             monkeypatch.setattr(jaccard, name, value)
     rows = rows_of()
     want = brute(rows)
