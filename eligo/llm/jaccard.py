@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from eligo.llm.common import ASCII_LOWER, attach, cut, id_and_text, partitions, shared_folder, slices, table
 from eligo.llm.simhash import components
 
-#: Bits of a bitmap; counters of shingles, and the slices in which they are added up; words whose hashes a task remembers.
-BITS, COUNTERS, SLICES, WORDS = 1 << 10, 1 << 18, 64, 1 << 20
+#: Bits of a bitmap of up to half as many shingles; larger sets have twice as many, again and again, up to LEVELS times.
+#: Counters of shingles, and the slices in which they are added up; words whose hashes a task remembers.
+BITS, LEVELS, COUNTERS, SLICES, WORDS = 1 << 10, 8, 1 << 18, 64, 1 << 20
 #: A key that so many sets have, and that stands so far above the mean counter, is dealt out over SALT parts at once.
 HOT_ROWS, HOT_MEAN, SALT = 1_000_000, 8, 64
 #: A block of a tile: rows that meet by their bitmaps, shingles that meet as arrays.
@@ -77,11 +78,51 @@ def shingles(text: str | None, size: int, known: dict) -> np.ndarray:
 
 
 def bitmap(sets: np.ndarray) -> bytes:
-    marks = np.zeros(BITS, np.uint8)
-    marks[sets >> np.uint64(64 - BITS.bit_length() + 1)] = 1
+    level = min(LEVELS, max(0, (2 * len(sets) - 1) // BITS).bit_length())
+    marks = np.zeros(BITS << level, np.uint8)
+    marks[sets >> np.uint64(64 - BITS.bit_length() + 1 - level)] = 1
     return np.packbits(marks).tobytes()
 
 
+class Maps:
+    """Bitmaps of several sizes. A map of twice the size is folded by joining neighbouring bits, so that sets of about one size
+    meet at the smaller size of the two."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, maps), np.int64, len(maps))
+        self.level = np.log2(np.maximum(sizes * 8 // BITS, 1)).astype(np.int64)
+        self.place = np.zeros(len(maps), np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        self.ones, self.half_ones = np.zeros(len(maps), np.int64), np.zeros(len(maps), np.int64)
+        for level in np.unique(self.level).tolist():
+            rows = np.flatnonzero(self.level == level)
+            self.place[rows] = np.arange(len(rows))
+            raw = np.frombuffer(b"".join([maps[r] for r in rows.tolist()]), np.uint8).reshape(len(rows), -1)
+            self.own[level] = raw.view(np.uint64)
+            self.ones[rows] = np.bitwise_count(self.own[level]).sum(1, dtype=np.int64)
+            if level:
+                bits = np.unpackbits(raw, axis=1)
+                self.half[level] = np.packbits(bits[:, ::2] | bits[:, 1::2], axis=1).view(np.uint64)
+                self.half_ones[rows] = np.bitwise_count(self.half[level]).sum(1, dtype=np.int64)
+
+    def most(self, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """An upper bound of what sets i and j share, n being their sizes: each bit that only one has is a shingle, at least, that
+        the other lacks."""
+        bound = np.minimum(n[i], n[j])
+        x, y = self.level[i], self.level[j]
+        for a, b in {*zip(np.broadcast_to(x, bound.shape).tolist(), np.broadcast_to(y, bound.shape).tolist(), strict=True)}:
+            if abs(a - b) > 1:
+                continue
+            hit = np.flatnonzero((x == a) & (y == b))
+            p, q = (np.broadcast_to(k, bound.shape)[hit] for k in (i, j))
+            left, ones_p = (self.half[a], self.half_ones) if a > b else (self.own[a], self.ones)
+            right, ones_q = (self.half[b], self.half_ones) if b > a else (self.own[b], self.ones)
+            both = np.bitwise_count(left[self.place[p]] & right[self.place[q]]).sum(1, dtype=np.int64)
+            bound[hit] = np.minimum(n[p] - ones_p[p] + both, n[q] - ones_q[q] + both)
+        return bound
+
+
 class _Made:
     """Sets of texts within a task; a digest that it has seen is named again, but not shown again."""
 
@@ -296,14 +337,9 @@ def _once(group: pa.Table) -> pa.Table:
     return group if new.all() else group.filter(pa.array(new)).combine_chunks()
 
 
-def allowed(n: np.ndarray, bits: np.ndarray, i, j, percent: int) -> np.ndarray:
-    """Whether the sizes and bitmaps of rows i and j leave room for a link: each bit that only one has is a shingle, at
-    least, that the other lacks."""
-    ni, nj = n[i], n[j]
-    both = np.bitwise_count(bits[i] & bits[j]).sum(-1, dtype=np.int64)
-    ones = np.bitwise_count(bits[i]).sum(-1, dtype=np.int64), np.bitwise_count(bits[j]).sum(-1, dtype=np.int64)
-    most = np.minimum(ni - ones[0] + both, nj - ones[1] + both)
-    return (100 + percent) * most >= percent * (ni + nj)
+def allowed(n: np.ndarray, maps: Maps, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes and bitmaps of rows i and j leave room for a link."""
+    return (100 + percent) * maps.most(n, i, j) >= percent * (n[i] + n[j])
 
 
 class Forest:
@@ -323,15 +359,15 @@ class Forest:
         return a != b
 
 
-def _connect(n: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def _connect(rows: np.ndarray, n: np.ndarray, maps: Maps, percent: int) -> Iterator[tuple[int, int]]:
     """Links that connect all allowed pairs: what is connected already isn't compared again."""
-    todo = np.arange(len(n))
+    todo = rows
     while len(todo):
         front, todo = [todo[0]], todo[1:]
         while front and len(todo):
             p = front.pop()
             lo, hi = np.searchsorted(n[todo], (-(-percent * n[p] // 100), 100 * n[p] // percent + 1))
-            hit = lo + np.flatnonzero(allowed(n, bits, p, todo[lo:hi], percent))
+            hit = lo + np.flatnonzero(allowed(n, maps, p, todo[lo:hi], percent))
             for q in todo[hit].tolist():
                 yield int(p), q
             front += todo[hit].tolist()
@@ -343,9 +379,9 @@ def _checked_pairs(percent: int):
         for batch in batches:
             if batch.num_rows:
                 n = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)]).astype(np.int64)
-                bits = np.frombuffer(b"".join([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()]), np.uint64).reshape(len(n), -1)
+                maps = Maps([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()])
                 i = np.arange(batch.num_rows)
-                fine = pa.array(allowed(n, bits, i, i + len(i), percent))
+                fine = pa.array(allowed(n, maps, i, i + len(i), percent))
                 kept = [batch.column(x).filter(fine) for x in (0, 1)]
                 yield table(LINKS, [*kept, pa.nulls(len(kept[0]), pa.int64())])
 
@@ -357,18 +393,18 @@ def _candidates(percent: int):
         forest = Forest()
         for group in _groups(batches):
             at, node, n = _starts(group), group.column("node").to_numpy(), group.column("n").to_numpy().astype(np.int64)
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+            maps = Maps(group.column("bits").to_pylist())
             size = np.diff(at)
             links: list[tuple[int, int]] = []
             small = np.repeat(size <= SMALL, size)
             number = np.repeat(np.arange(len(size)), size)
             i, step = np.flatnonzero(small), 1
             while len(i := i[i + step < len(n)]) and len(i := i[number[i] == number[i + step]]):
-                links += [(int(x), int(x) + step) for x in i[(100 * n[i] >= percent * n[i + step]) & allowed(n, bits, i, i + step, percent)]]
+                links += [(int(x), int(x) + step) for x in i[(100 * n[i] >= percent * n[i + step]) & allowed(n, maps, i, i + step, percent)]]
                 step += 1
             for g in np.flatnonzero(size > SMALL).tolist():
                 rows = at[g] + np.argsort(n[at[g] : at[g + 1]], kind="stable")
-                links += [(rows[x], rows[y]) for x, y in _connect(n[rows], bits[rows], percent)]
+                links += _connect(rows, n, maps, percent)
             found = [(int(node[x]), int(node[y])) for x, y in links if forest.join(int(node[x]), int(node[y]))]
             if found:
                 yield table(LINKS, [*map(list, zip(*found, strict=True)), pa.nulls(len(found), pa.int64())])
@@ -397,14 +433,15 @@ def _exact(percent: int):
             at, node, n = _starts(group), group.column("node").to_numpy(), group.column("n").to_numpy().astype(np.int64)
             side, copies = group.column("side").to_numpy(), group.column("copies").to_numpy()
             flat, where = _flat(group.column("shingles"))
-            bits = np.stack([np.frombuffer(bitmap(flat[x:y]), np.uint64) for x, y in zip(where.tolist(), where[1:].tolist(), strict=False)])
+            maps = Maps([bitmap(flat[x:y]) for x, y in zip(where.tolist(), where[1:].tolist(), strict=False)])
             links, found = np.zeros(len(n), np.int64), []
             for lo, hi in zip(at.tolist(), at[1:].tolist(), strict=False):
                 forest, middle = Forest(), lo + int(np.searchsorted(side[lo:hi], 1))  # both sides stand by size
                 for i in range(lo, middle if middle < hi else hi):
                     first = middle if middle < hi else i + 1
                     x, y = first + np.searchsorted(n[first:hi], (-(-percent * n[i] // 100), 100 * n[i] // percent + 1))
-                    js = np.arange(x, y)[allowed(n, bits, i, slice(x, y), percent)]
+                    js = np.arange(x, y)
+                    js = js[allowed(n, maps, i, js, percent)]
                     if not len(js):
                         continue
                     common = intersections(flat[where[i] : where[i + 1]], flat, where, js)

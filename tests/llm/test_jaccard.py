@@ -121,14 +121,15 @@ def test_op11_on_the_whole_table(spark):
     assert plain(queries.QUERIES["op11_ngram_jaccard_join"](spark, SF).collect()) == plain(brute(rows))
 
 
-@given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(60, 95))
-def test_bitmaps_never_reject_a_link(x, y, percent):
-    word = [jaccard._mix(np.array([i], np.uint64))[0] for i in range(61)]
-    sets = [np.array(sorted(word[i] for i in s), np.uint64) for s in (x, y)]
-    if not x or not y:
-        return
-    n, bits = np.array([len(x), len(y)]), np.stack([np.frombuffer(jaccard.bitmap(s), np.uint64) for s in sets])
+@given(st.sets(st.integers(0, 3000), min_size=1), st.sets(st.integers(0, 3000), min_size=1), st.integers(0, 2600), st.integers(60, 95))
+def test_bitmaps_never_reject_a_link(x, y, more, percent):
+    """Sets of any size, so that maps of one size and of two meet."""
+    x, y = x | {*range(more)}, y | {*range(more)}
+    word = jaccard._mix(np.arange(3001).astype(np.uint64))
+    sets = [np.sort(word[[*s]]) for s in (x, y)]
+    n, maps = np.array([len(x), len(y)]), jaccard.Maps([jaccard.bitmap(s) for s in sets])
     common = jaccard.intersections(sets[0], np.concatenate(sets), np.r_[0, np.cumsum(n)], np.array([1]))
     assert common.tolist() == [len(x & y)]
+    assert abs(maps.level[0] - maps.level[1]) > 1 or maps.most(n, np.array([0]), np.array([1]))[0] >= len(x & y)
     if 100 * len(x & y) >= percent * len(x | y):
-        assert jaccard.allowed(n, bits, np.array([0]), np.array([1]), percent).all()
+        assert jaccard.allowed(n, maps, np.array([0]), np.array([1]), percent).all()
