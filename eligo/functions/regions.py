@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,16 +53,22 @@ def compact(text: Column) -> Column:
 
 
 def any_of(text: Column, words) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    """Whether the text holds one of the words: one pattern, however many there are."""
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
+
+
+def _table(rows: dict, ddl: str) -> Column:
+    """A fixed map as one literal."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"map<string,{ddl}>")
+
+
+#: At a text's beginning, the longest of the names that provinces have.
+_FIRST = "^(" + "|".join(name for name, _ in _BY_LENGTH) + ")"
 
 
 def canonical_region(text: Column) -> Column:
     """The province whose longest name begins the text; null where none does."""
-    own = compact(text)
-    return F.coalesce(*[F.when(own.startswith(name), F.lit(sido)) for name, sido in _BY_LENGTH])
+    return F.try_element_at(_table(dict(_BY_LENGTH), "string"), F.regexp_extract(compact(text), _FIRST, 1))
 
 
 def provinces_in(text: Column) -> Column:
@@ -99,17 +107,15 @@ def district_of(text: Column, districts=None) -> Column:
         if stem := stem_of(name):
             stems.setdefault(stem, []).append(name)
     names = {n: n for n in known} | {s: n[0] for s, n in stems.items() if len(n) == 1 and s not in known}
-    entry = lambda n: F.struct(F.lit(n).alias("name"), F.lit(known[n][0]).alias("sido"), F.lit(known[n][1]).cast("string").alias("former"))
-    table = F.create_map(*[x for key, n in names.items() for x in (F.lit(key), entry(n))])
-    return F.try_element_at(table, compact(text))
+    rows = {key: {"name": n, "sido": known[n][0], "former": known[n][1]} for key, n in names.items()}
+    return F.try_element_at(_table(rows, "struct<name:string,sido:string,former:string>"), compact(text))
 
 
 def place_words(region: Column) -> Column:
     """The words of a location, and what follows its province's name where all is written in one."""
     words = F.filter(F.split(F.coalesce(region, F.lit("")), r"(?U)[\s,·ㆍ()（）\[\]【】/]+"), lambda w: w != "")
     own = compact(region)
-    rest = F.coalesce(*[F.when(own.startswith(name), F.substr(own, F.lit(len(name) + 1))) for name, _ in _BY_LENGTH], own)
-    return F.array_append(words, rest)
+    return F.array_append(words, F.regexp_replace(own, _FIRST, ""))
 
 
 def names_district(words: Column, name: Column) -> Column:

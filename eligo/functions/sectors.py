@@ -131,31 +131,35 @@ def neighbours(sector: str) -> set[str]:
     return own | {sector}
 
 
+def words_of(words) -> Column:
+    """An array of fixed words, as one literal."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def masked(text: Column) -> Column:
     """The text with compounds blanked out, in their order."""
-    for word in COMPOUNDS:
-        text = F.replace(text, F.lit(word), F.lit(" "))
-    return text
+    return F.aggregate(words_of(COMPOUNDS), text, lambda t, w: F.replace(t, w, F.lit(" ")))
 
 
-def _tells(raw: Column, bare: Column, word: str) -> Column:
-    text = raw if word in COMPOUNDS else bare
-    if word.isascii():
-        return text.rlike(f"(?<![A-Za-z]){word}(?![A-Za-z])")
-    return text.contains(word)
+def _any_word(words) -> str:
+    """A pattern of words, those of Latin letters as whole words."""
+    return "|".join(f"(?<![A-Za-z]){w}(?![A-Za-z])" if w.isascii() else w for w in words)
 
 
 def sectors_of_industry(industry: Column) -> Column:
-    """Sectors that a company's line of business tells, in the order of SECTORS."""
+    """Sectors that a company's line of business tells, in the order of SECTORS. Compounds are blanked out once, and each
+    sector's words are one pattern."""
+    def of(raw: Column, bare: Column) -> Column:
+        found = []
+        for sector, (_, words, _) in SECTORS.items():
+            plain, compound = [w for w in words if w not in COMPOUNDS], [w for w in words if w in COMPOUNDS]
+            tests = [text.rlike(_any_word(own)) for text, own in ((bare, plain), (raw, compound)) if own]
+            found.append(F.when(tests[0] | tests[1] if len(tests) > 1 else tests[0], F.lit(sector)))
+        return F.array_compact(F.array(*found))
+
     raw = F.coalesce(industry, F.lit(""))
-    bare = masked(raw)
-    found = []
-    for sector, (_, words, _) in SECTORS.items():
-        test = F.lit(False)
-        for word in words:
-            test = test | _tells(raw, bare, word)
-        found.append(F.when(test, F.lit(sector)))
-    return F.array_compact(F.array(*found))
+    texts = F.array(F.struct(raw.alias("raw"), masked(raw).alias("bare")))
+    return F.get(F.transform(texts, lambda t: of(t["raw"], t["bare"])), F.lit(0))
 
 
 def compounds_in(text: Column) -> Column:

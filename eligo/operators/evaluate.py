@@ -8,6 +8,8 @@ fails.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,7 @@ def loan_agency(name: Column) -> Column:
 def prepared_conditions(conditions: DataFrame, districts=None) -> DataFrame:
     """Conditions with what of their places doesn't depend on a company: `targets`."""
     targets = F.transform("values", lambda v: F.struct(v.alias("text"), regions.district_of(v, districts).alias("district"), regions.provinces_in(v).alias("provinces")))
-    known = [F.lit(s) for s in sectors.SECTORS]
-    every = F.map_from_arrays(F.array(*known), F.array(*[F.array(*[F.lit(n) for n in sorted(sectors.neighbours(s))]) for s in sectors.SECTORS]))
+    every = F.from_json(F.lit(json.dumps({s: sorted(sectors.neighbours(s)) for s in sectors.SECTORS}, ensure_ascii=False)), "map<string,array<string>>")
     near = F.array_distinct(F.flatten(F.transform("values", lambda v: F.coalesce(F.try_element_at(every, v), F.array().cast("array<string>")))))
     place = F.when(F.col("key") == "region", targets)
     return conditions.withColumns({"targets": place, "near": F.when(F.col("key") == "targetSector", near)})
@@ -229,6 +230,20 @@ def _graded(pairs: DataFrame, keep: list[str], p: Column, f: Column, u: Column,
     return counted.select(*keep, "n_pass", "n_fail", "n_unknown", grade.alias("grade"), score.alias("score"), fit.alias("fit"))
 
 
+def with_conditions(announcements: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the distinct conditions that a machine can read, as n and c; announcements with `own`, an array of the numbers n and
+    counts k of their conditions, by number, and `fixed`, how many of theirs are unknown to all companies)."""
+    c = F.struct(*CONDITION)
+    place = _numbered(conditions).select(F.posexplode("all").alias("n", "c"))
+    told = conditions.select("id", F.when(open_to_machines(c), c).alias("c"))
+    counted = told.join(F.broadcast(place), "c", "left").groupBy("id", "n").agg(F.count("*").alias("k"))
+    known = F.sort_array(F.filter(F.collect_list(F.struct("n", "k")), lambda x: x["n"].isNotNull()))
+    arrays = counted.groupBy("id").agg(known.alias("own"), F.sum(F.when(F.col("n").isNull(), F.col("k")).otherwise(0)).alias("fixed"), F.sum("k").alias("all"))
+    none = F.array().cast("array<struct<n:int,k:long>>")
+    rows = announcements.join(arrays, "id", "left").withColumns({"own": F.coalesce("own", none), "fixed": F.when(F.col("all") >= FIELD, F.raise_error(F.lit(f"an announcement has over {FIELD} conditions"))).otherwise(F.coalesce("fixed", F.lit(0)))})
+    return place, rows.drop("all")
+
+
 def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame, now: Column, districts=None, most_distinct: int = MOST_DISTINCT, cluster: str | None = None) -> DataFrame:
     """(the announcements' columns, company_id, n_pass, n_fail, n_unknown, grade, score, fit) for each announcement (id) and
     company. Conditions of an id that isn't announced count for nothing. cluster: announcements come together by this column
@@ -247,16 +262,10 @@ def grades(announcements: DataFrame, conditions: DataFrame, companies: DataFrame
         pairs = announcements.crossJoin(companies.select("company_id")).join(counts, ["id", "company_id"], "left")
         zero = lambda x: F.coalesce(x, F.lit(0))
         return _graded(pairs, own, zero("p"), zero("f"), zero("u"), F.coalesce("s", F.lit(False)))
-    every = _numbered(conditions)
-    place = every.select(F.posexplode("all").alias("n", "c"))
-    told = conditions.select("id", F.when(open_to_machines(c), c).alias("c"))
-    counted = told.join(F.broadcast(place), "c", "left").groupBy("id", "n").agg(F.count("*").alias("k"))
-    known = F.filter(F.collect_list(F.struct("n", "k")), lambda x: x["n"].isNotNull())
-    arrays = counted.groupBy("id").agg(known.alias("own"), F.sum(F.when(F.col("n").isNull(), F.col("k")).otherwise(0)).alias("fixed"), F.sum("k").alias("all"))
-    rows = announcements.join(arrays, "id", "left").withColumn("fixed", F.when(F.col("all") >= FIELD, F.raise_error(F.lit(f"an announcement has over {FIELD} conditions"))).otherwise(F.coalesce("fixed", F.lit(0))))
+    place, rows = with_conditions(announcements, conditions)
     if cluster and not _is_hot(announcements, cluster):
         rows = rows.repartition(cluster)
-    crossed = _cross(rows.drop("all"), _profiles(place, companies, now, districts), companies.count(), 10 * n_distinct + 100)
+    crossed = _cross(rows, _profiles(place, companies, now, districts), companies.count(), 10 * n_distinct + 100)
     total = F.aggregate(F.coalesce("own", F.array().cast("array<struct<n:int,k:long>>")), F.lit(0).cast("long"), lambda a, x: a + x["k"] * F.get("codes", x["n"]))
     summed = crossed.withColumn("t", total)
     p, f, u = F.pmod("t", F.lit(FIELD)), F.pmod(F.shiftright("t", 21), F.lit(FIELD)), F.shiftright("t", 42) + F.col("fixed")

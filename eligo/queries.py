@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligo.functions import classify, korean
-from eligo.operators import evaluate, grouping, ledgers
+from eligo.operators import evaluate, grouping, ledgers, totals
 from eligo.plans import deadline
 from eligo.sources import bridge
 from eligo.sources.bridge import FUNDING_GROUPS, NOW, SIDO
@@ -96,6 +96,10 @@ def _graded(spark: SparkSession, sf: str, columns=("id",)) -> DataFrame:
     return evaluate.grades(bridge.announcements(spark, sf).select(*columns), bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now())
 
 
+def _totals(spark: SparkSession, sf: str, by=None, largest=None) -> DataFrame:
+    return totals.cells(bridge.announcements(spark, sf), bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now(), by, largest)
+
+
 @query(f"WITH {COND}, {COMPANY}, {CHECKED} SELECT company_id, key, verdict, count(*) AS n FROM checked GROUP BY 1, 2, 3")
 def condition_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts by company and key. Conditions are counted before they meet the companies."""
@@ -111,7 +115,7 @@ def condition_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED} SELECT company_id, grade, fit, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM graded GROUP
   BY 1, 2, 3""")
 def grade_and_score(spark: SparkSession, sf: str) -> DataFrame:
-    return _graded(spark, sf).groupBy("company_id", "grade", "fit").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return _totals(spark, sf).drop("largest")
 
 
 BARS = {"region": "CASE WHEN NOT opfits THEN false ELSE " + " OR ".join(f"(v % 10 = {v} AND s % 10 IN ({', '.join(map(str, places))}))" for v, places in {5: (0, 5, 6, 8), 6: (0, 5, 6), 7: (0, 5), 8: (0, 6, 8)}.items()) + " END"}
@@ -147,9 +151,7 @@ ALL = f"WITH {ANN}, {COND}, {COMPANY}, {CHECKED}, {GRADED}, one AS (SELECT ann.*
 def representative_pick(spark: SparkSession, sf: str) -> DataFrame:
     n = bridge.conditions(spark, sf).groupBy("id").agg(F.count("*").alias("checks"))
     rows = bridge.announcements(spark, sf).select("id", "source", "dedup_key", "apply_end").join(n, "id", "left").na.fill(0, ["checks"])
-    places = grouping.placed(rows)
-    graded = evaluate.grades(places.select("id", "grp", "place"), bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now(), cluster="grp")
-    return grouping.representatives(graded, places, ["company_id"])
+    return totals.representatives(grouping.placed(rows), bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now())
 
 
 @query(ALL + """ SELECT company_id, id, funding_group, fit, score, k AS place FROM (
@@ -164,9 +166,10 @@ def top_n_per_verdict(spark: SparkSession, sf: str) -> DataFrame:
   LEFT JOIN one ON one.funding_group = g.funding_group AND one.company_id = g.company_id GROUP BY 1, 2""")
 def group_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of the six groups of each company; an empty group stays, its amount null."""
-    normal, fit = F.col("fit") != "excluded", F.col("fit") == "fit"
-    counts = _of_all(spark, sf).groupBy("company_id", "funding_group").agg(
-        F.count_if(normal).alias("n_normal"), F.count_if(~normal).alias("n_excluded"), F.count_if(fit).alias("n_fit"), F.max(F.when(normal, F.col("amount_won"))).alias("max_won")
+    normal, fit, n = F.col("fit") != "excluded", F.col("fit") == "fit", F.col("n")
+    added = lambda test: F.sum(F.when(test, n).otherwise(0))
+    counts = _totals(spark, sf, {"funding_group": F.col("funding_group")}, F.col("amount_won")).groupBy("company_id", "funding_group").agg(
+        added(normal).alias("n_normal"), added(~normal).alias("n_excluded"), added(fit).alias("n_fit"), F.max(F.when(normal, F.col("largest"))).alias("max_won")
     )
     groups = F.explode(F.array(*[F.lit(g) for g in FUNDING_GROUPS])).alias("funding_group")
     every = bridge.companies(spark, sf).select("company_id", groups)
@@ -178,12 +181,13 @@ def group_blocks(spark: SparkSession, sf: str) -> DataFrame:
     date_diff('day', CAST(TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS DATE), CAST(apply_end + INTERVAL 9 HOUR AS DATE)) AS d FROM one WHERE fit <> 'excluded') GROUP BY 1""")
 def glance(spark: SparkSession, sf: str) -> DataFrame:
     """Four tiles of each company that has an announcement which isn't excluded."""
-    rows = _of_all(spark, sf).where("fit <> 'excluded'")
     at = bridge.now()
     begun, ended = F.col("apply_start") <= at, F.coalesce(F.col("apply_end") < at, F.lit(False))
     is_open, days = begun & ~ended, korean.d_day(F.col("apply_end"), at)
-    grant = F.col("funding_group") == "grant"
-    return rows.groupBy("company_id").agg(F.count_if(is_open).alias("n_open"), F.count_if(is_open & days.between(0, 7)).alias("n_soon"), F.count_if(grant).alias("n_grant"), F.max(F.when(grant, F.col("amount_won"))).alias("max_grant"))
+    by = {"is_open": is_open, "soon": F.coalesce(is_open & days.between(0, 7), F.lit(False)), "is_grant": F.col("funding_group") == "grant"}
+    rows, n = _totals(spark, sf, by, F.col("amount_won")).where("fit <> 'excluded'"), F.col("n")
+    added = lambda test: F.sum(F.when(F.col(test), n).otherwise(0))
+    return rows.groupBy("company_id").agg(added("is_open").alias("n_open"), added("soon").alias("n_soon"), added("is_grant").alias("n_grant"), F.max(F.when(F.col("is_grant"), F.col("largest"))).alias("max_grant"))
 
 
 _MINE = _pick(tuple(regions_of(p) for p, _ in bridge.PLACES), "company_id % 10")
@@ -197,11 +201,15 @@ def diagnose_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Of the announcements that a company's prefilter leaves, how many it can have; and how many its region took away."""
     rows = bridge.announcements(spark, sf).select("id", "apply_end", classify.bound_regions(F.col("sido"), F.col("title")).alias("bound"))
     mine = bridge.companies(spark, sf).select("company_id", classify.own_region(F.col("region")).alias("mine"))
-    graded = evaluate.grades(rows, bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now()).join(mine, "company_id")
-    decided = graded.withColumn("decision", classify.prefilter(F.col("bound"), F.col("apply_end"), F.col("mine"), bridge.now()))
+    by = {"bound": F.array_join("bound", ","), "closed": classify.prefilter(F.array().cast("array<string>"), F.col("apply_end"), F.lit(None).cast("string"), bridge.now()) == "drop-closed"}
+    cells = totals.cells(rows, bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now(), by).join(mine, "company_id")
+    open_end = F.lit(None).cast("timestamp_ntz")
+    places = F.filter(F.split("bound", ","), lambda x: x != "")
+    decided = cells.withColumn("decision", F.when(F.col("closed"), "drop-closed").otherwise(classify.prefilter(places, open_end, F.col("mine"), bridge.now())))
+    added = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     kept = F.col("decision") == "keep"
-    by_grade = [F.count_if(kept & (F.col("grade") == g)).alias(g) for g in ("possible", "uncertain", "impossible")]
-    return decided.groupBy("company_id").agg(F.count_if(F.col("decision") == "drop-region").alias("dropped_by_region"), F.count_if(kept).alias("candidates"), *by_grade)
+    by_grade = [added(kept & (F.col("grade") == g)).alias(g) for g in ("possible", "uncertain", "impossible")]
+    return decided.groupBy("company_id").agg(added(F.col("decision") == "drop-region").alias("dropped_by_region"), added(kept).alias("candidates"), *by_grade)
 
 
 BROWSE = """ SELECT grp, arg_min(id, k) AS rep_id, arg_min_null(apply_end, k) AS apply_end, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 50) AS ids FROM (

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eligo.functions import korean
-from eligo.operators import evaluate, grouping, ledgers
+from eligo.operators import evaluate, grouping, ledgers, totals
 from eligo.operators.html_rows import rows_of
 from eligo.plans import deadline, funding
 from eligo.streaming.failures import in_a_row, stream_alerts
@@ -149,3 +149,26 @@ def test_deadline_query_is_checked():
     for bad in ({"view": "x"}, {"days": "8"}, {"hideEmpty": "yes"}, {"view": "company", "customerKey": "c:1"}, {"view": "bucket"}, {"view": "export", "category": "x" * 101}, {"scope": "none"}):
         with pytest.raises(ValueError):
             deadline.parse_query(bad)
+
+
+def test_totals_equal_the_pairs(spark, monkeypatch):
+    """By the matrix of verdicts, and pair by pair where it would be too large or a group is hot."""
+    keys = [("region", "in", ["서울"], None, None, True), ("region", "in", ["전국"], None, None, True), ("revenueMaxKrw", "lte", None, 5.0, None, True), ("employeeMin", "gte", None, 3.0, None, True), ("other", "eq", None, None, None, True)]
+    conds = spark.createDataFrame([(i, *keys[(i * k) % 5]) for i in range(1, 40) for k in range(i % 4)], CONDITION)
+    firms = spark.createDataFrame([(i, ("부산", "서울", None)[i % 3], None, None, None, None, (4, 9, None)[i % 3], i, *[None] * 10) for i in range(7)], COMPANY)
+    anns = spark.createDataFrame([(i, f"s{i % 3}", f"k{i % 11}", i % 2 == 0, None if i % 5 == 0 else i * 10, i) for i in range(1, 45)], "id long, source string, dedup_key string, even boolean, won long, checks long")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    places = grouping.placed(anns.withColumn("apply_end", F.lit(None).cast("timestamp_ntz")))
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+    run = lambda: (rows(totals.cells(anns, conds, firms, now, {"even": F.col("even")}, F.col("won"))), rows(totals.cells(anns, conds, firms, now)), rows(totals.representatives(places, conds, firms, now)))
+    got = run()
+    pairs = evaluate.grades(anns.select("id", "even", "won"), conds, firms, now)
+    assert got[0] == rows(pairs.groupBy("company_id", "even", "grade", "fit").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.max("won").alias("largest")))
+    assert got[2] == rows(grouping.representatives(evaluate.grades(places.select("id", "grp", "place"), conds, firms, now), places, ["company_id"])) and len(got[2]) == 77
+    monkeypatch.setattr(totals, "PAIRS", 10)
+    monkeypatch.setattr(totals, "CELLS", 1)
+    assert run() == got
+    monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 100)
+    assert run() == got
+    none = totals.cells(anns.limit(0), conds, firms, now)
+    assert none.count() == 0 and totals.cells(anns, conds.limit(0), firms, now).agg(F.sum("n")).first()[0] == 44 * 7
