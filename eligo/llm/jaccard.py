@@ -51,29 +51,33 @@ LINKS_SQL = "a long, b long, links long"
 _PARTIAL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
+class Words(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word, 42)
         return h
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
     return h ^ h >> np.uint64(31)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(ASCII_LOWER).split()
+
+
 def shingles(text: str | None, size: int, known: dict) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles of `size` words, or of its whole sequence if that is shorter. Each is a
     64-bit mix of its words' XXH64: two different shingles count as one with a chance of 2^-64."""
-    words = (text or "").encode().translate(ASCII_LOWER).split()
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(size, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = _mix(h * _PARTIAL + hashes[i : len(words) - k + 1 + i])
+        h = mix(h * _PARTIAL + hashes[i : len(words) - k + 1 + i])
     return np.unique(h)
 
 
@@ -123,11 +127,11 @@ class Maps:
         return bound
 
 
-class _Made:
+class Made:
     """Sets of texts within a task; a digest that it has seen is named again, but not shown again."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.known, self.seen = size, _Words(), set()
+        self.size, self.known, self.seen = size, Words(), set()
 
     def of(self, text: str | None) -> tuple[np.ndarray, int, int, bool]:
         if len(self.known) > WORDS:
@@ -145,7 +149,7 @@ def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, made, total, shift = TaskContext.get().partitionId() << 33, _Made(size), np.zeros(COUNTERS, np.int64), np.uint64(64 - COUNTERS.bit_length() + 1)
+        row, made, total, shift = TaskContext.get().partitionId() << 33, Made(size), np.zeros(COUNTERS, np.int64), np.uint64(64 - COUNTERS.bit_length() + 1)
         for batch in slices(batches):
             out, fresh = [], []
             for doc, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -165,7 +169,7 @@ def _sets(size: int):
 
 def _arrays(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _Made(size)
+        made = Made(size)
         for batch in slices(batches):
             out = [(a, b, own.tobytes()) for own, a, b, new in map(made.of, batch.column(1).to_pylist()) if new]
             if out:
@@ -202,7 +206,7 @@ def _keys(size: int, counts: np.ndarray, percent: int):
     hot = counts > max(HOT_ROWS, HOT_MEAN * counts.mean())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift, made = np.uint64(64 - COUNTERS.bit_length() + 1), _Made(size)
+        shift, made = np.uint64(64 - COUNTERS.bit_length() + 1), Made(size)
         for batch in slices(batches):
             taken, sizes, names = [np.zeros(0, np.uint64)], [], []
             for own, a, _, new in map(made.of, batch.column(1).to_pylist()):
@@ -427,7 +431,7 @@ def intersections(own: np.ndarray, flat: np.ndarray, at: np.ndarray, rows: np.nd
     return np.diff(np.r_[0, np.cumsum(own[place] == others)[ends - 1]])
 
 
-def _exact(percent: int):
+def _exact(percent: int, count: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in map(_once, _groups(batches)):
             at, node, n = _starts(group), group.column("node").to_numpy(), group.column("n").to_numpy().astype(np.int64)
@@ -436,11 +440,12 @@ def _exact(percent: int):
             maps = Maps([bitmap(flat[x:y]) for x, y in zip(where.tolist(), where[1:].tolist(), strict=False)])
             links, found = np.zeros(len(n), np.int64), []
             for lo, hi in zip(at.tolist(), at[1:].tolist(), strict=False):
-                forest, middle = Forest(), lo + int(np.searchsorted(side[lo:hi], 1))  # both sides stand by size
+                forest, label, middle = Forest(), np.arange(hi),  lo + int(np.searchsorted(side[lo:hi], 1))  # both sides stand by size
                 for i in range(lo, middle if middle < hi else hi):
                     first = middle if middle < hi else i + 1
                     x, y = first + np.searchsorted(n[first:hi], (-(-percent * n[i] // 100), 100 * n[i] // percent + 1))
                     js = np.arange(x, y)
+                    js = js if count else js[label[js] != label[i]]
                     js = js[allowed(n, maps, i, js, percent)]
                     if not len(js):
                         continue
@@ -448,13 +453,28 @@ def _exact(percent: int):
                     js = js[100 * common >= percent * (n[i] + n[js] - common)]
                     links[i] += copies[js].sum()
                     links[js] += copies[i]
-                    found += [(int(node[i]), int(node[j])) for j in js.tolist() if forest.join(i, j)]
+                    for j in js.tolist():
+                        if forest.join(i, j):
+                            found.append((int(node[i]), int(node[j])))
+                            if not count:
+                                label[lo:][label[lo:] == label[j]] = label[i]
             held = np.flatnonzero(links)
             yield table(LINKS, [[*(a for a, _ in found), *node[held].tolist()], [*(b for _, b in found), *[None] * len(held)], [*[None] * len(found), *links[held].tolist()]])
 
     return run
 
 
+def small(df: DataFrame) -> DataFrame:
+    """To be broadcast, where it is a table of BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def exact(rows: DataFrame, by: str, percent: int, count: bool = True) -> DataFrame:
+    """rows (by, node, n, copies, shingles): links (a, b) that connect all rows of one group that link, and, if they are counted,
+    rows (a, null, links) of how many each links with, block by block. Not counted, what is connected isn't compared again."""
+    return _grouped(_blocks(rows, by, F.col("n"), BLOCK_SHINGLES, percent), by, ["node", "copies", "shingles"]).mapInArrow(_exact(percent, count), LINKS_SQL)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs, null and repeated ids included.
 
@@ -480,11 +500,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tiles = met.where("b is null").select("key", "a").join(named.select("a", "node", "n", "bits"), "a").drop("a")
     walked = _grouped(_blocks(tiles, "key", F.lit(1), BLOCK_ROWS, percent), "key", ["node", "bits"]).mapInArrow(_candidates(percent), LINKS_SQL)
     groups = components(near.unionByName(walked).select("a", "b").distinct())
-    small = cut(groups.join(named.drop("bits", "first"), "node"))
-    hint = F.broadcast if small.count() <= BROADCAST_ROWS else lambda x: x
-    wanted = texts.join(hint(small.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text")
-    rows_of = wanted.mapInArrow(_arrays(size), "a long, b long, shingles binary").join(hint(small.drop("text_hash")), ["a", "b"])
-    found = cut(_grouped(_blocks(rows_of, "component", F.col("n"), BLOCK_SHINGLES, percent), "component", ["node", "copies", "shingles"]).mapInArrow(_exact(percent), LINKS_SQL))
+    met = cut(groups.join(named.drop("bits", "first"), "node"))
+    wanted = texts.join(small(met.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text")
+    arrays = wanted.mapInArrow(_arrays(size), "a long, b long, shingles binary").join(small(met.drop("text_hash")), ["a", "b"])
+    found = cut(exact(arrays, "component", percent))
     counts = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("links is null").select("a", "b"))
     rooted = cut(named.drop("bits", "text_hash").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).join(counts, "node", "left"))

@@ -42,6 +42,11 @@ def fingerprint(text: str | None, words_per_shingle: int, seed: int = 42) -> int
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[k:], strict=False)), np.uint64, len(words) - k + 1)
+    return bits_of(hashes)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """A bit is 1 where it is set in over half of the hashes."""
     columns = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS for i in range(8)])
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")

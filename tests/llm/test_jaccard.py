@@ -125,7 +125,7 @@ def test_op11_on_the_whole_table(spark):
 def test_bitmaps_never_reject_a_link(x, y, more, percent):
     """Sets of any size, so that maps of one size and of two meet."""
     x, y = x | {*range(more)}, y | {*range(more)}
-    word = jaccard._mix(np.arange(3001).astype(np.uint64))
+    word = jaccard.mix(np.arange(3001).astype(np.uint64))
     sets = [np.sort(word[[*s]]) for s in (x, y)]
     n, maps = np.array([len(x), len(y)]), jaccard.Maps([jaccard.bitmap(s) for s in sets])
     common = jaccard.intersections(sets[0], np.concatenate(sets), np.r_[0, np.cumsum(n)], np.array([1]))

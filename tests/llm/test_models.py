@@ -1,15 +1,17 @@
 """Language ID, toxicity, quality, chat and the pipeline."""
 
+import random
 from itertools import product
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from eligo.llm import chat, language, quality, simhash, tokens, toxicity
+from eligo.llm import chat, language, near, quality, tokens, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -224,6 +226,66 @@ def test_pipeline_stages_decide_by_row(spark):
     assert sorted(map(str, (r.doc_id for r in pieces))) == sorted(map(str, (r[0] for r in rows)))
 
 
+def mixed(h):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * factor % (1 << 64)
+    return h ^ h >> 31
+
+
+def joined(n, edges):
+    root = [*range(n)]
+    while any(root[i] != root[j] for i, j in edges):
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def shingles_of(text):
+    words = (text or "").translate(LOWER).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(x, y):
+    return 100 * len(x & y) >= 80 * len(x | y)
+
+
+def groups_of(texts):
+    """Near copies pair by pair: candidates by five fingerprints of the distinct words, then by shared shingles of five words."""
+    prints = []
+    for t in texts:
+        words = {xxhash.xxh64_intdigest(w.encode(), 42) for w in (t or "").translate(LOWER).split()}
+        hashes = [[mixed((w + k * 0x9E3779B97F4A7C15) % (1 << 64)) for w in words] for k in range(5)]
+        prints.append([sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) for own in hashes])
+    p = np.array(prints, np.uint64)
+    pairs = np.argwhere(np.triu((np.bitwise_count(p[:, None, :] ^ p[None, :, :]) <= 3).any(2), 1)).tolist()
+    candidate, sets = joined(len(texts), pairs), [shingles_of(t) for t in texts]
+    same = lambda c: [i for i in range(len(texts)) if candidate[i] == c]
+    near = [(i, j) for c in set(candidate) for i in same(c) for j in same(c) if i < j and (sets[i] == sets[j] or similar(sets[i], sets[j]))]
+    return joined(len(texts), near)
+
+
+def test_verified_groups(spark):
+    """Edits, chains, copies, empty texts and equal keys; few of the similar pairs are missed."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = [None, "", " ", "one", "ONE", "one two"]
+    for _ in range(60):
+        texts.append(" ".join(word() for _ in range(rng.choice((20, 60, 150)))))
+        for _ in range(rng.choice((0, 1, 2))):
+            words = texts[-1].split()
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame([(i, i * 3, t, 1, "x") for i, t in enumerate(texts)], "a long, b long, text string, node int, component string")
+    got = {r.k_a: r.root for r in near.verified_groups(rows, ("a", "b")).collect()}
+    want = groups_of(texts)
+    assert len(got) == len(texts) and all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
+    sets = [shingles_of(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])]
+    assert len(pairs) > 20 and sum(want[i] == want[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert near.verified_groups(rows.limit(0), ("a", "b")).count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     """Line dedup and near-dedup, text by text and pair by pair, on what the models let through."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -242,13 +304,8 @@ def test_pipeline_against_brute_force(spark):
     gone = lambda i, x: len(k := key(x)) >= 20 and len(held[k]) >= 3 and i != max(held[k])
     texts = {i: t if t is None else "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in texts.items()}
     ids = sorted(texts)
-    prints = np.array([simhash.fingerprint(texts[i], 3) for i in ids], np.uint64)
-    near, label = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3, np.arange(len(ids))
-    while True:
-        new = np.array([label[n].min() for n in near])
-        if (new == label).all():
-            break
-        label = new
+    first = groups_of([texts[i] for i in ids])
+    label = [min(k for k in range(len(ids)) if first[k] == first[i]) for i in range(len(ids))]
     survivors = {ids[i] for i in range(len(ids)) if label[i] == i}
     out = corpus_pipeline.run(spark, SF).collect()
     known_ids = Tokenizer.from_file(tokens.vocabulary())
