@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType, VariantType
 
-from eligo.llm import language, line_dedup, packing, simhash, toxicity
+from eligo.llm import language, line_dedup, near, packing, toxicity
 from eligo.llm.common import remove, row_key, shared_folder, slices
 
 
@@ -55,15 +55,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays; of several such rows the one of the smallest hash, and of rows
-    that are equal in every column one. A group without an id keeps one row as well."""
+    """Texts that share four fifths of their shingles of five words, or are connected by such, are a group. The smallest id of
+    each stays; of several such rows the one of the smallest hash, and of rows that are equal in every column one (maps and
+    variants can't be hashed: rows that differ in those alone count as equal). A group without an id keeps one row as well."""
     hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    keyed = docs.withColumn("__key", row_key(hashed))
-    groups = simhash.near_groups(keyed, words_per_shingle=3, keep=("__key",))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
-    first = groups.groupBy("root").agg(F.min_by("__key", order).alias("k")).select(F.col("k.a").alias("__a"), F.col("k.b").alias("__b"))
+    keyed = docs.withColumns({"__a": row_key(hashed)["a"], "__b": row_key(hashed)["b"]})
+    groups = near.verified_groups(keyed, ("__a", "__b"))
+    ids = keyed.select(F.col("__a").alias("k_a"), F.col("__b").alias("k_b"), "doc_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_a", "k_b")
+    first = groups.join(ids, ["k_a", "k_b"]).groupBy("root").agg(F.min_by(F.struct("k_a", "k_b"), order).alias("k")).select(F.col("k.k_a").alias("__a"), F.col("k.k_b").alias("__b"))
     names = ["__a", "__b"]
-    kept = docs.withColumns({"__a": row_key(hashed)["a"], "__b": row_key(hashed)["b"]}).join(first, names, "left_semi")
+    kept = keyed.join(first, names, "left_semi")
     nth = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
     return kept.withColumn("__nth", nth).where("__nth = 1").drop(*names, "__nth")
 
