@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +133,11 @@ def neighbours(sector: str) -> set[str]:
     return own | {sector}
 
 
+def neighbour_table() -> Column:
+    """Each sector's neighbours and itself, as one literal."""
+    return F.from_json(F.lit(json.dumps({s: sorted(neighbours(s)) for s in SECTORS}, ensure_ascii=False)), "map<string,array<string>>")
+
+
 def words_of(words) -> Column:
     """An array of fixed words, as one literal."""
     return F.split(F.lit("\n".join(words)), "\n")

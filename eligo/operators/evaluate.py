@@ -8,8 +8,6 @@ fails.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +53,7 @@ def loan_agency(name: Column) -> Column:
 def prepared_conditions(conditions: DataFrame, districts=None) -> DataFrame:
     """Conditions with what of their places doesn't depend on a company: `targets`."""
     targets = F.transform("values", lambda v: F.struct(v.alias("text"), regions.district_of(v, districts).alias("district"), regions.provinces_in(v).alias("provinces")))
-    every = F.from_json(F.lit(json.dumps({s: sorted(sectors.neighbours(s)) for s in sectors.SECTORS}, ensure_ascii=False)), "map<string,array<string>>")
+    every = sectors.neighbour_table()
     near = F.array_distinct(F.flatten(F.transform("values", lambda v: F.coalesce(F.try_element_at(every, v), F.array().cast("array<string>")))))
     place = F.when(F.col("key") == "region", targets)
     return conditions.withColumns({"targets": place, "near": F.when(F.col("key") == "targetSector", near)})
