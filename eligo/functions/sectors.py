@@ -214,12 +214,18 @@ def _both(a: Column, b: Column) -> Column:
     return F.when((a == "no") | (b == "no"), "no").when((a == "yes") & (b == "yes"), "yes").otherwise("unknown")
 
 
+def few_workers() -> Column:
+    """yes, no or unknown: has the row's company (employees, industry) fewer workers than a small merchant may have?"""
+    workers, industry = F.col("employees"), F.trim(F.coalesce("industry", F.lit("")))
+    few = F.when(any_of(industry, TEN_WORKERS), 10).otherwise(5)
+    return F.when(workers.isNull(), "unknown").when(industry != "", F.when(workers < few, "yes").otherwise("no")).when(workers < 5, "yes").when(workers >= 10, "no").otherwise("unknown")
+
+
 def _size_fact(name: Column) -> Column:
     """Of one name without brackets: yes, no, unknown, or null for a name that isn't a size."""
     revenue, workers, age, corporation = F.col("revenue"), F.col("employees"), F.col("age"), F.col("corporation")
     industry = F.trim(F.coalesce("industry", F.lit("")))
-    few = F.when(any_of(industry, TEN_WORKERS), 10).otherwise(5)
-    by_workers = F.when(workers.isNull(), "unknown").when(industry != "", F.when(workers < few, "yes").otherwise("no")).when(workers < 5, "yes").when(workers >= 10, "no").otherwise("unknown")
+    by_workers = few_workers()
     small, sme = _within(revenue, SMALL_REVENUE, SMALL_REVENUE_TOP), _within(revenue, SME_REVENUE, SME_REVENUE_TOP)
     maker = F.when((industry == "") | workers.isNull(), "unknown").when(~any_of(industry, MAKERS), "no").when(workers < 10, "yes").otherwise("no")
     return (
