@@ -160,15 +160,17 @@ def test_totals_equal_the_pairs(spark, monkeypatch):
     now = F.lit(NOW).cast("timestamp_ntz")
     places = grouping.placed(anns.withColumn("apply_end", F.lit(None).cast("timestamp_ntz")))
     rows = lambda df: sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
-    run = lambda: (rows(totals.cells(anns, conds, firms, now, {"even": F.col("even")}, F.col("won"))), rows(totals.cells(anns, conds, firms, now)), rows(totals.representatives(places, conds, firms, now)))
-    got = run()
+    by_even = lambda: rows(totals.cells(anns, conds, firms, now, {"even": F.col("even")}, F.col("won")))
+    picked = lambda: rows(totals.representatives(places, conds, firms, now))
     pairs = evaluate.grades(anns.select("id", "even", "won"), conds, firms, now)
-    assert got[0] == rows(pairs.groupBy("company_id", "even", "grade", "fit").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.max("won").alias("largest")))
-    assert got[2] == rows(grouping.representatives(evaluate.grades(places.select("id", "grp", "place"), conds, firms, now), places, ["company_id"])) and len(got[2]) == 77
+    want = rows(pairs.groupBy("company_id", "even", "grade", "fit").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.max("won").alias("largest")))
+    reps = rows(grouping.representatives(evaluate.grades(places.select("id", "grp", "place"), conds, firms, now), places, ["company_id"]))
+    assert by_even() == want and picked() == reps and len(reps) == 77
     monkeypatch.setattr(totals, "PAIRS", 10)
     monkeypatch.setattr(totals, "CELLS", 1)
-    assert run() == got
+    assert by_even() == want and picked() == reps
     monkeypatch.setattr(evaluate, "BROADCAST_BYTES", 100)
-    assert run() == got
+    assert by_even() == want
+    monkeypatch.undo()
     none = totals.cells(anns.limit(0), conds, firms, now)
     assert none.count() == 0 and totals.cells(anns, conds.limit(0), firms, now).agg(F.sum("n")).first()[0] == 44 * 7
