@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -132,9 +133,11 @@ def fit(texts: list[str], toxic: list[int], window: int = 120, rounds: int = 60,
     y = np.concatenate([y for _, y in used]).astype(float)
     numbers: dict[str, int] = {}
     codes = np.fromiter((numbers.setdefault(w, len(numbers)) for ws, _ in used for w in ws), np.int64, len(y))
-    found = [features(w) for w in numbers]
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((f for fs in found for f in fs), np.int64, int(size.sum()))
+    held, size = array("q"), np.empty(len(numbers), np.int64)  # no list of a word's features outlives it
+    for i, w in enumerate(numbers):
+        held.extend(own := features(w))
+        size[i] = len(own)
+    flat = np.frombuffer(held, np.int64) if held else np.zeros(0, np.int64)
     first, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
     inner = np.ones(len(y), bool)
     inner[starts] = False
