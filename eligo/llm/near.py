@@ -60,7 +60,7 @@ def _sets(size: int):
     return run
 
 
-def verified_groups(docs: DataFrame, key: tuple[str, str], text_col: str = "text", size: int = 5, percent: int = 80, tables: int = 5, distance: int = 3) -> DataFrame:
+def verified_groups(docs: DataFrame, key: tuple[str, str], text_col: str = "text", size: int = 5, percent: int = 80, tables: int = 8, distance: int = 3) -> DataFrame:
     """(k_a, k_b, root) for each row of docs, named by its two key columns (longs; equal rows may share them): rows of one root
     are connected by pairs that share `percent` of a hundred of the union of their shingles. Rows without a word, null texts
     included, are one group. Candidates beyond `distance` bits in every table are missed; the README has the recall."""

@@ -250,11 +250,11 @@ def similar(x, y):
 
 
 def groups_of(texts):
-    """Near copies pair by pair: candidates by five fingerprints of the distinct words, then by shared shingles of five words."""
+    """Near copies pair by pair: candidates by eight fingerprints of the distinct words, then by shared shingles of five words."""
     prints = []
     for t in texts:
         words = {xxhash.xxh64_intdigest(w.encode(), 42) for w in (t or "").translate(LOWER).split()}
-        hashes = [[mixed((w + k * 0x9E3779B97F4A7C15) % (1 << 64)) for w in words] for k in range(5)]
+        hashes = [[mixed((w + k * 0x9E3779B97F4A7C15) % (1 << 64)) for w in words] for k in range(8)]
         prints.append([sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) for own in hashes])
     p = np.array(prints, np.uint64)
     pairs = np.argwhere(np.triu((np.bitwise_count(p[:, None, :] ^ p[None, :, :]) <= 3).any(2), 1)).tolist()
