@@ -35,7 +35,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(True).alias("is_announcement"), (p % 7 == 0).alias("rule_only"), F.lit("all").alias("industry_scope"), F.lit("all").alias("region_scope"),
         F.array(_check(*AGE), _pick([_check(*s) for s in SECOND], p % 4)).alias("checks"),
         _pick([F.array(*[F.lit(h) for h in hs]).cast("array<string>") for hs in HUMAN], F.floor(o / 5) % 4).alias("human"),
-    )
+    ).dropDuplicates(["id", "company_id"])
 
 
 def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +45,7 @@ def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 #: Classes of companies as `bridge.companies` makes them, then one row for each finding.
-FOUND = f"""pair AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS id, l_suppkey AS c, l_orderkey AS o, l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+FOUND = f"""pair AS (SELECT DISTINCT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS id, l_suppkey AS c, l_orderkey AS o, l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
 ), firm AS (SELECT *, CASE c % 5 WHEN 1 THEN true WHEN 2 THEN false ELSE CASE WHEN c % 3 <> 0 THEN c % 3 = 1 END END AS corporation, CASE WHEN c % 5 <> 0 THEN c % 120 END AS employees,
   CASE WHEN c % 11 <> 0 THEN c % 4 = 0 END AS late, CASE WHEN c % 19 = 0 THEN DATE '1999-01-01' WHEN c % 17 <> 0 THEN DATE '{bridge.NOW[:10]}' - CAST(c * 97 % 6000 AS INTEGER) END AS founded FROM pair
 ), found AS (

@@ -6,7 +6,7 @@ import pytest
 from eligo.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
 @pytest.fixture(scope="module")
