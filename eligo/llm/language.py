@@ -84,7 +84,7 @@ def _words(texts: pa.Array):
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in slices(batches, limit=8_000_000):
+    for batch in slices(batches, limit=4_000_000):
         langs = batch.column(0).to_pylist()
         lists, codes, grams, starts, words = _words(batch.column(1))
         owner = np.repeat(np.array([*range(len(langs))]), np.diff(lists.offsets.to_numpy()))
@@ -132,7 +132,7 @@ def _read(known: Likelihoods, is_html: bool):
     """Address or host, declared, text or markup, columns to keep -> evidence, and the columns that are kept."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", limit=6_000_000):
+        for batch in slices(batches, "__text", limit=3_000_000):
             texts, declared = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             hosts = [m[1] if (m := _HOST.match(a or "")) else (a or "") for a in batch.column(0).to_pylist()]
             if is_html:
