@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eligo.functions.body_deadline import body_deadline
 from eligo.operators import extract
 from eligo.sources import notices as source
 
@@ -41,3 +42,30 @@ def notice_conditions(spark: SparkSession, sf: str) -> DataFrame:
     """Conditions of whole notices, with the part of the text that each was read from."""
     rows = source.notices(spark, sf).select("id", F.explode(extract.extract_conditions(F.col("text"))).alias("c"))
     return rows.select("id", "c.key", "c.op", F.array_join("c.values", ",").alias("values"), "c.number", "c.flag", "c.machine_readable", "c.raw_text")
+
+
+#: By the remainder by eight: start and end (days), the label or keyword, letters read before and after it.
+_PERIODS = {
+    0: ("DATE '2026-03-05'", "make_date(2026, 4, day)", "접수기간", 0, 120),
+    1: ("make_date(year(posted), 11, 20)", "make_date(year(posted) + 1, 1, day)", "신청기간", 0, 120),
+    2: ("DATE '2026-03-02'", "make_date(2026, 4, day)", "접수기간 2026.3.2~2026.4.", 0, 120 - len(" 2026.3.2~2026.4.")),
+    3: ("make_date(2026, 5, day)", "NULL", "모집기간", 0, 120),
+    4: ("NULL", "make_date(year(posted) + CASE WHEN make_date(year(posted), 7, day) + INTERVAL '14:59:59' HOUR TO SECOND < posted - INTERVAL 30 DAYS THEN 1 ELSE 0 END, 7, day)", "까지", 40, 40),
+    5: ("NULL", "make_date(2026, 9, day)", "신청마감", 40, 40),
+    6: ("NULL", "make_date(2026, 6, day)", "마감", 40, 40),
+}
+_PERIODS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, CAST({start} AS DATE) AS start_day, CAST({end} AS DATE) AS end_day, instr(text, said) + instr(said, '{word}') - 1 - {back} AS pos, {back + len(word) + ahead} AS n, text FROM day WHERE doc_id % 8 = {kind}"
+    for kind, (start, end, word, back, ahead) in _PERIODS.items()
+).replace("INTERVAL '14:59:59' HOUR TO SECOND", "INTERVAL 53999 SECONDS")
+
+
+@query(f"""WITH {source.DATED_SQL}, day AS (SELECT *, CAST(doc_id % 28 + 1 AS INTEGER) AS day FROM dated), told AS ({_PERIODS_SQL})
+SELECT doc_id AS id, strftime(start_day, '%Y-%m-%d') AS start_day, strftime(end_day, '%Y-%m-%d') AS end_day,
+  left(trim(regexp_replace(substr(text, pos, n), '\\s+', ' ', 'g')), 80) AS evidence FROM told
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM dated WHERE doc_id % 8 = 7""")
+def body_deadlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Application periods of whole notices as Korean days, with the words they were read from; nulls where none is told."""
+    rows = source.dated_notices(spark, sf).withColumn("x", body_deadline(F.col("text"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"), F.col("posted")))
+    day = lambda at: F.date_format(at + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd")
+    return rows.select("id", day(F.col("x.start")).alias("start_day"), day(F.col("x.end")).alias("end_day"), F.col("x.evidence").alias("evidence"))

@@ -53,3 +53,45 @@ _GAP_SQL = "'" + GAP + "'"
 NOTICES_SQL = f"""notice AS (
   SELECT *, regexp_replace(left(t, CAST(floor(length(t) / 2) AS INTEGER)) || {_GAP_SQL} || concat_ws({_GAP_SQL}, {', '.join(SENTENCES_SQL)}) || {_GAP_SQL} || substr(t, CAST(floor(length(t) / 2) AS INTEGER) + 1), '[ \t ]+', ' ', 'g') AS text
   FROM (SELECT doc_id, coalesce(text, '') AS t, {', '.join(f'{q} AS {n}' for n, q in SENTENCES_SQL.items())} FROM documents))"""
+
+
+#: Letters between a sentence of a period and the rest, more than a label or a keyword looks across.
+FAR = "\n" + ". " * 70
+#: The day of a notice's posting is this one and up to 299 days on.
+POSTED = "2025-03-01"
+
+
+def period_sentence(id_: Column) -> Column:
+    """What a notice says of its period, by the remainder of its id by eight; the seventh kind says nothing of a day."""
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    day = id_ % 28 + 1
+    kinds = [
+        said("접수기간 : 2026.03.05 ~ 2026. 4. ", day, "."),
+        said("신청기간 11월 20일 ~ 1월 ", day, "일 18시"),
+        said("기존 접수기간 2026.3.2~2026.3.10 연장 접수기간 2026.3.2~2026.4.", day),
+        said("모집기간 : 2026-05-", F.lpad(day.cast("string"), 2, "0"), " ~ 예산 소진 시까지"),
+        said("제출은 7월 ", day, "일까지"),
+        said("신청마감 2026.9.", day, " (2026.10.30 발표)"),
+        said("지원한도 3.5억원, 마감 26.6.", day),
+        said("접수기간은 추후 공고"),
+    ]
+    return F.element_at(F.array(*kinds), (id_ % 8).cast("int") + 1)
+
+
+def dated_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, posted) of each document with the sentence of its period in its middle; null texts are empty."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    half = F.floor(F.length("t") / 2).cast("int")
+    text = F.concat(F.left("t", half), F.lit(FAR), period_sentence(F.col("id")), F.lit(FAR), F.expr("substring(t, cast(floor(length(t) / 2) AS int) + 1)"))
+    return docs.select("id", text.alias("text"), F.date_add(F.lit(POSTED).cast("date"), (F.col("id") % 300).cast("int")).cast("timestamp_ntz").alias("posted"))
+
+
+_DAY = "(doc_id % 28 + 1)"
+#: The notices with their sentence `said` and the day they were posted.
+DATED_SQL = f"""dated AS (
+  SELECT *, left(t, CAST(floor(length(t) / 2) AS INTEGER)) || '{FAR}' || said || '{FAR}' || substr(t, CAST(floor(length(t) / 2) AS INTEGER) + 1) AS text
+  FROM (SELECT doc_id, coalesce(text, '') AS t, DATE '{POSTED}' + CAST(doc_id % 300 AS INTEGER) AS posted, CASE doc_id % 8
+    WHEN 0 THEN '접수기간 : 2026.03.05 ~ 2026. 4. ' || {_DAY} || '.' WHEN 1 THEN '신청기간 11월 20일 ~ 1월 ' || {_DAY} || '일 18시'
+    WHEN 2 THEN '기존 접수기간 2026.3.2~2026.3.10 연장 접수기간 2026.3.2~2026.4.' || {_DAY} WHEN 3 THEN '모집기간 : 2026-05-' || lpad(CAST({_DAY} AS VARCHAR), 2, '0') || ' ~ 예산 소진 시까지'
+    WHEN 4 THEN '제출은 7월 ' || {_DAY} || '일까지' WHEN 5 THEN '신청마감 2026.9.' || {_DAY} || ' (2026.10.30 발표)'
+    WHEN 6 THEN '지원한도 3.5억원, 마감 26.6.' || {_DAY} ELSE '접수기간은 추후 공고' END AS said FROM documents))"""
