@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligo.functions.body_deadline import body_deadline
+from eligo.functions.target_orgs import target_orgs
 from eligo.operators import extract
 from eligo.sources import notices as source
 
@@ -69,3 +70,14 @@ def body_deadlines(spark: SparkSession, sf: str) -> DataFrame:
     rows = source.dated_notices(spark, sf).withColumn("x", body_deadline(F.col("text"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"), F.col("posted")))
     day = lambda at: F.date_format(at + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd")
     return rows.select("id", day(F.col("x.start")).alias("start_day"), day(F.col("x.end")).alias("end_day"), F.col("x.evidence").alias("evidence"))
+
+
+#: The kinds of TITLE_KINDS' words, in their order; only the second word isn't its kind's name.
+_KINDS_SQL = "['사회적기업', '사회적경제', '협동조합', '마을기업', '자활기업', '소셜벤처', '착한가격업소']"
+
+
+@query(f"""SELECT doc_id AS id, CASE WHEN ending > 1 THEN '' WHEN a = b THEN {_KINDS_SQL}[a] ELSE {_KINDS_SQL}[least(a, b)] || ',' || {_KINDS_SQL}[greatest(a, b)] END AS kinds
+FROM (SELECT doc_id, doc_id % 7 + 1 AS a, (doc_id // 7) % 7 + 1 AS b, (doc_id // 5) % 6 AS ending FROM documents)""")
+def declared_orgs(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of organisation that each title is meant for, in the order of their table."""
+    return source.titles(spark, sf).select("id", F.array_join(target_orgs(F.col("title")), ",").alias("kinds"))

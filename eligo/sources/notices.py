@@ -95,3 +95,21 @@ DATED_SQL = f"""dated AS (
     WHEN 2 THEN '기존 접수기간 2026.3.2~2026.3.10 연장 접수기간 2026.3.2~2026.4.' || {_DAY} WHEN 3 THEN '모집기간 : 2026-05-' || lpad(CAST({_DAY} AS VARCHAR), 2, '0') || ' ~ 예산 소진 시까지'
     WHEN 4 THEN '제출은 7월 ' || {_DAY} || '일까지' WHEN 5 THEN '신청마감 2026.9.' || {_DAY} || ' (2026.10.30 발표)'
     WHEN 6 THEN '지원한도 3.5억원, 마감 26.6.' || {_DAY} ELSE '접수기간은 추후 공고' END AS said FROM documents))"""
+
+
+#: Kinds, marks between two of them, and what follows them in a title; after the first two a title is meant for them.
+TITLE_KINDS = ("사회적기업", "사회적경제기업", "협동조합", "마을기업", "자활기업", "소셜벤처", "착한가격업소")
+TITLE_MARKS = ("·", ", ", " 및 ", "/", "와 ")
+TITLE_ENDS = (" 시설 지원", " 등 지원", "을 돕는 사업", " 모집", " 공고", " 등을 위한 사업")
+
+
+def _picked(n: Column, of: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in of]), (n % len(of)).cast("int") + 1)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title) of each document: its first line, then two kinds with a mark between them and an end, all four by its id."""
+    id_ = F.col("doc_id")
+    first = F.regexp_extract(F.coalesce("text", F.lit("")), r"\A[^\n]*", 0)
+    row = F.concat(_picked(id_, TITLE_KINDS), _picked(id_, TITLE_MARKS), _picked(F.floor(id_ / 7), TITLE_KINDS), _picked(F.floor(id_ / 5), TITLE_ENDS))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(id_.alias("id"), F.concat(first, F.lit(" - "), row).alias("title"))
