@@ -65,8 +65,8 @@ def entities(text: Column) -> Column:
 def planned_ids(known: DataFrame, spark) -> DataFrame:
     """Ids to read: from 1 to the seed's end or beyond the largest known one, and all known ones, in order of their numbers."""
     numbers = known.select(F.regexp_extract("id", "^SI([0-9]{8})$", 1).alias("n")).where("n <> ''").select(F.col("n").cast("long").alias("n"))
-    end = numbers.agg(F.greatest(F.lit(SEED_END), F.coalesce(F.max("n"), F.lit(0)) + FRONTIER).alias("end"))
-    every = end.select(F.explode(F.sequence(F.lit(1).cast("long"), "end")).alias("n")).unionByName(numbers).distinct()
+    end = numbers.agg(F.greatest(F.lit(SEED_END), F.coalesce(F.max("n"), F.lit(0)) + FRONTIER)).first()[0]
+    every = spark.range(1, end + 1).select(F.col("id").alias("n")).unionByName(numbers).distinct()
     return every.select("n", F.format_string(ID_FORMAT, "n").alias("id"))
 
 
