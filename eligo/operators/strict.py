@@ -7,11 +7,12 @@ What stays is the residue, and a residue means that the text asks for something
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligo.functions import notices, regions, sectors
 from eligo.functions.regions import NATIONWIDE, PROVINCES, canonical_region, compact, district_of, provinces_in
+from eligo.sources.held import told_once
 
 #: Words that may stay of a region's text, and of any other condition's text; particles; separators.
 REGION_FILLER = "소재|소재한|소재지|위치한|관내|내|지역|지역의|기업|업체|주소지|에|의|을|를|이|가|은|는|둔|있는|두고|등|전국|도|시|군|구|특별시|광역시|특별자치시|특별자치도"
@@ -283,11 +284,12 @@ def block(title: Column, checks: Column, human_checks: Column, rule_only: Column
     """Why nothing of an announcement or product makes a fit for the row's company, whatever passes: human checks, rules only,
     industry scope, region scope, no programme, place, founders, line of business or sector; null where nothing is against it."""
     own = F.coalesce(title, F.lit(""))
-    return (
-        F.when(F.size(substantive_checks(human_checks, own)) > 0, "human checks")
-        .when(F.coalesce(rule_only, F.lit(False)), "rules only")
-        .otherwise(F.coalesce(F.when(is_announcement, _scope_block(checks, industry_scope, region_scope, districts)), let(own, lambda t: _title_block(t, districts))))
-    )
+    asked = F.size(substantive_checks(human_checks, own)) > 0
+    return _first_block(asked, rule_only, is_announcement, _scope_block(checks, industry_scope, region_scope, districts), let(own, lambda t: _title_block(t, districts)))
+
+
+def _first_block(asked: Column, rule_only: Column, is_announcement: Column, by_scope: Column, by_title: Column) -> Column:
+    return F.when(asked, "human checks").when(F.coalesce(rule_only, F.lit(False)), "rules only").otherwise(F.coalesce(F.when(is_announcement, by_scope), by_title))
 
 
 def fit_verdict(checks: Column, blocked: Column | None = None, districts=None) -> Column:
@@ -299,3 +301,24 @@ def fit_verdict(checks: Column, blocked: Column | None = None, districts=None) -
     open_ = known("unknown") | F.exists(checks, lambda c: F.coalesce(c["bars"], F.lit(False)))
     sure = F.lit(True) if blocked is None else blocked.isNull() & F.forall(checks, lambda c: pass_fits(c, districts))
     return F.when(known("fail"), "excluded").when(~open_ & strong & sure, "fit").otherwise("unverified")
+
+
+PLACE = ["region", "district", "industry", "scale"]
+
+
+def verdicts(pairs: DataFrame, districts=None) -> DataFrame:
+    """The pairs (title, checks, human, rule_only, industry_scope, region_scope, is_announcement; the company's PLACE) with loose
+    and strict (`fit_verdict` without and with the announcement) and blocked (`block`). Titles, checks and companies repeat from
+    pair to pair, so each part of the verdict is worked out once for equal values of what it reads."""
+    own = F.coalesce("title", F.lit(""))
+    asked = F.size(substantive_checks(F.col("human"), own)) > 0
+    by_title = let(own, lambda t: _title_block(t, districts))
+    by_scope = _scope_block(F.col("checks"), F.col("industry_scope"), F.col("region_scope"), districts)
+    found = told_once(pairs, ["title", "human"], {"asked": asked})
+    found = told_once(found, ["title", *PLACE], {"by_title": by_title})
+    found = told_once(found, ["checks", *PLACE], {"loose": fit_verdict(F.col("checks")), "sure": fit_verdict(F.col("checks"), F.lit(None).cast("string"), districts)})
+    found = told_once(found, ["checks", "industry_scope", "region_scope", *PLACE], {"by_scope": by_scope})
+    blocked = _first_block(F.col("asked"), F.col("rule_only"), F.col("is_announcement"), F.col("by_scope"), F.col("by_title"))
+    # a block turns what would be a fit into unverified and nothing else
+    strict = F.when((F.col("sure") == "fit") & F.col("blocked").isNotNull(), "unverified").otherwise(F.col("sure"))
+    return found.withColumn("blocked", blocked).select(*pairs.columns, "loose", strict.alias("strict"), "blocked")

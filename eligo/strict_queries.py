@@ -78,11 +78,8 @@ STRICT = f"""pair AS (SELECT l_orderkey AS id, l_linenumber AS ord, l_suppkey AS
 
 def strict_fits(spark: SparkSession, sf: str) -> DataFrame:
     """The verdict of each pair by its checks alone, and with the announcement looked at."""
-    rows = _pairs(spark, sf)
-    c = F.col
-    blocked = strict.block(c("title"), c("checks"), c("human"), c("rule_only"), c("industry_scope"), c("region_scope"), c("is_announcement"))
-    told = rows.withColumn("blocked", blocked)
-    return told.select("id", "ord", "company_id", strict.fit_verdict(c("checks")).alias("loose"), strict.fit_verdict(c("checks"), c("blocked")).alias("strict"), c("blocked").isNull().alias("open"))
+    told = strict.verdicts(_pairs(spark, sf))
+    return told.select("id", "ord", "company_id", "loose", "strict", F.col("blocked").isNull().alias("open"))
 
 
 QUERIES["strict_fits"] = strict_fits
