@@ -23,6 +23,12 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(once: DataFrame, key: str) -> DataFrame:
+    """A held table that goes to every task of a join where the letters of its key are few."""
+    letters = once.agg(F.sum(F.length(F.to_json(F.struct(key))) + 100)).first()[0] or 0
+    return F.broadcast(once) if letters <= FEW else once
+
+
 def told_once(rows: DataFrame, names: list[str], told: dict[str, Column]) -> DataFrame:
     """The rows with further columns that read the columns `names` alone: worked out once for equal values of them, nulls equal."""
     key = F.struct(*names)
@@ -30,6 +36,4 @@ def told_once(rows: DataFrame, names: list[str], told: dict[str, Column]) -> Dat
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = rows.select(key.alias("__key")).distinct().repartition(tasks, "__key").select("__key", "__key.*")
     once = held(once.select("__key", *[c.alias(x) for x, c in told.items()]))
-    letters = once.agg(F.sum(F.length(F.to_json("__key")) + 100)).first()[0] or 0
-    once = F.broadcast(once) if letters <= FEW else once
-    return rows.withColumn("__key", key).join(once, "__key", "left").drop("__key")
+    return rows.withColumn("__key", key).join(sent(once, "__key"), "__key", "left").drop("__key")
