@@ -148,9 +148,8 @@ def _read(dictionary: bytes, base: dict[int, int], wanted: frozenset | None):
     return run
 
 
-def read_token_files(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, ids) from files: ids are little-endian unsigned 32-bit. With doc_ids, shards outside their range are
-    skipped at the scan and no other document's frame is decompressed. One number for each part goes through the driver."""
+def _shards(spark: SparkSession, at: str, doc_ids: list[int] | None = None):
+    """The shards to read, and what makes batches of (doc_id, start, ids) of them in a task."""
     shards = spark.read.parquet(f"{at}/shards")
     dictionary = bytes(spark.read.parquet(f"{at}/meta").first()[0])
     base, before = {}, 0
@@ -158,7 +157,21 @@ def read_token_files(spark: SparkSession, at: str, doc_ids: list[int] | None = N
         base[r.part], before = before, before + r.n
     if doc_ids is not None:
         shards = shards.where((F.col("last_id") >= min(doc_ids)) & (F.col("first_id") <= max(doc_ids))) if doc_ids else shards.limit(0)
-    return shards.select("part", "blob").mapInArrow(_read(dictionary, base, None if doc_ids is None else frozenset(doc_ids)), "doc_id long, start long, ids binary")
+    return shards.select("part", "blob"), _read(dictionary, base, None if doc_ids is None else frozenset(doc_ids))
+
+
+def read_token_files(spark: SparkSession, at: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """(doc_id, start, ids) from files: ids are little-endian unsigned 32-bit. With doc_ids, shards outside their range are
+    skipped at the scan and no other document's frame is decompressed. One number for each part goes through the driver."""
+    shards, read = _shards(spark, at, doc_ids)
+    return shards.mapInArrow(read, "doc_id long, start long, ids binary")
+
+
+def token_digests(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of all that the files hold. Ids are digested in the worker that has read them: a
+    second step in Python would take a second worker for each task."""
+    shards, read = _shards(spark, at)
+    return shards.mapInArrow(lambda batches: _crcs(read(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _crcs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,4 +184,4 @@ def _crcs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared_folder(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), at)
-    return read_token_files(spark, at).mapInArrow(_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_digests(spark, at)
