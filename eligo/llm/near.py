@@ -19,6 +19,8 @@ from eligo.llm import jaccard
 from eligo.llm.common import attach, cut, slices, table
 from eligo.llm.simhash import bits_of, components, links
 
+#: Tables that are matched at once: more of them take fewer Spark jobs, and with them less of the driver's memory, but more disk.
+TABLES_AT_ONCE = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: A row's key, its set's name and size, and the set where a task shows it first.
 SETS_SQL = "k_a long, k_b long, component long, node long, n int, shingles binary"
@@ -67,15 +69,15 @@ def verified_groups(docs: DataFrame, key: tuple[str, str], text_col: str = "text
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(key[0]).alias("k_a"), F.col(key[1]).alias("k_b"))
     prints = cut(rows.mapInArrow(_prints(tables), "k_a long, k_b long, prints array<long>").withColumn("node", F.xxhash64("prints")))
     nodes = cut(prints.groupBy("node").agg(F.min("prints").alias("prints"), F.count("*").alias("n")))
-    edges = None
-    for t in range(tables):
-        own = nodes.select("node", F.get("prints", F.lit(t)).alias("fp"))
-        first = cut(own.groupBy("fp").agg(F.min("node").alias("first")))
-        found = links(first.select("fp"), distance)
-        of = lambda c, first=first: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
-        across = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-        both = across.unionByName(own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-        edges = both if edges is None else edges.unionByName(both)
+    own = nodes.select("node", F.posexplode("prints").alias("table", "fp"))
+    first = cut(own.groupBy("table", "fp").agg(F.min("node").alias("first")))
+    found = None
+    for low in range(0, tables, TABLES_AT_ONCE):
+        some = links(first.where(F.col("table").between(low, low + TABLES_AT_ONCE - 1)).select("table", "fp"), distance)
+        found = some if found is None else found.unionByName(some)
+    of = lambda c: first.select("table", F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    across = found.join(of("a"), ["table", "a"]).join(of("b"), ["table", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    edges = across.unionByName(own.join(first, ["table", "fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
     grouped = components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     candidate = cut(nodes.select("node", "n").join(grouped, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component")))
     sizes = candidate.groupBy("component").agg(F.sum("n").alias("size"))

@@ -16,15 +16,15 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from eligo.llm.common import ASCII_LOWER, attach, cut, partitions, slices, table, written_tables
 
-#: A link (a, b), or a row of a bucket that is too large: its next key, and the bits in which its rows may still differ.
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("free", pa.int64())])
-LINKS_SQL = "a long, b long, key long, free long"
+#: A link (a, b) of a table, or a row of a bucket that is too large: its next key, and the bits in which its rows may still differ.
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("free", pa.int64()), ("table", pa.int32())])
+LINKS_SQL = "a long, b long, key long, free long, table int"
 #: Times that a large bucket is dealt out by the values of its blocks.
 LEVELS = 2
 #: Rows that a bucket compares at once.
@@ -113,7 +113,15 @@ def blocks_of(free: int, n: int) -> list[int]:
     return [sum(bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
 
 
-def _deal(key: np.ndarray, fp: np.ndarray, free: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:
+def _found(a: np.ndarray, b: np.ndarray, of: np.ndarray, of_b: np.ndarray) -> pa.RecordBatch:
+    """A forest of the links of each table; what a chance equality of keys brings together from two tables is none."""
+    keep = [own[forest(a[own], b[own])] for t in np.unique(of).tolist() if len(own := np.flatnonzero((of == t) & (of_b == t)))]
+    at = np.concatenate(keep) if keep else np.zeros(0, int)
+    none = pa.nulls(len(at), pa.int64())
+    return table(LINKS, [np.minimum(a[at], b[at]), np.maximum(a[at], b[at]), none, none, of[at]])
+
+
+def _deal(key: np.ndarray, fp: np.ndarray, free: np.ndarray, of: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:
     """Rows of large buckets under the value of each block of their free bits."""
     fps = fp.view(np.uint64)
     for mask in np.unique(free).tolist():
@@ -121,23 +129,21 @@ def _deal(key: np.ndarray, fp: np.ndarray, free: np.ndarray, distance: int) -> I
         for k, block in enumerate(blocks_of(mask & (1 << 64) - 1, distance + 1)):
             value = fps[own] & np.uint64(block)
             next_key = _mixed(key[own], np.full(len(value), k), value).view(np.int64)
-            yield table(LINKS, [fp[own], pa.nulls(len(value), pa.int64()), next_key, np.full(len(value), _signed(mask & (1 << 64) - 1 & ~block))])
+            yield table(LINKS, [fp[own], pa.nulls(len(value), pa.int64()), next_key, np.full(len(value), _signed(mask & (1 << 64) - 1 & ~block)), of[own]])
 
 
 def _links(distance: int, deal: bool):
-    def found(key, fp):
+    def found(key, fp, of):
         i, j = near(key, fp.view(np.uint64), distance)
-        keep = forest(fp[i], fp[j])
-        i, j = i[keep], j[keep]
-        return table(LINKS, [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())])
+        return _found(fp[i], fp[j], of[i], of[j])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by key. Links of buckets of up to BUCKET rows; the rows of larger ones go on."""
         held, large = None, None
         for batch in batches:
-            key, fp, free = (batch.column(i).to_numpy() for i in range(3))
+            key, fp, free, of = (batch.column(i).to_numpy() for i in range(4))
             if held is not None:
-                key, fp, free = (np.concatenate(x) for x in zip(held, (key, fp, free), strict=True))
+                key, fp, free, of = (np.concatenate(x) for x in zip(held, (key, fp, free, of), strict=True))
             if not len(key):
                 continue
             size = np.diff(np.r_[starts := np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
@@ -146,15 +152,15 @@ def _links(distance: int, deal: bool):
             large = key[-1] if over[-1] else None
             wide = np.repeat(over, size)
             if wide.any() and deal:
-                yield from _deal(key[wide], fp[wide], free[wide], distance)
+                yield from _deal(key[wide], fp[wide], free[wide], of[wide], distance)
             elif wide.any():
-                yield table(LINKS, [fp[wide], pa.nulls(int(wide.sum()), pa.int64()), key[wide], free[wide]])
+                yield table(LINKS, [fp[wide], pa.nulls(int(wide.sum()), pa.int64()), key[wide], free[wide], of[wide]])
             tail = starts[-1] if not over[-1] else len(key)
             small = ~wide[:tail]
-            yield found(key[:tail][small], fp[:tail][small])
-            held = (key[tail:], fp[tail:], free[tail:])
+            yield found(key[:tail][small], fp[:tail][small], of[:tail][small])
+            held = (key[tail:], fp[tail:], free[tail:], of[tail:])
         if held is not None:
-            yield found(*held[:2])
+            yield found(held[0], held[1], held[3])
 
     return run
 
@@ -166,15 +172,13 @@ def _block_links(distance: int):
         held: list[tuple] = []
 
         def flush():
-            own = np.array([r[3] for r in held], np.int64)
+            own, of = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int32)
             fp = own.view(np.uint64)
             i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance, 1))
-            keep = forest(own[i], own[j])
-            a, b = own[i[keep]], own[j[keep]]
-            return table(LINKS, [np.minimum(a, b), np.maximum(a, b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())])
+            return _found(own[i], own[j], of[i], of[j])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and held[-1][:3] != row[:3]:
                     yield flush()
                     held = []
@@ -186,45 +190,50 @@ def _block_links(distance: int):
 
 
 def links(prints: DataFrame, distance: int = 3, levels: int = LEVELS) -> DataFrame:
-    """Links (a < b) between fingerprints: prints has one row (fp) for each distinct one. Every pair within the distance is
-    connected by the links, each of which joins two fingerprints within the distance."""
+    """Links (table, a < b) between fingerprints: prints has one row (fp) for each distinct one, or (table, fp) for each of
+    several tables, numbered below 2^16, that are matched at once, each by itself. Every pair of a table within the distance is
+    connected by its links, each of which joins two fingerprints within the distance."""
     segments = distance // 2 + 1  # one of them then differs by at most one bit
     cuts = [64 * i // segments for i in range(segments + 1)]
-    segment = [(1 << (cuts[s + 1] - cuts[s])) - 1 << cuts[s] for s in range(segments)]
-    variants = F.array(*[
-        F.struct(F.lit(bit).alias("bit"), F.lit(_signed(segment[s] & ~(1 << bit))).alias("mask"), F.lit(_signed(~segment[s] & (1 << 64) - 1)).alias("free"))
-        for s in range(segments) for bit in range(cuts[s], cuts[s + 1])
-    ])
-    rows = prints.select("fp", F.explode(variants).alias("v"))
+    tagged = prints if "table" in prints.columns else prints.withColumn("table", F.lit(0))
+    rows = tagged.select(F.col("table").cast("int").alias("table"), "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     n = partitions(prints.sparkSession)
-    # the masked segment leaves its other bits free: they take the number of the variant
-    key = F.xxhash64("v.bit", F.col("fp").bitwiseAND(F.col("v.mask"))) if segments == 1 else _packed(cuts)
-    wide, small = rows.select(key.alias("key"), "fp", F.col("v.free").alias("free")), None
+    key, free = _variant(cuts)
+    # a row is sent with the number of its variant alone, which says the rest
+    wide, small = rows.repartition(n, key).select(key.alias("key"), "fp", free.alias("free"), "table"), None
     for level in range(levels + 1):
-        met = cut(wide.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(distance, level < levels), LINKS_SQL))
-        own = met.where("key is null").select("a", "b")
+        met = cut(wide.sortWithinPartitions("key").mapInArrow(_links(distance, level < levels), LINKS_SQL))
+        own = met.where("key is null").select("table", "a", "b")
         small = own if small is None else small.unionByName(own)
-        wide = met.where("key is not null").select("key", F.col("a").alias("fp"), "free")
+        wide = met.where("key is not null").select("key", F.col("a").alias("fp"), "free", "table")
         if wide.isEmpty():
             return small.distinct()
+        if level < levels:
+            wide = wide.repartition(n, "key")
     sizes = wide.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("int").alias("n"))
     blocks = wide.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int"))
-    pairs = blocks.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    pairs = pairs.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+    pairs = blocks.select("key", "fp", "table", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    pairs = pairs.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "table")
     dealt = pairs.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return small.unionByName(dealt.mapInArrow(_block_links(distance), LINKS_SQL).select("a", "b")).distinct()
+    return small.unionByName(dealt.mapInArrow(_block_links(distance), LINKS_SQL).select("table", "a", "b")).distinct()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _packed(cuts: list[int]):
-    """Segment value moved down to the low bits, above it the variant's number; exact for segments of up to 56 bits."""
-    segment = F.lit(None).cast("long")
+def _variant(cuts: list[int]) -> tuple[Column, Column]:
+    """The key of the variant with bit `bit` masked, and the bits that its key leaves free. The masked segment leaves its
+    other bits free: they take the numbers of the variant and of the table, exact for segments of up to 40 bits."""
+    masked = F.expr("fp & ~shiftleft(1L, bit)")
+    segment, free = F.lit(None).cast("long"), F.lit(None).cast("long")
     for low, high in zip(cuts, cuts[1:], strict=False):
-        segment = F.when(F.col("v.bit").between(low, high - 1), F.shiftrightunsigned(F.col("fp").bitwiseAND(F.col("v.mask")), low)).otherwise(segment)
-    return F.expr("shiftleft(cast(v.bit AS long), 56)").bitwiseOR(segment)
+        mask, inside = (1 << (high - low)) - 1 << low, F.col("bit").between(low, high - 1)
+        segment = F.when(inside, F.shiftrightunsigned(masked.bitwiseAND(F.lit(_signed(mask))), low)).otherwise(segment)
+        free = F.when(inside, F.lit(_signed(~mask & (1 << 64) - 1))).otherwise(free)
+    if len(cuts) == 2:
+        return F.xxhash64("table", "bit", segment), free
+    return F.expr("shiftleft(cast(bit AS long), 56) | shiftleft(cast(table AS long), 40)").bitwiseOR(segment), free
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -135,6 +135,30 @@ def test_simhash_links_of_large_buckets(spark):
         assert all(len(x) == 1 for x in same.values()) and len({*map(min, same.values())}) == len(same)
 
 
+def test_simhash_links_of_several_tables(spark):
+    """Tables that are matched at once don't mix: the same fingerprints in two of them link in both, others in neither."""
+    rng = random.Random(6)
+    fps = []
+    for _ in range(90):
+        fps.append(0x1234ABCD << 32 | rng.getrandbits(32))
+        for _ in range(3):
+            fps.append(fps[-1] ^ 1 << rng.randrange(64))
+    fps = [*dict.fromkeys(fps)]
+    held = {0: fps, 1: fps[::3], 2: [fps[0] ^ 1 << 50, *fps[1::2]], 3: [0]}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    for levels in (0, 2):
+        found = simhash.links(spark.createDataFrame([(t, signed(f)) for t, own in held.items() for f in own], "table int, fp long"), levels=levels).collect()
+        for t, own in held.items():
+            place, first = {signed(f): i for i, f in enumerate(own)}, [*range(len(own))]
+            for r in found:
+                if r.table == t:
+                    a, b = first[place[r.a]], first[place[r.b]]
+                    assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3
+                    first = [min(a, b) if x in (a, b) else x for x in first]
+            want = [*roots(own)]
+            assert len({*zip(first, want, strict=True)}) == len({*first}) == len({*want})
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 999), (999, 1000), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in simhash.components(edges).collect()}
