@@ -132,9 +132,26 @@ def _deal(key: np.ndarray, fp: np.ndarray, free: np.ndarray, of: np.ndarray, dis
             yield table(LINKS, [fp[own], pa.nulls(len(value), pa.int64()), next_key, np.full(len(value), _signed(mask & (1 << 64) - 1 & ~block)), of[own]])
 
 
-def _links(distance: int, deal: bool):
+def _first_variant(differ: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """Of the variants under which two fingerprints meet, the first; `differ` has their differing bits."""
+    first = np.full(len(differ), 64)
+    for low, high in reversed([*zip(cuts, cuts[1:], strict=False)]):
+        own = differ >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+        bit = np.where(own == 0, 0, np.bitwise_count(own - np.uint64(1)))
+        first = np.where(np.bitwise_count(own) <= 1, low + bit, first)
+    return first
+
+
+def _links(distance: int, deal: bool, cuts: list[int] | None = None):
+    """cuts: keys are those of `_variant`, and a pair is a link under the first variant under which it meets; if that one's
+    bucket is large, its rows go on and meet there."""
+
     def found(key, fp, of):
-        i, j = near(key, fp.view(np.uint64), distance)
+        fps = fp.view(np.uint64)
+        i, j = near(key, fps, distance)
+        if cuts:
+            here = (key[i] >> 40 & 63) == _first_variant(fps[i] ^ fps[j], cuts)
+            i, j = i[here], j[here]
         return _found(fp[i], fp[j], of[i], of[j])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +219,7 @@ def links(prints: DataFrame, distance: int = 3, levels: int = LEVELS) -> DataFra
     # a row is sent with the number of its variant alone, which says the rest
     wide, small = rows.repartition(n, key).select(key.alias("key"), "fp", free.alias("free"), "table"), None
     for level in range(levels + 1):
-        met = cut(wide.sortWithinPartitions("key").mapInArrow(_links(distance, level < levels), LINKS_SQL))
+        met = cut(wide.sortWithinPartitions("key").mapInArrow(_links(distance, level < levels, cuts if level == 0 and segments > 1 else None), LINKS_SQL))
         own = met.where("key is null").select("table", "a", "b")
         small = own if small is None else small.unionByName(own)
         wide = met.where("key is not null").select("key", F.col("a").alias("fp"), "free", "table")
@@ -233,7 +250,7 @@ def _variant(cuts: list[int]) -> tuple[Column, Column]:
         free = F.when(inside, F.lit(_signed(~mask & (1 << 64) - 1))).otherwise(free)
     if len(cuts) == 2:
         return F.xxhash64("table", "bit", segment), free
-    return F.expr("shiftleft(cast(bit AS long), 56) | shiftleft(cast(table AS long), 40)").bitwiseOR(segment), free
+    return F.expr("shiftleft(cast(table AS long), 48) | shiftleft(cast(bit AS long), 40)").bitwiseOR(segment), free
 
 
 def components(edges: DataFrame) -> DataFrame:
