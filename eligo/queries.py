@@ -10,7 +10,7 @@ from eligo.operators import evaluate, grouping, ledgers, totals
 from eligo.plans import deadline
 from eligo.sources import bridge
 from eligo.sources.bridge import FUNDING_GROUPS, NOW, SIDO
-from eligo.sources.held import held
+from eligo.sources.held import held, told_once
 
 #: The provinces of the bridge's places, None where a place has none.
 _OF_PLACE = {"서울특별시 강남구": "서울", "충북 청주시": "충북", "강원영월군": "강원", "경상북도 군위군": "경북", "경기도 화성시": "경기", "경기": "경기", "경북": "경북", "부산": "부산"}
@@ -195,7 +195,8 @@ SELECT company_id, count(*) FILTER (decision = 'drop-region') AS dropped_by_regi
   count(*) FILTER (decision = 'keep' AND g = 'uncertain') AS uncertain, count(*) FILTER (decision = 'keep' AND g = 'impossible') AS impossible FROM d GROUP BY 1""")
 def diagnose_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Of the announcements that a company's prefilter leaves, how many it can have; and how many its region took away."""
-    rows = bridge.announcements(spark, sf).select("id", "apply_end", classify.bound_regions(F.col("sido"), F.col("title")).alias("bound"))
+    rows = bridge.announcements(spark, sf).select("id", "apply_end", "sido", "title")
+    rows = told_once(rows, ["sido", "title"], {"bound": classify.bound_regions(F.col("sido"), F.col("title"))})
     mine = bridge.companies(spark, sf).select("company_id", classify.own_region(F.col("region")).alias("mine"))
     by = {"bound": F.array_join("bound", ","), "closed": classify.prefilter(F.array().cast("array<string>"), F.col("apply_end"), F.lit(None).cast("string"), bridge.now()) == "drop-closed"}
     cells, _ = totals.parts(rows, bridge.conditions(spark, sf), bridge.companies(spark, sf), bridge.now(), by)
